@@ -7,17 +7,27 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import mixing, packing, sharding
 from .common import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(mixing.mix_sources(read(spark, sf_dir, "documents")))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shuffle_to_shards(read(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing_sources": op2_mixing_sources,
+    "op9_sharding": op9_sharding,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
