@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, lm, media, mixing, ngram_join, packing, quality, sharding, toxicity
+from . import chat, embedding_dedup, lm, media, mixing, ngram_join, packing, quality, sharding, toxicity
 from .common import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_rows(read(spark, sf_dir, "conversations"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(read(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing_sources": op2_mixing_sources,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_media_columns": op4_media_columns,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_quality_classifier": op8_quality_classifier,
@@ -61,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": chat.PREFERENCE_SQL}
