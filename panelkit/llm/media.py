@@ -68,32 +68,13 @@ def payload_column(text: Column) -> Column:
     return F.concat(raw, F.unhex(F.repeat(F.lit("00"), short)))
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each distinct payload of this task once. What is remembered is a digest for each of the task's rows at most."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        digests, stored, held = [], [], 0
-        for value in batch.column(0):
-            payload = value.as_buffer()
-            digest = hashlib.sha256(payload).digest()
-            if digest not in seen:
-                seen.add(digest)
-                digests.append(digest.hex())
-                stored.append(encode_png(payload))
-                held += len(stored[-1])
-            if held > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(stored, pa.binary())], names=["digest", "stored"])
-                digests, stored, held = [], [], 0
-        if digests:
-            yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(stored, pa.binary())], names=["digest", "stored"])
-
-
 def _shard_writer(root: str, suffix: str) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in the order of their digest. A shard appears under its name only when whole, so a task may run again."""
+        """Rows are (digest, payload). What a task remembers is a digest for each of its rows at most. A shard appears
+        under its name only when whole, so a task may run again."""
         task = TaskContext.get()
         files, base = fs.FileSystem.from_uri(root)
-        part, out, at, last, rows = 0, None, 0, None, []
+        part, out, at, seen, rows = 0, None, 0, set(), []
 
         def close() -> pa.RecordBatch:
             out.write(b"\0" * 1024)
@@ -103,9 +84,10 @@ def _shard_writer(root: str, suffix: str) -> Callable:
 
         for batch in batches:
             for digest, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if digest == last:
+                if digest in seen:
                     continue
-                last, stored = digest, value.as_buffer()
+                seen.add(digest)
+                stored = encode_png(value.as_buffer())
                 if out is not None and at > SHARD_BYTES:
                     yield close()
                     part, out, rows = part + 1, None, []
@@ -128,14 +110,20 @@ def _shard_writer(root: str, suffix: str) -> Callable:
 
 
 def store_payloads(payloads: DataFrame, root: str, suffix: str = "png") -> DataFrame:
-    """Write every distinct payload (a binary column `payload`) once into tar shards under `root`, a shared folder.
+    """Write payloads (columns digest, payload) into tar shards under `root`, a shared folder, where they are.
 
-    Returns the index: digest, shard, offset, length. Tasks send a payload once however often they hold it, so a
-    payload that a third of the rows share costs one copy a task. An empty table writes nothing.
+    Returns the index: digest, shard, offset, length; a digest that several tasks were given has the place that comes
+    first. Payloads do not travel; leave out those that another row stands for. An empty table writes nothing.
     """
-    unique = payloads.select("payload").mapInArrow(_encode, "digest string, stored binary")
-    ordered = unique.repartition("digest").sortWithinPartitions("digest")
-    return ordered.mapInArrow(_shard_writer(root, suffix), "digest string, shard string, offset bigint, length bigint")
+    written = materialize(payloads.select("digest", "payload").mapInArrow(_shard_writer(root, suffix), "digest string, shard string, offset bigint, length bigint"), "media-written")
+    place = F.struct("shard", "offset", "length")
+    return written.groupBy("digest").agg(F.min(place).alias("at")).select("digest", "at.*")
+
+
+def copies_of_others(rows: DataFrame) -> DataFrame:
+    """(doc_id, digest) of the rows whose payload a row with a smaller id has, too."""
+    least = rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    return rows.join(least.select("digest", "least"), "digest").where("doc_id <> least").select("doc_id", "digest")
 
 
 def _reader(root: str, read: Callable, names: list[str]) -> Callable:
@@ -176,7 +164,7 @@ def with_features(index: DataFrame, root: str) -> DataFrame:
     return index.mapInArrow(_reader(root, _features, names), f"{kinds}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root: str | None = None) -> DataFrame:
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root: str | None = None, broadcast_rows: int = 200_000) -> DataFrame:
     """Store every whole text as a payload and describe it from what has been stored.
 
     Returns doc_id, n_bytes (of the text, without padding), what `with_features` reads back, width and height from
@@ -186,8 +174,13 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     root = root or scratch_path(docs.sparkSession, "media")
     payload = payload_column(F.col(text_col))
-    index = materialize(store_payloads(docs.select(payload.alias("payload")), root), "media-index")
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
+    n_bytes = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("bigint").alias("n_bytes")
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), n_bytes, F.sha2(payload, 256).alias("digest")), "media-rows")
+    copies = copies_of_others(rows)
+    if copies.count() <= broadcast_rows:
+        copies = F.broadcast(copies)
+    index = materialize(store_payloads(whole.join(copies, ["doc_id", "digest"], "left_anti"), root).repartition("shard").sortWithinPartitions("shard", "offset"), "media-index")
     described = with_features(with_headers(index, root), root)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("bigint").alias("n_bytes"), F.sha2(payload, 256).alias("digest"))
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     return rows.join(described, "digest").select("doc_id", "n_bytes", *names, "width", "height", "digest", "shard", "offset", "length")
