@@ -109,9 +109,9 @@ def take_whole(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` once for each pass in which the mix takes words of them, columns as they were.
 
     A document at the end of its source's share is taken whole, so a source can exceed its target by one document.
+    Rows that share an id are taken as often as each other.
     """
     mix = mix_sources(docs, **options)
-    passes = mix.segments.groupBy("row").agg(F.count_distinct("pass").alias("passes"))
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
-    repeats = passes.select(F.col("row").alias("__row"), F.explode(F.array_repeat(F.lit(1), F.col("passes").cast("int"))).alias("__one"))
-    return keyed.join(repeats, "__row").drop("__row", "__one")
+    passes = mix.segments.groupBy("doc_id").agg(F.count_distinct("pass").cast("int").alias("__passes")).withColumnRenamed("doc_id", "__doc")
+    repeated = docs.join(passes, docs[options.get("id_col", "doc_id")].eqNullSafe(F.col("__doc")))
+    return repeated.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__passes")))).select(*(repeated[c] for c in docs.columns))

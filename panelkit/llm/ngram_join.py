@@ -231,3 +231,14 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     out = first.select("doc_id", "n_shingles", "set").join(smallest, "set", "left")
     alone = F.col("set").isNull() | F.col("doc_id").isNull()
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of `docs` whose id is the smallest of its component, columns as they were.
+
+    Rows with a null id stay. Rows that share an id are one document: they stay or go together.
+    """
+    gone = jaccard_join(docs, n, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = materialize(gone, "gone")
+    few = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    return docs.join(few, F.col(id_col) == F.col("__gone"), "left_anti")
