@@ -1 +1 @@
-
+"""Column expressions; each takes and returns columns."""

@@ -1 +1 @@
-
+"""Reading snapshots and registers, landing new files, and publishing."""
