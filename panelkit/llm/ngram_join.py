@@ -1,14 +1,14 @@
-"""N-gram Jaccard join: size bands, content signatures, bitmaps, then exact intersection of sorted arrays.
+"""N-gram Jaccard join: size-banded tiles, hashed bitmaps, then exact intersection of sorted arrays.
 
 Two sets with similarity t differ in few elements, at most k = (1-t)/(1+t) * (sizes). Sets lie in bands by size; for a
 band, hash space is cut into more ranges than k, so two linked sets have some range in which they hold the same
-elements. A signature is the hash of what a set holds in one range. Documents meet only if a signature agrees, which
-a shared passage alone does not bring about: the rest of the range would have to be equal too. Each meeting is
-settled exactly: bit counts of hashed bitmaps bound the overlap from above, and what passes is intersected.
+elements. A signature is the hash of what a set holds in one range. Sets meet only if a signature agrees, which a
+shared passage alone does not bring about: the rest of the range would have to be equal too.
 
-Equal sets are one class and need no comparison. Of those that share a signature, members of classes that are
-already connected need none either: rounds link each class to one partner, and the last round compares whatever
-still lies in different components, all of it, in a number of pairs that rounds have made small.
+Sets that meet, directly or through others, form a cluster. A cluster is ordered by size and cut into blocks of bounded
+weight; two blocks make a tile if their sizes allow a link. In a tile, bit counts of hashed bitmaps bound every overlap
+from above, and pairs that pass and are not connected yet are settled by intersecting their sorted arrays. Equal sets
+are one class and need no comparison.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize
 from .components import connected_components
@@ -61,6 +62,10 @@ def shingle_set(text: bytes, n: int) -> np.ndarray:
     return np.unique(out)
 
 
+def set_key(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
 def _differ(high: int, percent: int) -> int:
     """The most elements in which two linked sets of at most `high` elements each differ."""
     return (100 - percent) * 2 * high // (100 + percent)
@@ -98,22 +103,50 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """A bit for each element, by its hash, in 1024; so a bit that only one of two sets has is an element less to share."""
-    bits = np.zeros(1024, np.uint8)
-    bits[(s & np.uint64(1023)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set, by the elements' hashes. A bit that only one of two sets has is an element less to share."""
+    width = 1 << min(13, max(6, (2 * max(map(len, sets))).bit_length()))
+    bits = np.zeros((len(sets), width), np.float32)
+    for row, s in zip(bits, sets):
+        row[(s & np.uint64(width - 1)).astype(np.int64)] = 1
+    return bits
+
 
+def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what this tile connects: of `left` among themselves, or between left and right (numbered on).
 
-def linked(a: np.ndarray, b: np.ndarray, map_a: np.ndarray, map_b: np.ndarray, percent: int) -> bool:
-    """100 * |a and b| >= percent * |a or b|, exactly."""
-    need = -(-percent * (len(a) + len(b)) // (100 + percent))
-    if min(len(a), len(b)) < need:
-        return False
-    only_a, only_b = (int(np.bitwise_count(x & ~y).sum()) for x, y in ((map_a, map_b), (map_b, map_a)))
-    if min(len(a) - only_a, len(b) - only_b) < need:
-        return False
-    return len(np.intersect1d(a, b, assume_unique=True)) >= need
+    Linked: 100 * |a and b| >= percent * |a or b|. Bit counts of all pairs come from one matrix product.
+    """
+    sets = left + (right or [])
+    size = np.array(list(map(len, sets)))
+    first, second = (slice(0, len(left)), slice(0, len(left))) if right is None else (slice(0, len(left)), slice(len(left), None))
+    need = -(-percent * (size[first, None] + size[None, second]) // (100 + percent))
+    bits = bitmaps(sets)
+    held = bits.sum(1)
+    common = bits[first] @ bits[second].T
+    most = np.minimum(size[first, None] - held[first, None], size[None, second] - held[None, second]) + common
+    most = np.minimum(np.minimum(most, size[first, None]), size[None, second])
+    open_ = most >= need - 0.5
+    if right is None:
+        open_ = np.triu(open_, 1)
+    root, out, shift = list(range(len(sets))), [], second.start
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for a, b in zip(*(x.tolist() for x in np.nonzero(open_))):
+        x, y = find(a), find(b + shift)
+        if x == y:
+            continue
+        u, v = sets[a], sets[b + shift]
+        at = np.searchsorted(u, v)
+        if np.count_nonzero(u[np.minimum(at, len(u) - 1)] == v) >= need[a, b]:
+            root[max(x, y)] = min(x, y)
+            out.append((a, b + shift))
+    return out
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -131,7 +164,7 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
                 part, sizes, names, found = batch.slice(at, 1000), [], [], []
                 for text in _texts(part.column(1)):
                     s = shingle_set(text, n)
-                    key = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+                    key = set_key(s)
                     sizes.append(len(s))
                     names.append(key if len(s) else None)
                     found.append(signatures(s, percent).view(np.int64) if len(s) and key not in seen else None)
@@ -142,92 +175,88 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     return kept.mapInArrow(rows, "doc_id bigint, n_shingles bigint, set bigint, signatures array<bigint>")
 
 
-def _set_rows(n: int):
+def _tile_rows(n: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From (text, set, block, cluster, tiles): the set's elements once for each of its tiles."""
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                found = [shingle_set(t, n) for t in _texts(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["set", "elements"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                out = []
+                for text, name, block, cluster, tiles in zip(_texts(part.column(0)), *(part.column(c).to_pylist() for c in range(1, 5))):
+                    s = shingle_set(text, n)
+                    if set_key(s) != name:  # another row with this id
+                        continue
+                    s = s.view(np.int64)
+                    out += [(cluster, min(block, other), max(block, other), block, name, s) for other in tiles]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=["cluster", "i", "j", "block", "set", "elements"])
 
     return rows
 
 
 def _verify(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by a, so a's array and bitmap serve all of its partners."""
-        last, a, map_a = None, None, None
-        for batch in batches:
-            left, right, x, y = (batch.column(c) for c in range(4))
-            good = []
-            for k, (i, j) in enumerate(zip(left.to_pylist(), right.to_pylist())):
-                if i != last:
-                    last, a = i, x[k].values.to_numpy().view(np.uint64)
-                    map_a = bitmap(a)
-                b = y[k].values.to_numpy().view(np.uint64)
-                good.append(linked(a, b, map_a, bitmap(b), percent))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([left.filter(keep), right.filter(keep)], names=["a", "b"])
+        """Rows come in the order of their tile; a tile's weight is bounded, so it is held whole."""
 
-    return rows
+        def settle(tile: tuple, names: list[int], blocks: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            one = [k for k, b in enumerate(blocks) if b == tile[1]]
+            two = None if tile[1] == tile[2] else [k for k, b in enumerate(blocks) if b == tile[2]]
+            order = one + (two or [])
+            found = tile_links([sets[k] for k in one], two and [sets[k] for k in two], percent) if len(order) > 1 and one and two != [] else []
+            a, b = ([names[order[p[side]]] for p in found] for side in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+        now, names, blocks, sets = None, [], [], []
+        for batch in batches:
+            elements = batch.column(5)
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
+                if row[:3] != now:
+                    if len(names) > 1:
+                        yield settle(now, names, blocks, sets)
+                    now, names, blocks, sets = row[:3], [], [], []
+                blocks.append(row[3])
+                names.append(row[4])
+                sets.append(elements[k].values.to_numpy().view(np.uint64))
+        if len(names) > 1:
+            yield settle(now, names, blocks, sets)
 
-def _labelled(meetings: DataFrame, components: DataFrame | None) -> DataFrame:
-    if components is None:
-        return meetings.withColumn("component", F.col("set"))
-    known = components.withColumnRenamed("node", "set")
-    return meetings.join(known, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    return rows
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Per document: doc_id, n_shingles, set, component_id (smallest doc_id reachable by links, itself included).
+def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_sets: int = 512, block_elements: int = 400_000, broadcast_rows: int = 300_000) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
     Linked: 100 * |intersection| >= percent * |union| of the sets of distinct n-word shingles; words are runs of
     characters other than ASCII white space, A-Z lower-cased. Fewer than n words are one shingle. Null and empty texts
     have an empty set and link with nothing. Rows with one text are linked. A null id has a null component_id. An empty
-    table gives no rows. Links are found in full, except that two different sets with one 64-bit hash and the same
-    number of shingles count as equal.
+    table gives no rows. Links are found in full, except that different sets with one 64-bit hash count as equal.
     """
     first = materialize(shingled(docs, id_col, text_col, n, percent), "shingled")
-    classes = first.where("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"))
+    classes = first.where("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    same = Window.partitionBy("signature")
     sent = first.where("signatures is not null").select("set", F.explode("signatures").alias("signature"))
-    spans = sent.groupBy("signature").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high").select("signature")
-    meetings = materialize(sent.join(spans, "signature").distinct(), "meetings")
-
-    wanted = meetings.select("set").distinct().join(classes, "set")
-    ids = wanted.select(F.col("rep").alias("doc_id"), "set")
-    few = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+    meetings = sent.withColumn("low", F.min("set").over(same)).where("low < set").select(F.col("low").alias("a"), F.col("set").alias("b")).distinct()
+    clusters = materialize(connected_components(meetings), "clusters")
+
+    members = clusters.join(classes.withColumnRenamed("set", "node"), "node")
+    up = Window.partitionBy("component").orderBy("n", "node")
+    block = F.floor((F.row_number().over(up) - 1) / block_sets) + F.floor((F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")) / block_elements)
+    members = materialize(members.select("component", "node", "rep", "n", block.cast("int").alias("block")), "members")
+    blocks = members.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    other = blocks.select("component", F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    tiles = blocks.join(other, "component").where((100 * F.least("high", "high2") >= percent * F.greatest("low", "low2")))
+    tiles = tiles.groupBy("component", "block").agg(F.collect_list("other").alias("tiles"))
+    wanted = members.join(tiles, ["component", "block"]).select(F.col("rep").alias("doc_id"), F.col("node").alias("set"), "block", F.col("component").alias("cluster"), "tiles")
+    few = F.broadcast(wanted) if members.count() <= broadcast_rows else wanted
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(few, "doc_id")
-    sets = materialize(texts.select("set", "text").mapInArrow(_set_rows(n), "set bigint, elements array<bigint>").dropDuplicates(["set"]), "sets")
-
-    links: DataFrame | None = None
-    components: DataFrame | None = None
-    for turn in range(rounds + 1):
-        now = _labelled(meetings, components)
-        groups = now.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("set", F.xxhash64("set", F.lit(turn))).alias("hub"))
-        open_ = now.join(groups.where("low < high").select("signature", "hub"), "signature")
-        if turn < rounds:
-            hub = now.select(F.col("signature"), F.col("set").alias("hub"), F.col("component").alias("other"))
-            pairs = open_.join(hub, ["signature", "hub"]).where("component <> other")
-            pairs = pairs.groupBy("set").agg(F.min("hub").alias("hub")).select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b"))
-        else:
-            mate = now.select("signature", F.col("set").alias("b"), F.col("component").alias("other"))
-            pairs = open_.select("signature", F.col("set").alias("a"), "component").join(mate, "signature").where("a < b and component <> other").select("a", "b")
-        pairs = materialize(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        both = pairs.join(sets.select(F.col("set").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("set").alias("a"), F.col("elements").alias("x")), "a")
-        ordered = both.select("a", "b", "x", "y").sortWithinPartitions("a")
-        found = materialize(ordered.mapInArrow(_verify(percent), "a bigint, b bigint"), "found")
-        links = found if links is None else links.union(found)
-        components = materialize(connected_components(links), "components")
+    sets = texts.select("text", "set", "block", "cluster", "tiles").mapInArrow(_tile_rows(n), "cluster bigint, i int, j int, block int, set bigint, elements array<bigint>")
+    ordered = sets.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    components = connected_components(ordered.mapInArrow(_verify(percent), "a bigint, b bigint"))
+
     named = classes.withColumnRenamed("set", "node")
-    if components is None:
-        smallest = named.select(F.col("node").alias("set"), F.col("rep").alias("component_id"))
-    else:
-        joined = named.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-        smallest = joined.join(least, "component").select(F.col("node").alias("set"), "component_id")
+    joined = named.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    smallest = joined.join(least, "component").select(F.col("node").alias("set"), "component_id")
     out = first.select("doc_id", "n_shingles", "set").join(smallest, "set", "left")
     alone = F.col("set").isNull() | F.col("doc_id").isNull()
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
