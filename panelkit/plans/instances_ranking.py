@@ -166,9 +166,9 @@ def b02_score_methods(spark, sf_dir):
     return m.groupBy("method").agg(F.count("*").alias("n"), F.count("score").alias("known"), F.round(F.avg("score"), 3).alias("mean"))
 
 
-@query(sql("ranks", "").rstrip() + f",\n{PAIRS_SQL}, {METHODS_SQL}, {GROUPS_SQL} SELECT season, week, position, method, n, round(rho, 6) AS rho, round(lift, 3) AS lift FROM groups")
+@query(sql("ranks", "").rstrip() + f",\n{PAIRS_SQL}, {METHODS_SQL}, {GROUPS_SQL} SELECT season, week, position, method, n, round(rho, 6) + 0.0 AS rho, round(lift, 3) AS lift FROM groups")
 def b03_score_groups(spark, sf_dir):
-    return _groups(Slice(spark, sf_dir)).select("season", "week", "position", "method", "n", F.round("rho", 6).alias("rho"), F.round("lift", 3).alias("lift"))
+    return _groups(Slice(spark, sf_dir)).select("season", "week", "position", "method", "n", (F.round("rho", 6) + 0.0).alias("rho"), F.round("lift", 3).alias("lift"))
 
 
 @query(sql("ranks", "").rstrip() + f""",\n{PAIRS_SQL}, {METHODS_SQL}, {GROUPS_SQL}, per AS (SELECT position, method, count(rho) AS weeks, avg(rho) AS rho, stddev_samp(rho) / sqrt(count(rho)) AS rho_se, avg(lift) AS lift FROM groups GROUP BY ALL)
