@@ -1,0 +1,229 @@
+"""Queries of forecasting and of the studies, on the order panel: quantity per customer and month is the outcome."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import shape
+from . import forecast, ranking, studies
+from .instances_core import MODEL_SQL, E, G, model_rows
+from .panel import order_panel, table
+from .registry import query
+from .slice import sql
+
+FEATURES = ["qty_mean3", "qty_mean5", "qty_mean10", "qty_sd8", "qty_season", "revenue_mean5", "n_orders_mean5", "prior_games"]
+
+
+def features(spark, sf_dir):
+    """The feature store: past rows, and one upcoming row for each customer after the newest month."""
+    p = order_panel(spark, sf_dir)
+    last = p.agg(F.max(F.struct("season", "week")).alias("x")).select(F.col("x.season").alias("s"), F.col("x.week").alias("w"))
+    who = p.groupBy("player_id").agg(F.first("position").alias("position"), F.first("team").alias("team"))
+    upcoming = who.crossJoin(F.broadcast(last)).select("player_id", F.when(F.col("w") == 12, F.col("s") + 1).otherwise(F.col("s")).alias("season"), (F.col("w") % 12 + 1).alias("week"), "position", "team")
+    rows = ranking.feature_store(p, upcoming, "qty", extra=["revenue", "n_orders"], opponent="team")
+    return rows.withColumn("actual", F.col("qty").cast("double"))
+
+
+SPEC = forecast.Spec(FEATURES, recent="qty_mean5", options={"rounds": 5, "rate": 0.3, "trees": 5, "leaf": 60})
+
+
+@query(sql("panel", """, nxt AS (SELECT CASE WHEN w = 12 THEN s + 1 ELSE s END AS season, w % 12 + 1 AS week FROM (SELECT x[1] AS s, x[2] AS w FROM (SELECT max([season, week]) AS x FROM panel))),
+ u AS (SELECT player_id, season, week, position, team, qty, revenue, n_orders FROM panel UNION ALL SELECT player_id, nxt.season, nxt.week, min(position), min(team), NULL, NULL, NULL FROM panel, nxt GROUP BY ALL)
+ SELECT player_id, season, week, qty IS NULL AS is_upcoming, round(avg(qty) OVER (PARTITION BY player_id ORDER BY season, week ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS qty_mean3, round(avg(qty) OVER (PARTITION BY player_id, season ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS qty_season,
+  count(*) OVER (PARTITION BY player_id ORDER BY season, week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_games FROM u""").replace("GROUP BY ALL)\n,", "GROUP BY ALL),"))
+def r10_feature_store(spark, sf_dir):
+    return features(spark, sf_dir).select(*E, *G, "is_upcoming", F.round("qty_mean3", 6).alias("qty_mean3"), F.round("qty_season", 6).alias("qty_season"), "prior_games")
+
+
+@query(sql("panel", "").rstrip() + f",\n{MODEL_SQL} SELECT season, count(*) AS n, round(avg(abs(qty - coalesce(p, base))), 5) AS recent, round(avg(abs(qty - coalesce(base, p))), 5) AS longest FROM model GROUP BY season")
+def m11_baselines(spark, sf_dir):
+    rows = forecast.baselines(model_rows(spark, sf_dir), "p", "p", "base")
+    return rows.groupBy("season").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("qty") - F.col("base_recent"))), 5).alias("recent"), F.round(F.avg(F.abs(F.col("qty") - F.col("base_season"))), 5).alias("longest"))
+
+
+@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, o AS (SELECT greatest(lo - qty, qty - hi) AS miss, row_number() OVER (ORDER BY greatest(lo - qty, qty - hi)) - 1 AS i, count(*) OVER () AS n FROM model), q AS (SELECT DISTINCT n, least(0.999, 0.8 * (1 + 1 / n)) * (n - 1) AS at FROM o)
+ SELECT q.n, round(a.miss + (b.miss - a.miss) * (at - floor(at)), 4) AS "offset" FROM q JOIN o a ON a.i = floor(at) JOIN o b ON b.i = floor(at) + 1""")
+def m07_conformal_offset(spark, sf_dir):
+    rows = model_rows(spark, sf_dir)
+    n, offset = rows.count(), forecast.conformal_offset(rows, "lo", "hi", "qty")
+    return rows.limit(1).select(F.lit(n).cast("bigint").alias("n"), F.round(F.lit(offset), 4).alias("offset"))
+
+
+@query(sql("panel", "").rstrip() + f",\n{MODEL_SQL} SELECT count(*) AS n, round(avg(abs(qty - p)), 5) AS mae, round(avg(CAST(qty >= lo AND qty <= hi AS INTEGER)), 6) AS coverage, 'base' AS best_baseline, round(avg(abs(qty - base)) - avg(abs(qty - p)), 5) AS margin FROM model WHERE p >= 4")
+def m13_m14_summary(spark, sf_dir):
+    rows = model_rows(spark, sf_dir).withColumn("points", F.col("p")).withColumnsRenamed({"lo": "low", "hi": "high"})
+    found = forecast.score_published(rows, "qty", ["base"], "p")
+    return found.select("n", F.round("mae", 5).alias("mae"), F.round("coverage", 6).alias("coverage"), "best_baseline", F.round("margin", 5).alias("margin"))
+
+
+@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, d AS (SELECT abs(qty - base) - abs(qty - p) AS d FROM model), e AS (SELECT count(*) AS n, avg(d) AS improvement, stddev_samp(d) / sqrt(count(*)) AS se, avg(CAST(d > 0 AS INTEGER)) AS improved FROM d)
+ SELECT n, round(improvement, 5) AS improvement, round(se, 5) AS se, round(improvement / se, 3) AS z, round(improved, 6) AS improved, CASE WHEN NOT improvement > 0.05 THEN 'improvement too small' WHEN abs(improvement / se) < 2 THEN 'not significant' ELSE 'promoted' END AS reason FROM e""")
+def m15_m16_promotion(spark, sf_dir):
+    rows = model_rows(spark, sf_dir)
+    a, b = rows.withColumn("points", F.col("base")), rows.withColumn("points", F.col("p"))
+    found = forecast.promote(forecast.paired_evidence(a, b, [*E, *G], "qty").withColumn("coverage", F.lit(0.8)))
+    return found.select("n", F.round("improvement", 5).alias("improvement"), F.round("se", 5).alias("se"), F.round("z", 3).alias("z"), F.round("improved", 6).alias("improved"), "reason")
+
+
+@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, g AS (SELECT season, week, count(*) AS n, avg(abs(qty - p)) AS mae, sqrt(avg((qty - p) * (qty - p))) AS rmse, avg(CAST(qty >= lo AND qty <= hi AS INTEGER)) AS coverage, avg(abs(qty - base)) AS b FROM model GROUP BY ALL),
+ s AS (SELECT season, count(*) AS weeks, sum(n * mae) / sum(n) AS mae, sum(n * coverage) / sum(n) AS coverage, sum(n * b) / sum(n) AS b FROM g GROUP BY season)
+ SELECT season, weeks, round(mae, 5) AS mae, round(b - mae, 5) AS margin, CASE WHEN weeks < 4 THEN 'too early' WHEN b - mae < 0 THEN 'losing' WHEN b - mae < 0.15 THEN 'noise' ELSE 'winning' END AS verdict, CASE WHEN coverage < 0.78 THEN 'too narrow' WHEN coverage > 0.82 THEN 'too wide' ELSE 'honest' END AS ranges FROM s""")
+def m20_m22_grading(spark, sf_dir):
+    rows = model_rows(spark, sf_dir)
+    locked = rows.select(*E, *G, F.col("p").alias("points"), F.col("lo").alias("low"), F.col("hi").alias("high"))
+    weeks = forecast.grade(locked, rows.select(*E, *G, "qty", "base"), [*E, *G], "qty", ["base"])
+    return forecast.season_to_date(weeks).select("season", "weeks", F.round("mae", 5).alias("mae"), F.round("margin", 5).alias("margin"), "verdict", "ranges")
+
+
+@query("""SELECT season, week, CASE WHEN bad THEN 'unknown' WHEN first < TIMESTAMP '1998-06-15 00:30:00' THEN 'missed' WHEN first <= TIMESTAMP '1998-06-16 00:00:00' THEN 'lock' ELSE 'wait' END AS state
+ FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS season, CAST(dayofyear(o_orderdate) AS INTEGER) AS week, min(o_orderdate) AS first, bool_or(o_orderkey % 97 = 0) AS bad FROM orders GROUP BY ALL)""")
+def m25_m26_lock_state(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    games = o.select(F.year("o_orderdate").alias("season"), F.dayofyear("o_orderdate").alias("week"), F.when(F.col("o_orderkey") % 97 != 0, F.col("o_orderdate")).alias("starts_at"))
+    return forecast.lock_state(forecast.first_start(games), F.lit("1998-06-15 00:00:00").cast("timestamp")).select("season", "week", "state")
+
+
+@query("SELECT o_orderpriority AS metric, count(*) AS tried, count(*) FILTER (o_orderstatus = 'F') AS kept, count(*) FILTER (o_orderstatus <> 'F') AS rejected, max(o_totalprice) FILTER (o_orderstatus = 'F') AS best FROM orders GROUP BY 1")
+def m28_ledger_summary(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("metric"), (F.col("o_orderstatus") == "F").alias("promoted"), F.col("o_totalprice").alias("improvement"))
+    return forecast.ledger_summary(o)
+
+
+@query()
+def m12_walk_forward(spark, sf_dir):
+    """Two periods replayed with ridge, boosting and leaf-quantile ranges, each fitted on what is before it."""
+    rows = features(spark, sf_dir).where("not is_upcoming").cache()
+    got = forecast.walk_forward(rows, [(1998, 6), (1998, 7)], SPEC, least_history=1000)
+    return got.select(*E, *G, "actual", *(F.round(c, 4).alias(c) for c in ("points", "low", "high")))
+
+
+@query()
+def m18_predict_period(spark, sf_dir):
+    """Forecast of the upcoming month for all eligible customers."""
+    rows = features(spark, sf_dir).cache()
+    at = rows.where("is_upcoming").select("season", "week").first()
+    got = forecast.predict_period(rows, at["season"], at["week"], SPEC)
+    return forecast.publish_rows(got, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("name")))
+
+
+@query()
+def m09_availability(spark, sf_dir):
+    """Chance that a customer orders in the month after, by logistic regression for those marked questionable."""
+    rows = features(spark, sf_dir).where("not is_upcoming")
+    later = rows.select("player_id", "season", (F.col("week") - 1).alias("week"), F.lit(True).alias("played"))
+    rows = rows.join(later, [*E, *G], "left").withColumn("played", F.coalesce("played", F.lit(False))).withColumn("injury_status", F.when(F.col("player_id") % 3 == 0, "Questionable").when(F.col("player_id") % 7 == 0, "Out"))
+    fitted = forecast.Availability.fit(rows, ["n_orders", "prior_games"])
+    return fitted.transform(rows).select(*E, *G, F.round("probability", 5).alias("probability"))
+
+
+@query()
+def e02_e04_candidate(spark, sf_dir):
+    """A candidate feature that passes its contract and the leak probe: keys that leak (none)."""
+    rows = features(spark, sf_dir).where("not is_upcoming").select(*E, *G, "actual", "qty_mean3", "qty_mean10")
+    c = forecast.form_versus_baseline("qty_mean3", "qty_mean10")
+    c.apply(rows, [*E, *G])
+    return c.leaks(rows, [*E, *G], "actual", F.col("season") >= 1999)
+
+
+# ---- studies -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT coalesce(CAST(s AS VARCHAR), 'ALL') AS season, count(*) AS n, round(avg(a - b), 4) AS margin, round(avg(CAST(a > b AS INTEGER)), 6) AS win_rate FROM (SELECT year(l_shipdate) AS s, l_quantity AS a, l_discount * 500 AS b FROM lineitem) GROUP BY ROLLUP (s)")
+def x01_home_margin(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("season"), F.col("l_quantity").alias("a"), (F.col("l_discount") * 500).alias("b"))
+    return studies.home_margin(rows, "season", "a", "b").select("season", "n", F.round("margin", 4).alias("margin"), F.round("win_rate", 6).alias("win_rate"))
+
+
+@query(sql("panel", """SELECT count(*) AS n, round(avg(a - b), 5) AS mean, round(stddev_samp(a - b) / sqrt(count(*)), 5) AS se FROM (SELECT player_id, season, avg(qty) FILTER (week <= 6) AS a, avg(qty) FILTER (week > 6) AS b, count(*) FILTER (week <= 6) AS na, count(*) FILTER (week > 6) AS nb FROM panel GROUP BY ALL) WHERE na >= 1 AND nb >= 1"""))
+def x02_paired_within(spark, sf_dir):
+    return studies.paired_within(order_panel(spark, sf_dir), ["player_id", "season"], F.col("week") <= 6, "qty", 1).select("n", F.round("mean", 5).alias("mean"), F.round("se", 5).alias("se"))
+
+
+@query(sql("panel", """, g AS (SELECT team, count(*) AS n, avg(qty) AS m, var_pop(qty) AS v FROM panel GROUP BY team), t AS (SELECT sum(n) AS total, sum(n * m) / sum(n) AS gm, count(*) AS k FROM g)
+ SELECT round((sum(n * (m - gm) * (m - gm)) / (k - 1)) / (sum(n * v) / (total - k)), 6) AS f, k - 1 AS df1, CAST(total - k AS BIGINT) AS df2 FROM g, t GROUP BY k, total""").replace("GROUP BY ALL)\n,", "GROUP BY ALL),"))
+def x03_heterogeneity(spark, sf_dir):
+    return studies.heterogeneity(order_panel(spark, sf_dir), "team", "qty").select(F.round("f", 6).alias("f"), "df1", "df2")
+
+
+@query(sql("panel", "SELECT count(*) AS n, round(corr(x, y), 6) AS r FROM (SELECT team, avg(qty) AS x FROM panel WHERE season < 1998 GROUP BY team) JOIN (SELECT team, avg(qty) AS y FROM panel WHERE season >= 1998 GROUP BY team) USING (team)"))
+def x04_repeatability(spark, sf_dir):
+    p = order_panel(spark, sf_dir)
+    return studies.repeatability(p.where("season < 1998"), p.where("season >= 1998"), "team", "qty").select("n", F.round("r", 6).alias("r"))
+
+
+@query(sql("panel", "SELECT round(m1 - m0, 6) AS difference, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 5) AS t FROM (SELECT avg(qty) FILTER (c) AS m1, avg(qty) FILTER (NOT c) AS m0, var_samp(qty) FILTER (c) AS v1, var_samp(qty) FILTER (NOT c) AS v0, count(*) FILTER (c) AS n1, count(*) FILTER (NOT c) AS n0 FROM (SELECT qty, position = 'BUILDING' AS c FROM panel))"))
+def x05_welch_t(spark, sf_dir):
+    return studies.welch_t(order_panel(spark, sf_dir), F.col("position") == "BUILDING", "qty").select(F.round("difference", 6).alias("difference"), F.round("t", 5).alias("t"))
+
+
+@query(sql("panel", """, y AS (SELECT player_id, season, avg(qty) AS x, avg(qty) FILTER (week % 2 = 1) AS odd, avg(qty) FILTER (week % 2 = 0) AS even FROM panel GROUP BY ALL)
+ SELECT 'qty' AS metric, (SELECT count(*) FROM y a JOIN y b ON a.player_id = b.player_id AND b.season = a.season + 1) AS pairs, (SELECT round(corr(a.x, b.x), 5) FROM y a JOIN y b ON a.player_id = b.player_id AND b.season = a.season + 1) AS year_r, (SELECT round(2 * corr(odd, even) / (1 + corr(odd, even)), 5) FROM y) AS split_half""").replace("GROUP BY ALL)\n,", "GROUP BY ALL),"))
+def x06_reliability(spark, sf_dir):
+    return studies.reliability(order_panel(spark, sf_dir), "player_id", "season", "week", ["qty"]).select("metric", "pairs", F.round("year_r", 5).alias("year_r"), F.round("split_half", 5).alias("split_half"))
+
+
+@query("""WITH e AS (SELECT *, CASE WHEN value > 0 AND value <= 10 THEN 0 WHEN value > 10 AND value <= 50 THEN 1 WHEN value > 50 AND value <= 100000 THEN 2 END AS b, user_id % 3 = 0 AS hit FROM events),
+ r AS (SELECT event_type, b, avg(CAST(hit AS INTEGER)) AS rate FROM e WHERE day(ts) <= 15 AND b IS NOT NULL GROUP BY ALL)
+ SELECT user_id, count(*) AS n, count(*) FILTER (hit) AS seen, round(sum(rate), 5) AS expected FROM e JOIN r USING (event_type, b) WHERE day(ts) > 15 GROUP BY user_id""")
+def x07_expected_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("hit", F.col("user_id") % 3 == 0)
+    found = studies.expected_counts(e.where(F.dayofmonth("ts") <= 15), e.where(F.dayofmonth("ts") > 15), ["user_id"], "event_type", "value", (0, 10, 50, 100000), "hit")
+    return found.select("user_id", "n", "seen", F.round("expected", 5).alias("expected"))
+
+
+@query(sql("panel", "SELECT bin, count(*) AS n, round(avg(qty), 5) AS mean, round(stddev_samp(qty) / sqrt(count(*)), 5) AS se FROM (SELECT qty, CASE WHEN week > 0 AND week <= 4 THEN '(0, 4]' WHEN week > 4 AND week <= 8 THEN '(4, 8]' ELSE '(8, 12]' END AS bin FROM panel) GROUP BY bin"))
+def x10_binned_effect(spark, sf_dir):
+    return studies.binned_effect(order_panel(spark, sf_dir), "week", "qty", (0, 4, 8, 12)).select("bin", "n", F.round("mean", 5).alias("mean"), F.round("se", 5).alias("se"))
+
+
+@query(sql("panel", "SELECT round(regr_slope(revenue, qty), 2) AS slope, round(corr(qty, revenue), 6) AS r FROM panel"))
+def x11_line_effect(spark, sf_dir):
+    return studies.line_effect(order_panel(spark, sf_dir), "qty", "revenue").select(F.round("slope", 2).alias("slope"), F.round("r", 6).alias("r"))
+
+
+@query()
+def x12_substitution(spark, sf_dir):
+    return studies.substitution(order_panel(spark, sf_dir), ["team"], "player_id", G, "qty")
+
+
+@query(sql("panel", "").rstrip() + f",\n{MODEL_SQL} SELECT round(1 - sum((qty - p) * (qty - p)) / (var_pop(qty) * count(*)), 6) AS r2 FROM model")
+def x13_x23_r2(spark, sf_dir):
+    return model_rows(spark, sf_dir).agg(F.round(studies.r2("qty", "p"), 6).alias("r2"))
+
+
+@query()
+def x14_x15_learning(spark, sf_dir):
+    return studies.learning_strategies(model_rows(spark, sf_dir), E, G, "qty", "p")
+
+
+@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, l AS (SELECT abs(qty - p) AS e, 'late' AS flag, week > 9 AS "on" FROM model UNION ALL SELECT abs(qty - p), 'big', p > 60 FROM model)
+ SELECT flag, count(*) FILTER ("on") AS n, round(avg(e) FILTER ("on"), 5) AS mae, round(avg(e) FILTER ("on") - avg(e) FILTER (NOT "on"), 5) AS excess, round((avg(e) FILTER ("on") - avg(e) FILTER (NOT "on")) * count(*) FILTER ("on") / count(*), 5) AS prize FROM l GROUP BY flag""")
+def x16_error_anatomy(spark, sf_dir):
+    found = studies.error_anatomy(model_rows(spark, sf_dir), {"late": F.col("week") > 9, "big": F.col("p") > 60}, "qty", "p")
+    return found.select("flag", "n", *(F.round(c, 5).alias(c) for c in ("mae", "excess", "prize")))
+
+
+@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, s AS (SELECT p, CAST(qty > 50 AS INTEGER) AS y FROM model), r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS rk FROM s)
+ SELECT round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) AS auc FROM r""")
+def x17_auc(spark, sf_dir):
+    rows = model_rows(spark, sf_dir).withColumn("y", (F.col("qty") > 50).cast("int"))
+    return studies.auc(rows, "y", "p").select(F.round("auc", 6).alias("auc"))
+
+
+@query(sql("panel", "").rstrip() + f",\n{MODEL_SQL} SELECT cut, count(*) AS n, round(avg(abs(qty - p)), 5) AS model_mae, round(avg(abs(qty - base)) - avg(abs(qty - p)), 5) AS margin FROM model, (VALUES (CAST(0.0 AS DOUBLE)), (30.0), (60.0)) c(cut) WHERE p >= cut GROUP BY cut")
+def x18_margin_by_cutoff(spark, sf_dir):
+    found = studies.margin_by_cutoff(model_rows(spark, sf_dir), "p", (0.0, 30.0, 60.0), "qty", "p", "base")
+    return found.select("cut", "n", F.round("model_mae", 5).alias("model_mae"), F.round("margin", 5).alias("margin"))
+
+
+@query(sql("panel", "SELECT team, count(*) AS n, round(avg(qty - m), 5) + 0.0 AS relative FROM (SELECT *, avg(qty) OVER (PARTITION BY player_id, season) AS m FROM panel) GROUP BY team HAVING count(*) >= 15"))
+def x22_relative(spark, sf_dir):
+    found = studies.relative_to_own_average(order_panel(spark, sf_dir), ["player_id", "season"], "team", "qty")
+    return found.select("team", "n", (F.round("relative", 5) + 0.0).alias("relative"))
+
+
+@query(sql("panel", "SELECT season, week, count(*) AS n FROM panel WHERE season = (SELECT max(season) FROM panel) GROUP BY ALL"))
+def p10_newest_season(spark, sf_dir):
+    p = order_panel(spark, sf_dir)
+    top = p.agg(F.max("season")).first()[0]
+    return shape.period_range(p, "season", top, top).groupBy("season", "week").agg(F.count("*").alias("n"))
