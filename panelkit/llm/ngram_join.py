@@ -6,9 +6,10 @@ elements. A signature is the hash of what a set holds in one range. Sets meet on
 shared passage alone does not bring about: the rest of the range would have to be equal too.
 
 Sets that meet, directly or through others, form a cluster. A cluster is ordered by size and cut into blocks of bounded
-weight; two blocks make a tile if their sizes allow a link. In a tile, bit counts of hashed bitmaps bound every overlap
-from above, and pairs that pass and are not connected yet are settled by intersecting their sorted arrays. Equal sets
-are one class and need no comparison.
+weight; two blocks make a tile if their sizes allow a link. A first pass over tiles carries hashed bitmaps only: bit
+counts bound every overlap from above, and what the bound leaves connected forms smaller clusters. A second pass over
+their tiles carries sorted arrays: pairs that pass the bound and are not connected yet are intersected exactly. Equal
+sets are one class and need no comparison.
 """
 
 from __future__ import annotations
@@ -103,33 +104,39 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of bits for each set, by the elements' hashes. A bit that only one of two sets has is an element less to share."""
-    width = 1 << min(13, max(6, (2 * max(map(len, sets))).bit_length()))
-    bits = np.zeros((len(sets), width), np.float32)
-    for row, s in zip(bits, sets):
-        row[(s & np.uint64(width - 1)).astype(np.int64)] = 1
-    return bits
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Packed bits by the elements' hashes, twice as many bits as elements or more (512 to 65,536)."""
+    width = 1 << min(16, max(9, (2 * len(s)).bit_length()))
+    bits = np.zeros(width, np.uint8)
+    bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits)
 
 
-def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what this tile connects: of `left` among themselves, or between left and right (numbered on).
+def _bit_rows(packed: list[np.ndarray]) -> np.ndarray:
+    """Bits of all as rows of one width, wider ones folded: a bit's place is its number modulo the width."""
+    width = 8 * min(map(len, packed))
+    return np.array([np.unpackbits(p).reshape(-1, width).max(0) for p in packed], np.float32)
 
-    Linked: 100 * |a and b| >= percent * |a or b|. Bit counts of all pairs come from one matrix product.
+
+def open_pairs(size: np.ndarray, packed: list[np.ndarray], left: int, percent: int, inside: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, need) of the pairs that may be linked: among all (inside), or of the first `left` with the others.
+
+    A bit that only one of two sets has is an element less to share, so bit counts, all from one matrix product, bound
+    the overlap from above. need is the overlap that a link takes.
     """
-    sets = left + (right or [])
-    size = np.array(list(map(len, sets)))
-    first, second = (slice(0, len(left)), slice(0, len(left))) if right is None else (slice(0, len(left)), slice(len(left), None))
-    need = -(-percent * (size[first, None] + size[None, second]) // (100 + percent))
-    bits = bitmaps(sets)
+    bits = _bit_rows(packed)
     held = bits.sum(1)
-    common = bits[first] @ bits[second].T
-    most = np.minimum(size[first, None] - held[first, None], size[None, second] - held[None, second]) + common
-    most = np.minimum(np.minimum(most, size[first, None]), size[None, second])
-    open_ = most >= need - 0.5
-    if right is None:
-        open_ = np.triu(open_, 1)
-    root, out, shift = list(range(len(sets))), [], second.start
+    first, second = (slice(None), slice(None)) if inside else (slice(0, left), slice(left, None))
+    need = -(-percent * (size[first, None] + size[None, second]) // (100 + percent))
+    most = np.minimum(size[first, None] - held[first, None], size[None, second] - held[None, second]) + bits[first] @ bits[second].T
+    open_ = np.minimum(np.minimum(most, size[first, None]), size[None, second]) >= need - 0.5
+    a, b = np.nonzero(np.triu(open_, 1) if inside else open_)
+    return a, b + (0 if inside else left), need[a, b]
+
+
+def tile_links(size: np.ndarray, packed: list[np.ndarray], sets: list[np.ndarray] | None, left: int, percent: int, inside: bool) -> list[tuple[int, int]]:
+    """Pairs that connect what this tile connects. With sets, overlaps are exact; without, the bound alone decides."""
+    root, out = list(range(len(size))), []
 
     def find(k: int) -> int:
         while root[k] != k:
@@ -137,15 +144,17 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
             k = root[k]
         return k
 
-    for a, b in zip(*(x.tolist() for x in np.nonzero(open_))):
-        x, y = find(a), find(b + shift)
+    for a, b, need in zip(*(x.tolist() for x in open_pairs(size, packed, left, percent, inside))):
+        x, y = find(a), find(b)
         if x == y:
             continue
-        u, v = sets[a], sets[b + shift]
-        at = np.searchsorted(u, v)
-        if np.count_nonzero(u[np.minimum(at, len(u) - 1)] == v) >= need[a, b]:
-            root[max(x, y)] = min(x, y)
-            out.append((a, b + shift))
+        if sets is not None:
+            u, v = sets[a], sets[b]
+            at = np.searchsorted(u, v)
+            if np.count_nonzero(u[np.minimum(at, len(u) - 1)] == v) < need:
+                continue
+        root[max(x, y)] = min(x, y)
+        out.append((a, b))
     return out
 
 
@@ -175,9 +184,14 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     return kept.mapInArrow(rows, "doc_id bigint, n_shingles bigint, set bigint, signatures array<bigint>")
 
 
-def _tile_rows(n: int):
+_TILE = "cluster bigint, i int, j int, block int, set bigint, size int, held binary"
+
+
+def _tile_rows(n: int, exact: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From (text, set, block, cluster, tiles): the set's elements once for each of its tiles."""
+        """From (text, set, block, cluster, tiles): what a tile has to know of the set, once for each of its tiles."""
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["cluster", "i", "j", "block", "set", "size", "held"]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -186,39 +200,38 @@ def _tile_rows(n: int):
                     s = shingle_set(text, n)
                     if set_key(s) != name:  # another row with this id
                         continue
-                    s = s.view(np.int64)
-                    out += [(cluster, min(block, other), max(block, other), block, name, s) for other in tiles]
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=["cluster", "i", "j", "block", "set", "elements"])
+                    held = (s if exact else bitmap(s)).tobytes()
+                    out += [(cluster, min(block, other), max(block, other), block, name, len(s), held) for other in tiles]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=names)
 
     return rows
 
 
-def _verify(percent: int):
+def _settle(percent: int, exact: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in the order of their tile; a tile's weight is bounded, so it is held whole."""
 
-        def settle(tile: tuple, names: list[int], blocks: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-            one = [k for k, b in enumerate(blocks) if b == tile[1]]
-            two = None if tile[1] == tile[2] else [k for k, b in enumerate(blocks) if b == tile[2]]
-            order = one + (two or [])
-            found = tile_links([sets[k] for k in one], two and [sets[k] for k in two], percent) if len(order) > 1 and one and two != [] else []
-            a, b = ([names[order[p[side]]] for p in found] for side in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        now, names, blocks, sets = None, [], [], []
+        def settle(tile: tuple, held: dict[int, tuple]) -> pa.RecordBatch:
+            """held: by set, so that a set that two rows carry is there once."""
+            ordered = sorted(held.items(), key=lambda x: (x[1][0] != tile[1], x[0]))
+            left, inside = sum(x[0] == tile[1] for x in held.values()), tile[1] == tile[2]
+            found = []
+            if len(ordered) > 1 and (inside or 0 < left < len(ordered)):
+                sets = [np.frombuffer(x[2], np.uint64) for _, x in ordered] if exact else None
+                packed = list(map(bitmap, sets)) if exact else [np.frombuffer(x[2], np.uint8) for _, x in ordered]
+                found = tile_links(np.array([x[1] for _, x in ordered]), packed, sets, left, percent, inside)
+            return pa.RecordBatch.from_arrays([pa.array([ordered[p[side]][0] for p in found], pa.int64()) for side in (0, 1)], names=["a", "b"])
+
+        now, held = None, {}
         for batch in batches:
-            elements = batch.column(5)
-            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
+            for row in zip(*(batch.column(c).to_pylist() for c in range(7))):
                 if row[:3] != now:
-                    if len(names) > 1:
-                        yield settle(now, names, blocks, sets)
-                    now, names, blocks, sets = row[:3], [], [], []
-                blocks.append(row[3])
-                names.append(row[4])
-                sets.append(elements[k].values.to_numpy().view(np.uint64))
-        if len(names) > 1:
-            yield settle(now, names, blocks, sets)
+                    if now is not None:
+                        yield settle(now, held)
+                    now, held = row[:3], {}
+                held[row[4]] = (row[3], row[5], row[6])
+        if now is not None:
+            yield settle(now, held)
 
     return rows
 
@@ -236,22 +249,24 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     same = Window.partitionBy("signature")
     sent = first.where("signatures is not null").select("set", F.explode("signatures").alias("signature"))
     meetings = sent.withColumn("low", F.min("set").over(same)).where("low < set").select(F.col("low").alias("a"), F.col("set").alias("b")).distinct()
-    clusters = materialize(connected_components(meetings), "clusters")
-
-    members = clusters.join(classes.withColumnRenamed("set", "node"), "node")
-    up = Window.partitionBy("component").orderBy("n", "node")
-    block = F.floor((F.row_number().over(up) - 1) / block_sets) + F.floor((F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")) / block_elements)
-    members = materialize(members.select("component", "node", "rep", "n", block.cast("int").alias("block")), "members")
-    blocks = members.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = blocks.select("component", F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    tiles = blocks.join(other, "component").where((100 * F.least("high", "high2") >= percent * F.greatest("low", "low2")))
-    tiles = tiles.groupBy("component", "block").agg(F.collect_list("other").alias("tiles"))
-    wanted = members.join(tiles, ["component", "block"]).select(F.col("rep").alias("doc_id"), F.col("node").alias("set"), "block", F.col("component").alias("cluster"), "tiles")
-    few = F.broadcast(wanted) if members.count() <= broadcast_rows else wanted
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(few, "doc_id")
-    sets = texts.select("text", "set", "block", "cluster", "tiles").mapInArrow(_tile_rows(n), "cluster bigint, i int, j int, block int, set bigint, elements array<bigint>")
-    ordered = sets.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    components = connected_components(ordered.mapInArrow(_verify(percent), "a bigint, b bigint"))
+    bounded = materialize(connected_components(meetings), "clusters")
+    for exact in (False, True):
+        members = bounded.join(classes.withColumnRenamed("set", "node"), "node")
+        up = Window.partitionBy("component").orderBy("n", "node")
+        block = F.floor((F.row_number().over(up) - 1) / block_sets) + F.floor((F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")) / block_elements)
+        members = materialize(members.select("component", "node", "rep", "n", block.cast("int").alias("block")), "members")
+        blocks = members.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        other = blocks.select("component", F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+        tiles = blocks.join(other, "component").where(100 * F.least("high", "high2") >= percent * F.greatest("low", "low2"))
+        tiles = tiles.groupBy("component", "block").agg(F.collect_list("other").alias("tiles"))
+        wanted = members.join(tiles, ["component", "block"]).select(F.col("rep").alias("doc_id"), F.col("node").alias("set"), "block", F.col("component").alias("cluster"), "tiles")
+        few = F.broadcast(wanted) if members.count() <= broadcast_rows else wanted
+        texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(few, "doc_id")
+        held = texts.select("text", "set", "block", "cluster", "tiles").mapInArrow(_tile_rows(n, exact), _TILE)
+        ordered = held.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+        bounded = connected_components(ordered.mapInArrow(_settle(percent, exact), "a bigint, b bigint"))
+        bounded = materialize(bounded, "components")
+    components = bounded
 
     named = classes.withColumnRenamed("set", "node")
     joined = named.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
