@@ -20,11 +20,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import SAMPLE_ROWS, labelled_sample
+from .labelled import labelled_sample
 
 GRADES = 3
 VOCABULARY = 4096
 THRESHOLD = 0.5
+#: Standard errors by which a feature's log odds have to speak for toxic documents.
+SIGNIFICANT = 2.8
+#: The least log odds; what clean documents have often, too, is no sign.
+LEAST_ODDS = 1.5
+#: The most labelled rows to learn from: inflected forms are rare, so more than for document statistics.
+TOXIC_SAMPLE_ROWS = 40_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -73,7 +79,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_cumulative_link(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, size: int, steps: int = 300, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, size: int, steps: int = 300, rate: float = 0.05, ridge: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood of the proportional-odds model by Adam; gaps between thresholds stay positive."""
     n, k = len(grade), GRADES
     share = np.array([(grade >= j).mean() if n else 0.0 for j in range(1, k + 1)]).clip(1e-4, 1 - 1e-4)
@@ -112,7 +118,7 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([found[0][f] for f in part], pa.int64()), pa.array([found[1][f] for f in part], pa.int64())], names=["feature", "clean", "toxic"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY, allowed=None) -> Ordinal:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TOXIC_SAMPLE_ROWS, vocabulary: int = VOCABULARY, allowed=None) -> Ordinal:
     """Fit on at most `rows` labelled documents. The driver gets at most `vocabulary` features, then the sample's sparse rows.
 
     Without toxic or without clean labels, no document is toxic.
@@ -125,7 +131,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
     counts = sample.select("text", "label").mapInArrow(_feature_counts, "feature string, clean bigint, toxic bigint")
     counts = counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    rated = counts.where(F.col("toxic") + F.col("clean") >= 3).withColumn("odds", odds)
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    rated = counts.withColumn("odds", odds).where((F.col("odds") >= SIGNIFICANT * error) & (F.col("odds") >= LEAST_ODDS))
     chosen = rated.orderBy(F.desc(F.col("odds") * F.sqrt(F.col("toxic"))), "feature").limit(vocabulary).toPandas()
     number = {f: k for k, f in enumerate(chosen["feature"])}
     marks = (chosen["odds"].to_numpy(np.float64) > 2.0) & (chosen["toxic"].to_numpy() >= 3)
@@ -162,7 +169,7 @@ def score_toxicity(docs: DataFrame, model: Ordinal, text_col: str = "text", scor
     return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(scored, schema)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = SAMPLE_ROWS) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TOXIC_SAMPLE_ROWS) -> DataFrame:
     """doc_id, expected_severity (0 to 3), toxic (1 from the threshold on)."""
     model = fit_toxicity(docs, labels, rows=rows)
     kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
