@@ -62,15 +62,21 @@ def _spanning(left: np.ndarray, right: np.ndarray, n: int) -> list[tuple[int, in
     return out
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(turn, id, unit vectors) of each run of rows whose vectors have one length."""
+    for batch in batches:
+        turn, ids, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
+        sizes = np.array(list(map(len, found)))
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(found)] if len(found) else []
+        for a, b in zip(cuts, cuts[1:]):
+            yield turn[a:b], ids[a:b], np.vstack([_unit(v) for v in found[a:b]])
+
+
 def _window_links(threshold: float, window: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive in the order of (pass, key, id); each is compared with the `window` before it in its pass."""
         held: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0)))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            turn, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            unit = np.vstack([_unit(v) for v in _matrix(batch.column(2))])
+        for turn, ids, unit in _runs(batches):
             if held[2].shape[1] == unit.shape[1]:
                 turn, ids, unit = (np.concatenate(x) for x in zip(held, (turn, ids, unit)))
                 known = len(held[0])

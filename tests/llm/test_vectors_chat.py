@@ -73,7 +73,7 @@ def test_preferences(spark):
     assert one["chosen"][low:high] == "long answer<|im_end|>\n"
     assert (got[3]["n_common"], got[3]["chosen"], got[3]["rejected"]) == (2, "", "")
     assert got[5]["rejected"] is None and got[5]["chosen"] == "<|im_start|>unknown\n<|im_end|>\n"
-    assert got[6]["chosen_mask"] == "22:32" and got[7]["n_common"] == 1
+    assert got[6]["chosen_mask"] == "22:33" and got[7]["n_common"] == 1
     assert chat.preference_rows(turns.limit(0)).count() == 0
 
 
