@@ -70,8 +70,8 @@ def eligible(df: DataFrame, recent: str, min_recent: float = 4.0) -> DataFrame:
     return df.where(F.coalesce(F.col(recent), F.lit(0.0)) >= min_recent)
 
 
-def reportable(df: DataFrame, season: int, week: int, recent: str, prior: str = "prior_games") -> DataFrame:
-    return eligible(predictable(df.where((F.col("season") == season) & (F.col("week") == week)), prior), recent)
+def reportable(df: DataFrame, season: int, week: int, recent: str, prior: str = "prior_games", min_recent: float = 4.0) -> DataFrame:
+    return eligible(predictable(df.where((F.col("season") == season) & (F.col("week") == week)), prior), recent, min_recent)
 
 
 def next_period(df: DataFrame, season: str, week: str, final: str) -> DataFrame:

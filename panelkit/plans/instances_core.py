@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalar
 from ..operators import aggs, checks, joins, shape, windows
@@ -56,7 +55,7 @@ def p11_p13_populations(spark, sf_dir):
     rows = windows.trailing(windows.prior_count(order_panel(spark, sf_dir), E, G), E, G, {"recent": ("avg", "n_orders", 5)})
     rows = rows.where("season = 1998 and week = 6")
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    both = one(shape.trainable(rows, outcome="revenue"), "trainable").crossJoin(one(shape.predictable(rows), "predictable")).crossJoin(one(shape.reportable(rows, 1998, 6, "__r") if "__r" in rows.columns else shape.eligible(shape.predictable(rows), "recent", 2.0), "reportable"))
+    both = one(shape.trainable(rows, outcome="revenue"), "trainable").crossJoin(one(shape.predictable(rows), "predictable")).crossJoin(one(shape.reportable(rows, 1998, 6, "recent", min_recent=2.0), "reportable"))
     return both.select(F.lit(1998).alias("season"), F.lit(6).alias("week"), "trainable", "predictable", "reportable")
 
 

@@ -41,8 +41,8 @@ def m11_baselines(spark, sf_dir):
     return rows.groupBy("season").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("qty") - F.col("base_recent"))), 5).alias("recent"), F.round(F.avg(F.abs(F.col("qty") - F.col("base_season"))), 5).alias("longest"))
 
 
-@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, o AS (SELECT greatest(lo - qty, qty - hi) AS miss, row_number() OVER (ORDER BY greatest(lo - qty, qty - hi)) - 1 AS i, count(*) OVER () AS n FROM model), q AS (SELECT DISTINCT n, least(0.999, 0.8 * (1 + 1 / n)) * (n - 1) AS at FROM o)
- SELECT q.n, round(a.miss + (b.miss - a.miss) * (at - floor(at)), 4) AS "offset" FROM q JOIN o a ON a.i = floor(at) JOIN o b ON b.i = floor(at) + 1""")
+@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, o AS (SELECT greatest(lo - qty, qty - hi) AS miss, row_number() OVER (ORDER BY greatest(lo - qty, qty - hi)) - 1 AS i, count(*) OVER () AS n FROM model), q AS (SELECT DISTINCT n, least(0.999, 0.8 * (1 + 1 / n)) * (n - 1) AS pos FROM o)
+ SELECT q.n, round(a.miss + (b.miss - a.miss) * (pos - floor(pos)), 4) AS "offset" FROM q JOIN o a ON a.i = floor(pos) JOIN o b ON b.i = floor(pos) + 1""")
 def m07_conformal_offset(spark, sf_dir):
     rows = model_rows(spark, sf_dir)
     n, offset = rows.count(), forecast.conformal_offset(rows, "lo", "hi", "qty")

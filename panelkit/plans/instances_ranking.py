@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggs, checks, joins, shape, windows
+from ..operators import checks, joins, windows
 from ..sources import sinks
 from . import backtest, ranking
 from .panel import order_panel
 from .registry import query
-from .slice import Slice, metrics, sql
+from .slice import Slice, sql
 
 RANK_COLS = "player_id, season, week, position, is_qualified, composite_score, rank, prev_rank, movement, is_new"
 
@@ -102,8 +102,8 @@ def q11_contiguous(spark, sf_dir):
 
 @query("SELECT CAST(0 AS BIGINT) AS n WHERE false")
 def q15_flag_agrees(spark, sf_dir):
-    s = Slice(spark, sf_dir).ranks
-    return checks.flag_agrees(s, "is_qualified", "rank", "shown").select(F.lit(0).cast("bigint").alias("n")) if "shown" in s.columns else checks.flag_agrees(s.withColumn("shown", F.when(F.col("rank").isNotNull(), F.col("composite_score"))), "is_qualified", "rank", "shown").select(F.lit(0).cast("bigint").alias("n"))
+    shown = Slice(spark, sf_dir).ranks.withColumn("shown", F.when(F.col("rank").isNotNull(), F.col("composite_score")))
+    return checks.flag_agrees(shown, "is_qualified", "rank", "shown").select(F.lit(0).cast("bigint").alias("n"))
 
 
 @query(sql("ranks", """SELECT position, least, coalesce(n, 0) AS n FROM (VALUES ('AUTOMOBILE', 8), ('BUILDING', 8), ('MACHINERY', 100000), ('NOBODY', 1)) v(position, least)
