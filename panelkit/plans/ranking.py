@@ -186,11 +186,11 @@ def stage_snaps(raw: DataFrame, codes: DataFrame) -> DataFrame:
     return df.select(F.col("pfr_player_id").alias("other_id"), "game_id", "season", "week", "team", F.col("offense_snaps").alias("snaps"), F.col("offense_pct").alias("snap_pct"))
 
 
-def stage_participation(raw: DataFrame, plays: DataFrame) -> DataFrame:
+def stage_participation(raw: DataFrame, plays: DataFrame, game: str = "game_id") -> DataFrame:
     """A row per play and listed player, with the play's dropback flag (null counts as no)."""
     listed = explode_list(shape.non_blank(raw, "offense_players"), "offense_players", ";", "player_id")
     marked = plays.select("game_id", "play_id", F.coalesce(F.col("dropback").cast("boolean"), F.lit(False)).alias("dropback"))
-    return joins.attach(listed.withColumnRenamed("nflverse_game_id", "game_id") if "nflverse_game_id" in listed.columns else listed, marked, ["game_id", "play_id"])
+    return joins.attach(listed.withColumnRenamed(game, "game_id"), marked, ["game_id", "play_id"])
 
 
 def stage_advstats(rush: DataFrame, rec: DataFrame, passing: DataFrame, regular: str = "REG") -> DataFrame:
@@ -209,8 +209,9 @@ def stage_tracking(rec: DataFrame, rush: DataFrame, passing: DataFrame, regular:
     return joins.full_merge(parts, ["season", "week", "player_gsis_id"])
 
 
-def stage_charting(raw: DataFrame) -> DataFrame:
-    return shape.curate(raw, {"game_id": "nflverse_game_id", "play_id": "nflverse_play_id", "season": "season", "week": "week"} | {c: c for c in raw.columns if c.startswith(("is_", "n_", "qb_"))})
+def stage_charting(raw: DataFrame, game: str = "game_id", play: str = "play_id") -> DataFrame:
+    """Renamed keys, and the counts, flags and quarterback columns."""
+    return shape.curate(raw, {"game_id": game, "play_id": play, "season": "season", "week": "week"} | {c: c for c in raw.columns if c.startswith(("is_", "n_", "qb_"))})
 
 
 def stage_plays(raw: DataFrame, cols: Sequence[str], regular: str = "REG") -> DataFrame:

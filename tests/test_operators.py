@@ -123,6 +123,20 @@ def test_participation_has_a_row_per_listed_player(spark):
     assert rows(ranking.stage_participation(raw, plays), "player_id", "dropback") == [("a", False), ("b", False)]
 
 
+def test_charting_keeps_counts_and_flags(spark):
+    raw = spark.createDataFrame([("g", 7, 2024, 1, True, 3, "S", "no")], "gid string, pid int, season int, week int, is_motion boolean, n_rushers int, qb_location string, note string")
+    got = ranking.stage_charting(raw, "gid", "pid")
+    assert got.columns == ["game_id", "play_id", "season", "week", "is_motion", "n_rushers", "qb_location"]
+
+
+def test_games_are_staged_with_codes_and_tolerant_times(spark):
+    raw = spark.createDataFrame([("g1", 1, 1, "2024-09-08", "13:00", "OAK", "KC", 3, 7, 1, 0), ("g2", 1, 2, "soon", None, "LV", "KC", None, None, None, 1)], "game_id string, season int, week int, gameday string, gametime string, home_team string, away_team string, home_score int, away_score int, overtime int, div_game int")
+    codes = spark.createDataFrame([("OAK", "LV")], "raw string, standard string")
+    got = {r["game_id"]: r for r in ranking.stage_games(raw, codes).collect()}
+    assert got["g1"]["home"] == "LV" and got["g1"]["is_final"] and got["g1"]["overtime"]
+    assert got["g2"]["starts_at"] is None and got["g2"]["game_date"] is None and got["g2"]["overtime"] is None and not got["g2"]["is_final"]
+
+
 def test_promotion_gate(spark):
     df = spark.createDataFrame([(0.1, 0.8, 3.0), (0.01, 0.8, 3.0), (0.1, 0.9, 3.0), (0.1, 0.8, 1.0)], "improvement double, coverage double, z double")
     assert [r["reason"] for r in forecast.promote(df).collect()] == ["promoted", "improvement too small", "coverage out of bounds", "not significant"]
