@@ -1,8 +1,9 @@
 """Embedding near-duplicates by sorted projection passes.
 
-In each pass a vector's key is a row of random hyperplane signs, and rows are sorted by that key. Every vector is
-compared with a bounded window of those that follow it; verified pairs of all passes are united. Afterwards links are
-counted exactly: all members of a component are compared with each other, in blocks.
+In each pass a vector's key is a row of random hyperplane signs, and rows are sorted by that key. Rows with the same
+leading bits are a bucket, and all rows of a bucket are compared: a bucket of at most `window` + 1 rows within a sliding
+window over the sorted rows, larger ones (counted first) in bounded tiles, however large they are. Verified pairs of all
+passes are united. Afterwards links are counted exactly: all members of a component are compared with each other, in blocks.
 """
 
 from __future__ import annotations
@@ -17,19 +18,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, small_or_plain
 from .components import connected_components
 
 BITS = 62
 WINDOW = 32
 BLOCK = 1024
+TILE = 4096
+#: What starting a tile costs, in comparisons.
+TILE_START = 200_000
+
+
+def bits_for(rows: int, window: int = WINDOW) -> int:
+    """Leading bits of a bucket: keys that spread evenly put half a window at most of `rows` into one."""
+    return min(BITS, max(1, math.ceil(math.log2(max(2.0, rows / window)))) + 1)
 
 
 def passes_for(rows: int, threshold: float, window: int = WINDOW, miss: float = 1e-3) -> int:
-    """Passes after which a pair at the threshold has been further apart than the window in all of them with
-    probability `miss` at most, taking that keys share the bits that single out a window among `rows`."""
-    same = 1 - math.acos(threshold) / math.pi
-    met = same ** max(1.0, math.log2(max(2.0, rows / window)) + 1)
+    """Passes after which a pair at the threshold has been in different buckets in all of them with probability `miss`
+    at most. That holds for every pair, however other rows lie, since buckets are compared whole."""
+    met = (1 - math.acos(threshold) / math.pi) ** bits_for(rows, window)
     return max(4, math.ceil(math.log(miss) / math.log(1 - met)))
 
 
@@ -98,6 +106,51 @@ def _window_links(threshold: float, window: int):
     return links
 
 
+def _units(rows: pd.Series) -> np.ndarray:
+    return np.vstack([_unit(np.asarray(v, np.float64)) for v in rows])
+
+
+def _bucket_links(threshold: float):
+    def links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """One tile: block i of a bucket against block j. Enough of its pairs to connect what all of them connect."""
+        i, j = key[-2], key[-1]
+        x, y = rows[rows["block"] == i], rows[rows["block"] == j]
+        ids = (x if i == j else pd.concat([x, y]))["rep"].to_numpy()
+        right = _units(y["embedding"]) if len(y) else np.zeros((0, 0))
+        shift, label, out = len(ids) - len(y), np.arange(len(ids)), []
+        for at in range(0, len(x) if len(y) else 0, 512):
+            near = _units(x["embedding"].iloc[at : at + 512]) @ right.T >= threshold
+            for k in np.flatnonzero(near.any(axis=1)).tolist():
+                others = np.flatnonzero(near[k]) + shift
+                found, first = np.unique(label[others], return_index=True)
+                fresh = found != label[at + k]
+                if fresh.any():
+                    out += [(ids[at + k], ids[o]) for o in others[first[fresh]]]
+                    label[np.isin(label, found[fresh])] = label[at + k]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return links
+
+
+def _crowded_links(places: DataFrame, crowded: DataFrame, reps: DataFrame, threshold: float) -> DataFrame | None:
+    """Links of all pairs that share a crowded bucket: bucket by bucket or, where that is less work, by comparing all
+    rows that are in any of them once. Blocks are dealt by hash, so no bucket is one task."""
+    known = crowded.agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("size") / 2).alias("pairs")).first()
+    if not known["n"]:
+        return None
+    cell = ["dims", "turn", "prefix"]
+    inside = materialize(places.join(small_or_plain(crowded.select(*cell), known["n"]), cell), "crowd")
+    once = inside.select("dims", F.lit(0).alias("turn"), F.lit(0).cast("bigint").alias("prefix"), "rep").distinct()
+    if once.count() ** 2 / 2 <= known["pairs"] + TILE_START * known["n"]:
+        inside, crowded = once, once.groupBy(*cell).agg(F.count("*").alias("size"))
+    cells = crowded.select(*cell, F.ceil(F.col("size") / TILE).cast("int").alias("of"))
+    dealt = inside.join(small_or_plain(cells, known["n"]), cell).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    dealt = dealt.select(*cell, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
+    tiles = dealt.join(reps.select("rep", "embedding"), "rep").groupBy(*cell, "i", "j")
+    return tiles.applyInPandas(_bucket_links(threshold), "a bigint, b bigint")
+
+
 def _tile_links(threshold: float):
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """One tile: block i of a component against block j. Each side's vectors meet once; copies count by weight."""
@@ -118,7 +171,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int | N
     Null and zero vectors, and those with null or non-finite components, link with nothing; nor do vectors of
     different lengths. Equal vectors are compared once and counted by their number. A repeated id is one vector for
     every row of it; null ids have null component and are kept. An empty table gives no rows. More passes are made
-    for more rows, so that the chance to miss a pair stays the same; links inside a component are then exact.
+    for more rows, so that the chance to miss a pair stays the same wherever rows crowd; links inside a component are
+    then exact.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
@@ -127,7 +181,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int | N
     classes = usable.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     reps = materialize(classes, "vectors")
     total = reps.count()
-    turns = passes or passes_for(total, threshold, window)
+    turns, bits = passes or passes_for(total, threshold, window), bits_for(total, window)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -144,12 +198,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int | N
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(out), pa.list_(pa.int64()))], names=["rep", "embedding", "keys"])
 
     hashed = reps.select("rep", "embedding").mapInArrow(keyed, "rep bigint, embedding array<double>, keys array<bigint>")
-    spread = hashed.select(F.posexplode("keys").alias("turn", "key"), "rep", F.col("embedding").cast("array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>").alias("embedding"), F.size("embedding").alias("dims"))
-    order = ["dims", "turn", "key", "rep"]
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    spread = hashed.select(F.posexplode("keys").alias("turn", "key"), "rep", F.col("embedding").cast(kind).alias("embedding"), F.size("embedding").alias("dims"))
+    spread = spread.withColumn("prefix", F.shiftright("key", BITS - bits))
+    places, bucket = spread.select("dims", "turn", "prefix", "rep"), ["dims", "turn", "prefix"]
+    crowded = materialize(places.groupBy(*bucket).agg(F.count("*").alias("size")).where(F.col("size") > window + 1), "crowded")
+    sparse = spread.join(small_or_plain(crowded.select(*bucket), crowded.count()), bucket, "left_anti")
     parts = max(1, math.ceil(total * turns / 20_000), spark.sparkContext.defaultParallelism)
-    sorted_rows = spread.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("turn", "rep", "embedding")
+    sorted_rows = sparse.repartitionByRange(parts, *bucket).sortWithinPartitions("dims", "turn", "key", "rep").select("turn", "rep", "embedding")
     links = sorted_rows.mapInArrow(_window_links(threshold, window), "a bigint, b bigint")
-    components = materialize(connected_components(links), "components")
+    more = _crowded_links(places, crowded, reps, threshold)
+    components = materialize(connected_components(links if more is None else links.union(more)), "components")
 
     place = F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1
     members = components.select("component", "node", F.floor(place / BLOCK).cast("int").alias("block"))

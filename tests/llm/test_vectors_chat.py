@@ -54,6 +54,33 @@ def test_near_duplicates_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def crowded_topic(rows, dims=64, planted=300, within=0.88, pair=0.955):
+    """A third of the rows in one topic of mutual cosine 0.88; in it, row k and row planted + k are a pair of 0.955."""
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    topic = unit(rng.normal(size=dims))
+
+    def beside(v):
+        v = v - np.outer(v @ topic, topic)
+        return unit(v)
+
+    rest = beside(rng.normal(size=(rows // 3, dims)))
+    share = 1 - (1 - pair) / (1 - within)
+    for k in range(planted):
+        side = beside(rng.normal(size=(1, dims)))[0]
+        rest[planted + k] = share * rest[k] + np.sqrt(1 - share**2) * unit(side - (side @ rest[k]) * rest[k])
+    return np.vstack([np.sqrt(within) * topic + np.sqrt(1 - within) * rest, unit(rng.normal(size=(rows - rows // 3, dims)))])
+
+
+def test_near_duplicates_in_a_crowded_topic(spark):
+    x = crowded_topic(20_000)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df).collect()}
+    want = np.concatenate([(x[at : at + 2000] @ x.T >= 0.95).sum(1) for at in range(0, len(x), 2000)]) - 1
+    assert sum(want[:600] > 0) == 600
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
 ROWS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "more"), (1, 3, "assistant", "long answer"),
     (2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (2, 2, "user", "less"), (2, 3, "assistant", "short"),
