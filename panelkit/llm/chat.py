@@ -10,34 +10,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Siblings are paired among ids of one run of so many, which bounds what one window sees of a common opening.
-ID_RUN = 4096
+from .common import materialize
+
 TURN_START, TURN_END = "<|im_start|>", "<|im_end|>\n"
 
 
 def conversations(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(conv_id, turns array<struct<role, text>>, opening): turns in the order of turn (null first), role, text.
 
-    A null role is "unknown" and a null text is empty. Rows that repeat are turns that repeat.
+    A null role is "unknown" and a null text is empty. Rows that repeat are turns that repeat. Turns whose id is null
+    belong to no conversation and are left out.
     """
     row = F.struct(F.col("turn").cast("bigint").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    whole = turns.select(F.col(id_col).cast("bigint").alias("conv_id"), row.alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    whole = turns.select(F.col(id_col).cast("bigint").alias("conv_id"), row.alias("x")).where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
     told = whole.select("conv_id", F.transform("x", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     first = F.col("turns")[0]
     return told.withColumn("opening", F.md5(F.concat(first["role"], F.lit("\x1f"), first["text"]).cast("binary")))
 
 
 def sibling_pairs(told: DataFrame) -> DataFrame:
-    """(pair_id, conv_id, side): in each run of ids, conversations with one opening pair up in the order of their ids.
+    """(pair_id, conv_id, side): conversations with one opening pair up in the order of their ids, wherever these lie.
 
-    One left over is alone. pair_id is the smaller id of the pair. Ids that are null pair with nothing.
+    One left over is alone. pair_id is the smaller id of the pair. Ids that are null pair with nothing. Ids are sorted
+    over all partitions, and the place in an opening is the place in the partition plus what earlier ones hold of it;
+    so a common opening is spread over tasks, and its window over partitions has one row for each.
     """
-    run = F.floor(F.col("conv_id") / ID_RUN)
-    keyed = told.where(F.col("conv_id").isNotNull()).select("conv_id", "opening", run.alias("run"))
-    w = Window.partitionBy("opening", "run").orderBy("conv_id")
-    placed = keyed.withColumn("place", F.row_number().over(w) - 1).withColumn("before", F.lag("conv_id").over(w))
-    odd = F.col("place") % 2 == 1
-    return placed.select("conv_id", F.when(odd, F.col("before")).otherwise(F.col("conv_id")).alias("pair_id"), F.when(odd, F.lit("second")).otherwise(F.lit("first")).alias("side"))
+    keyed = told.where(F.col("conv_id").isNotNull()).select("opening", "conv_id")
+    spread = materialize(keyed.repartitionByRange("opening", "conv_id").withColumn("part", F.spark_partition_id()), "openings")
+    earlier = Window.partitionBy("opening").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = spread.groupBy("opening", "part").agg(F.count("*").alias("n")).select("opening", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    placed = spread.withColumn("place", F.row_number().over(Window.partitionBy("opening", "part").orderBy("conv_id")) - 1).join(held, ["opening", "part"])
+    pairs = placed.groupBy("opening", F.floor((F.col("first") + F.col("place")) / 2).alias("pair")).agg(F.array_sort(F.collect_list("conv_id")).alias("ids"))
+    sided = pairs.select(F.col("ids")[0].alias("pair_id"), F.posexplode("ids").alias("at", "conv_id"))
+    return sided.select("conv_id", "pair_id", F.when(F.col("at") == 1, F.lit("second")).otherwise(F.lit("first")).alias("side"))
 
 
 def common_turns(a: Column, b: Column) -> Column:

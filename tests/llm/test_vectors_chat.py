@@ -115,6 +115,16 @@ def test_preferences_like_sql(spark, rows):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+def test_siblings_pair_up_wherever_their_ids_lie(spark):
+    ids = sorted({*range(-3, 4), 4095, 4096, 10**6, 10**12, *range(5000, 5000 + 7 * 4096, 4096)})
+    rows = [(k, 0, "user", "hi") for k in ids] + [(k, 1, "assistant", str(k)) for k in ids] + [(8191, 0, "user", "other"), (8192, 0, "user", "other"), (None, 0, "user", "hi")]
+    got = chat.preference_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    want = {tuple(ids[k : k + 2]) for k in range(0, len(ids), 2)} | {(8191, 8192)}
+    assert {tuple(sorted(x for x in (r["chosen_id"], r["rejected_id"]) if x is not None)) for r in got} == want
+    assert {r["pair_id"] for r in got} == {min(p) for p in want} and len(got) == len(want)
+    assert all(r["n_common"] == 1 for r in got)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
 def test_native_operators_have_no_python_in_their_plans(spark):
     from panelkit.llm.queries import QUERIES
