@@ -18,6 +18,8 @@ from ..functions.scalar import order_bounds
 from ..operators import aggs, joins, shape, windows
 
 NOMINAL = 0.8
+#: Penalties that ridge chooses from: 20 from 0.01 to 1,000, evenly on a log scale.
+ALPHAS = tuple(10 ** (-2 + 5 * k / 19) for k in range(20))
 
 
 @dataclass(frozen=True)
@@ -51,12 +53,12 @@ def fit_ridge(df: DataFrame, features: str, outcome: str, alpha: float = 10.0, p
 
 
 def choose_alpha(train: DataFrame, held: DataFrame, features: str, outcome: str, alphas: Sequence[float]) -> float:
-    """The penalty with the smallest squared error on held rows; the smaller one on a tie."""
-    errors = []
-    for alpha in alphas:
-        shown = fit_ridge(train, features, outcome, alpha).transform(held)
-        errors.append((shown.agg(F.avg((F.col("ridge") - F.col(outcome)) ** 2)).first()[0], alpha))
-    return min(errors)[1]
+    """The penalty with the smallest squared error on held rows, of which all are tried in one pass; the smaller one on a tie."""
+    shown = held
+    for k, alpha in enumerate(alphas):
+        shown = fit_ridge(train, features, outcome, alpha, f"__ridge{k}").transform(shown)
+    errors = shown.agg(*(F.avg((F.col(f"__ridge{k}") - F.col(outcome)) ** 2) for k in range(len(alphas)))).first()
+    return min(zip(errors, alphas))[1]
 
 
 @dataclass
@@ -100,7 +102,8 @@ def reject_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> None:
 
 
 def fit(train: DataFrame, cal: DataFrame | None, spec: Spec) -> Model:
-    """Fit on trainable rows; medians come from them alone; calibrate on eligible rows that are not among them."""
+    """Fit on trainable rows; medians come from them alone; calibrate on eligible rows that are not among them. Unless
+    the options have alpha, the penalty is chosen on the newest training rows, held back for that; 10 for too few rows."""
     rows = shape.trainable(train, spec.prior, spec.outcome)
     if rows.count() < spec.least_rows:
         raise ValueError(f"fewer than {spec.least_rows} rows to learn from")
@@ -108,8 +111,16 @@ def fit(train: DataFrame, cal: DataFrame | None, spec: Spec) -> Model:
     o = spec.options
     filled = fill(rows, medians).withColumn(spec.outcome, F.col(spec.outcome).cast("double")).cache()
     assembler = Pipeline(stages=[VectorAssembler(inputCols=list(spec.features), outputCol="raw_features"), StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)]).fit(filled)
-    ready = assembler.transform(filled)
-    ridge = fit_ridge(ready, "features", spec.outcome, o.get("alpha", 10.0))
+    ready = assembler.transform(filled).localCheckpoint()
+    filled.unpersist()
+    alpha = o.get("alpha")
+    if alpha is None:
+        early, held = windows.chrono_split(ready, [*spec.keys[1:], spec.keys[0]])
+        alpha = 10.0 if held is None else choose_alpha(early.cache(), held.cache(), "features", spec.outcome, ALPHAS)
+        early.unpersist()
+        if held is not None:
+            held.unpersist()
+    ridge = fit_ridge(ready, "features", spec.outcome, alpha)
     boost = GBTRegressor(featuresCol="features", labelCol=spec.outcome, predictionCol="boost", maxDepth=4, maxIter=int(o["rounds"]), stepSize=o["rate"], subsamplingRate=0.8, minInstancesPerNode=int(o["leaf"]), seed=7).fit(ready)
     forest = RandomForestRegressor(featuresCol="features", labelCol=spec.outcome, predictionCol="forest", leafCol="leaf", numTrees=int(o["trees"]), maxDepth=5, minInstancesPerNode=int(o["leaf"]), seed=7).fit(ready)
     seen = forest.transform(ready).select(spec.outcome, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf_id"))
@@ -164,17 +175,19 @@ def expected(df: DataFrame, points: str = "points", p: str = "probability") -> D
     return df.where(F.col(p) > 0).withColumn("expected_points", F.col(points) * F.col(p))
 
 
-def walk_forward(df: DataFrame, periods: Sequence[tuple[int, int]], spec: Spec, factory: Callable[[DataFrame, DataFrame | None, Spec], Model] = fit, least_history: int = 2000, least_players: int = 30) -> DataFrame:
-    """Predict each period by a model fitted on strictly earlier ones. The loop is over periods; every fit and every
-    prediction is distributed. Periods with too little before them or too few rows are left out."""
+def walk_forward(df: DataFrame, periods: Sequence[tuple[int, int]] | None, spec: Spec, factory: Callable[[DataFrame, DataFrame | None, Spec], Model] = fit, least_history: int = 2000, least_players: int = 30) -> DataFrame:
+    """Predict each period (None: all periods of df) by a model fitted on strictly earlier ones. The loop is over periods;
+    every fit and every prediction is distributed. Periods with too little before them or too few rows are left out."""
     key, out = F.struct("season", "week"), None
+    if periods is None:
+        periods = [tuple(r) for r in df.select("season", "week").distinct().orderBy("season", "week").collect()]
     for season, week in periods:
         at = F.struct(F.lit(season).alias("season"), F.lit(week).alias("week"))
         past, now = shape.trainable(df.where(key < at), spec.prior, spec.outcome), shape.trainable(df.where(key == at), spec.prior, spec.outcome)
         if past.count() < least_history or now.count() < least_players:
             continue
         train, cal = windows.chrono_split(past, ["season", "week", spec.keys[0]])
-        got = factory(train, cal, spec).predict(now)
+        got = factory(train, cal, spec).predict(now).localCheckpoint()
         out = got if out is None else out.unionByName(got)
     if out is None:
         raise ValueError("no period has enough history")

@@ -24,7 +24,7 @@ def features(spark, sf_dir):
     return rows.withColumn("actual", F.col("qty").cast("double"))
 
 
-SPEC = forecast.Spec(FEATURES, recent="qty_mean5", options={"rounds": 5, "rate": 0.3, "trees": 5, "leaf": 60})
+SPEC = forecast.Spec(FEATURES, recent="qty_mean5")
 
 
 @query(sql("panel", """, nxt AS (SELECT CASE WHEN w = 12 THEN s + 1 ELSE s END AS season, w % 12 + 1 AS week FROM (SELECT x[1] AS s, x[2] AS w FROM (SELECT max([season, week]) AS x FROM panel))),
@@ -91,9 +91,9 @@ def m28_ledger_summary(spark, sf_dir):
 
 @query()
 def m12_walk_forward(spark, sf_dir):
-    """Two periods replayed with ridge, boosting and leaf-quantile ranges, each fitted on what is before it."""
-    rows = features(spark, sf_dir).where("not is_upcoming").cache()
-    got = forecast.walk_forward(rows, [(1998, 6), (1998, 7)], SPEC, least_history=1000)
+    """All periods replayed with ridge, boosting and leaf-quantile ranges, each fitted on what is before it."""
+    rows = features(spark, sf_dir).where("not is_upcoming").localCheckpoint()
+    got = forecast.walk_forward(rows, None, SPEC)
     return got.select(*E, *G, "actual", *(F.round(c, 4).alias(c) for c in ("points", "low", "high")))
 
 

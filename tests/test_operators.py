@@ -176,3 +176,24 @@ def test_model_beats_guessing_and_ranges_are_honest(spark):
     assert row["margin"] > 0 and 0.6 <= row["coverage"] <= 0.95
     with pytest.raises(ValueError):
         forecast.reject_overlap(df, df, ["player_id", "season", "week"])
+
+
+def test_replay_covers_every_period_with_history_and_ridge_chooses_its_penalty(spark, monkeypatch):
+    data = [(f"p{p}", 1, week, 9, float(p % 7), float(p % 7 + (p * week) % 3)) for week in range(1, 7) for p in range(400)]
+    df = spark.createDataFrame(data, "player_id string, season int, week int, prior_games int, mean5 double, actual double").cache()
+    tried = []
+    monkeypatch.setattr(forecast, "choose_alpha", lambda train, held, features, outcome, alphas: tried.append(len(alphas)) or alphas[0])
+    spec = forecast.Spec(["mean5"], options={"rounds": 1, "rate": 0.3, "trees": 1, "leaf": 30})
+    got = forecast.walk_forward(df, None, spec, least_history=1600)
+    assert sorted(tuple(r) for r in got.select("season", "week").distinct().collect()) == [(1, 5), (1, 6)]
+    assert tried == [20, 20]
+
+
+def test_choose_alpha_is_the_best_on_held_rows(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = spark.createDataFrame([(float(k % 11), 3.0 * (k % 11) + (k * 7 % 5), k) for k in range(200)], "x double, y double, k int")
+    ready = VectorAssembler(inputCols=["x"], outputCol="f").transform(rows)
+    train, held = ready.where("k < 150"), ready.where("k >= 150")
+    error = lambda a: forecast.fit_ridge(train, "f", "y", a).transform(held).agg(F.avg((F.col("ridge") - F.col("y")) ** 2)).first()[0]
+    assert forecast.choose_alpha(train, held, "f", "y", [0.1, 100.0, 1000.0]) == min([0.1, 100.0, 1000.0], key=error)
