@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,32 +21,44 @@ _made: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a fresh temporary folder only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        if held is None:
-            held = "file://" + tempfile.mkdtemp(prefix="panelkit-")
-            spark.sparkContext.setCheckpointDir(held)
-        root = held
+    """The shared folder of spark.checkpoint.dir, or of setCheckpointDir. Without either, `default_root` decides."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or default_root(spark)
     return root.rstrip("/")
 
 
+def default_root(spark: SparkSession) -> str:
+    """A temporary folder, for a session of one machine alone; on a cluster a shared folder has to be named."""
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="panelkit-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_root(spark)}/panelkit-{name}-{uuid.uuid4().hex}"
     if not _made:
-        atexit.register(_clean, spark)
+        atexit.register(_clean_at_exit, spark)
     _made.append(path)
     return path
 
 
-def _clean(spark: SparkSession) -> None:
+def mark() -> int:
+    """A point in the list of scratch tables, for `drop_since`."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, since: int) -> None:
+    """Remove the scratch tables made since a mark. What reads them has to be written by then."""
+    conf = spark._jsc.hadoopConfiguration()
+    while len(_made) > since:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        where.getFileSystem(conf).delete(where, True)
+
+
+def _clean_at_exit(spark: SparkSession) -> None:
     """At the end of the driver, remove what it wrote to the scratch folder."""
     try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in _made:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+        drop_since(spark, 0)
     except Exception:  # the session is gone; the cluster's retention rule clears the folder
         return
 
@@ -61,3 +78,27 @@ def small_or_plain(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 8 << 20, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches` in parts of at most `rows` rows whose texts in `column` have `most_bytes` bytes together, or
+    of one row if its text alone has more."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            last = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most_bytes, "right"))
+            last = max(at + 1, min(last, at + rows))
+            yield batch.slice(at, last - at)
+            at = last
+
+
+def settled(rows: Iterator[pa.RecordBatch], *caches) -> Iterator[pa.RecordBatch]:
+    """`rows`; at the end of the partition the caches are emptied, since a worker process outlives its task."""
+    try:
+        yield from rows
+    finally:
+        for cache in caches:
+            cache.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()

@@ -1,51 +1,68 @@
 """Best-fit packing of tokenised documents into fixed-capacity sequences.
 
-Each document becomes its token ids followed by one end id. Only documents longer than the capacity are cut;
-a cut piece that is exactly full is a sequence by itself. All other pieces (at most one a document) are dealt
-by hash into groups of bounded size and every group is packed by best-fit decreasing: longest piece first, each
-into the open bin that it leaves fullest. The tightest bin is found in a segment tree over remaining capacities.
+Each document becomes its token ids followed by one end id. Only documents longer than the capacity are cut. All pieces of
+the corpus are packed together by best-fit decreasing: longest piece first, each into the open sequence that it leaves
+fullest, which a segment tree over remaining capacities finds. Pieces of one length are alike, so the tree packs lengths
+with their multiplicities (a histogram of at most `capacity` rows, counted in Spark); the outcome is a plan of runs, in
+which the pieces of a length whose ranks lie in a run have consecutive sequences. Tasks then place each piece by its rank.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, settled, slices
 
 #: Latin letters, then ASCII marks that are neither an apostrophe nor part of a special token. Both runs are
 #: separate pre-tokens for a tokenizer that splits letters from marks, so they can be looked up separately.
 _SPLIT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\]\\^_`{}~]*)")
-_CACHED_WORDS = 700_000
-_CHUNK_WORDS = 600_000
+#: The normalizer and pre-tokenizer under which words can be tokenised one by one, and split as above.
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "truncation": None,
+    "padding": None,
+}
+_CACHED_WORDS = 300_000
+_CHUNK_WORDS = 300_000
 
 
 class CapacityTree:
-    """Open bins by remaining capacity 0..capacity, in a segment tree that counts bins below each node."""
+    """Open sequences by remaining capacity 0..capacity, in a segment tree that counts them below each node. Those of one
+    remaining capacity are kept as runs (first, how many)."""
 
     def __init__(self, capacity: int):
         self.leaves = 1 << max(1, capacity).bit_length()
         self.count = [0] * (2 * self.leaves)
-        self.bins: dict[int, list[int]] = {}
+        self.runs: dict[int, list[tuple[int, int]]] = {}
 
-    def add(self, room: int, number: int) -> None:
-        self.bins.setdefault(room, []).append(number)
+    def add(self, room: int, first: int, many: int) -> None:
+        self.runs.setdefault(room, []).append((first, many))
+        self._changed(room, many)
+
+    def _changed(self, room: int, by: int) -> None:
         node = room + self.leaves
         while node:
-            self.count[node] += 1
+            self.count[node] += by
             node >>= 1
 
-    def take(self, need: int) -> tuple[int, int] | None:
-        """Remove and return (room, bin) of the tightest bin with room for `need`; None if there is none."""
+    def take(self, need: int) -> tuple[int, int, int] | None:
+        """Remove and return (room, first, how many) of a run of the tightest sequences with room for `need`."""
         count, node = self.count, need + self.leaves
         if not count[node]:
             while node > 1 and (node & 1 or not count[node + 1]):
@@ -58,35 +75,58 @@ class CapacityTree:
                 if not count[node]:
                     node += 1
         room = node - self.leaves
-        number = self.bins[room].pop()
-        while node:
-            count[node] -= 1
-            node >>= 1
-        return room, number
+        first, many = self.runs[room].pop()
+        self._changed(room, -many)
+        return room, first, many
 
 
-def best_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
-    """(bin, offset) of each length; lengths are placed longest first and equal ones in the order given."""
-    tree, placed, bins = CapacityTree(capacity), [(0, 0)] * len(lengths), 0
-    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
-        found = tree.take(lengths[k])
-        if found is None:
-            found, bins = (capacity, bins), bins + 1
-        room, number = found
-        placed[k] = (number, capacity - room)
-        if room > lengths[k]:
-            tree.add(room - lengths[k], number)
-    return placed
+def best_fit_decreasing(lengths: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Pack `lengths` (how many pieces of each length) as if one by one, longest first.
+
+    Returns runs (length, rank, many, sequence, each, offset): the pieces of `length` whose rank is rank + i, for i from
+    0 to many - 1, go to sequence + i // each, at offset + (i % each) * length. A piece's tightest sequence is again the
+    tightest for the next piece of its length while it has room, so a sequence takes `each` of them in a row.
+    """
+    tree, plan, opened = CapacityTree(capacity), [], 0
+    for length in sorted(lengths, reverse=True):
+        rank, left = 0, lengths[length]
+        while left:
+            found = tree.take(length)
+            if found is None:
+                each = capacity // length
+                found = (capacity, opened, -(-left // each))
+                opened += found[2]
+            room, first, many = found
+            each = room // length
+            full = min(many, left // each)
+            put = min(left, many * each)
+            plan.append((length, rank, put, first, each, capacity - room))
+            if full and room > each * length:
+                tree.add(room - each * length, first, full)
+            used = full
+            if put > full * each:  # the last one that this run uses takes fewer
+                tree.add(room - (put - full * each) * length, first + full, 1)
+                used += 1
+            if used < many:
+                tree.add(room, first + used, many - used)
+            rank, left = rank + put, left - put
+    return plan
 
 
 class WordIds:
-    """Token ids of whole words. A worker process keeps one, so that a word is tokenised once, not once a use."""
+    """Token ids of whole words. A task keeps one, so that a word is tokenised once, not once a use.
+
+    `by_word` is false if the file's normalizer or pre-tokenizer is another than the one for which texts can be tokenised
+    word by word; texts then are tokenised whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as file:
+            shape = json.load(file)
+        self.by_word = all(shape[k] == v for k, v in _BY_WORD.items()) and not any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in shape["added_tokens"])
         self.clear()
 
     def clear(self) -> None:
@@ -135,13 +175,12 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
 
 
-_held: dict[str, WordIds] = {}
-
-
-def token_rows(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
+def token_rows(texts: pa.Array, held: WordIds) -> Iterator[np.ndarray]:
     """Token ids of each text (null: none), in order."""
-    held = _held.setdefault(path, None) or WordIds(path)
-    _held[path] = held
+    if not held.by_word:
+        for text in texts.to_pylist():
+            yield np.array(held.tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32)
+        return
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     coded = lists.flatten().dictionary_encode()
@@ -160,49 +199,72 @@ def token_rows(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
 
 
 def cut_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer_path: str, end_id: int, with_ids: bool) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, row (the place in its input partition), ids if asked for."""
+    """One row per piece: id, piece, start, length, ids_crc32, row (a number of the input row), ids if asked for."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = 0
-        for batch in batches:
-            out: list[tuple] = []
-            names = batch.column(0).to_pylist()
-            for k, ids in enumerate(token_rows(batch.column(1), tokenizer_path)):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for p, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    out.append((names[k], p, at, len(part), zlib.crc32(part), seen + k) + ((part.astype(np.int32),) if with_ids else ()))
-            seen += len(names)
-            if out:
-                kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=heads)
+        held, seen = WordIds(tokenizer_path), TaskContext.get().partitionId() << 33
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
+
+        def found() -> Iterator[pa.RecordBatch]:
+            nonlocal seen
+            for batch in slices(batches, 1, 16 << 20, 5000):
+                out: list[tuple] = []
+                names = batch.column(0).to_pylist()
+                for k, ids in enumerate(token_rows(batch.column(1), held)):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    for p, at in enumerate(range(0, len(ids), capacity)):
+                        part = ids[at : at + capacity]
+                        out.append((names[k], p, at, len(part), zlib.crc32(part), seen + k) + ((part.astype(np.int32),) if with_ids else ()))
+                seen += len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [batch.schema.field(0).type, *kinds])], names=heads)
+
+        yield from settled(found(), held)
 
     kind = docs.schema[id_col].dataType.simpleString()
     heads = ["doc_id", "piece", "start", "length", "ids_crc32", "row"] + ["ids"] * with_ids
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, row bigint" + ", ids array<int>" * with_ids
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(pieces, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(pieces, schema)
+
+
+def _places(plan: list[tuple[int, int, int, int, int, int]], columns: list[str]):
+    """Looks up (sequence_id, offset) of pieces from length and rank."""
+    length, rank, _, sequence, each, offset = np.array(plan, np.int64).reshape(-1, 6).T
+    of_length = np.searchsorted(length, np.arange(length.max(initial=0) + 2))  # the runs of a length lie together
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, r = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            run = np.empty(len(n), np.int64)
+            for size in np.unique(n).tolist():
+                at = np.flatnonzero(n == size)
+                low, high = of_length[size], of_length[size + 1]
+                run[at] = low + np.searchsorted(rank[low:high], r[at], "right") - 1
+            i = r - rank[run]
+            found = [pa.array(sequence[run] + i // each[run]), pa.array(offset[run] + i % each[run] * n)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *found], names=[*columns, "sequence_id", "offset"])
+
+    return rows
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, group_items: int = 16_384, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, rows_per_task: int = 2_000, with_ids: bool = False) -> DataFrame:
     """Pack whole documents into as few sequences of at most `capacity` tokens as best-fit decreasing finds.
 
-    Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
-    A null or empty text is one piece that holds only the end id. Null and repeated ids are kept: every input row
-    is packed once. Equal lengths are placed in the order of doc_id, piece, start. An empty table gives no rows.
-    Other columns of `docs` are not looked at. `group_items` bounds what one task packs; the loss against one
-    global packing is less than one sequence a group.
+    Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for). Ids are
+    those of `Tokenizer.from_file(tokenizer_path).encode(text, add_special_tokens=False)`. A null or empty text is one
+    piece that holds only the end id. Null and repeated ids are kept: every input row is packed once. Pieces of one length
+    are interchangeable; which of them goes where depends on a hash. An empty table gives no rows. Other columns of `docs`
+    are not looked at. Ranks are counted in parts of a length of about `rows_per_task` rows, so no length is one task.
     """
     pieces = materialize(cut_pieces(docs, id_col, text_col, capacity, tokenizer_path, end_id, with_ids), "pieces")
-    full, rest = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
-    groups = max(1, math.ceil(rest.count() / group_items))
+    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity`
+    plan = sorted(best_fit_decreasing(lengths, capacity))
+    parts = docs.sparkSession.createDataFrame([(k, math.ceil(n / rows_per_task)) for k, n in lengths.items()], "length bigint, parts bigint")
+
+    dealt = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("row", "piece"), "parts").cast("int"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = dealt.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy("length", "part").orderBy(F.xxhash64("row", "piece"), "row", "piece")) - 1
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    ranked = dealt.withColumn("place", place).join(first, ["length", "part"]).select(*names, (F.col("first") + F.col("place")).cast("bigint").alias("rank"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(names).schema) + ", sequence_id bigint, offset bigint"
-
-    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "row"], ascending=[False, True, True], kind="stable")
-        placed = np.array(best_fit_decreasing(rows["length"].tolist(), capacity), np.int64).reshape(-1, 2)
-        return rows[names].assign(sequence_id=(key[0] << 32) + placed[:, 0], offset=placed[:, 1])
-
-    dealt = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "row", "length", "ids_crc32"), F.lit(groups)).cast("bigint"))
-    alone = full.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-    return dealt.groupBy("part").applyInPandas(packed, schema).unionByName(alone)
+    return ranked.mapInArrow(_places(plan, names), schema)

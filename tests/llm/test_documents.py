@@ -67,7 +67,6 @@ def packed(df):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(WORD_BPE)
-    tok.encode_special_tokens = True
     rows = packing.pack_documents(df, WORD_BPE, capacity=64).collect()
     want = Counter()
     for name, text in texts(df):
@@ -94,20 +93,51 @@ def test_packing(odd, none, many):
     assert packing.pack_documents(none, WORD_BPE).count() == 0
 
 
-def test_best_fit_takes_the_tightest_bin():
-    rng = random.Random(1)
-    sizes = [rng.randint(1, 100) for _ in range(500)]
-    rooms, want = [], [None] * len(sizes)
-    for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
-        fits = [(room, b) for b, room in enumerate(rooms) if room >= sizes[k]]
+def test_packing_of_texts_that_hold_special_strings(spark):
+    texts = ["hello <|endoftext|> x", "a<|endoftext|>b's <|startoftext|>", "<|ENDOFTEXT|> <|endoftext", "<|endoftext|><|endoftext|>!", "it's 12 don't. x\u00a0y \u0301e ＡＢ", "<|endoftext|>" * 40]
+    packed(spark.createDataFrame([(k, t, "en", "a", 1) for k, t in enumerate(texts)], SCHEMA))
+
+
+def test_packing_with_another_tokenizer_file(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    shape = json.load(open(WORD_BPE, encoding="utf-8"))
+    shape["pre_tokenizer"]["pretokenizers"][0] = {"type": "Split", "pattern": {"Regex": ".+"}, "behavior": "Removed", "invert": True}
+    path = f"{tmp_path}/other.json"
+    json.dump(shape, open(path, "w", encoding="utf-8"))
+    texts = ["Hello world, it's", "", None, "a b  c"]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, with_ids=True).collect()
+    tok = Tokenizer.from_file(path)
+    assert {r["doc_id"]: r["ids"] for r in rows} == {k: tok.encode(t or "", add_special_tokens=False).ids + [0] for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("top", [100, 60, 30])
+def test_best_fit_takes_the_tightest_sequence(top):
+    rng = random.Random(top)
+    sizes = [rng.randint(1, top) for _ in range(700)] + [10] * 300 + [100]
+    rooms, want = [], Counter()
+    for size in sorted(sizes, reverse=True):
+        fits = [(room, b) for b, room in enumerate(rooms) if room >= size]
         if not fits:
             rooms.append(100)
             fits = [(100, len(rooms) - 1)]
-        want[k] = min(fits)[0]
-        rooms[min(fits)[1]] -= sizes[k]
-    got = packing.best_fit_decreasing(sizes, 100)
-    assert [100 - offset for _, offset in got] == want
-    assert len({b for b, _ in got}) == len(rooms)
+        room, at = min(fits)
+        want[size, 100 - room] += 1
+        rooms[at] -= size
+    held, got = defaultdict(list), Counter()
+    ranks = defaultdict(list)
+    for length, rank, many, sequence, each, offset in packing.best_fit_decreasing(Counter(sizes), 100):
+        for i in range(many):
+            at = offset + i % each * length
+            got[length, at] += 1
+            held[sequence + i // each].append((at, length))
+            ranks[length].append(rank + i)
+    assert got == want and len(held) == len(rooms)
+    assert all(sorted(v) == list(range(len(v))) for v in ranks.values())
+    for pieces in held.values():
+        assert [at for at, _ in sorted(pieces)] == [sum(n for _, n in sorted(pieces)[:k]) for k in range(len(pieces))]
 
 
 def test_sharding(odd, none, many):
