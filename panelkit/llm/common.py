@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than space, tab, line feed, vertical tab, form feed, return.
@@ -71,6 +71,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or the first longer form of it that no column of `df` has."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def small_or_plain(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """Broadcast only when the counted rows are within `most`; otherwise leave the choice to Spark."""
     return F.broadcast(df) if rows <= most else df

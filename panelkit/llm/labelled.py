@@ -1,9 +1,16 @@
-"""A bounded, repeatable sample of labelled rows with their texts."""
+"""What classifiers share: a bounded, repeatable sample of labelled rows with their texts, and the scoring of all rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import quoted, slices
 
 #: The most labelled rows that a classifier is fitted on.
 SAMPLE_ROWS = 12_000
@@ -24,3 +31,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     chosen = known.orderBy(F.xxhash64(id_col), id_col, label).limit(rows).select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(chosen), "doc_id")
+
+
+def with_score(docs: DataFrame, text_col: str, score_col: str, score: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """`docs` with a last column `score_col` (double) that `score` makes of the texts; a column of that name is replaced.
+
+    A null text is an empty one. Tasks look at a bounded number of bytes of text at a time.
+    """
+    names = [c for c in docs.columns if c.lower() != score_col.lower()]
+    given = docs.select(*map(quoted, names), F.coalesce(quoted(text_col).cast("string"), F.lit(""))).toDF(*map(str, range(len(names) + 1)))
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(score_col, T.DoubleType())])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, len(names)):
+            found = score(batch.column(len(names)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, pa.float64())], names=[*names, score_col])
+
+    return given.mapInArrow(scored, schema)

@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import SAMPLE_ROWS, crc_of, labelled_sample
+from .common import slices
+from .labelled import SAMPLE_ROWS, crc_of, labelled_sample, with_score
 
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".", b",", b"|", b"!", b"#$%&*@^~", b"<>[]{}()\\/=_+", b"\"'`-:;?", bytes(range(128, 256))]
 _BYTE_CLASS = np.zeros((256, len(_CLASSES)))
@@ -110,7 +111,7 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4,
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 0):
         x = statistics_rows(batch.column(0))
         yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
@@ -124,31 +125,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, allowed=None, label: str = "
 
 
 def score_quality(docs: DataFrame, model: Boosted, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """`docs` with the probability of label 1. A null text scores as an empty one; every row is scored once."""
-    names = docs.columns
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = model.probability(statistics_rows(batch.column(len(names))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p, pa.float64())], names=[*names, score_col])
-
-    schema = docs.limit(0).withColumn(score_col, F.lit(0.0)).schema
-    return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(scored, schema)
+    """`docs` with the probability of label 1. A null text scores as an empty one; every row is scored once; a column that
+    is named `score_col` is replaced."""
+    return with_score(docs, text_col, score_col, lambda texts: model.probability(statistics_rows(texts)))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted: learned only from rows that are not held out (crc32 of the id mod 3 is not 1).
 
-    A null id is not held out. Without usable labels every score is 0.5 and predicted 1.
+    A null id is not held out. A null text scores as an empty one. Repeated rows are scored each. Without usable labels
+    every score is 0.5 and predicted 1. An empty table gives no rows. Columns other than doc_id and text are not looked at.
     """
     model = fit_quality(docs, labels, crc_of("doc_id") % 3 != 1, rows=rows)
-    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = model.probability(statistics_rows(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
-
-    out = kept.mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    out = score_quality(docs.select("doc_id", "text"), model)
     held = F.coalesce(crc_of("doc_id") % 3 == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -2,9 +2,10 @@
 
 A document's severity is a grade 0..3. One weight vector is shared by all thresholds:
 P(grade >= k) = sigmoid(w . x - theta_k), theta_1 < theta_2 < theta_3, and the result is the expected grade.
-Labels say only whether a document is toxic; grades of the toxic ones come from the share of their words that
-mark toxic documents in the sample, cut into thirds. Features are lower-cased letter runs and their first 4, 5 and 6
-letters, so that inflected forms share what they have in common.
+Labels say only whether a document is toxic. How severe a toxic one is comes from models that have not seen it: the sample
+is cut into folds, a model with one threshold is fitted without the fold, and its score of the toxic documents of the fold
+is cut into thirds. Features are lower-cased letter runs and their first 4, 5 and 6 letters, so that inflected forms share
+what they have in common; they may speak for either side, and a ridge decides how much.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import labelled_sample
+from .common import slices
+from .labelled import crc_of, labelled_sample, with_score
 
 GRADES = 3
 VOCABULARY = 4096
-THRESHOLD = 0.5
-#: Standard errors by which a feature's log odds have to speak for toxic documents.
+THRESHOLD = 0.4
+#: Standard errors by which a feature's log odds have to differ from none, to either side.
 SIGNIFICANT = 2.8
-#: The least log odds; what clean documents have often, too, is no sign.
-LEAST_ODDS = 1.5
+FOLDS = 2
 #: The most labelled rows to learn from: inflected forms are rare, so more than for document statistics.
 TOXIC_SAMPLE_ROWS = 40_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -79,9 +80,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_cumulative_link(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, size: int, steps: int = 300, rate: float = 0.05, ridge: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood of the proportional-odds model by Adam; gaps between thresholds stay positive."""
-    n, k = len(grade), GRADES
+def fit_cumulative_link(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, size: int, steps: int = 300, rate: float = 0.05, ridge: float = 2e-5, grades: int = GRADES) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood of the proportional-odds model of grades 0..`grades` by Adam; gaps between thresholds stay positive."""
+    n, k = len(grade), grades
     share = np.array([(grade >= j).mean() if n else 0.0 for j in range(1, k + 1)]).clip(1e-4, 1 - 1e-4)
     start = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(k))
     w, t = np.zeros(size), np.concatenate([start[:1], np.log(np.diff(start).clip(1e-3))])
@@ -107,7 +108,7 @@ def fit_cumulative_link(row: np.ndarray, feature: np.ndarray, value: np.ndarray,
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many documents of each label a feature is, summed over the task's share of the sample."""
     found = (Counter(), Counter())
-    for batch in batches:
+    for batch in slices(batches, 0):
         bounds, codes, words = _coded(batch.column(0))
         features = [word_features(w) for w in words]
         for k, label in enumerate(batch.column(1).to_pylist()):
@@ -132,51 +133,52 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
     counts = counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    rated = counts.withColumn("odds", odds).where((F.col("odds") >= SIGNIFICANT * error) & (F.col("odds") >= LEAST_ODDS))
-    chosen = rated.orderBy(F.desc(F.col("odds") * F.sqrt(F.col("toxic"))), "feature").limit(vocabulary).toPandas()
-    number = {f: k for k, f in enumerate(chosen["feature"])}
-    marks = (chosen["odds"].to_numpy(np.float64) > 2.0) & (chosen["toxic"].to_numpy() >= 3)
+    rated = counts.withColumn("errors", F.abs(odds) / error).where(F.col("errors") >= SIGNIFICANT)
+    chosen = [r["feature"] for r in rated.orderBy(F.desc("errors"), "feature").limit(vocabulary).select("feature").collect()]
+    number = {f: k for k, f in enumerate(chosen)}
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             row, feature, count, words = sparse_rows(batch.column(0), number)
             cut = np.searchsorted(row, np.arange(len(words) + 1))
             lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int32())) for x in (feature, count)]
-            yield pa.RecordBatch.from_arrays([*lists, pa.array(words, pa.int64()), batch.column(1)], names=["feature", "count", "words", "label"])
+            yield pa.RecordBatch.from_arrays([*lists, batch.column(1), batch.column(2)], names=["feature", "count", "label", "place"])
 
-    got = sample.select("text", "label").mapInArrow(rows_of, "feature array<int>, count array<int>, words bigint, label int").toPandas()
-    sizes = got["feature"].map(len).to_numpy(np.int64)
-    row = np.repeat(np.arange(len(got)), sizes)
+    placed = sample.select("text", "label", crc_of("doc_id").alias("place"))
+    got = placed.mapInArrow(rows_of, "feature array<int>, count array<int>, label int, place bigint").toPandas()
+    order = np.lexsort((got["label"], got["feature"].map(len), got["place"]))  # the same model whatever order rows arrive in
+    got = got.iloc[order].reset_index(drop=True)
+    row = np.repeat(np.arange(len(got)), got["feature"].map(len).to_numpy(np.int64))
     feature, count = (np.concatenate([*got[c], np.zeros(0)]).astype(np.int64) for c in ("feature", "count"))
-    share = np.bincount(row, marks[feature] * count, len(got)) / np.maximum(1, got["words"].to_numpy())
-    is_toxic = got["label"].to_numpy() == 1
-    thirds = np.quantile(share[is_toxic], [1 / 3, 2 / 3])
-    grade = np.where(is_toxic, 1 + np.searchsorted(thirds, share, "left"), 0)
-    weight, theta = fit_cumulative_link(row, feature, np.log1p(count), grade, len(number))
+    value, is_toxic = np.log1p(count), got["label"].to_numpy() == 1
+    grade = severity_grades(row, feature, value, is_toxic, np.arange(len(got)) % FOLDS, len(number))
+    weight, theta = fit_cumulative_link(row, feature, value, grade, len(number))
     return Ordinal(number, weight, theta)
 
 
-def score_toxicity(docs: DataFrame, model: Ordinal, text_col: str = "text", score_col: str = "expected_severity") -> DataFrame:
-    """`docs` with the expected severity, 0 to 3. A null text scores as an empty one; every row is scored once."""
-    names = docs.columns
+def severity_grades(row: np.ndarray, feature: np.ndarray, value: np.ndarray, is_toxic: np.ndarray, fold: np.ndarray, size: int) -> np.ndarray:
+    """0 for clean rows, else 1 to GRADES: the part in which the score lies that a model fitted without the row's fold gives it."""
+    score = np.zeros(len(is_toxic))
+    for k in range(FOLDS):
+        seen = fold != k
+        place, of = np.cumsum(seen) - 1, seen[row]
+        weight, theta = fit_cumulative_link(place[row[of]], feature[of], value[of], is_toxic[seen].astype(np.int64), size, grades=1)
+        score[~seen] = (np.bincount(row, weight[feature] * value, len(is_toxic)) - theta[0])[~seen]
+    cuts = np.quantile(score[is_toxic], np.arange(1, GRADES) / GRADES)
+    return np.where(is_toxic, 1 + np.searchsorted(cuts, score, "left"), 0)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = model.expected(batch.column(len(names)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, pa.float64())], names=[*names, score_col])
 
-    schema = docs.limit(0).withColumn(score_col, F.lit(0.0)).schema
-    return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(scored, schema)
+def score_toxicity(docs: DataFrame, model: Ordinal, text_col: str = "text", score_col: str = "expected_severity") -> DataFrame:
+    """`docs` with the expected severity, 0 to 3. A null text scores as an empty one; every row is scored once; a column
+    that is named `score_col` is replaced."""
+    return with_score(docs, text_col, score_col, model.expected)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TOXIC_SAMPLE_ROWS) -> DataFrame:
-    """doc_id, expected_severity (0 to 3), toxic (1 from the threshold on)."""
-    model = fit_toxicity(docs, labels, rows=rows)
-    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    """doc_id, expected_severity (0 to 3), toxic (1 from the threshold on), a row for every row of `docs`.
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.expected(batch.column(1)), pa.float64())], names=["doc_id", "expected_severity"])
-
-    out = kept.mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, expected_severity double")
-    return out.withColumn("toxic", F.when(F.col("expected_severity") >= threshold, 1).otherwise(0))
+    A null text is an empty one; null and repeated ids are scored like others. Without toxic or clean labels nothing is
+    toxic. An empty table gives no rows. Columns other than doc_id and text are not looked at.
+    """
+    out = score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, labels, rows=rows))
+    return out.select("doc_id", "expected_severity", F.when(F.col("expected_severity") >= threshold, 1).otherwise(0).alias("toxic"))

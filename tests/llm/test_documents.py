@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,7 +305,23 @@ def test_quality_on_held_out_rows(labelled, odd, none):
     assert {r["score"] for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.quality_scores(none, labels).count() == 0
     model = quality.fit_quality(docs, labels)
-    assert quality.score_quality(odd, model, score_col="__q").columns == [*odd.columns, "__q"]
+    for name in ("__q", "score", "Score"):
+        named = odd.withColumn("text_to_score", F.lit("clash")).withColumn("a.b", F.lit(1))
+        got = quality.score_quality(named, model, score_col=name)
+        assert got.columns == [*(c for c in named.columns if c.lower() != name.lower()), name]
+        again = [r[name] for r in got.orderBy("doc_id", name).collect()]
+        assert again == sorted_scores(odd, model) and all(0 <= p <= 1 for p in again)
+
+
+def sorted_scores(df, model):
+    found = [(k is not None, k, p) for (k, t), p in zip(texts(df), model.probability(quality.statistics_rows(pa.array([t for _, t in texts(df)]))).tolist())]
+    return [p for _, _, p in sorted(found, key=lambda x: (x[0], x[1] or 0, x[2]))]
+
+
+def test_statistics_by_hand():
+    got = quality.statistics(b"Ab ab\nab. 7!")
+    assert got[:13] == pytest.approx([n / 12 for n in (1, 5, 1, 2, 1, 1, 0, 0, 1, 0, 0, 0, 0)])  # one figure a byte class
+    assert got[13:] == pytest.approx([np.log1p(4), 9 / 4, 3 / 4, 1, 0, 2, 1, 0, 1 / 4])
 
 
 def test_flat_trees_walk_like_nested_ones():
@@ -334,6 +351,28 @@ def test_toxicity_on_rows_it_has_not_seen(labelled, odd, none):
     assert toxicity.toxicity_scores(none, labels).count() == 0
 
 
+def test_toxicity_scores_against_the_formula(labelled, odd):
+    docs, labels = labelled
+    model = toxicity.fit_toxicity(docs, labels)
+    assert (model.weight > 0).any() and (np.diff(model.theta) > 0).all()
+    for df in (docs, odd.withColumn("expected_severity", F.lit("clash"))):
+        got = toxicity.score_toxicity(df, model)
+        assert got.columns == [*(c for c in df.columns if c != "expected_severity"), "expected_severity"]
+        for r in got.collect():
+            counts = Counter(f for w in (r["text"] or "").encode().split() for f in toxicity.word_features(w.decode()))
+            z = sum(model.weight[model.number[f]] * np.log1p(n) for f, n in counts.items() if f in model.number)
+            assert r["expected_severity"] == pytest.approx(sum(1 / (1 + np.exp(-np.clip(z - t, -35, 35))) for t in model.theta))
+
+
+def test_grades_come_from_scores_of_the_other_fold():
+    rng = np.random.default_rng(5)
+    toxic = np.arange(400) % 4 == 0
+    strength = np.where(toxic, rng.integers(1, 9, 400), 0)
+    grade = toxicity.severity_grades(np.flatnonzero(toxic), np.zeros(100, int), np.log1p(strength[toxic]), toxic, np.arange(400) // 4 % 2, 1)
+    assert (grade[~toxic] == 0).all() and set(grade[toxic]) == {1, 2, 3}
+    assert np.corrcoef(grade[toxic], strength[toxic])[0, 1] > 0.8
+
+
 def test_cumulative_link_orders_grades():
     rng = np.random.default_rng(6)
     value = rng.normal(size=900)
