@@ -12,34 +12,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.llm import mixing, ngram_join, packing, quality, toxicity
-from panelkit.llm.common import materialize, read
+from panelkit.llm.common import drop_since, free_name, mark, materialize, read
 from panelkit.llm.queries import WORD_BPE
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality classifier predicts to be label 1; it learns from the labelled ones of these documents."""
-    model = quality.fit_quality(docs, read(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model, score_col="__score").where(F.col("__score") >= 0.5).drop("__score")
+    """Rows that the quality classifier predicts to be label 1; it learns from the labelled ones of these documents.
+
+    A null text is judged as an empty one; null and repeated ids are judged row by row; further columns stay. Without
+    labels of both kinds, the share of label 1 decides (without any, all rows stay). An empty table gives no rows.
+    """
+    model, score = quality.fit_quality(docs, read(spark, sf_dir, "labels")), free_name(docs, "quality_score")
+    return quality.score_quality(docs, model, score_col=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose expected severity is below the threshold."""
-    model = toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model, score_col="__severity").where(F.col("__severity") < toxicity.THRESHOLD).drop("__severity")
+    """Rows whose expected severity is below the threshold.
+
+    A null text is judged as an empty one; null and repeated ids are judged row by row; further columns stay. Without
+    labels of both kinds all rows stay. An empty table gives no rows.
+    """
+    model, score = toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels")), free_name(docs, "severity")
+    return toxicity.score_toxicity(docs, model, score_col=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that five-word shingles link at 0.8 or more."""
+    """The document with the smallest id of each group that five-word shingles link at 0.8 or more.
+
+    Null and empty texts link with nothing and stay, and so do rows with a null id. Rows that share an id stay or go
+    together. Further columns stay. An empty table gives no rows.
+    """
     return ngram_join.one_of_each(docs, n=5, percent=80)
 
 
 def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix passes over them: not at all, once or twice."""
+    """Documents as often as the schedule passes over them: not at all, once or twice.
+
+    A null source is a source. Null, empty and blank texts have no words to take and go. Rows that share an id are taken
+    as often as each other. Further columns stay. An empty table gives no rows.
+    """
     return mixing.take_whole(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens: a piece or more for every row, one for a null or empty text."""
     return packing.pack_documents(docs, WORD_BPE)
 
 
@@ -56,7 +72,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The stages on `documents`. A stage's scratch tables go when its result has been written."""
+    docs, began = read(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        drop_since(spark, began, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -47,12 +47,13 @@ def mark() -> int:
     return len(_made)
 
 
-def drop_since(spark: SparkSession, since: int) -> None:
-    """Remove the scratch tables made since a mark. What reads them has to be written by then."""
+def drop_since(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Remove the scratch tables made since a mark, but for the last `keep`. What reads them has to be written by then."""
     conf = spark._jsc.hadoopConfiguration()
-    while len(_made) > since:
-        where = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+    for path in _made[since : len(_made) - keep]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
+        _made.remove(path)
 
 
 def _clean_at_exit(spark: SparkSession) -> None:

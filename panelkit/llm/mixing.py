@@ -2,8 +2,10 @@
 
 Slot i of the schedule is the point frac((i + 1) / golden ratio), mapped through the cumulative targets to a
 source; slots are ranked within their source. Each source's documents are shuffled into a stream (again for the
-second pass), the stream is cut into blocks of equally many words, and the slot of rank k takes block k. A source
-whose share of slots is a few short gets its last blocks after the schedule; slots past its target stay empty.
+second pass), the stream is cut into blocks of equally many words, and the slot of rank k takes block k. What no slot
+takes is not in the mix: there are as many slots as blocks in all targets together, so a source's words depart from its
+target by the schedule's discrepancy, d slots with |d| <= 2 * (3 + ln(slots) / ln(golden ratio)) for every share (3 or fewer
+as measured), and by the rounding to a block.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize, small_or_plain
+from .common import WORD, free_name, materialize, quoted, small_or_plain
 
 GOLDEN = 0.6180339887498949
 CELLS = 4096
@@ -23,7 +25,7 @@ CELLS = 4096
 
 @dataclass
 class Mix:
-    """sized: row, doc_id, source, size. sources: source, number, source_size, target, need. segments: what is taken."""
+    """sized: row, doc_id, source, size. sources: source, number, source_size, target, need. segments: what the slots take."""
 
     sized: DataFrame
     sources: DataFrame
@@ -32,7 +34,8 @@ class Mix:
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
     """sizes: (source, source_size). Weighted targets that add up to `share` of all sizes, none above `most` times its
-    source; what a full source cannot take is shared again by weight. One row a source; the windows see only those rows."""
+    source; what a full source cannot take is shared again by weight. One row a source; the windows see only those rows,
+    all in one task: that is for up to some millions of sources."""
     everything = Window.partitionBy()
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weighted = sizes.withColumn("number", F.row_number().over(by_name) - 1)
@@ -63,55 +66,61 @@ def schedule(sources: DataFrame, block: int, slots: int) -> DataFrame:
     return placed.join(runs, ["number", "run"]).select("number", (F.col("first") + F.col("place") - 1).alias("rank"), "slot")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 256, seed: int = 11, rows_per_task: int = 20_000) -> Mix:
-    """Mix documents so that each source's words come to its target.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, seed: int = 11, rows_per_task: int = 20_000) -> Mix:
+    """Mix documents so that each source's words come near its target, to a few blocks.
 
-    Sources are ordered by code point, null last, and weigh `weights` in turn. `segments` has slot (null: after the
-    schedule), number, rank, row, pass, offset and length, in words of the document. A null or empty text has no
-    words and is never taken. No document is taken more than `most` (2 at most) times. Rows that repeat are separate
-    documents; null ids are kept. The same rows give the same mix in every run. Empty tables give empty frames.
+    Sources are ordered by code point, null last, and weigh `weights` in turn. `segments` has slot, number, rank, row,
+    doc_id, pass, offset and length, in words of the document. A null or empty text has no words and is never taken. No
+    document is taken more than `most` (2 at most) times. Rows that repeat are separate documents; null ids are kept.
+    The same table gives the same mix in every run (rows with a null id: if it is read in the same splits). Empty tables
+    give empty frames.
     """
     if most > 2:
         raise ValueError("a source is passed over twice at most")
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    text = F.col(text_col).cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.crc32(text.cast("binary")).alias("sum"))
     sized = materialize(rows, "sized")
     sources = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    known = sources.agg(F.count("*").alias("n"), F.sum("need").alias("need")).first()
-    tasks = max(1, math.ceil(sized.count() / rows_per_task))
+    known = sources.agg(F.count("*").alias("n"), F.coalesce(F.sum("target"), F.lit(0.0)).alias("target")).first()
+    tasks, slots = max(1, math.ceil(sized.count() / rows_per_task)), math.ceil(known["target"] / block)
+    spare = block * math.ceil(2 * (3 + math.log(max(1, slots)) / -math.log(GOLDEN)))
 
-    few = small_or_plain(sources.withColumnRenamed("source", "name"), known["n"])
+    upto = F.least(F.floor(most * F.col("source_size")), F.col("need") + spare)
+    few = small_or_plain(sources.select(F.col("source").alias("name"), "number", "source_size", upto.alias("upto")), known["n"])
     passes = sized.where("size > 0").join(few, F.col("source").eqNullSafe(F.col("name"))).withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1))))
-    passes = passes.where("pass = 0 or need > source_size").withColumn("key", F.xxhash64(F.lit(seed), "pass", "doc_id", "size")).withColumn("part", F.pmod("key", F.lit(tasks)))
+    key = F.xxhash64(F.lit(seed), "pass", "doc_id", "size", "sum", F.when(F.col("doc_id").isNull(), F.col("row")))
+    passes = passes.where("pass * source_size < upto").withColumn("key", key).withColumn("part", F.pmod("key", F.lit(tasks)))
     keys = ["number", "pass", "part"]
     prior = Window.partitionBy("number", "pass").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = passes.groupBy(*keys).agg(F.sum("size").alias("words")).select(*keys, F.coalesce(F.sum("words").over(prior), F.lit(0)).alias("first"))
     inner = Window.partitionBy(*keys).orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    placed = passes.withColumn("upto", F.sum("size").over(inner)).join(parts, keys)
-    start = F.col("pass") * F.col("source_size") + F.col("first") + F.col("upto") - F.col("size")
-    placed = placed.withColumn("start", start).withColumn("end", F.least(F.col("start") + F.col("size"), F.col("need"))).where("start < end")
+    placed = passes.withColumn("words", F.sum("size").over(inner)).join(parts, keys)
+    start = F.col("pass") * F.col("source_size") + F.col("first") + F.col("words") - F.col("size")
+    placed = placed.withColumn("start", start).withColumn("end", F.least(F.col("start") + F.col("size"), F.col("upto"))).where("start < end")
     cut = placed.withColumn("rank", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
     begin, close = F.greatest("start", F.col("rank") * block), F.least("end", (F.col("rank") + 1) * block)
     pieces = cut.select("number", "rank", "row", "doc_id", "pass", (begin - F.col("start")).alias("offset"), (close - begin).alias("length"))
-    slots = schedule(sources, block, math.ceil((known["need"] or 0) / block))
-    return Mix(sized, sources, pieces.join(slots, ["number", "rank"], "left"))
+    return Mix(sized.drop("sum"), sources, pieces.join(schedule(sources, block, slots), ["number", "rank"]))
 
 
 def mixed_documents(mix: Mix) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (words that the mix takes of it, repeats counted)."""
-    taken = mix.segments.groupBy("row").agg(F.sum("length").alias("taken"))
+    """Per document: doc_id, size, source_size, target, taken (words that slots take of it, repeats counted), source, and
+    first_slot, the place in the mix at which it first appears (null if it does not)."""
+    taken = mix.segments.groupBy("row").agg(F.sum("length").alias("taken"), F.min("slot").alias("first_slot"))
     few = small_or_plain(mix.sources.withColumnRenamed("source", "name"), mix.sources.count())
     joined = mix.sized.join(taken, "row", "left").join(few, F.col("source").eqNullSafe(F.col("name")))
-    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source")
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source", "first_slot")
 
 
 def take_whole(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` once for each pass in which the mix takes words of them, columns as they were.
+    """The rows of `docs` once for each pass in which a slot takes words of them, columns as they were.
 
-    A document at the end of its source's share is taken whole, so a source can exceed its target by one document.
+    A document at the end of its source's share is taken whole, so a source can exceed its share by one document.
     Rows that share an id are taken as often as each other.
     """
-    mix = mix_sources(docs, **options)
-    passes = mix.segments.groupBy("doc_id").agg(F.count_distinct("pass").cast("int").alias("__passes")).withColumnRenamed("doc_id", "__doc")
-    repeated = docs.join(passes, docs[options.get("id_col", "doc_id")].eqNullSafe(F.col("__doc")))
-    return repeated.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__passes")))).select(*(repeated[c] for c in docs.columns))
+    mix, at = mix_sources(docs, **options), options.get("id_col", "doc_id")
+    of, times, one = (free_name(docs, name) for name in ("taken_id", "taken_times", "taken_pass"))
+    passes = mix.segments.groupBy("doc_id", "pass").agg(F.min("slot").alias("slot")).groupBy(F.col("doc_id").alias(of)).agg(F.count("slot").cast("int").alias(times))
+    repeated = docs.join(passes, docs[at].eqNullSafe(F.col(of)))
+    return repeated.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*map(quoted, docs.columns))

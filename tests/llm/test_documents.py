@@ -180,7 +180,9 @@ def test_mixing(odd, none, many):
             taken[r["source"]] += r["taken"]
             size[r["source"]] += r["size"]
             target[r["source"]] = r["target"]
-        assert all(abs(taken[s] - target[s]) <= 1 and target[s] <= 2 * size[s] + 1e-6 for s in target)
+        assert all(abs(taken[s] - target[s]) <= 4 * 16 and target[s] <= 2 * size[s] + 1e-6 for s in target)
+        assert abs(sum(taken.values()) - sum(target.values())) <= 4 * 16
+        assert all((r["first_slot"] is None) == (r["taken"] == 0) for r in rows)
         assert sum(target.values()) == pytest.approx(1.5 * sum(size.values()))
         free = {s: target[s] / w for s, w in zip(sorted((s for s in target), key=lambda s: (s is None, s or "")), [3, 1, 2] * 9) if target[s] < 2 * size[s] - 1e-6}
         assert not free or max(free.values()) - min(free.values()) < 1e-6 * max(free.values())
@@ -188,6 +190,35 @@ def test_mixing(odd, none, many):
     assert {(r["doc_id"], r["taken"]) for r in again} == {(r["doc_id"], r["taken"]) for r in rows}
     assert mixing.mixed_documents(mixing.mix_sources(none)).count() == 0
     assert mixing.take_whole(odd).columns == odd.columns
+    whole = Counter(r["doc_id"] for r in mixing.take_whole(many, block=16).collect())
+    assert all(whole[r["doc_id"]] == 0 for r in mixing.mixed_documents(mixing.mix_sources(many, block=16)).where("taken = 0").collect())
+
+
+def test_the_schedule_decides_what_is_taken(many, monkeypatch):
+    full = mixing.mixed_documents(mixing.mix_sources(many, block=16)).agg(F.sum("taken")).first()[0]
+    slots = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda *a: slots(*a).where("slot % 2 = 0"))
+    half = mixing.mixed_documents(mixing.mix_sources(many, block=16)).agg(F.sum("taken")).first()[0]
+    monkeypatch.setattr(mixing, "schedule", lambda *a: slots(*a).where("false"))
+    assert mixing.mixed_documents(mixing.mix_sources(many, block=16)).agg(F.sum("taken")).first()[0] == 0 and mixing.take_whole(many, block=16).count() == 0
+    assert abs(half - full / 2) < 0.02 * full
+
+
+def test_slots_are_golden_ratio_points(many):
+    mix = mixing.mix_sources(many, block=16)
+    targets = {r["number"]: r["target"] for r in mix.sources.collect()}
+    total, upto, spans = sum(targets.values()), 0.0, {}
+    for k in sorted(targets):
+        spans[k], upto = (upto / total, (upto + targets[k]) / total), upto + targets[k]
+    n = -(-int(total) // 16)
+    want, seen = set(), Counter()
+    for i in range(n):
+        point = (i + 1) * mixing.GOLDEN % 1.0
+        k = next(k for k, (low, high) in spans.items() if low <= point < high)
+        want.add((k, seen[k], i))
+        seen[k] += 1
+    assert {(r["number"], r["rank"], r["slot"]) for r in mixing.schedule(mix.sources, 16, n).collect()} == want
+    assert all(abs(seen[k] - n * targets[k] / total) <= 3 for k in targets)
 
 
 def test_media(odd, none):
