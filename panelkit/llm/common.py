@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A word is a maximal run of characters other than space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,6 +73,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def running(df: DataFrame, key: str, order: list[str], weight: str | None = None) -> DataFrame:
+    """`df` with place (0, 1, ... in each key, by `order`) and before (sum of `weight` at lower places).
+
+    Rows are dealt over all partitions by key and order, so one large key is spread over tasks; a window over the
+    partitions of a key has one row for each of them.
+    """
+    value = F.col(weight) if weight else F.lit(1)
+    spread = materialize(df.repartitionByRange(key, *order).withColumn("part", F.spark_partition_id()), "spread")
+    earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = spread.groupBy(key, "part").agg(F.count("*").alias("n"), F.sum(value).alias("w"))
+    held = held.select(key, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first_n"), F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("first_w"))
+    inner = Window.partitionBy(key, "part").orderBy(*order)
+    sums = F.coalesce(F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = spread.withColumn("place", F.row_number().over(inner) - 1).withColumn("before", sums).join(held, [key, "part"])
+    return placed.withColumn("place", F.col("first_n") + F.col("place")).withColumn("before", F.col("first_w") + F.col("before")).drop("part", "first_n", "first_w")
+
+
 def quoted(name: str) -> Column:
     """The column of this very name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")

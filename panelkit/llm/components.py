@@ -9,9 +9,12 @@ from .common import materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
+    """Every larger neighbour of a node is linked to the smallest of the node and its neighbours.
+
+    The smallest ones are written first: then both sides of the join are plain shuffles, and adaptive execution can split
+    the partition of a node with very many neighbours."""
     both = links.union(links.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    least = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
 
 

@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import free_name, materialize, quoted, running, settled, slices
 from .components import connected_components
 
 BAND = 0.6
+CACHED_WORDS = 200_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _S31, _S29 = np.uint64(31), np.uint64(29)
 
@@ -41,7 +42,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > CACHED_WORDS:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
@@ -168,43 +169,47 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part, sizes, names, found = batch.slice(at, 1000), [], [], []
-                for text in _texts(part.column(1)):
-                    s = shingle_set(text, n)
-                    key = set_key(s)
-                    sizes.append(len(s))
-                    names.append(key if len(s) else None)
-                    found.append(signatures(s, percent).view(np.int64) if len(s) and key not in seen else None)
-                    seen.add(key)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set", "signatures"])
-
-    kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(rows, "doc_id bigint, n_shingles bigint, set bigint, signatures array<bigint>")
-
-
+        for part in slices(batches, 1, rows=1000):
+            sizes, names, found = [], [], []
+            for text in _texts(part.column(1)):
+                s = shingle_set(text, n)
+                key = set_key(s)
+                sizes.append(len(s))
+                names.append(key if len(s) else None)
+                found.append(signatures(s, percent).view(np.int64) if len(s) and key not in seen else None)
+                seen.add(key)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set", "signatures"])
+
+    kept = docs.select(quoted(id_col).cast("bigint").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
+    return kept.mapInArrow(lambda batches: settled(rows(batches), _hashed), "doc_id bigint, n_shingles bigint, set bigint, signatures array<bigint>")
+
+
+#: Bytes of sets or bitmaps that a task sends on at a time, at most (or one row's).
+TILE_BYTES = 16 << 20
 _TILE = "cluster bigint, i int, j int, block int, set bigint, size int, held binary"
 
 
 def _tile_rows(n: int, exact: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From (text, set, block, cluster, tiles): what a tile has to know of the set, once for each of its tiles."""
+        """From (text, set, block, cluster, first, last): what a tile has to know of the set, once for each of its tiles,
+        which are those of its block with the blocks from first to last."""
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
         names = ["cluster", "i", "j", "block", "set", "size", "held"]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                out = []
-                for text, name, block, cluster, tiles in zip(_texts(part.column(0)), *(part.column(c).to_pylist() for c in range(1, 5))):
-                    s = shingle_set(text, n)
-                    if set_key(s) != name:  # another row with this id
-                        continue
-                    held = (s if exact else bitmap(s)).tobytes()
-                    out += [(cluster, min(block, other), max(block, other), block, name, len(s), held) for other in tiles]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=names)
-
-    return rows
+        for part in slices(batches, 0, rows=500):
+            out: list[tuple] = []
+            for text, name, block, cluster, first, last in zip(_texts(part.column(0)), *(part.column(c).to_pylist() for c in range(1, 6))):
+                s = shingle_set(text, n)
+                if set_key(s) != name:  # another row with this id
+                    continue
+                held = (s if exact else bitmap(s)).tobytes()
+                for other in range(first, last + 1):
+                    out.append((cluster, min(block, other), max(block, other), block, name, len(s), held))
+                    if len(out) * len(held) > TILE_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                        out = []
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=names)
+
+    return lambda batches: settled(rows(batches), _hashed)
 
 
 def _settle(percent: int, exact: bool):
@@ -242,27 +247,28 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     Linked: 100 * |intersection| >= percent * |union| of the sets of distinct n-word shingles; words are runs of
     characters other than ASCII white space, A-Z lower-cased. Fewer than n words are one shingle. Null and empty texts
     have an empty set and link with nothing. Rows with one text are linked. A null id has a null component_id. An empty
-    table gives no rows. Links are found in full, except that different sets with one 64-bit hash count as equal.
+    table gives no rows. Links are found in full, except that different sets with one 64-bit hash count as equal. At most
+    `broadcast_rows` rows of six numbers are broadcast; beyond that, texts of the rows that meet others are shuffled.
     """
     first = materialize(shingled(docs, id_col, text_col, n, percent), "shingled")
-    classes = first.where("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    classes = materialize(first.where("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
     same = Window.partitionBy("signature")
     sent = first.where("signatures is not null").select("set", F.explode("signatures").alias("signature"))
     meetings = sent.withColumn("low", F.min("set").over(same)).where("low < set").select(F.col("low").alias("a"), F.col("set").alias("b")).distinct()
     bounded = materialize(connected_components(meetings), "clusters")
     for exact in (False, True):
-        members = bounded.join(classes.withColumnRenamed("set", "node"), "node")
-        up = Window.partitionBy("component").orderBy("n", "node")
-        block = F.floor((F.row_number().over(up) - 1) / block_sets) + F.floor((F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")) / block_elements)
+        members = running(bounded.join(classes.withColumnRenamed("set", "node"), "node"), "component", ["n", "node"], "n")
+        block = F.floor(F.col("place") / block_sets) + F.floor(F.col("before") / block_elements)
         members = materialize(members.select("component", "node", "rep", "n", block.cast("int").alias("block")), "members")
         blocks = members.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
         other = blocks.select("component", F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-        tiles = blocks.join(other, "component").where(100 * F.least("high", "high2") >= percent * F.greatest("low", "low2"))
-        tiles = tiles.groupBy("component", "block").agg(F.collect_list("other").alias("tiles"))
-        wanted = members.join(tiles, ["component", "block"]).select(F.col("rep").alias("doc_id"), F.col("node").alias("set"), "block", F.col("component").alias("cluster"), "tiles")
+        # blocks are in the order of size, so those whose sizes allow a link lie side by side
+        near = blocks.join(other, "component").where(100 * F.least("high", "high2") >= percent * F.greatest("low", "low2"))
+        near = near.groupBy("component", "block").agg(F.min("other").alias("first"), F.max("other").alias("last"))
+        wanted = members.join(near, ["component", "block"]).select(F.col("rep").alias("doc_id"), F.col("node").alias("set"), "block", F.col("component").alias("cluster"), "first", "last")
         few = F.broadcast(wanted) if members.count() <= broadcast_rows else wanted
-        texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(few, "doc_id")
-        held = texts.select("text", "set", "block", "cluster", "tiles").mapInArrow(_tile_rows(n, exact), _TILE)
+        texts = docs.select(quoted(id_col).cast("bigint").alias("doc_id"), quoted(text_col).cast("string").alias("text")).join(few, "doc_id")
+        held = texts.select("text", "set", "block", "cluster", "first", "last").mapInArrow(_tile_rows(n, exact), _TILE)
         ordered = held.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
         bounded = connected_components(ordered.mapInArrow(_settle(percent, exact), "a bigint, b bigint"))
         bounded = materialize(bounded, "components")
@@ -277,12 +283,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of `docs` whose id is the smallest of its component, columns as they were.
 
     Rows with a null id stay. Rows that share an id are one document: they stay or go together.
     """
-    gone = jaccard_join(docs, n, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = jaccard_join(docs, n, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(free_name(docs, "gone"))).distinct()
     gone = materialize(gone, "gone")
     few = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    return docs.join(few, F.col(id_col) == F.col("__gone"), "left_anti")
+    return docs.join(few, docs[id_col] == gone[gone.columns[0]], "left_anti")
