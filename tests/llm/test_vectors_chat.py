@@ -54,6 +54,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """vec_id 1 has two vectors; only one of them has a link, to 2."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, -1.0]), (0, [-1.0, 0.0]), (4, [-1.0, 0.0]), (4, [-1.0, 0.0])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 2, 0, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 2, 0, False), (4, 2, 0, False)]
+
+
+def test_sketches_bound_the_cosine():
+    rng = np.random.default_rng(8)
+    unit = rng.normal(size=(300, 48))
+    unit[:20, 1:] *= 1e-3
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    coarse, scale, rest = embedding_dedup._sketches(unit)
+    about = (coarse.astype(float) * scale[:, None]) @ (coarse.astype(float) * scale[:, None]).T
+    assert (np.abs(about - unit @ unit.T) <= rest[:, None] + rest + rest[:, None] * rest + 1e-9).all() and rest.max() < 0.02
+
+
 def crowded_topic(rows, dims=64, planted=300, within=0.88, pair=0.955):
     """A third of the rows in one topic of mutual cosine 0.88; in it, row k and row planted + k are a pair of 0.955."""
     rng = np.random.default_rng(3)
