@@ -82,8 +82,8 @@ def running(df: DataFrame, key: str, order: list[str], weight: str | None = None
     value = F.col(weight) if weight else F.lit(1)
     spread = materialize(df.repartitionByRange(key, *order).withColumn("part", F.spark_partition_id()), "spread")
     earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    held = spread.groupBy(key, "part").agg(F.count("*").alias("n"), F.sum(value).alias("w"))
-    held = held.select(key, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first_n"), F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("first_w"))
+    held = spread.groupBy(key, "part").agg(F.count("*").alias("rows_in_part"), F.sum(value).alias("weight_in_part"))
+    held = held.select(key, "part", F.coalesce(F.sum("rows_in_part").over(earlier), F.lit(0)).alias("first_n"), F.coalesce(F.sum("weight_in_part").over(earlier), F.lit(0)).alias("first_w"))
     inner = Window.partitionBy(key, "part").orderBy(*order)
     sums = F.coalesce(F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = spread.withColumn("place", F.row_number().over(inner) - 1).withColumn("before", sums).join(held, [key, "part"])

@@ -107,7 +107,7 @@ ROWS = [
 
 
 def test_preferences(spark):
-    turns = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash"))
+    turns = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash")).withColumn("opening", F.lit("clash"))
     got = {r["pair_id"]: r for r in chat.preference_rows(turns).collect()}
     one = got[1]
     assert (one["chosen_id"], one["rejected_id"], one["n_common"]) == (1, 2, 2)
@@ -117,11 +117,26 @@ def test_preferences(spark):
     assert one["chosen"][low:high] == "long answer<|im_end|>\n"
     assert (got[3]["n_common"], got[3]["chosen"], got[3]["rejected"]) == (2, "", "")
     assert got[5]["rejected"] is None and got[5]["chosen"] == "<|im_start|>unknown\n<|im_end|>\n"
-    assert got[6]["chosen_mask"] == "22:33" and got[7]["n_common"] == 1
+    assert got[6]["rejected_id"] is None and got[6]["rejected"] is None and got[6]["chosen_mask"] == "22:33" and got[7]["n_common"] == 1
     assert chat.preference_rows(turns.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("rows", [ROWS])
+def test_borrowed_answers(spark):
+    rows = [(k, t, r, x) for k in (10, 11, 12) for t, r, x in ((0, "user", f"q{k}"), (1, "assistant", "a" * k), (2, "user", "bye"))]
+    got = {r["pair_id"]: r for r in chat.preference_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: r["rejected_id"] for k, r in got.items()} == {10: 11, 11: 10, 12: 11}
+    for k, r in got.items():
+        assert r["n_common"] == 1 and r["prompt"] == f"<|im_start|>user\nq{k}<|im_end|>\n"
+        for side, n in (("chosen", k), ("rejected", r["rejected_id"])):
+            assert r[side] == f"<|im_start|>assistant\n{'a' * n}<|im_end|>\n<|im_start|>user\nbye<|im_end|>\n"
+            low, high = map(int, r[f"{side}_mask"].split(":"))
+            assert r[side][low:high] == "a" * n + "<|im_end|>\n"
+
+
+MORE = [(k, t, r, f"{r} {k * 7 % 5} {k if t else k % 9}" * (1 + k * t % 4)) for k in range(20, 60) for t, r in enumerate(["user", "assistant", "user", "assistant"][: 1 + k % 4])]
+
+
+@pytest.mark.parametrize("rows", [ROWS, [*ROWS, *MORE, (None, 0, "user", "stray"), (None, None, None, None), (None, 1, "assistant", "é")]])
 def test_preferences_like_sql(spark, rows):
     con = duckdb.connect()
     con.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
@@ -134,12 +149,20 @@ def test_preferences_like_sql(spark, rows):
 
 def test_siblings_pair_up_wherever_their_ids_lie(spark):
     ids = sorted({*range(-3, 4), 4095, 4096, 10**6, 10**12, *range(5000, 5000 + 7 * 4096, 4096)})
-    rows = [(k, 0, "user", "hi") for k in ids] + [(k, 1, "assistant", str(k)) for k in ids] + [(8191, 0, "user", "other"), (8192, 0, "user", "other"), (None, 0, "user", "hi")]
+    rows = [(k, 0, "user", "hi") for k in ids] + [(k, 1, "assistant", str(k)) for k in ids] + [(8191, 0, "user", "other"), (8192, 0, "user", "other")]
     got = chat.preference_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
     want = {tuple(ids[k : k + 2]) for k in range(0, len(ids), 2)} | {(8191, 8192)}
     assert {tuple(sorted(x for x in (r["chosen_id"], r["rejected_id"]) if x is not None)) for r in got} == want
     assert {r["pair_id"] for r in got} == {min(p) for p in want} and len(got) == len(want)
-    assert all(r["n_common"] == 1 for r in got)
+    assert all(r["n_common"] == 1 for r in got if r["pair_id"] != r["rejected_id"])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_given_conversations_form_pairs(spark):
+    got = chat.preference_rows(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")).collect()
+    real = [r for r in got if r["rejected"] is not None and r["n_common"] > 0 and r["chosen_mask"] and r["rejected_mask"]]
+    answered = [r for r in got if "assistant\n" in r["prompt"] + r["chosen"]]
+    assert len(real) >= 0.95 * len(answered) > 0.7 * len(got) and any(r["chosen"] != r["rejected"] for r in real)
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
