@@ -302,13 +302,77 @@ def test_lm(odd, none, many):
     assert lm.lm_scores(none).count() == 0
 
 
-def test_log_bilinear_rows_are_distributions():
-    rng = np.random.default_rng(2)
-    counts = rng.integers(0, 50, (13, 12)).astype(float)
-    counts[3] = np.eye(12)[5] * 500
-    table = lm.fit_log_bilinear(counts, dimensions=8, steps=300)
-    assert np.allclose((10**table).sum(1), 1)
-    assert table[3].argmax() == 5
+def bilinear(size=23, seed=1):
+    rng = np.random.default_rng(seed)
+    model = lm.LogBilinear(rng.integers(0, 50, size).astype(float), dimensions=6)
+    for name in ("context", "word", "klass", "word_bias", "klass_bias", "position"):
+        value = getattr(model, name)
+        value += rng.normal(0, 0.7, value.shape).astype(np.float32)
+    return model, rng
+
+
+@pytest.mark.parametrize("size", [2, 5, 23, 26])
+def test_log_bilinear_probabilities_add_up_to_one(size):
+    model, rng = bilinear(size)
+    for _ in range(20):
+        before = np.repeat(rng.integers(0, size + 1, (1, lm.CONTEXT)), size, 0)
+        logs = model.log10(before, np.arange(size), batch=7)
+        assert (10**logs).sum() == pytest.approx(1, abs=1e-5)
+        q = sum(model.context[before[0, k]].astype(float) @ model.position[k] for k in range(lm.CONTEXT))
+        for i in range(size):
+            c = i // model.width
+            classes = np.exp(model.klass.astype(float) @ q + model.klass_bias)
+            mates = np.arange(c * model.width, min(size, (c + 1) * model.width))
+            inside = np.exp(model.word[mates].astype(float) @ q + model.word_bias[mates])
+            assert 10 ** logs[i] == pytest.approx(classes[c] / classes.sum() * inside[i - mates[0]] / inside.sum(), rel=1e-3)
+
+
+def test_noise_contrastive_training_learns_what_follows():
+    """Outcome 5 follows 3 wherever it is in the context; otherwise outcomes are drawn from one law."""
+    rng = np.random.default_rng(4)
+    before = rng.integers(0, 12, (40_000, lm.CONTEXT)).astype(np.int32)
+    ids = np.where((before == 3).any(1), 5, rng.integers(0, 12, len(before))).astype(np.int32)
+    trainer = lm.Trainer(lm.LogBilinear(np.bincount(ids, minlength=12).astype(float), dimensions=8), seed=2, batch=512)
+    for _ in range(6):
+        trainer.learn(before, ids)
+    plain = np.log10(np.bincount(ids) / len(ids))[ids].mean()
+    assert trainer.model.log10(before, ids).mean() > plain + 0.1
+    with_3, without = np.full((1, lm.CONTEXT), 3), np.full((1, lm.CONTEXT), 7)
+    assert 10 ** trainer.model.log10(with_3, np.array([5]))[0] > 0.8 > 0.2 > 10 ** trainer.model.log10(without, np.array([5]))[0]
+
+
+def test_examples_are_tokens_with_those_before_them():
+    vocabulary = lm.Vocabulary(["a", "b", "c"], np.array([9, 5, 3]), 2)
+    of, before, ids = lm.model_ids(vocabulary, 3, np.array([0, 0, 0, 2]), np.array([0, 1, 2, 0]))
+    assert of.tolist() == [0, 0, 0, 0, 1, 2, 2] and ids.tolist() == [0, 1, 2, 3, 3, 0, 3]
+    assert before.tolist() == [[4, 4, 4, 4], [0, 4, 4, 4], [1, 0, 4, 4], [2, 1, 0, 4], [4, 4, 4, 4], [4, 4, 4, 4], [0, 4, 4, 4]]
+
+
+def test_scores_are_sums_over_tokens(many, odd, monkeypatch):
+    """All of score, by the model that was fitted, for one text after another."""
+    fitted = []
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a, **k: fitted.append((a[1], fit(*a, **k))) or fitted[-1][1])
+    for df in (many, odd):
+        rows = lm.lm_scores(df, vocabulary_words=50, head_words=100).collect()
+        vocabulary, model = fitted[-1]
+        train = [(k, t) for k, t in texts(df) if k is None or zlib.crc32(str(k).encode()) % 10]
+        counts = Counter(w for _, t in train for w in t.encode().lower().split())
+        inside = [w.encode() for w in vocabulary.words[: vocabulary.size]]
+        mass = sum(n for w, n in counts.items() if w not in set(inside)) + 0.1 * (len(counts) - len(inside) + 1)
+        want = Counter()
+        for k, t in texts(df):
+            words, total, before = t.encode().lower().split(), 0.0, [vocabulary.begin] * lm.CONTEXT
+            for w in [*words, None]:
+                i = vocabulary.end if w is None else inside.index(w) if w in inside else vocabulary.other
+                total += model.log10(np.array([before]), np.array([i]))[0]
+                if i == vocabulary.other:
+                    total += np.log10((counts[w] + 0.1) / mass)
+                before = [i, *before[:-1]]
+            want[k, round(total, 2)] += 1
+        got = Counter((r["doc_id"], round(r["score"], 2)) for r in rows)
+        assert sum((got & want).values()) >= 0.97 * len(rows)  # the rest lies at a border of rounding
+        assert {k for k, _ in got} == {k for k, _ in want}
 
 
 @pytest.fixture(scope="module")
