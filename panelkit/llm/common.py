@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -112,6 +113,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of rows that Spark hands to Python at a time, about.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what Spark hands to a Python worker at a time by bytes, since texts have any length. The session's own
+    setting stays if it is smaller."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now > BATCH_BYTES or now <= 0:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 8 << 20, rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """The rows of `batches` in parts of at most `rows` rows whose texts in `column` have `most_bytes` bytes together, or
     of one row if its text alone has more."""
@@ -126,7 +140,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 8 <
 
 
 def settled(rows: Iterator[pa.RecordBatch], *caches) -> Iterator[pa.RecordBatch]:
-    """`rows`; at the end of the partition the caches are emptied, since a worker process outlives its task."""
+    """`rows`; at the end of the partition the caches are emptied and memory goes back to the system, since a worker
+    process outlives its task."""
     try:
         yield from rows
     finally:
@@ -134,3 +149,6 @@ def settled(rows: Iterator[pa.RecordBatch], *caches) -> Iterator[pa.RecordBatch]
             cache.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)

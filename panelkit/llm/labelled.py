@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted, slices
+from .common import quoted, settled, slices, small_batches
 
 #: The most labelled rows that a classifier is fitted on.
 SAMPLE_ROWS = 12_000
@@ -25,6 +25,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
 
     The sample is bounded by `rows`, so it is broadcast. An id labelled twice counts twice.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
     if allowed is not None:
         known = known.where(allowed)
@@ -47,4 +48,5 @@ def with_score(docs: DataFrame, text_col: str, score_col: str, score: Callable[[
             found = score(batch.column(len(names)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, pa.float64())], names=[*names, score_col])
 
-    return given.mapInArrow(scored, schema)
+    small_batches(docs.sparkSession)
+    return given.mapInArrow(lambda batches: settled(scored(batches)), schema)

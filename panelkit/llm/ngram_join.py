@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, materialize, quoted, running, settled, slices
+from .common import free_name, materialize, quoted, running, settled, slices, small_batches
 from .components import connected_components
 
 BAND = 0.6
@@ -238,7 +238,7 @@ def _settle(percent: int, exact: bool):
         if now is not None:
             yield settle(now, held)
 
-    return rows
+    return lambda batches: settled(rows(batches))
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_sets: int = 512, block_elements: int = 400_000, broadcast_rows: int = 300_000) -> DataFrame:
@@ -250,6 +250,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     table gives no rows. Links are found in full, except that different sets with one 64-bit hash count as equal. At most
     `broadcast_rows` rows of six numbers are broadcast; beyond that, texts of the rows that meet others are shuffled.
     """
+    small_batches(docs.sparkSession)
     first = materialize(shingled(docs, id_col, text_col, n, percent), "shingled")
     classes = materialize(first.where("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
     same = Window.partitionBy("signature")

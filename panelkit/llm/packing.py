@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, settled, slices
+from .common import materialize, settled, slices, small_batches
 
 #: Latin letters, then ASCII marks that are neither an apostrophe nor part of a special token. Both runs are
 #: separate pre-tokens for a tokenizer that splits letters from marks, so they can be looked up separately.
@@ -255,6 +255,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     are interchangeable; which of them goes where depends on a hash. An empty table gives no rows. Other columns of `docs`
     are not looked at. Ranks are counted in parts of a length of about `rows_per_task` rows, so no length is one task.
     """
+    small_batches(docs.sparkSession)
     pieces = materialize(cut_pieces(docs, id_col, text_col, capacity, tokenizer_path, end_id, with_ids), "pieces")
     lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity`
     plan = sorted(best_fit_decreasing(lengths, capacity))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import settled, slices
 from .labelled import SAMPLE_ROWS, crc_of, labelled_sample, with_score
 
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".", b",", b"|", b"!", b"#$%&*@^~", b"<>[]{}()\\/=_+", b"\"'`-:;?", bytes(range(128, 256))]
@@ -118,7 +118,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, allowed=None, label: str = "quality", rows: int = SAMPLE_ROWS) -> Boosted:
     """Fit on at most `rows` labelled documents, of which only the statistics and the label reach the driver."""
-    got = labelled_sample(docs, labels, label, allowed, rows).select("text", "label").mapInArrow(_measured, "x array<double>, label int").toPandas()
+    got = labelled_sample(docs, labels, label, allowed, rows).select("text", "label").mapInArrow(lambda batches: settled(_measured(batches)), "x array<double>, label int").toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, N_STATISTICS)
     order = np.lexsort((*x.T, got["label"].to_numpy()))  # the same model whatever order rows arrive in
     return fit_boosted(x[order], got["label"].to_numpy(np.float64)[order])

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import settled, slices
 from .labelled import crc_of, labelled_sample, with_score
 
 GRADES = 3
@@ -32,6 +32,8 @@ SIGNIFICANT = 2.8
 FOLDS = 2
 #: The most labelled rows to learn from: inflected forms are rare, so more than for document statistics.
 TOXIC_SAMPLE_ROWS = 40_000
+#: Features that a task counts before it sends the counts on.
+HELD_FEATURES = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -106,17 +108,24 @@ def fit_cumulative_link(row: np.ndarray, feature: np.ndarray, value: np.ndarray,
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents of each label a feature is, summed over the task's share of the sample."""
+    """In how many documents of each label a feature is, summed over what a task sees before it holds too many features."""
     found = (Counter(), Counter())
-    for batch in slices(batches, 0):
+
+    def counted() -> pa.RecordBatch:
+        names = list(found[0].keys() | found[1].keys())
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in found)], names=["feature", "clean", "toxic"])
+        for c in found:
+            c.clear()
+        return out
+
+    for batch in slices(batches, 0, 2 << 20):
         bounds, codes, words = _coded(batch.column(0))
         features = [word_features(w) for w in words]
         for k, label in enumerate(batch.column(1).to_pylist()):
             found[label].update({f for c in np.unique(codes[bounds[k] : bounds[k + 1]]).tolist() for f in features[c]})
-    names = list(found[0] | found[1])
-    for at in range(0, len(names), 100_000):
-        part = names[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([found[0][f] for f in part], pa.int64()), pa.array([found[1][f] for f in part], pa.int64())], names=["feature", "clean", "toxic"])
+        if len(found[0]) + len(found[1]) > HELD_FEATURES:
+            yield counted()
+    yield counted()
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TOXIC_SAMPLE_ROWS, vocabulary: int = VOCABULARY, allowed=None) -> Ordinal:
@@ -129,7 +138,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     if not clean or not toxic:
         return Ordinal({}, np.zeros(0), np.full(GRADES, 30.0))
-    counts = sample.select("text", "label").mapInArrow(_feature_counts, "feature string, clean bigint, toxic bigint")
+    counts = sample.select("text", "label").mapInArrow(lambda batches: settled(_feature_counts(batches)), "feature string, clean bigint, toxic bigint")
     counts = counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
@@ -145,7 +154,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
             yield pa.RecordBatch.from_arrays([*lists, batch.column(1), batch.column(2)], names=["feature", "count", "label", "place"])
 
     placed = sample.select("text", "label", crc_of("doc_id").alias("place"))
-    got = placed.mapInArrow(rows_of, "feature array<int>, count array<int>, label int, place bigint").toPandas()
+    got = placed.mapInArrow(lambda batches: settled(rows_of(batches)), "feature array<int>, count array<int>, label int, place bigint").toPandas()
     order = np.lexsort((got["label"], got["feature"].map(len), got["place"]))  # the same model whatever order rows arrive in
     got = got.iloc[order].reset_index(drop=True)
     row = np.repeat(np.arange(len(got)), got["feature"].map(len).to_numpy(np.int64))
