@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import materialize, settled, slices, small_batches
 
 #: Fixed values of the PNG format: signature, and the length of signature plus header chunk.
 PNG_START = b"\x89PNG\r\n\x1a\n"
@@ -70,8 +70,8 @@ def payload_column(text: Column) -> Column:
 
 def _shard_writer(root: str, suffix: str) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows are (digest, payload). What a task remembers is a digest for each of its rows at most. A shard appears
-        under its name only when whole, so a task may run again."""
+        """Rows are (digest, payload). What a task remembers is a digest for each of its rows at most. A shard's name has
+        the attempt in it, so attempts of one task never write the same file; only a committed one is in the index."""
         task = TaskContext.get()
         files, base = fs.FileSystem.from_uri(root)
         part, out, at, seen, rows = 0, None, 0, set(), []
@@ -79,10 +79,9 @@ def _shard_writer(root: str, suffix: str) -> Callable:
         def close() -> pa.RecordBatch:
             out.write(b"\0" * 1024)
             out.close()
-            files.move(f"{base}/{name}.{task.taskAttemptId()}", f"{base}/{name}")
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["digest", "shard", "offset", "length"])
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             for digest, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if digest in seen:
                     continue
@@ -93,8 +92,8 @@ def _shard_writer(root: str, suffix: str) -> Callable:
                     part, out, rows = part + 1, None, []
                 if out is None:
                     files.create_dir(base, recursive=True)
-                    name, at = f"shard-{task.partitionId():06d}-{part:04d}.tar", 0
-                    out = files.open_output_stream(f"{base}/{name}.{task.taskAttemptId()}", compression=None, buffer_size=1 << 20)
+                    name, at = f"shard-{task.partitionId():06d}-{part:04d}-{task.taskAttemptId()}.tar", 0
+                    out = files.open_output_stream(f"{base}/{name}", compression=None, buffer_size=1 << 20)
                 member = tarfile.TarInfo(f"{digest}.{suffix}")
                 member.size = len(stored)
                 head = member.tobuf(tarfile.GNU_FORMAT)
@@ -106,7 +105,7 @@ def _shard_writer(root: str, suffix: str) -> Callable:
         if out is not None:
             yield close()
 
-    return write
+    return lambda batches: settled(write(batches))
 
 
 def store_payloads(payloads: DataFrame, root: str, suffix: str = "png") -> DataFrame:
@@ -116,14 +115,26 @@ def store_payloads(payloads: DataFrame, root: str, suffix: str = "png") -> DataF
     first. Payloads do not travel; leave out those that another row stands for. An empty table writes nothing.
     """
     written = materialize(payloads.select("digest", "payload").mapInArrow(_shard_writer(root, suffix), "digest string, shard string, offset bigint, length bigint"), "media-written")
+    remove_orphans(written, root)
     place = F.struct("shard", "offset", "length")
     return written.groupBy("digest").agg(F.min(place).alias("at")).select("digest", "at.*")
 
 
+def remove_orphans(written: DataFrame, root: str) -> None:
+    """Remove the shards under `root` that attempts have left which did not commit. Names come one for each shard."""
+    spark, kept = written.sparkSession, {r["shard"] for r in written.select("shard").distinct().collect()}
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(where) if files.exists(where) else []:
+        if status.getPath().getName() not in kept:
+            files.delete(status.getPath(), False)
+
+
 def copies_of_others(rows: DataFrame) -> DataFrame:
     """(doc_id, digest) of the rows whose payload a row with a smaller id has, too."""
     least = rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    return rows.join(least.select("digest", "least"), "digest").where("doc_id <> least").select("doc_id", "digest")
+    least = materialize(least.select("digest", "least"), "media-copied")  # so that the join can split a digest that many rows have
+    return rows.join(least, "digest").where("doc_id <> least").select("doc_id", "digest")
 
 
 def _reader(root: str, read: Callable, names: list[str]) -> Callable:
@@ -139,7 +150,7 @@ def _reader(root: str, read: Callable, names: list[str]) -> Callable:
             if out:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in zip(*out))], names=[*batch.schema.names, *names])
 
-    return rows
+    return lambda batches: settled(rows(batches))
 
 
 def with_headers(index: DataFrame, root: str) -> DataFrame:
@@ -164,15 +175,16 @@ def with_features(index: DataFrame, root: str) -> DataFrame:
     return index.mapInArrow(_reader(root, _features, names), f"{kinds}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root: str | None = None, broadcast_rows: int = 200_000) -> DataFrame:
-    """Store every whole text as a payload and describe it from what has been stored.
+def media_columns(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
+    """Store every whole text as a payload under `root`, a new folder that all executors reach, and describe it from what
+    has been stored there. The shards are the product: they stay.
 
     Returns doc_id, n_bytes (of the text, without padding), what `with_features` reads back, width and height from
-    the header, and digest, shard, offset, length. A null text is an empty one: 64 bytes 0. Repeated rows and null
-    ids stay; equal texts get equal values and one stored copy. An empty table gives no rows. Other columns are not
-    looked at.
+    the header, and digest, root, shard, offset, length. A null text is an empty one: 64 bytes 0. Repeated rows and null
+    ids stay; equal texts get equal values and one stored copy. An empty table gives no rows and no shard. Other columns are
+    not looked at.
     """
-    root = root or scratch_path(docs.sparkSession, "media")
+    small_batches(docs.sparkSession)
     payload = payload_column(F.col(text_col))
     whole = docs.select(F.col(id_col).alias("doc_id"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
     n_bytes = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("bigint").alias("n_bytes")
@@ -183,4 +195,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     index = materialize(store_payloads(whole.join(copies, ["doc_id", "digest"], "left_anti"), root).repartition("shard").sortWithinPartitions("shard", "offset"), "media-index")
     described = with_features(with_headers(index, root), root)
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return rows.join(described, "digest").select("doc_id", "n_bytes", *names, "width", "height", "digest", "shard", "offset", "length")
+    return rows.join(described, "digest").select("doc_id", "n_bytes", *names, "width", "height", "digest", F.lit(root).alias("root"), "shard", "offset", "length")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -26,7 +27,10 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(read(spark, sf_dir, "documents"))
+    """Shards go to a folder of their own in the warehouse, which each row names, and stay there."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir")).toUri()
+    place = f"{root.getScheme() or 'file'}://{root.getAuthority() or ''}{root.getPath()}/panelkit-media/{uuid.uuid4().hex}"
+    return media.media_columns(read(spark, sf_dir, "documents"), place)
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Rows lie in blocks. How many rows of each block go to each shard is drawn first, from the multivariate
 hypergeometric law that a uniform shuffle obeys, so shard sizes are exact. Then every block permutes its own rows
-and cuts the permutation at those counts, rows travel once, and every shard permutes what has arrived.
+and cuts the permutation at those counts, and every shard permutes what has arrived. Only ids, sizes and checksums travel:
+once to their block, once to their shard.
 The matrix is drawn by halving the list of blocks again and again: at each node one conditional draw a shard
 decides what goes to the left half.
 """
@@ -85,16 +86,17 @@ def shuffle_to_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Returns doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law ("rows"), shard, slot (gapless from 0 in
     each shard) and grown_shard (null: under this law an added shard moves rows everywhere). A null text has size 1
     and the checksum of no bytes. Null and repeated ids keep their rows; other columns are not looked at. An empty
-    table gives no rows. The same rows get the same places in every run; rows equal in id and text are interchangeable.
+    table gives no rows. The same rows get the same places in every run; rows equal in id and text are interchangeable, and
+    in one block.
     """
     total = docs.count()
     blocks = max(16, math.ceil(total / rows_per_task))
-    block = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(blocks)).cast("int")
-    counts = docs.groupBy(block.alias("block")).agg(F.count("*").alias("rows"))
-    matrix = communication_matrix(counts, shards, blocks, seed)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    block = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32"), F.lit(blocks)).cast("int").alias("block")
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = materialize(rows.select("*", block), "sizes")
+    matrix = communication_matrix(rows.groupBy("block").agg(F.count("*").alias("rows")), shards, blocks, seed)
 
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), block.alias("block"))
     local = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "text_crc32"), "doc_id", "text_crc32")
     ranked = rows.withColumn("place", F.row_number().over(local))
     sent = ranked.join(matrix, "block").withColumn("shard", F.size(F.filter("upto", lambda c: c < F.col("place"))))

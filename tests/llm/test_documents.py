@@ -3,6 +3,7 @@ columns whose names clash."""
 
 import hashlib
 import random
+import tarfile
 import zlib
 from collections import Counter, defaultdict
 
@@ -221,8 +222,19 @@ def test_slots_are_golden_ratio_points(many):
     assert all(abs(seen[k] - n * targets[k] / total) <= 3 for k in targets)
 
 
-def test_media(odd, none):
-    rows = media.media_columns(odd).collect()
+def test_media(odd, none, spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "shard-000000-0000-999.tar").write_bytes(b"of an attempt that failed")
+    root = f"file://{tmp_path}/m"
+    rows = media.media_columns(odd, root).collect()
+    assert {r["root"] for r in rows} == {root} and {p.name for p in (tmp_path / "m").glob("shard*")} == {r["shard"] for r in rows}
+    for r in rows:  # the shards are there, and are tar files whose members have the digests as names
+        with open(f"{tmp_path}/m/{r['shard']}", "rb") as f:
+            f.seek(r["offset"])
+            assert hashlib.sha256(f.read(r["length"])).hexdigest() == r["media_sha256"]
+    for shard in {r["shard"] for r in rows}:
+        with tarfile.open(f"{tmp_path}/m/{shard}") as f:
+            assert {m.name for m in f} >= {f"{r['digest']}.png" for r in rows if r["shard"] == shard}
     want = Counter()
     for name, text in texts(odd):
         raw = text.encode()
@@ -231,7 +243,7 @@ def test_media(odd, none):
     assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in rows) == want
     assert all(r["width"] * r["height"] == r["payload_bytes"] and r["digest"] == r["payload_sha256"] for r in rows)
     assert len({(r["digest"], r["shard"], r["offset"], r["media_sha256"], r["feature"]) for r in rows}) == len({r["digest"] for r in rows})
-    assert media.media_columns(none).count() == 0
+    assert media.media_columns(none, f"file://{tmp_path}/n").count() == 0
 
 
 def components(df, n, percent):
