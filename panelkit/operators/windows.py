@@ -102,10 +102,10 @@ def trailing_of_agg(df: DataFrame, keys: Sequence[str], order: Sequence[str], x:
 
 
 def avg_rank(df: DataFrame, keys: Sequence[str], x: str, name: str) -> DataFrame:
-    """Ranks from 1, ties at their mean."""
-    r = F.rank().over(Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last()))
-    same = F.count("*").over(Window.partitionBy(*keys, x))
-    return df.withColumn(name, r + (same - 1) / 2)
+    """Ranks from 1, ties at their mean. Ties are counted in the order of the ranks, so one sort serves both."""
+    w = Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last())
+    same = F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return df.withColumn(name, F.rank().over(w) + (same - 1) / 2)
 
 
 def trailing_min(df: DataFrame, entity: Sequence[str], order: Sequence[str], x: str, n: int | None, min_periods: int, name: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalar import order_bounds
 from ..operators import aggs, joins, shape, windows
+from ..sources.scratch import stored
 
 NOMINAL = 0.8
 #: Penalties that ridge chooses from: 20 from 0.01 to 1,000, evenly on a log scale.
@@ -46,17 +47,17 @@ def fill(df: DataFrame, medians: Mapping[str, float]) -> DataFrame:
     return df.fillna(dict(medians)).withColumns({c: F.when(F.isnan(F.col(c).cast("double")), m).otherwise(F.col(c).cast("double")) for c, m in medians.items()})
 
 
-def fit_ridge(df: DataFrame, features: str, outcome: str, alpha: float = 10.0, prediction: str = "ridge"):
-    """Ridge with the penalty of the closed form: regParam is alpha * sd(y) / n."""
-    n, sd = df.agg(F.count("*"), F.stddev_pop(outcome)).first()
+def fit_ridge(df: DataFrame, features: str, outcome: str, alpha: float = 10.0, prediction: str = "ridge", known: tuple[int, float] | None = None):
+    """Ridge with the penalty of the closed form: regParam is alpha * sd(y) / n. known: n and sd(y), if counted before."""
+    n, sd = known or df.agg(F.count("*"), F.stddev_pop(outcome)).first()
     return LinearRegression(featuresCol=features, labelCol=outcome, predictionCol=prediction, elasticNetParam=0.0, regParam=alpha * (sd or 0.0) / max(1, n), solver="normal").fit(df)
 
 
 def choose_alpha(train: DataFrame, held: DataFrame, features: str, outcome: str, alphas: Sequence[float]) -> float:
     """The penalty with the smallest squared error on held rows, of which all are tried in one pass; the smaller one on a tie."""
-    shown = held
+    shown, known = held, tuple(train.agg(F.count("*"), F.stddev_pop(outcome)).first())
     for k, alpha in enumerate(alphas):
-        shown = fit_ridge(train, features, outcome, alpha, f"__ridge{k}").transform(shown)
+        shown = fit_ridge(train, features, outcome, alpha, f"__ridge{k}", known).transform(shown)
     errors = shown.agg(*(F.avg((F.col(f"__ridge{k}") - F.col(outcome)) ** 2) for k in range(len(alphas)))).first()
     return min(zip(errors, alphas))[1]
 
@@ -109,23 +110,21 @@ def fit(train: DataFrame, cal: DataFrame | None, spec: Spec) -> Model:
         raise ValueError(f"fewer than {spec.least_rows} rows to learn from")
     medians = impute(rows, spec.features)
     o = spec.options
-    filled = fill(rows, medians).withColumn(spec.outcome, F.col(spec.outcome).cast("double")).cache()
+    filled = fill(rows, medians).withColumn(spec.outcome, F.col(spec.outcome).cast("double"))
     assembler = Pipeline(stages=[VectorAssembler(inputCols=list(spec.features), outputCol="raw_features"), StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)]).fit(filled)
-    ready = assembler.transform(filled).localCheckpoint()
-    filled.unpersist()
+    ready = assembler.transform(filled).persist()
     alpha = o.get("alpha")
     if alpha is None:
         early, held = windows.chrono_split(ready, [*spec.keys[1:], spec.keys[0]])
-        alpha = 10.0 if held is None else choose_alpha(early.cache(), held.cache(), "features", spec.outcome, ALPHAS)
-        early.unpersist()
-        if held is not None:
-            held.unpersist()
+        alpha = 10.0 if held is None else choose_alpha(early, held, "features", spec.outcome, ALPHAS)
     ridge = fit_ridge(ready, "features", spec.outcome, alpha)
     boost = GBTRegressor(featuresCol="features", labelCol=spec.outcome, predictionCol="boost", maxDepth=4, maxIter=int(o["rounds"]), stepSize=o["rate"], subsamplingRate=0.8, minInstancesPerNode=int(o["leaf"]), seed=7).fit(ready)
     forest = RandomForestRegressor(featuresCol="features", labelCol=spec.outcome, predictionCol="forest", leafCol="leaf", numTrees=int(o["trees"]), maxDepth=5, minInstancesPerNode=int(o["leaf"]), seed=7).fit(ready)
     seen = forest.transform(ready).select(spec.outcome, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf_id"))
     q = (1 - NOMINAL) / 2
-    leaves = seen.groupBy("tree", "leaf_id").agg(F.percentile(spec.outcome, q).alias("q_low"), F.percentile(spec.outcome, 1 - q).alias("q_high")).cache()
+    leaves = seen.groupBy("tree", "leaf_id").agg(F.percentile(spec.outcome, q).alias("q_low"), F.percentile(spec.outcome, 1 - q).alias("q_high"))
+    leaves = stored(leaves, "leaves")
+    ready.unpersist()
     model = Model(spec, medians, assembler, ridge, boost, forest, leaves, 0.0)
     if cal is not None:
         reject_overlap(rows, cal, spec.keys)
@@ -187,7 +186,8 @@ def walk_forward(df: DataFrame, periods: Sequence[tuple[int, int]] | None, spec:
         if past.count() < least_history or now.count() < least_players:
             continue
         train, cal = windows.chrono_split(past, ["season", "week", spec.keys[0]])
-        got = factory(train, cal, spec).predict(now).localCheckpoint()
+        got = factory(train, cal, spec).predict(now)
+        got = stored(got, "replayed")
         out = got if out is None else out.unionByName(got)
     if out is None:
         raise ValueError("no period has enough history")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import shape
+from ..sources.scratch import stored
 from . import forecast, ranking, studies
 from .instances_core import MODEL_SQL, E, G, model_rows
 from .panel import order_panel, table
@@ -92,7 +93,8 @@ def m28_ledger_summary(spark, sf_dir):
 @query()
 def m12_walk_forward(spark, sf_dir):
     """All periods replayed with ridge, boosting and leaf-quantile ranges, each fitted on what is before it."""
-    rows = features(spark, sf_dir).where("not is_upcoming").localCheckpoint()
+    rows = features(spark, sf_dir).where("not is_upcoming")
+    rows = stored(rows, "features")
     got = forecast.walk_forward(rows, None, SPEC)
     return got.select(*E, *G, "actual", *(F.round(c, 4).alias(c) for c in ("points", "low", "high")))
 
@@ -100,7 +102,7 @@ def m12_walk_forward(spark, sf_dir):
 @query()
 def m18_predict_period(spark, sf_dir):
     """Forecast of the upcoming month for all eligible customers."""
-    rows = features(spark, sf_dir).cache()
+    rows = stored(features(spark, sf_dir), "features")
     at = rows.where("is_upcoming").select("season", "week").first()
     got = forecast.predict_period(rows, at["season"], at["week"], SPEC)
     return forecast.publish_rows(got, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("name")))

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import checks, joins, windows
 from ..sources import sinks
+from ..sources.scratch import stored
 from . import backtest, ranking
 from .panel import order_panel
 from .registry import query
 from .slice import Slice, sql
 
-RANK_COLS = "player_id, season, week, position, is_qualified, composite_score, rank, prev_rank, movement, is_new"
+RANK_COLS = "player_id, season, week, position, is_qualified, composite_score, rank, prev_rank, movement, is_new, fantasy_rank, prev_fantasy_rank, fantasy_movement, fantasy_is_new, week_complete"
 
 
 @query(sql("ranks", f"SELECT {RANK_COLS} FROM ranks"))
@@ -49,9 +50,9 @@ def r06_rank_scores(spark, sf_dir):
     return Slice(spark, sf_dir).scores.select("player_id", "season", "week", "efficiency_score", "production_score", "composite_score")
 
 
-@query(sql("percentiles", """SELECT player_id, season, week, metric, round(100 * percentile * weight / sum(weight) OVER (PARTITION BY player_id, season, week, component)
-  * CASE WHEN kinds = 1 THEN 1.0 WHEN component = 'efficiency' THEN 0.2 ELSE 0.8 END, 5) AS contribution
- FROM percentiles JOIN (SELECT player_id, season, week, count(DISTINCT component) AS kinds FROM percentiles GROUP BY ALL) USING (player_id, season, week)"""))
+@query(sql("percentiles", """, each AS (SELECT player_id, season, week, sum(weight) FILTER (component = 'efficiency') AS e, sum(weight) FILTER (component = 'production') AS p FROM percentiles GROUP BY player_id, season, week)
+ SELECT player_id, season, week, metric, round(percentile * weight * (CASE WHEN e IS NULL THEN 100 / p WHEN p IS NULL THEN 100 / e WHEN component = 'efficiency' THEN 20 / e ELSE 80 / p END), 5) AS contribution
+ FROM percentiles JOIN each USING (player_id, season, week)"""))
 def r08_breakdown(spark, sf_dir):
     return Slice(spark, sf_dir).breakdown.select("player_id", "season", "week", "metric", F.round("contribution", 5).alias("contribution"))
 
@@ -127,61 +128,71 @@ def j10_running_event_count(spark, sf_dir):
     return counted.groupBy("season", "week", "team").agg(F.min("team_games").alias("low"), F.max("team_games").alias("high"))
 
 
-PAIRS_SQL = """pairs AS (SELECT r.season, r.week, r.position, r.player_id, r.efficiency_score, r.production_score, CAST(r.cum_revenue AS DOUBLE) AS season_points,
-  r.cum_revenue / nullif(r.games, 0) AS per_game, CAST(n.revenue AS DOUBLE) AS next_points
- FROM ranks r JOIN panel n ON n.player_id = r.player_id AND n.season = r.season AND n.week = r.week + 1 WHERE r.is_qualified)"""
-METHODS_SQL = """methods AS (
- SELECT season, week, position, player_id, next_points, 'blend_' || CAST(w AS INTEGER) AS method, (w / 100) * efficiency_score + (1 - w / 100) * production_score AS score
- FROM pairs, (VALUES (0.0), (10.0), (20.0), (30.0), (40.0), (50.0), (75.0), (100.0)) v(w)
- UNION ALL SELECT season, week, position, player_id, next_points, 'season_points', season_points FROM pairs
- UNION ALL SELECT season, week, position, player_id, next_points, 'per_game', per_game FROM pairs)"""
-GROUPS_SQL = """kept AS (SELECT *, round(score, 9) AS s FROM methods), sized AS (SELECT *, count(*) OVER g AS n, count(s) OVER g AS known,
-   rank() OVER (PARTITION BY season, week, position, method ORDER BY s) + (count(*) OVER (PARTITION BY season, week, position, method, s) - 1) / 2 AS rs,
-   rank() OVER (PARTITION BY season, week, position, method ORDER BY next_points) + (count(*) OVER (PARTITION BY season, week, position, method, next_points) - 1) / 2 AS ro,
-   row_number() OVER (PARTITION BY season, week, position, method ORDER BY s DESC NULLS LAST, player_id) AS place
-  FROM kept WINDOW g AS (PARTITION BY season, week, position, method)),
-groups AS (SELECT season, week, position, method, count(*) AS n, CASE WHEN count(*) >= 3 AND max(rs) > min(rs) AND max(ro) > min(ro) THEN covar_pop(rs, ro) / (stddev_pop(rs) * stddev_pop(ro)) END AS rho,
-   CASE WHEN count(*) > 12 THEN avg(next_points) FILTER (place <= 12) - avg(next_points) END AS lift
-  FROM sized WHERE n >= 8 AND known = n GROUP BY ALL)"""
+TOP = {"BUILDING": 24, "HOUSEHOLD": 24}
+BASE = {"season_points": "season_points", "per_game": "per_game"}
+
+PAIRS_SQL = """pairs AS (SELECT season, week, position, player_id, efficiency_score, production_score, cum_revenue::DOUBLE AS season_points, cum_revenue / nullif(games, 0) AS per_game,
+  paid.revenue::DOUBLE AS next_points, CASE WHEN position <> 'MACHINERY' THEN paid.qty::DOUBLE END AS next_qty
+ FROM ranks SEMI JOIN (SELECT true AS yes) ON is_qualified = yes JOIN (SELECT player_id, season, week - 1 AS week, revenue, qty FROM panel) paid USING (player_id, season, week))"""
+#: A row for each pair and method.
+METHODS_SQL = """methods AS (SELECT season, week, position, player_id, next_points, next_qty, unnest([""" + ", ".join(f"{{'method': 'blend_{s}', 'score': coalesce({s / 100!r}::DOUBLE * efficiency_score + {1 - s / 100!r}::DOUBLE * production_score, efficiency_score, production_score)}}" for s in backtest.SHARES) + """,
+   {'method': 'season_points', 'score': season_points}, {'method': 'per_game', 'score': per_game}], recursive := true) FROM pairs)"""
+
+
+def groups_sql(outcome: str = "next_points", name: str = "groups") -> str:
+    """Rank correlation and lift of each group and method: ranks are the mean place of equal values, best ones a list's head."""
+    return f"""{name}_pool AS (SELECT season, week, position, player_id, method, round(score, 9) AS s, {outcome} AS y FROM methods WHERE {outcome} IS NOT NULL),
+{name}_sorted AS (SELECT *, row_number() OVER (PARTITION BY season, week, position, method ORDER BY s) AS i, row_number() OVER (PARTITION BY season, week, position, method ORDER BY y) AS j FROM {name}_pool),
+{name}_placed AS (SELECT *, avg(i) OVER (PARTITION BY season, week, position, method, s) AS rs, avg(j) OVER (PARTITION BY season, week, position, method, y) AS ro FROM {name}_sorted),
+{name} AS (SELECT season, week, position, method, count(*) AS n, CASE WHEN max(rs) > min(rs) AND max(ro) > min(ro) THEN corr(rs, ro) END AS rho,
+  CASE WHEN count(*) > if(position IN ('BUILDING', 'HOUSEHOLD'), 24, 12) THEN list_avg(list(y ORDER BY s DESC, player_id)[1:if(position IN ('BUILDING', 'HOUSEHOLD'), 24, 12)]) - avg(y) END AS lift
+ FROM {name}_placed GROUP BY season, week, position, method HAVING count(*) >= 8 AND count(*) = count(s))"""
+
+
+def _backtest_sql(select: str, groups: bool = True) -> str:
+    return sql("ranks", "").rstrip() + ",\n" + PAIRS_SQL + (",\n" + METHODS_SQL + ",\n" + groups_sql() if groups else "") + "\n" + select
 
 
 def _pairs(s: Slice):
-    outcomes = s.panel.select("player_id", "season", "week", F.col("revenue").cast("double").alias("next_points"))
+    outcomes = s.panel.select("player_id", "season", "week", F.col("revenue").cast("double").alias("next_points"), F.col("qty").cast("double").alias("next_qty"))
     ranks = s.ranks.withColumn("season_points", F.col("cum_revenue").cast("double")).withColumn("per_game", F.col("cum_revenue") / F.nullif(F.col("games"), F.lit(0)))
-    return backtest.forward_pairs(ranks, outcomes, ["efficiency_score", "production_score", "season_points", "per_game"])
+    return stored(backtest.forward_pairs(ranks, outcomes, ["efficiency_score", "production_score", *BASE], ["MACHINERY"], "next_qty"), "pairs")
 
 
-def _groups(s: Slice):
-    return backtest.score_groups(backtest.score_methods(_pairs(s), {"season_points": "season_points", "per_game": "per_game"}), "next_points", k=12)
+def _groups(s: Slice, outcome: str = "next_points", pairs=None):
+    return backtest.score_groups(_pairs(s) if pairs is None else pairs, outcome, BASE, k=TOP)
 
 
-@query(sql("ranks", "").rstrip() + ",\n" + PAIRS_SQL + " SELECT season, week, position, player_id, efficiency_score, production_score, next_points FROM pairs")
+@query(_backtest_sql("SELECT season, week, position, player_id, efficiency_score, production_score, next_points, next_qty FROM pairs", False))
 def b01_forward_pairs(spark, sf_dir):
-    return _pairs(Slice(spark, sf_dir)).select("season", "week", "position", "player_id", "efficiency_score", "production_score", "next_points")
+    return _pairs(Slice(spark, sf_dir)).select("season", "week", "position", "player_id", "efficiency_score", "production_score", "next_points", "next_qty")
 
 
-@query(sql("ranks", "").rstrip() + f",\n{PAIRS_SQL}, {METHODS_SQL} SELECT method, count(*) AS n, count(score) AS known, round(avg(score), 3) AS mean FROM methods GROUP BY method")
+@query(_backtest_sql("SELECT method, count(*) AS n, count(score) AS known, round(avg(score), 3) AS mean FROM methods GROUP BY method"))
 def b02_score_methods(spark, sf_dir):
-    m = backtest.score_methods(_pairs(Slice(spark, sf_dir)), {"season_points": "season_points", "per_game": "per_game"})
+    m = backtest.score_methods(_pairs(Slice(spark, sf_dir)), BASE)
     return m.groupBy("method").agg(F.count("*").alias("n"), F.count("score").alias("known"), F.round(F.avg("score"), 3).alias("mean"))
 
 
-@query(sql("ranks", "").rstrip() + f",\n{PAIRS_SQL}, {METHODS_SQL}, {GROUPS_SQL} SELECT season, week, position, method, n, round(rho, 6) + 0.0 AS rho, round(lift, 3) AS lift FROM groups")
+@query(_backtest_sql("SELECT season, week, position, method, n, round(rho, 6) + 0.0 AS rho, round(lift, 3) AS lift FROM groups"))
 def b03_score_groups(spark, sf_dir):
     return _groups(Slice(spark, sf_dir)).select("season", "week", "position", "method", "n", (F.round("rho", 6) + 0.0).alias("rho"), F.round("lift", 3).alias("lift"))
 
 
-@query(sql("ranks", "").rstrip() + f""",\n{PAIRS_SQL}, {METHODS_SQL}, {GROUPS_SQL}, per AS (SELECT position, method, count(rho) AS weeks, avg(rho) AS rho, stddev_samp(rho) / sqrt(count(rho)) AS rho_se, avg(lift) AS lift FROM groups GROUP BY ALL)
- SELECT position, method, weeks, round(rho, 4) AS rho, round(CASE WHEN weeks >= 2 THEN rho_se END, 4) AS rho_se, round(lift, 1) AS lift FROM per
- UNION ALL SELECT 'ALL', method, CAST(sum(weeks) AS BIGINT), round(avg(rho), 4), NULL, round(avg(lift), 1) FROM per GROUP BY method""")
+SUMMARY_SQL = """(SELECT position, method, count(rho) AS weeks, round(avg(rho), {d}) + 0.0 AS rho, CASE WHEN count(rho) > 1 THEN round(stddev_samp(rho) / sqrt(count(rho)), {d}) END AS rho_se,
+   round(avg(lift), {l}) AS lift, CASE WHEN count(lift) > 1 THEN round(stddev_samp(lift) / sqrt(count(lift)), {l}) END AS lift_se FROM {groups} GROUP BY position, method
+  UNION ALL SELECT 'ALL', method, sum(weeks)::BIGINT, round(avg(r), {d}) + 0.0, NULL, round(avg(l), {l}), NULL FROM (SELECT method, count(rho) AS weeks, avg(rho) AS r, avg(lift) AS l FROM {groups} GROUP BY position, method) GROUP BY method)"""
+
+
+@query(_backtest_sql("FROM " + SUMMARY_SQL.format(d=4, l=1, groups="groups")))
 def b04_summarize(spark, sf_dir):
-    return backtest.summarize(_groups(Slice(spark, sf_dir))).withColumn("lift", F.round("lift", 1))
+    return backtest.summarize(_groups(Slice(spark, sf_dir))).withColumns({"rho": F.col("rho") + 0.0, "lift": F.round("lift", 1), "lift_se": F.round("lift_se", 1)})
 
 
-@query(sql("ranks", "").rstrip() + f""",\n{PAIRS_SQL}, {METHODS_SQL}, {GROUPS_SQL}, d AS (SELECT a.rho - b.rho AS x FROM groups a JOIN groups b USING (season, week, position) WHERE a.method = 'blend_20' AND b.method = 'per_game' AND a.rho - b.rho IS NOT NULL)
- SELECT count(*) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x) / sqrt(count(*)), 6) AS se FROM d""")
+@query(_backtest_sql("""SELECT position, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x) / sqrt(count(*)), 6) AS se
+ FROM (PIVOT (SELECT season, week, position, method, rho FROM groups) ON method IN ('blend_20', 'per_game') USING first(rho)) CROSS JOIN LATERAL (SELECT blend_20 - per_game AS x) WHERE x IS NOT NULL GROUP BY position"""))
 def b05_paired_difference(spark, sf_dir):
-    return backtest.paired_difference(_groups(Slice(spark, sf_dir)), "blend_20", "per_game").select("n", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"))
+    return backtest.paired_difference(_groups(Slice(spark, sf_dir)), "blend_20", "per_game").select("position", "n", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"))
 
 
 @query(sql("panel", """, s AS (SELECT season, dense_rank() OVER (ORDER BY season) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT season FROM panel))
@@ -190,33 +201,59 @@ def b06_split_seasons(spark, sf_dir):
     return backtest.split_seasons(order_panel(spark, sf_dir).select("season"))
 
 
-@query(sql("ranks", "").rstrip() + f""",\n{PAIRS_SQL}, {METHODS_SQL}, {GROUPS_SQL}, m AS (SELECT position, method, avg(rho) AS rho FROM groups WHERE method LIKE 'blend%' GROUP BY ALL),
- o AS (SELECT CAST(replace(method, 'blend_', '') AS INTEGER) AS share, avg(rho) AS rho FROM m GROUP BY ALL)
- SELECT max(share) AS share FROM o WHERE rho >= (SELECT max(rho) FROM o) - 0.005""")
+CHOSEN_SQL = """(WITH o AS (SELECT method, avg(r) AS r FROM (SELECT position, method, avg(rho) AS r FROM {groups} WHERE method LIKE 'blend%' GROUP BY position, method) GROUP BY method)
+  SELECT max(substr(method, 7)::INTEGER) AS share FROM o WHERE r >= (SELECT max(r) - 0.005 FROM o))"""
+
+
+@query(_backtest_sql("FROM " + CHOSEN_SQL.format(groups="groups")))
 def b07_choose_weight(spark, sf_dir):
     return backtest.choose_weight(backtest.summarize(_groups(Slice(spark, sf_dir)), digits=None))
 
 
-@query(sql("ranks", "").rstrip() + f""",\n{PAIRS_SQL}, {METHODS_SQL}, {GROUPS_SQL} SELECT CASE WHEN week <= 5 THEN '1-5' WHEN week <= 11 THEN '6-11' ELSE '12+' END AS bucket, method, count(rho) AS weeks, round(avg(rho), 4) AS rho FROM groups GROUP BY ALL""")
+BUCKET_SQL = """(SELECT bucket, method, sum(weeks)::BIGINT AS weeks, round(avg(r), 4) AS rho FROM (
+   SELECT CASE WHEN week > 11 THEN '12+' WHEN week > 5 THEN '6-11' ELSE '1-5' END AS bucket, method, position, count(rho) AS weeks, avg(rho) AS r FROM {groups} GROUP BY 1, 2, 3) GROUP BY bucket, method)"""
+
+
+@query(_backtest_sql("FROM " + BUCKET_SQL.format(groups="groups")))
 def b08_by_bucket(spark, sf_dir):
     return backtest.by_bucket(_groups(Slice(spark, sf_dir)))
 
 
-@query(sql("ranks", "").rstrip() + f""",\n{PAIRS_SQL}, {METHODS_SQL}, {GROUPS_SQL}, m AS (SELECT position, method, round(avg(rho), 4) AS rho FROM groups GROUP BY ALL)
- SELECT position, max(rho) FILTER (method = 'blend_20') AS current, max(rho) FILTER (method = 'blend_50') AS chosen, max(rho) FILTER (method = 'per_game') AS baseline FROM m GROUP BY position""")
+@query(_backtest_sql("""SELECT position, max(rho) FILTER (method = 'blend_20') AS current, max(rho) FILTER (method = 'blend_50') AS chosen, max(rho) FILTER (method = 'per_game') AS baseline
+ FROM (SELECT position, method, round(avg(rho), 4) AS rho FROM groups GROUP BY position, method) GROUP BY position"""))
 def b09_headline(spark, sf_dir):
     return backtest.headline(backtest.summarize(_groups(Slice(spark, sf_dir))), {"current": "blend_20", "chosen": "blend_50", "baseline": "per_game"})
 
 
-@query()
+def _whole_sql() -> str:
+    """The whole backtest: results of both outcomes by part, then comparisons and buckets of the first on test seasons."""
+    parts = "split AS (SELECT season, CASE WHEN place <= ceil((n - 1) * 0.6) THEN 'tune' ELSE 'test' END AS part FROM (SELECT season, row_number() OVER (ORDER BY season) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT season FROM {g})) WHERE place < n)"
+    views, tables = [], []
+    for name, g in (("points", "groups"), ("qty", "other")):
+        views.append(parts.format(g=g).replace("split AS", f"{g}_split AS"))
+        for part in ("tune", "test"):
+            views.append(f"{g}_{part} AS (SELECT * FROM {g} SEMI JOIN (SELECT season FROM {g}_split WHERE part = '{part}') USING (season))")
+            tables.append(f"SELECT 'result' AS kind, '{name}' AS outcome, '{part}' AS part, method, position, weeks, rho, rho_se, lift, lift_se FROM {SUMMARY_SQL.format(d=4, l=1, groups=f'{g}_{part}')}")
+    tables.append("""SELECT 'comparison', 'points', 'test', a.method, position, count(a.rho - b.rho), round(avg(a.rho - b.rho), 4), CASE WHEN count(a.rho - b.rho) > 1 THEN round(stddev_samp(a.rho - b.rho) / sqrt(count(a.rho - b.rho)), 4) END, NULL, NULL
+ FROM groups_test a JOIN groups_test b USING (season, week, position) WHERE a.method <> 'per_game' AND b.method = 'per_game' GROUP BY a.method, position""")
+    tables.append(f"SELECT 'bucket', 'points', 'test', method, bucket, weeks, rho, NULL, NULL, NULL FROM {BUCKET_SQL.format(groups='groups_test')}")
+    whole = " UNION ALL ".join(tables)
+    choice = f"chosen AS (SELECT 'blend_' || share AS best FROM {CHOSEN_SQL.format(groups='groups_tune')})"
+    select = f"SELECT w.*, method = best AS selected FROM ({whole}) w, chosen WHERE kind = 'result' OR method IN (best, 'blend_20') OR (kind = 'bucket' AND method = 'per_game')"
+    return sql("ranks", "").rstrip() + ",\n" + ",\n".join([PAIRS_SQL, METHODS_SQL, groups_sql(), groups_sql("next_qty", "other"), *views, choice]) + "\n" + select
+
+
+@query(_whole_sql())
 def b10_run_backtest(spark, sf_dir):
-    """Weights chosen on the tuning seasons, everything reported on the test seasons."""
-    return backtest.run_backtest(_groups(Slice(spark, sf_dir)), "per_game")
+    """The blend is chosen on the tuning seasons for revenue; quantity, which one position lacks, is the second outcome."""
+    s = Slice(spark, sf_dir)
+    pairs = _pairs(s)
+    groups = {"points": stored(_groups(s, "next_points", pairs), "groups"), "qty": stored(_groups(s, "next_qty", pairs), "groups")}
+    return backtest.run_backtest(groups, "per_game").withColumns({"rho": F.col("rho") + 0.0, "lift": F.round("lift", 1), "lift_se": F.round("lift_se", 1)})
 
 
-@query(sql("ranks", "").rstrip() + f""",\n{PAIRS_SQL}, {METHODS_SQL}, {GROUPS_SQL}, m AS (SELECT position, method, round(avg(rho), 4) AS rho FROM groups GROUP BY ALL),
- h AS (SELECT position, max(rho) FILTER (method = 'blend_100') AS current, max(rho) FILTER (method = 'season_points') AS baseline FROM m GROUP BY position)
- SELECT position, current, baseline FROM h WHERE baseline - current > 0.02""")
+@query(_backtest_sql("""SELECT position, current, baseline FROM (SELECT position, max(rho) FILTER (method = 'blend_100') AS current, max(rho) FILTER (method = 'season_points') AS baseline
+ FROM (SELECT position, method, round(avg(rho), 4) AS rho FROM groups GROUP BY position, method) GROUP BY position) WHERE baseline - current > 0.02"""))
 def b11_trailing_groups(spark, sf_dir):
     h = backtest.headline(backtest.summarize(_groups(Slice(spark, sf_dir))), {"current": "blend_100", "baseline": "season_points"})
     return backtest.trailing_groups(h)

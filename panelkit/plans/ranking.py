@@ -104,17 +104,24 @@ def rank_scores(metrics: DataFrame, percentiles: DataFrame, config: DataFrame, n
 
 
 def rankings(scores: DataFrame, n: Names = Names(), points: str = "points", finished: DataFrame | None = None) -> DataFrame:
-    """Ranks of qualified rows by composite, points, games, id; the rank of exactly the week before; movement; is_new only
-    after a season's first week; week_complete where every game of the week is final (`finished`: season, week, is_final)."""
-    order = [F.col("composite_score").desc_nulls_last(), F.col(points).desc_nulls_last(), F.col("games").desc(), F.col(n.entity)]
-    ranked = windows.rank_rows(scores, [n.season, n.week, n.group], order, "is_qualified")
-    first = windows.over_group(ranked, [n.season], "min", n.week, "__first")
-    # a change of group is no movement within it
-    moved = joins.prev_period(first, [n.entity, n.season], n.week, ["rank"])
-    out = moved.withColumn("movement", F.col("prev_rank") - F.col("rank"))
-    out = out.withColumn("is_new", F.col("rank").isNotNull() & F.col("prev_rank").isNull() & (F.col(n.week) > F.col("__first"))).drop("__first")
+    """Two views of a period, each within season, period and group: rank, of qualified rows by composite, points, games, id;
+    and fantasy_rank, of all rows by points, games, id. For either, the rank of exactly the period before in the same group
+    (a change of group is no movement), the movement, and whether it is new, which nothing is in a season's first period.
+    week_complete: every game of the period is final (`finished`: season, week, is_final); false where nothing is known.
+    """
+    order = [F.col(points).desc_nulls_last(), F.col("games").desc(), F.col(n.entity)]
+    pool = [n.season, n.week, n.group]
+    ranked = windows.rank_rows(scores, pool, [F.col("composite_score").desc_nulls_last(), *order], "is_qualified")
+    ranked = windows.rank_rows(ranked, pool, order, None, "fantasy_rank")
+    first = scores.groupBy(n.season).agg(F.min(n.week).alias("__first"))  # a row a season
+    moved = joins.prev_period(ranked, [n.entity, n.season, n.group], n.week, ["rank", "fantasy_rank"]).join(F.broadcast(first), n.season)
+    fresh = lambda now, was: F.col(now).isNotNull() & F.col(was).isNull() & (F.col(n.week) > F.col("__first"))
+    out = moved.withColumns({
+        "movement": F.col("prev_rank") - F.col("rank"), "is_new": fresh("rank", "prev_rank"),
+        "fantasy_movement": F.col("prev_fantasy_rank") - F.col("fantasy_rank"), "fantasy_is_new": fresh("fantasy_rank", "prev_fantasy_rank"),
+    }).drop("__first")
     if finished is not None:
-        out = out.join(aggs.all_true(finished, [n.season, n.week], "is_final", "week_complete"), [n.season, n.week], "left")
+        out = out.join(aggs.all_true(finished, [n.season, n.week], "is_final", "week_complete"), [n.season, n.week], "left").withColumn("week_complete", F.coalesce("week_complete", F.lit(False)))
     return out
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import positive_ratio, safe_ratio
+from ..sources.scratch import stored
 from . import ranking
 from .panel import PANEL_SQL, order_panel
 
@@ -37,39 +40,47 @@ def weights(spark: SparkSession) -> DataFrame:
 CONFIG_SQL = "config AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', CAST({0.05 + 0.01 * k!r} AS DOUBLE), CAST(0.2 AS DOUBLE))" for k, p in enumerate(POSITIONS)) + ") v(position, min_role, efficiency_share))"
 WEIGHTS_SQL = "weights AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{m}', '{c}', CAST({w} AS DOUBLE), {str(low).lower()})" for p in POSITIONS for m, (c, w, low) in WEIGHTS.items()) + ") v(position, metric, component, weight, lower_is_better))"
 
-SPINE_SQL = """spine AS (
- SELECT f.player_id, f.season, s.week FROM (SELECT player_id, season, min(week) AS first FROM panel GROUP BY ALL) f
- JOIN (SELECT DISTINCT season, week FROM panel) s ON s.season = f.season AND s.week >= f.first)"""
+# The check SQL states each stage by its rule, in other terms than the plans: totals by joining all earlier rows, percentiles
+# from counts of smaller values, ranks as places in a sorted list.
+
+SPINE_SQL = """calendar AS (SELECT season, list(DISTINCT week) AS weeks FROM panel GROUP BY season),
+spine AS (SELECT player_id, season, unnest(list_filter(weeks, lambda w: w >= since)) AS week
+ FROM calendar JOIN (SELECT player_id, season, min(week) AS since FROM panel GROUP BY player_id, season) USING (season))"""
 CUM_SQL = """cum AS (
- SELECT s.player_id, s.season, s.week, last_value(p.position IGNORE NULLS) OVER w AS position, last_value(p.team IGNORE NULLS) OVER w AS team,
-  count(p.n_orders) OVER w AS games, p.n_orders IS NOT NULL AS active,
-  """ + ", ".join(f"CAST(sum(coalesce(p.{c}, 0)) OVER w AS BIGINT) AS cum_{c}" for c in STATS) + """
- FROM spine s LEFT JOIN panel p USING (player_id, season, week)
- WINDOW w AS (PARTITION BY s.player_id, s.season ORDER BY s.week ROWS UNBOUNDED PRECEDING))"""
-METRICS_SQL = """metrics AS (
- SELECT c.*, min_role, efficiency_share, CAST(coalesce(team_games, 0) AS BIGINT) AS team_games, cum_revenue / nullif(cum_n_orders, 0) AS avg_order,
-  CAST(cum_revenue AS DOUBLE) AS revenue_total, CASE WHEN cum_qty > 0 THEN cum_returned_qty / cum_qty END AS return_rate,
-  cum_disc_amt / nullif(cum_revenue, 0) AS disc_rate, cum_n_orders >= min_role * greatest(coalesce(team_games, 0), 1) AS is_qualified
- FROM cum c JOIN config USING (position)
- LEFT JOIN (SELECT a.team, a.season, a.week, count(b.week) AS team_games FROM (SELECT DISTINCT team, season, week FROM cum) a
-   LEFT JOIN (SELECT DISTINCT team, season, week FROM panel) b ON a.team = b.team AND a.season = b.season AND b.week <= a.week GROUP BY ALL) g
- ON g.team = c.team AND g.season = c.season AND g.week = c.week)"""
-PERCENTILES_SQL = """long AS (SELECT player_id, season, week, position, metric, metric_value FROM
-  (SELECT * FROM metrics WHERE is_qualified) UNPIVOT (metric_value FOR metric IN (avg_order, revenue_total, return_rate, disc_rate)) WHERE NOT isnan(metric_value)),
-percentiles AS (SELECT l.*, component, weight, lower_is_better,
-  CASE WHEN count(*) OVER (PARTITION BY season, week, position, metric) = 1 THEN 0.5 ELSE percent_rank() OVER (PARTITION BY season, week, position, metric
-   ORDER BY CASE WHEN lower_is_better THEN -metric_value ELSE metric_value END) END AS percentile
- FROM long l JOIN weights USING (position, metric))"""
-SCORES_SQL = """parts AS (SELECT player_id, season, week,
-  100 * sum(weight * percentile) FILTER (component = 'efficiency') / nullif(sum(weight) FILTER (component = 'efficiency'), 0) AS e,
-  100 * sum(weight * percentile) FILTER (component = 'production') / nullif(sum(weight) FILTER (component = 'production'), 0) AS p
- FROM percentiles GROUP BY ALL),
-scores AS (SELECT m.*, round(e, 6) AS efficiency_score, round(p, 6) AS production_score,
-  round(coalesce(efficiency_share * e + (1 - efficiency_share) * p, e, p), 6) AS composite_score FROM metrics m LEFT JOIN parts USING (player_id, season, week))"""
-RANKS_SQL = """ranked AS (SELECT *, CASE WHEN is_qualified THEN row_number() OVER (PARTITION BY season, week, position, is_qualified
-   ORDER BY composite_score DESC NULLS LAST, cum_revenue DESC NULLS LAST, games DESC, player_id) END AS rank, min(week) OVER (PARTITION BY season) AS first_week FROM scores),
-ranks AS (SELECT r.*, b.rank AS prev_rank, b.rank - r.rank AS movement, r.rank IS NOT NULL AND b.rank IS NULL AND r.week > r.first_week AS is_new
- FROM ranked r LEFT JOIN ranked b ON b.player_id = r.player_id AND b.season = r.season AND b.week = r.week - 1)"""
+ SELECT here.player_id, here.season, here.week, arg_max(was.position, was.week) AS position, arg_max(was.team, was.week) AS team, count(*) AS games, max(was.week) = here.week AS active,
+  """ + ", ".join(f"CAST(sum(was.{c}) AS BIGINT) AS cum_{c}" for c in STATS) + """
+ FROM spine here JOIN panel was ON was.player_id = here.player_id AND was.season = here.season AND was.week <= here.week
+ GROUP BY here.player_id, here.season, here.week)"""
+METRICS_SQL = """schedule AS (SELECT team, season, list(DISTINCT week) AS played FROM panel GROUP BY team, season),
+counted AS (SELECT cum.*, coalesce(len(list_filter(played, lambda w: w <= cum.week)), 0) AS team_games FROM cum LEFT JOIN schedule USING (team, season)),
+metrics AS (SELECT counted.*, efficiency_share, cum_n_orders >= min_role * (CASE WHEN team_games < 1 THEN 1 ELSE team_games END) AS is_qualified,
+  cum_revenue / nullif(cum_n_orders, 0) AS avg_order, cum_revenue::DOUBLE AS revenue_total,
+  CASE WHEN cum_qty > 0 THEN cum_returned_qty / cum_qty END AS return_rate, cum_disc_amt / nullif(cum_revenue, 0) AS disc_rate
+ FROM counted JOIN config ON config.position = counted.position)"""
+PERCENTILES_SQL = """told AS (SELECT player_id, season, week, position, unnest([{'metric': 'avg_order', 'x': avg_order}, {'metric': 'revenue_total', 'x': revenue_total},
+   {'metric': 'return_rate', 'x': return_rate}, {'metric': 'disc_rate', 'x': disc_rate}], recursive := true) FROM metrics WHERE is_qualified),
+valued AS (SELECT told.*, component, weight, lower_is_better, x * (CASE WHEN lower_is_better THEN -1 ELSE 1 END) AS good FROM told JOIN weights USING (position, metric) WHERE x IS NOT NULL),
+tally AS (SELECT season, week, position, metric, good, count(*) AS alike FROM valued GROUP BY season, week, position, metric, good),
+beaten AS (SELECT *, sum(alike) OVER up - alike AS smaller, sum(alike) OVER pool AS pool FROM tally
+ WINDOW up AS (PARTITION BY season, week, position, metric ORDER BY good), pool AS (PARTITION BY season, week, position, metric)),
+percentiles AS (SELECT v.player_id, v.season, v.week, v.position, v.metric, v.x AS metric_value, component, weight, lower_is_better, if(pool > 1, smaller / (pool - 1), 0.5) AS percentile
+ FROM valued v JOIN beaten b ON b.season = v.season AND b.week = v.week AND b.position = v.position AND b.metric = v.metric AND b.good = v.good)"""
+SCORES_SQL = """means AS (SELECT player_id, season, week, component, 100 * sum(weight * percentile) / nullif(sum(weight), 0) AS mean FROM percentiles GROUP BY player_id, season, week, component),
+sides AS (PIVOT means ON component IN ('efficiency', 'production') USING first(mean) AS mean GROUP BY player_id, season, week),
+scores AS (SELECT metrics.*, round(efficiency_mean, 6) AS efficiency_score, round(production_mean, 6) AS production_score, round(CASE WHEN production_mean IS NULL THEN efficiency_mean
+   WHEN efficiency_mean IS NULL THEN production_mean ELSE production_mean + efficiency_share * (efficiency_mean - production_mean) END, 6) AS composite_score
+ FROM metrics LEFT JOIN sides USING (player_id, season, week))"""
+RANKS_SQL = """best AS (SELECT season, week, position, list(player_id ORDER BY composite_score DESC NULLS LAST, cum_revenue DESC, games DESC, player_id) FILTER (is_qualified) AS qualified,
+  list(player_id ORDER BY cum_revenue DESC, games DESC, player_id) AS everyone FROM scores GROUP BY season, week, position),
+placed AS (SELECT season, week, position, unnest(qualified) AS player_id, generate_subscripts(qualified, 1) AS rank FROM best),
+earning AS (SELECT season, week, position, unnest(everyone) AS player_id, generate_subscripts(everyone, 1) AS fantasy_rank FROM best),
+placings AS (SELECT * FROM scores LEFT JOIN placed USING (season, week, position, player_id) JOIN earning USING (season, week, position, player_id)),
+opened AS (SELECT season, min(week) AS opening FROM panel GROUP BY season),
+settled AS (SELECT year(o_orderdate)::INTEGER AS season, month(o_orderdate)::INTEGER AS week, count(*) = count(*) FILTER (o_orderstatus = 'F') AS done FROM orders GROUP BY 1, 2),
+ranks AS (SELECT now.*, was.rank AS prev_rank, was.rank - now.rank AS movement, now.rank IS NOT NULL AND was.rank IS NULL AND now.week > opening AS is_new,
+  was.fantasy_rank AS prev_fantasy_rank, was.fantasy_rank - now.fantasy_rank AS fantasy_movement, was.fantasy_rank IS NULL AND now.week > opening AS fantasy_is_new, done IS TRUE AS week_complete
+ FROM placings now JOIN opened ON opened.season = now.season LEFT JOIN settled ON settled.season = now.season AND settled.week = now.week
+ LEFT JOIN placings was ON was.player_id = now.player_id AND was.position = now.position AND was.season = now.season AND was.week + 1 = now.week)"""
 
 
 def with_sql(*parts: str, select: str) -> str:
@@ -91,16 +102,46 @@ def sql(stage: str, select: str) -> str:
 
 
 class Slice:
-    """The stages as frames, each built from the one before."""
+    """The stages as frames, each built from the one before. What several later stages read is written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
-        self.panel = order_panel(spark, sf_dir)
+        self.spark, self.sf_dir = spark, sf_dir
         self.config, self.weights = config(spark), weights(spark)
-        self.cum = ranking.cumulative_panel(self.panel, STATS)
-        self.finished = self.panel.select("team", "season", "week").distinct()
-        self.metrics = ranking.rank_metrics(self.cum, self.finished, self.config, metrics(), "cum_n_orders")
-        self.percentiles = ranking.rank_percentiles(self.metrics, self.weights, list(WEIGHTS))
-        self.scores = ranking.rank_scores(self.metrics, self.percentiles, self.config)
-        self.ranks = ranking.rankings(self.scores, points="cum_revenue")
-        self.breakdown = ranking.breakdown(self.percentiles, self.config)
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        return stored(order_panel(self.spark, self.sf_dir), "panel")
+
+    @cached_property
+    def finished(self) -> DataFrame:
+        return self.panel.select("team", "season", "week").distinct()
+
+    @cached_property
+    def settled(self) -> DataFrame:
+        """Whether each order of a month is final."""
+        orders = self.spark.read.parquet(f"{self.sf_dir}/orders.parquet")
+        return orders.select(F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week"), (F.col("o_orderstatus") == "F").alias("is_final"))
+
+    @cached_property
+    def cum(self) -> DataFrame:
+        return ranking.cumulative_panel(self.panel, STATS)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return stored(ranking.rank_metrics(self.cum, self.finished, self.config, metrics(), "cum_n_orders"), "metrics")
+
+    @cached_property
+    def percentiles(self) -> DataFrame:
+        return ranking.rank_percentiles(self.metrics, self.weights, list(WEIGHTS))
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return ranking.rank_scores(self.metrics, self.percentiles, self.config)
+
+    @cached_property
+    def ranks(self) -> DataFrame:
+        return ranking.rankings(self.scores, points="cum_revenue", finished=self.settled)
+
+    @cached_property
+    def breakdown(self) -> DataFrame:
+        return ranking.breakdown(self.percentiles, self.config)
