@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.scalar import col
+from ..sources.scratch import stored
 
 
 def _order(order: Sequence[str | Column]) -> list[Column]:
@@ -114,14 +115,39 @@ def trailing_min(df: DataFrame, entity: Sequence[str], order: Sequence[str], x:
     return df.withColumn(name, F.when(F.count(x).over(w) >= min_periods, F.avg(x).over(w)))
 
 
-def ewm(df: DataFrame, entity: Sequence[str], order: Sequence[str], x: str, alpha: float, min_periods: int, name: str, most: int | None = None) -> DataFrame:
-    """Exponentially weighted mean of the values before, weights normalised. Values older than `most` rows back weigh
-    less than (1 - alpha)^most; None keeps all."""
-    keep = F.lit(1.0 - alpha)
-    values = F.collect_list(x).over(past(entity, order, most))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("weight"))
-    mean = F.aggregate(values, start, lambda s, v: F.struct((s["sum"] * keep + v).alias("sum"), (s["weight"] * keep + 1.0).alias("weight")), lambda s: s["sum"] / s["weight"])
-    return df.withColumn("__v", values).withColumn(name, F.when(F.size("__v") >= min_periods, mean)).drop("__v")
+def ewm(df: DataFrame, entity: Sequence[str], order: Sequence[str], x: str, alpha: float, min_periods: int, name: str, block: int = 64) -> DataFrame:
+    """Exponentially weighted mean of the values before, weights normalised, from `min_periods` values on.
+
+    The k-th value of an entity is one of a block of `block` values. Within a block, values weighted by powers of 1 - alpha
+    add up in a running sum; what earlier blocks hold is carried over block by block, as one pair of numbers each, so the
+    work grows with the rows and not with their square. Rows without a value see those before them and add nothing.
+    """
+    keep = 1.0 - alpha
+    own = Window.partitionBy(*entity).orderBy(*_order(order))
+    seen = F.count(x).over(own.rowsBetween(Window.unboundedPreceding, -1))  # values before this row
+    rows = df.withColumn("__k", seen).withColumn("__b", F.floor(F.col("__k") / block)).withColumn("__i", F.col("__k") % block)
+    # inside its block, value i weighs keep^(-i) here, and a row at place i takes the sum times keep^(i - 1)
+    up = F.pow(F.lit(keep), -F.col("__i"))
+    inner = Window.partitionBy(*entity, "__b").orderBy(*_order(order))
+    inside = lambda c: F.coalesce(F.sum(c).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    known = F.when(F.col(x).isNotNull(), up)
+    rows = rows.withColumn("__s", inside(known * F.col(x))).withColumn("__w", inside(known))
+    ends = rows.where(F.col(x).isNotNull()).groupBy(*entity, "__b").agg(*(F.sum(F.pow(F.lit(keep), block - 1 - F.col("__i")) * c).alias(n) for n, c in (("__bs", F.col(x)), ("__bw", F.lit(1.0)))))
+    pairs = ends.groupBy(*entity).agg(F.array_sort(F.collect_list(F.struct("__b", "__bs", "__bw"))).alias("__ends"))  # a number pair for `block` rows
+    whole = F.lit(keep**block)
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"), F.array().cast("array<struct<b: bigint, s: double, w: double>>").alias("out"))
+
+    def carry(a: Column, e: Column) -> Column:
+        s, w = a["s"] * whole + e["__bs"], a["w"] * whole + e["__bw"]
+        return F.struct(s.alias("s"), w.alias("w"), F.concat(a["out"], F.array(F.struct((e["__b"] + 1).alias("b"), s.alias("s"), w.alias("w")))).alias("out"))
+
+    carried = pairs.select(*entity, F.explode(F.aggregate("__ends", start, carry, lambda a: a["out"])).alias("__c")).select(*entity, F.col("__c.b").alias("__b"), F.col("__c.s").alias("__cs"), F.col("__c.w").alias("__cw"))
+    rows = rows.join(carried, [*entity, "__b"], "left")
+    into = F.pow(F.lit(keep), F.col("__i"))
+    total = lambda inner_, before: F.col(inner_) * into / keep + F.coalesce(F.col(before), F.lit(0.0)) * into
+    mean = total("__s", "__cs") / total("__w", "__cw")
+    out = rows.withColumn(name, F.when((F.col("__k") >= min_periods) & (F.col("__k") > 0), mean))
+    return out.select(*df.columns, name)
 
 
 def cumcount(df: DataFrame, entity: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
@@ -159,6 +185,18 @@ def display_order(df: DataFrame, rank: str, other: str) -> DataFrame:
     return df.orderBy(F.col(rank).asc_nulls_last(), F.col(other).asc_nulls_last())
 
 
+def total_order(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """The place of every row, 1, 2, 3, ..., in a total order over the whole table.
+
+    Rows are range-partitioned and numbered within their part, after what earlier parts hold (a row a part).
+    """
+    spread = stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ordered")
+    held = spread.groupBy("__part").agg(F.count("*").alias("__n"))
+    first = held.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    place = F.col("__first") + F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return spread.join(F.broadcast(first), "__part").withColumn(name, place).drop("__part", "__first")
+
+
 def largest(df: DataFrame, x: str, n: int, tie: Sequence[str]) -> DataFrame:
     return df.orderBy(F.col(x).desc_nulls_last(), *tie).limit(n)
 

@@ -86,15 +86,24 @@ class Model:
         return out.drop("raw_features", "features", "ridge", "boost", "forest", "leaf", "raw_low", "raw_high")
 
 
+def conformal_row(cal: DataFrame, low: str, high: str, y: str, nominal: float = NOMINAL, least: int = 100) -> DataFrame:
+    """One row: n, and offset, how far ranges have to move, from how far outcomes of calibration rows lie outside of them;
+    0 for too few rows. May be negative: ranges that are too wide shrink.
+
+    The two order statistics around the quantile come from counts of equal misses, in a total order over all partitions.
+    """
+    known = cal.where(F.col(y).isNotNull() & F.col(low).isNotNull()).select(F.greatest(F.col(low) - F.col(y), F.col(y) - F.col(high)).cast("double").alias("miss"))
+    placed = windows.total_order(known, [F.col("miss")], "__place")
+    n = placed.count()
+    at = min(0.999, nominal * (1 + 1 / n)) * (n - 1) if n else 0.0
+    lower, part = int(at), at - int(at)
+    pick = lambda k: F.max(F.when(F.col("__place") == k + 1, F.col("miss")))
+    between = pick(lower) + (F.coalesce(pick(lower + 1), pick(lower)) - pick(lower)) * part
+    return placed.agg(F.count("*").alias("n"), F.when(F.count("*") >= least, between).otherwise(0.0).alias("offset"))
+
+
 def conformal_offset(cal: DataFrame, low: str, high: str, y: str, nominal: float = NOMINAL, least: int = 100) -> float:
-    """How far ranges have to move, from how far outcomes of calibration rows lie outside of them; 0 for too few rows.
-    May be negative: ranges that are too wide shrink."""
-    known = cal.where(F.col(y).isNotNull() & F.col(low).isNotNull())
-    n = known.count()
-    if n < least:
-        return 0.0
-    miss = F.greatest(F.col(low) - F.col(y), F.col(y) - F.col(high))
-    return float(known.agg(F.percentile(miss, min(0.999, nominal * (1 + 1 / n)))).first()[0])
+    return float(conformal_row(cal, low, high, y, nominal, least).first()["offset"])
 
 
 def reject_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> None:
@@ -205,11 +214,15 @@ def score_published(graded: DataFrame, y: str, bases: Sequence[str], recent: str
     return summarize_replay(shape.eligible(graded, recent, min_recent), y, bases)
 
 
-def paired_evidence(a: DataFrame, b: DataFrame, keys: Sequence[str], y: str, p: str = "points") -> DataFrame:
-    """Mean difference in absolute error (a less b), its standard error, z, and the share of rows that b improves."""
-    miss = lambda df: df.withColumn("miss", F.abs(F.col(y) - F.col(p)))
-    d = joins.paired_join(miss(a), miss(b), keys, "miss").withColumn("d", F.col("miss_a") - F.col("miss_b"))
-    out = d.agg(F.count("d").alias("n"), F.avg("d").alias("improvement"), (F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("se"), aggs.rate(F.col("d") > 0).alias("improved"))
+def paired_evidence(a: DataFrame, b: DataFrame, keys: Sequence[str], y: str, p: str = "points", by: Sequence[str] = ()) -> DataFrame:
+    """Mean difference in absolute error (a less b), its standard error, z, the share of rows that b improves, and, if b has
+    low and high, the coverage of its ranges; over all rows or by some columns of b."""
+    miss = lambda df: F.abs(df[y] - df[p]).alias("miss")
+    ranges = {"low", "high"} <= set(b.columns)
+    inside = ((F.col(y) >= F.col("low")) & (F.col(y) <= F.col("high"))) if ranges else F.lit(None).cast("boolean")
+    right = b.select(*keys, *by, inside.alias("inside"), miss(b).alias("miss_b"))
+    d = a.select(*keys, miss(a).alias("miss_a")).join(right, list(keys)).withColumn("d", F.col("miss_a") - F.col("miss_b"))
+    out = d.groupBy(*by).agg(F.count("d").alias("n"), F.avg("d").alias("improvement"), (F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("se"), aggs.rate(F.col("d") > 0).alias("improved"), aggs.rate("inside").alias("coverage"))
     return out.withColumn("z", F.try_divide("improvement", "se"))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import shape
+from ..operators import shape, windows
 from ..sources.scratch import stored
 from . import forecast, ranking, studies
 from .instances_core import MODEL_SQL, E, G, model_rows
@@ -45,9 +46,7 @@ def m11_baselines(spark, sf_dir):
 @query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, o AS (SELECT greatest(lo - qty, qty - hi) AS miss, row_number() OVER (ORDER BY greatest(lo - qty, qty - hi)) - 1 AS i, count(*) OVER () AS n FROM model), q AS (SELECT DISTINCT n, least(0.999, 0.8 * (1 + 1 / n)) * (n - 1) AS pos FROM o)
  SELECT q.n, round(a.miss + (b.miss - a.miss) * (pos - floor(pos)), 4) AS "offset" FROM q JOIN o a ON a.i = floor(pos) JOIN o b ON b.i = floor(pos) + 1""")
 def m07_conformal_offset(spark, sf_dir):
-    rows = model_rows(spark, sf_dir)
-    n, offset = rows.count(), forecast.conformal_offset(rows, "lo", "hi", "qty")
-    return rows.limit(1).select(F.lit(n).cast("bigint").alias("n"), F.round(F.lit(offset), 4).alias("offset"))
+    return forecast.conformal_row(model_rows(spark, sf_dir), "lo", "hi", "qty").select("n", F.round("offset", 4).alias("offset"))
 
 
 @query(sql("panel", "").rstrip() + f",\n{MODEL_SQL} SELECT count(*) AS n, round(avg(abs(qty - p)), 5) AS mae, round(avg(CAST(qty >= lo AND qty <= hi AS INTEGER)), 6) AS coverage, 'base' AS best_baseline, round(avg(abs(qty - base)) - avg(abs(qty - p)), 5) AS margin FROM model WHERE p >= 4")
@@ -57,13 +56,18 @@ def m13_m14_summary(spark, sf_dir):
     return found.select("n", F.round("mae", 5).alias("mae"), F.round("coverage", 6).alias("coverage"), "best_baseline", F.round("margin", 5).alias("margin"))
 
 
-@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, d AS (SELECT abs(qty - base) - abs(qty - p) AS d FROM model), e AS (SELECT count(*) AS n, avg(d) AS improvement, stddev_samp(d) / sqrt(count(*)) AS se, avg(CAST(d > 0 AS INTEGER)) AS improved FROM d)
- SELECT n, round(improvement, 5) AS improvement, round(se, 5) AS se, round(improvement / se, 3) AS z, round(improved, 6) AS improved, CASE WHEN NOT improvement > 0.05 THEN 'improvement too small' WHEN abs(improvement / se) < 2 THEN 'not significant' ELSE 'promoted' END AS reason FROM e""")
+@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, e AS (SELECT position, count(*) AS n, avg(abs(qty - base) - abs(qty - p)) AS improvement, stddev_samp(abs(qty - base) - abs(qty - p)) / sqrt(count(*)) AS se,
+  count(*) FILTER (abs(qty - base) > abs(qty - p)) / count(*) AS improved, count(*) FILTER (qty BETWEEN p - (if(position = 'BUILDING', 60, 20)) AND p + (if(position = 'BUILDING', 60, 20))) / count(*) AS coverage FROM model GROUP BY position)
+ SELECT position, n, round(improvement, 5) AS improvement, round(se, 5) AS se, round(improvement / se, 3) AS z, round(improved, 6) AS improved, round(coverage, 6) AS coverage,
+  CASE WHEN improvement <= 0.05 THEN 'improvement too small' WHEN coverage NOT BETWEEN 0.75 AND 0.85 THEN 'coverage out of bounds' WHEN abs(improvement / se) < 2 THEN 'not significant' ELSE 'promoted' END AS reason FROM e""")
 def m15_m16_promotion(spark, sf_dir):
+    """The recent mean as champion, the long one as challenger's opponent, by position; ranges differ by position."""
     rows = model_rows(spark, sf_dir)
+    width = F.when(F.col("position") == "BUILDING", 60).otherwise(20)
+    rows = rows.withColumns({"low": F.col("p") - width, "high": F.col("p") + width})
     a, b = rows.withColumn("points", F.col("base")), rows.withColumn("points", F.col("p"))
-    found = forecast.promote(forecast.paired_evidence(a, b, [*E, *G], "qty").withColumn("coverage", F.lit(0.8)))
-    return found.select("n", F.round("improvement", 5).alias("improvement"), F.round("se", 5).alias("se"), F.round("z", 3).alias("z"), F.round("improved", 6).alias("improved"), "reason")
+    found = forecast.promote(forecast.paired_evidence(a, b, [*E, *G], "qty", by=["position"]))
+    return found.select("position", "n", *(F.round(c, 5).alias(c) for c in ("improvement", "se")), F.round("z", 3).alias("z"), *(F.round(c, 6).alias(c) for c in ("improved", "coverage")), "reason")
 
 
 @query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, g AS (SELECT season, week, count(*) AS n, avg(abs(qty - p)) AS mae, sqrt(avg((qty - p) * (qty - p))) AS rmse, avg(CAST(qty >= lo AND qty <= hi AS INTEGER)) AS coverage, avg(abs(qty - base)) AS b FROM model GROUP BY ALL),
@@ -118,13 +122,20 @@ def m09_availability(spark, sf_dir):
     return fitted.transform(rows).select(*E, *G, F.round("probability", 5).alias("probability"))
 
 
-@query()
+@query(sql("panel", """, seen AS (SELECT player_id, season, week, avg(qty) OVER w AS plain, avg(if(season >= 1999, NULL, qty)) OVER w AS blank FROM panel WINDOW w AS (PARTITION BY player_id ORDER BY season, week ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+ SELECT player_id, season, week FROM seen WHERE plain IS DISTINCT FROM blank""").replace("GROUP BY ALL)\n,", "GROUP BY ALL),"))
 def e02_e04_candidate(spark, sf_dir):
-    """A candidate feature that passes its contract and the leak probe: keys that leak (none)."""
+    """Keys at which a candidate feature sees what it should not: its mean includes the row's own outcome. A sound candidate
+    beside it passes its contract and the same probe."""
     rows = features(spark, sf_dir).where("not is_upcoming").select(*E, *G, "actual", "qty_mean3", "qty_mean10")
-    c = forecast.form_versus_baseline("qty_mean3", "qty_mean10")
-    c.apply(rows, [*E, *G])
-    return c.leaks(rows, [*E, *G], "actual", F.col("season") >= 1999)
+    rows, hidden = stored(rows, "candidate-rows"), F.col("season") >= 1999
+    sound = forecast.form_versus_baseline("qty_mean3", "qty_mean10")
+    sound.apply(rows, [*E, *G])
+    if not sound.leaks(rows, [*E, *G], "actual", hidden).isEmpty():
+        raise ValueError("the sound candidate leaks")
+    near = Window.partitionBy(*E).orderBy(*G).rowsBetween(-2, 0)
+    leaky = forecast.Candidate("own_mean", "a mean that includes the row itself", ("own_mean",), lambda df: df.withColumn("own_mean", F.avg("actual").over(near)))
+    return leaky.leaks(rows, [*E, *G], "actual", hidden)
 
 
 # ---- studies -----------------------------------------------------------------------------------------------------
@@ -183,9 +194,21 @@ def x11_line_effect(spark, sf_dir):
     return studies.line_effect(order_panel(spark, sf_dir), "qty", "revenue").select(F.round("slope", 2).alias("slope"), F.round("r", 6).alias("r"))
 
 
-@query()
+@query(sql("panel", """, shaped AS (SELECT *, CASE WHEN count(*) OVER w >= 3 THEN avg(qty) OVER w END AS form FROM panel WINDOW w AS (PARTITION BY player_id ORDER BY season, week ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+ spots AS (SELECT DISTINCT team, season, week FROM panel),
+ stands AS (SELECT s.team, s.season, s.week, x.player_id, arg_max(x.form, x.week, 1)[1] AS dummy, max(x.week) AS at FROM spots s JOIN shaped x ON x.team = s.team AND x.season = s.season AND x.week < s.week GROUP BY ALL),
+ options AS (SELECT t.team, t.season, t.week, t.player_id, x.form FROM stands t JOIN shaped x ON x.player_id = t.player_id AND x.season = t.season AND x.week = t.at WHERE x.form IS NOT NULL),
+ firsts AS (SELECT team, season, week, list(player_id ORDER BY form DESC, player_id)[1] AS first FROM options GROUP BY team, season, week HAVING count(*) >= 2 AND max(form) >= 5),
+ now AS (SELECT f.team, f.season, f.week, f.first, bool_or(p.player_id = f.first) AS present, list(p.qty - p.form ORDER BY p.form DESC, p.player_id) FILTER (p.player_id <> f.first AND p.form IS NOT NULL)[1:3] AS d, sum(p.qty) - sum(coalesce(p.form, 0)) AS total
+  FROM firsts f JOIN shaped p USING (team, season, week) GROUP BY ALL),
+ told AS (SELECT CASE WHEN present THEN 'present' WHEN c_acctbal < 0 THEN 'out' END AS state, list_avg(d) AS d, total FROM now JOIN customer ON c_custkey = first WHERE len(d) >= 2)
+ SELECT state, count(*) AS n, round(avg(d), 5) AS next_mean, round(stddev_samp(d) / sqrt(count(*)), 5) AS next_se, round(avg(total), 4) AS team_mean, round(stddev_samp(total) / sqrt(count(*)), 4) AS team_se FROM told WHERE state IS NOT NULL GROUP BY state""").replace("GROUP BY ALL)\n,", "GROUP BY ALL),").replace("arg_max(x.form, x.week, 1)[1] AS dummy, ", ""))
 def x12_substitution(spark, sf_dir):
-    return studies.substitution(order_panel(spark, sf_dir), ["team"], "player_id", G, "qty")
+    """Customers in debt count as ruled out in months in which they do not order."""
+    p = stored(order_panel(spark, sf_dir), "panel")
+    debtors = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("player_id"))
+    found = studies.substitution(p, "team", "player_id", "season", "week", "qty", debtors.crossJoin(F.broadcast(p.select("season", "week").distinct())))
+    return found.select("state", "n", *(F.round(c, 5).alias(c) for c in ("next_mean", "next_se")), *(F.round(c, 4).alias(c) for c in ("team_mean", "team_se")))
 
 
 @query(sql("panel", "").rstrip() + f",\n{MODEL_SQL} SELECT round(1 - sum((qty - p) * (qty - p)) / (var_pop(qty) * count(*)), 6) AS r2 FROM model")
@@ -193,16 +216,50 @@ def x13_x23_r2(spark, sf_dir):
     return model_rows(spark, sf_dir).agg(F.round(studies.r2("qty", "p"), 6).alias("r2"))
 
 
-@query()
-def x14_x15_learning(spark, sf_dir):
-    return studies.learning_strategies(model_rows(spark, sf_dir), E, G, "qty", "p")
+LEARN_SQL = """early AS (SELECT avg(qty) FILTER (season <= 1996) AS every FROM panel), own AS (SELECT player_id, avg(qty) AS x FROM panel WHERE season <= 1996 GROUP BY player_id),
+ graded AS (SELECT m.*, coalesce(x, every) AS frozen FROM model m LEFT JOIN own USING (player_id), early WHERE season > 1996)"""
+
+
+def graded_rows(spark, sf_dir):
+    """From 1997 on: two trailing means as members that learn, the mean up to 1996 as one that is frozen."""
+    rows = stored(order_panel(spark, sf_dir), "panel")
+    early = rows.where("season <= 1996")
+    own, every = early.groupBy("player_id").agg(F.avg("qty").alias("__x")), early.agg(F.avg("qty").alias("__every"))
+    model = windows.trailing(rows, E, G, {"p": ("avg", "qty", 5), "base": ("avg", "qty", None), "mean3": ("avg", "qty", 3), "mean10": ("avg", "qty", 10)}).where("p is not null and season > 1996")
+    return model.join(own, "player_id", "left").crossJoin(F.broadcast(every)).withColumn("frozen", F.coalesce("__x", "__every")).drop("__x", "__every")
+
+
+@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, {LEARN_SQL}, i AS (SELECT season, week, row_number() OVER (ORDER BY season, week) AS i FROM (SELECT DISTINCT season, week FROM graded)),
+ g AS (SELECT graded.*, i.i, (p + base) / 2 AS blend FROM graded JOIN i USING (season, week)),
+ bias AS (SELECT x.position, x.i, sum(y.s) / sum(y.n) AS bias FROM (SELECT DISTINCT position, i FROM g) x JOIN (SELECT position, i, sum(qty - blend) AS s, count(*) AS n FROM g GROUP BY ALL) y ON y.position = x.position AND y.i BETWEEN x.i - 4 AND x.i - 1 GROUP BY ALL),
+ mae AS (SELECT x.i, count(*) FILTER (y.i >= x.i - 6) AS n, avg(abs(y.qty - y.p)) FILTER (y.i >= x.i - 6) AS ep, avg(abs(y.qty - y.base)) FILTER (y.i >= x.i - 6) AS eb FROM i x JOIN g y ON y.i < x.i WHERE x.i > 2 GROUP BY x.i),
+ shown AS (SELECT g.*, coalesce(bias, 0) AS shift, coalesce((1 / (ep * ep)) / (1 / (ep * ep) + 1 / (eb * eb)), 0.5) AS wp FROM g LEFT JOIN bias USING (position, i) LEFT JOIN mae USING (i)),
+ missed AS (SELECT week, unnest([{{'strategy': 'naive', 'miss': abs(qty - base)}}, {{'strategy': 'frozen', 'miss': abs(qty - frozen)}}, {{'strategy': 'retrain', 'miss': abs(qty - blend)}},
+   {{'strategy': 'retrain_bias', 'miss': abs(qty - blend - shift)}}, {{'strategy': 'adaptive', 'miss': abs(qty - wp * p - (1 - wp) * base - shift)}}], recursive := true) FROM shown)
+ SELECT strategy, count(*) AS n, round(avg(miss), 5) AS mae, round(avg(miss) FILTER (week <= 9), 5) AS first_half, round(avg(miss) FILTER (week > 9), 5) AS second_half FROM missed GROUP BY strategy""")
+def x14_weekly_learning(spark, sf_dir):
+    found = studies.weekly_learning(graded_rows(spark, sf_dir), "position", G, "qty", {"p": 0.5, "base": 0.5}, "frozen", "base")
+    return found.select("strategy", "n", *(F.round(c, 5).alias(c) for c in ("mae", "first_half", "second_half")))
+
+
+@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, {LEARN_SQL}, means AS (SELECT player_id, season, week, avg(qty) OVER (PARTITION BY player_id ORDER BY season, week ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS mean3,
+   avg(qty) OVER (PARTITION BY player_id ORDER BY season, week ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS mean10 FROM panel),
+ g AS (SELECT *, qty - p AS e FROM graded JOIN means USING (player_id, season, week)),
+ own AS (SELECT *, list(e) OVER (PARTITION BY player_id ORDER BY season, week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past, avg(e) OVER (PARTITION BY player_id) AS b, count(*) OVER (PARTITION BY player_id) AS k FROM g),
+ v AS (SELECT e, CASE WHEN len(past) >= 3 THEN list_sum(past) / (len(past) + 8) ELSE 0 END AS s, CASE WHEN abs(mean3 - mean10) > 0.35 * greatest((p + mean10) / 2, 1) THEN 0.45 * (mean3 - mean10) ELSE 0 END AS r, b * k / (k + 8) AS t FROM own)
+ SELECT count(*) AS n, round(avg(abs(e)), 5) AS base, round(avg(abs(e - s)), 5) AS player_bias, round(avg(abs(e - r)), 5) AS role_change, round(avg(abs(e - s - r)), 5) AS both, round(avg(abs(e - t)), 5) AS oracle,
+  count(*) FILTER (abs(s) > 1e-9) AS with_bias, count(*) FILTER (abs(r) > 1e-9) AS with_role_change FROM v""".replace(", own AS (SELECT *, list", ", kept AS (SELECT *, list").replace(" own AS (SELECT *, list", " kept AS (SELECT *, list").replace("AS t FROM own)", "AS t FROM kept)"))
+def x15_player_learning(spark, sf_dir):
+    found = studies.player_learning(graded_rows(spark, sf_dir), E, G, "qty", "p", ("mean3", "p", "mean10"))
+    return found.select("n", *(F.round(c, 5).alias(c) for c in ("base", "player_bias", "role_change", "both", "oracle")), "with_bias", "with_role_change")
 
 
-@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, l AS (SELECT abs(qty - p) AS e, 'late' AS flag, week > 9 AS "on" FROM model UNION ALL SELECT abs(qty - p), 'big', p > 60 FROM model)
- SELECT flag, count(*) FILTER ("on") AS n, round(avg(e) FILTER ("on"), 5) AS mae, round(avg(e) FILTER ("on") - avg(e) FILTER (NOT "on"), 5) AS excess, round((avg(e) FILTER ("on") - avg(e) FILTER (NOT "on")) * count(*) FILTER ("on") / count(*), 5) AS prize FROM l GROUP BY flag""")
+@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, l AS (SELECT abs(qty - p) AS e, unnest([{{'flag': 'late', 'yes': week > 9}}, {{'flag': 'big', 'yes': p > 60}}, {{'flag': 'any', 'yes': week > 9 OR p > 60}}], recursive := true) FROM model),
+ t AS (SELECT flag, count(*) AS k, count(*) FILTER (yes) AS n, sum(e) AS s, sum(e) FILTER (yes) AS sy FROM l GROUP BY flag)
+ SELECT flag, n, round(sy / n, 5) AS mae, round(sy / n - (s - sy) / (k - n), 5) AS excess, round((sy / n - (s - sy) / (k - n)) * n / k, 5) AS prize, round(sy / s, 6) AS share FROM t""")
 def x16_error_anatomy(spark, sf_dir):
     found = studies.error_anatomy(model_rows(spark, sf_dir), {"late": F.col("week") > 9, "big": F.col("p") > 60}, "qty", "p")
-    return found.select("flag", "n", *(F.round(c, 5).alias(c) for c in ("mae", "excess", "prize")))
+    return found.select("flag", "n", *(F.round(c, 5).alias(c) for c in ("mae", "excess", "prize")), F.round("share", 6).alias("share"))
 
 
 @query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, s AS (SELECT p, CAST(qty > 50 AS INTEGER) AS y FROM model), r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS rk FROM s)

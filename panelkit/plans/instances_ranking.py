@@ -57,15 +57,14 @@ def r08_breakdown(spark, sf_dir):
     return Slice(spark, sf_dir).breakdown.select("player_id", "season", "week", "metric", F.round("contribution", 5).alias("contribution"))
 
 
-@query("""SELECT player_id, name, team, is_fallback FROM (
- SELECT c_custkey AS player_id, c_name AS name, CAST(c_nationkey AS VARCHAR) AS team, false AS is_fallback FROM customer WHERE c_custkey % 3 <> 0
- UNION ALL SELECT o_custkey, 'order ' || max_by(o_orderkey, (o_orderdate, o_orderkey)), max_by(o_orderpriority, (o_orderdate, o_orderkey)), true FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey)""")
+@query("""SELECT c_custkey AS player_id, c_name AS name, c_nationkey::VARCHAR AS team, false AS is_fallback FROM customer WHERE c_acctbal >= 0
+ UNION ALL SELECT o_custkey, 'order ' || arg_max(o_orderkey, (o_orderdate, o_orderkey)), arg_max(o_orderpriority, (o_orderdate, o_orderkey)), true
+ FROM orders ANTI JOIN (SELECT c_custkey AS o_custkey FROM customer WHERE c_acctbal >= 0) USING (o_custkey) GROUP BY o_custkey""")
 def r09_player_dim(spark, sf_dir):
-    """Customers of two thirds of the keys count as known; the others come from their latest order."""
-    known = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("team"))
+    """Customers without debts count as known; the others come from their latest order."""
+    known = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal >= 0").select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("team"))
     facts = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("player_id"), F.col("o_orderdate").alias("season"), F.col("o_orderkey").alias("week"), F.concat(F.lit("order "), "o_orderkey").alias("name"), F.col("o_orderpriority").alias("team"))
-    unknown = joins.semi(facts, facts.where("player_id % 3 = 0").select("player_id").distinct(), ["player_id"])
-    return ranking.player_dim(known, unknown, cols=["name", "team"]).select("player_id", "name", "team", "is_fallback")
+    return ranking.player_dim(known, facts, cols=["name", "team"]).select("player_id", "name", "team", "is_fallback")
 
 
 @query(sql("panel", "SELECT player_id, season, week, CASE WHEN position = 'MACHINERY' THEN round(n_orders * 3.0 + returned_qty * -1.0, 4) ELSE CAST(revenue AS DOUBLE) END AS points FROM panel"))
@@ -84,27 +83,36 @@ def o03_movers(spark, sf_dir):
 
 @query(sql("ranks", "SELECT season, week, position, player_id, rank FROM ranks WHERE rank <= 5"))
 def o10_top_ranked(spark, sf_dir):
-    ranks = Slice(spark, sf_dir).ranks
-    return ranks.where(F.col("rank") <= 5).select("season", "week", "position", "player_id", "rank")
+    ranked = Slice(spark, sf_dir).ranks.where("rank is not null")
+    return windows.top_k(ranked, ["season", "week", "position"], [F.col("rank")], 5).select("season", "week", "position", "player_id", "rank")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n WHERE false")
+@query(sql("percentiles", """, each AS (SELECT player_id, season, week, sum(weight) FILTER (component = 'efficiency') AS e, sum(weight) FILTER (component = 'production') AS p,
+  sum(weight * percentile) FILTER (component = 'efficiency') AS ge, sum(weight * percentile) FILTER (component = 'production') AS gp FROM percentiles GROUP BY player_id, season, week)
+ SELECT player_id, season, week, round(CASE WHEN e IS NULL THEN 100 * gp / p WHEN p IS NULL THEN 100 * ge / e ELSE 20 * ge / e + 80 * gp / p END, 6) AS explained FROM each WHERE week = 12"""))
 def q08_adds_up(spark, sf_dir):
-    """Explanations that do not add up to the composite: none."""
+    """Composites that their explanations do not add up to. The fault is planted: half a point more in every December."""
     s = Slice(spark, sf_dir)
-    ranked = s.scores.where("composite_score is not null").select("player_id", "season", "week", "composite_score")
-    return checks.adds_up(s.breakdown, ranked, ["player_id", "season", "week"], "contribution", "composite_score").select(F.lit(0).cast("bigint").alias("n"))
+    ranked = s.scores.where("composite_score is not null").select("player_id", "season", "week", (F.col("composite_score") + F.when(F.col("week") == 12, 0.5).otherwise(0.0)).alias("composite_score"))
+    found = checks.adds_up(s.breakdown, ranked, ["player_id", "season", "week"], "contribution", "composite_score")
+    return found.select("player_id", "season", "week", F.round("__sum", 6).alias("explained"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n WHERE false")
+@query(sql("ranks", """SELECT season, week, position, count(*) - 1 AS n FROM ranks WHERE rank IS NOT NULL AND position = 'BUILDING' GROUP BY season, week, position HAVING count(*) > 3"""))
 def q11_contiguous(spark, sf_dir):
-    return checks.contiguous(Slice(spark, sf_dir).ranks, ["season", "week", "position"], "rank").select("n")
+    """Ranks with a gap. The fault is planted: the third of BUILDING loses its rank, which is a gap where a fourth is."""
+    ranks = Slice(spark, sf_dir).ranks.withColumn("rank", F.when((F.col("position") == "BUILDING") & (F.col("rank") == 3), None).otherwise(F.col("rank")))
+    return checks.contiguous(ranks, ["season", "week", "position"], "rank").select("season", "week", "position", "n")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n WHERE false")
+@query(sql("ranks", "SELECT player_id, season, week FROM ranks WHERE (week = 1 AND season = 1996) OR (position = 'MACHINERY' AND NOT is_qualified)"))
 def q15_flag_agrees(spark, sf_dir):
-    shown = Slice(spark, sf_dir).ranks.withColumn("shown", F.when(F.col("rank").isNotNull(), F.col("composite_score")))
-    return checks.flag_agrees(shown, "is_qualified", "rank", "shown").select(F.lit(0).cast("bigint").alias("n"))
+    """Rows whose flag, rank and score disagree. Faults are planted: flags turned in one month, and scores that are shown
+    for all of MACHINERY, ranked or not."""
+    ranks = Slice(spark, sf_dir).ranks
+    shown = ranks.withColumn("shown", F.when(F.col("position") == "MACHINERY", F.coalesce("composite_score", F.lit(0.0))).when(F.col("rank").isNotNull(), F.col("composite_score")))
+    turned = shown.withColumn("is_qualified", (F.col("week") == 1) & (F.col("season") == 1996) != F.col("is_qualified"))
+    return checks.flag_agrees(turned, "is_qualified", "rank", "shown").select("player_id", "season", "week")
 
 
 @query(sql("ranks", """SELECT position, least, coalesce(n, 0) AS n FROM (VALUES ('AUTOMOBILE', 8), ('BUILDING', 8), ('MACHINERY', 100000), ('NOBODY', 1)) v(position, least)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalar import bin_right
 from ..operators import aggs, windows
+from ..sources.scratch import stored
 
 
 def home_margin(games: DataFrame, season: str, home: str, away: str) -> DataFrame:
@@ -91,14 +92,37 @@ def line_effect(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), aggs.pearson(x, y).alias("r"))
 
 
-def substitution(df: DataFrame, team: Sequence[str], entity: str, order: Sequence[str], usage: str) -> DataFrame:
-    """What the second option does with and without the first: options are ranked by usage up to the period before."""
-    rows = windows.trailing(df, [entity], order, {"__before": ("avg", usage, None)})
-    ranked = windows.rank_rows(rows.where("__before is not null"), [*team, *order], [F.col("__before").desc(), F.col(entity)], None, "__rank")
-    best = rows.where("__before is not null").groupBy(*team, order[0]).agg(F.max_by(entity, F.col("__before")).alias("__first"))
-    second = ranked.join(best, [*team, order[0]])
-    present = second.groupBy(*team, *order).agg(F.bool_or(F.col(entity) == F.col("__first")).alias("first_present"), F.max(F.when((F.col(entity) != F.col("__first")) & (F.col("__rank") <= 2), F.col(usage))).alias("second_usage"))
-    return present.groupBy("first_present").agg(F.count("second_usage").alias("n"), F.avg("second_usage").alias("usage"))
+def substitution(df: DataFrame, team: str, entity: str, season: str, week: str, usage: str, ruled_out: DataFrame, back: int = 5, min_periods: int = 3, least: float = 5.0, others: int = 3) -> DataFrame:
+    """What the next options do when a team's first option is ruled out, and when it plays.
+
+    A row's form is the mean usage of the `back` rows before it (of `min_periods` at least). Before each period of a team,
+    every entity stands with the form of its latest row of an earlier period of the season; the first option is the one with
+    the most (ties by entity), if it has `least` or more and there are two at least. state: "present" if it has a row in the
+    period, "out" if it has none and is in `ruled_out` (entity, season, week). The next options are the `others` with the
+    most form of those that play; two at least. Per state: team periods, mean and standard error of how far the usage of the
+    next options, and of the whole team, is above form.
+    """
+    spot = [team, season, week]
+    rows = windows.trailing_min(df.select(*spot, entity, usage), [entity], [season, week], usage, back, min_periods, "form")
+    played = rows.select(*spot).distinct()
+    # a row stands for its entity in the team's periods after it, up to its next row and including that period
+    after = F.lead(week).over(Window.partitionBy(entity, team, season).orderBy(week))
+    last = played.groupBy(team, season).agg(F.max(week).alias("__last"))
+    stands = rows.withColumn("__until", after).join(last, [team, season]).withColumn("__until", F.coalesce("__until", "__last")).where((F.col("__until") > F.col(week)) & F.col("form").isNotNull())
+    stands = stands.withColumn(week, F.explode(F.sequence(F.col(week) + 1, F.col("__until")))).join(played, spot, "left_semi")
+    best = stands.groupBy(*spot).agg(F.count("*").alias("__n"), F.max_by(entity, F.struct("form", F.negative(F.col(entity)))).alias("__first"), F.max("form").alias("__top"))
+    best = best.where((F.col("__n") >= 2) & (F.col("__top") >= least)).drop("__n", "__top")
+    out = ruled_out.select(F.col(entity).alias("__first"), season, week).distinct().withColumn("__out", F.lit(True))
+    now = rows.join(best, spot)
+    is_first = F.col(entity) == F.col("__first")
+    ranked = windows.rank_rows(now.withColumn("__other", ~is_first & F.col("form").isNotNull()), spot, [F.col("form").desc(), F.col(entity)], "__other", "__rank")
+    next_ = F.when(F.col("__rank") <= others, F.col(usage) - F.col("form"))
+    team_rows = ranked.groupBy(*spot, "__first").agg(F.bool_or(is_first).alias("__present"), F.avg(next_).alias("next"), F.count(next_).alias("__k"), (F.sum(usage) - F.sum(F.coalesce("form", F.lit(0.0)))).alias("team_total"))
+    known = team_rows.where("__k >= 2").join(out, ["__first", season, week], "left")
+    state = F.when(F.col("__present"), "present").when(F.col("__out"), "out")
+    known = known.withColumn("state", state).where("state is not null")
+    se = lambda c: F.stddev_samp(c) / F.sqrt(F.count(c))
+    return known.groupBy("state").agg(F.count("*").alias("n"), F.avg("next").alias("next_mean"), se("next").alias("next_se"), F.avg("team_total").alias("team_mean"), se("team_total").alias("team_se"))
 
 
 def r2(y: str, p: str) -> Column:
@@ -106,23 +130,76 @@ def r2(y: str, p: str) -> Column:
     return 1 - F.sum((F.col(y) - F.col(p)) ** 2) / F.nullif(F.var_pop(F.when(F.col(p).isNotNull(), F.col(y))) * F.count(F.col(y) - F.col(p)), F.lit(0.0))
 
 
-def learning_strategies(graded: DataFrame, entity: Sequence[str], order: Sequence[str], y: str, p: str, back: int = 4, k: float = 8.0) -> DataFrame:
-    """Error of predictions as they are, less the bias of the last periods, and less a bias shrunk by n / (n + k)."""
+def _period_index(graded: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(period, i): periods in order; one row each, so the window over all of them is small."""
+    return graded.select(*order).distinct().withColumn("__i", F.row_number().over(Window.orderBy(*order)))
+
+
+def weekly_learning(graded: DataFrame, group: str, order: Sequence[str], y: str, members: Mapping[str, float], frozen: str, naive: str, bias_periods: int = 4, weight_periods: int = 6) -> DataFrame:
+    """Mean error of five strategies over graded rows.
+
+    members: columns of predictions that are refitted each period, with their plain weights. retrain is their plain blend;
+    retrain_bias adds the group's mean error of the last `bias_periods` graded periods; adaptive weighs members by the
+    inverse square of their mean error over the last `weight_periods`, all groups together (plain weights until there are
+    two), and adds the same bias; `frozen` and `naive` are columns that do not learn. All history ends one period before.
+    """
+    blend = sum((w * F.col(m) for m, w in members.items()), F.lit(0.0))
+    rows = graded.withColumn("__retrain", blend).join(F.broadcast(_period_index(graded, order)), list(order))
+    per = rows.groupBy(group, "__i").agg(F.sum(F.col(y) - F.col("__retrain")).alias("__s"), F.count("*").alias("__n"))
+    recent = Window.partitionBy(group).orderBy("__i").rangeBetween(-bias_periods, -1)
+    bias = per.select(group, "__i", F.coalesce(F.sum("__s").over(recent) / F.sum("__n").over(recent), F.lit(0.0)).alias("__bias"))
+    misses = rows.groupBy("__i").agg(F.count("*").alias("__n"), *(F.sum(F.abs(F.col(y) - F.col(m))).alias(f"__e_{m}") for m in members))
+    before, all_before = Window.orderBy("__i").rangeBetween(-weight_periods, -1), Window.orderBy("__i").rangeBetween(Window.unboundedPreceding, -1)
+    inverse = {m: F.lit(1.0) / F.greatest(F.sum(f"__e_{m}").over(before) / F.sum("__n").over(before), F.lit(1e-6)) ** 2 for m in members}
+    weighed = misses.select("__i", F.count("*").over(all_before).alias("__k"), *(c.alias(f"__v_{m}") for m, c in inverse.items()))
+    total = sum((F.col(f"__v_{m}") for m in members), F.lit(0.0))
+    weighed = weighed.select("__i", *(F.when(F.col("__k") >= 2, F.col(f"__v_{m}") / total).otherwise(w).alias(f"__w_{m}") for m, w in members.items()))
+    shown = rows.join(bias, [group, "__i"]).join(F.broadcast(weighed), "__i")
+    adaptive = sum((F.col(f"__w_{m}") * F.col(m) for m in members), F.lit(0.0)) + F.col("__bias")
+    strategies = {"naive": F.col(naive), "frozen": F.col(frozen), "retrain": F.col("__retrain"), "retrain_bias": F.col("__retrain") + F.col("__bias"), "adaptive": adaptive}
+    told = F.explode(F.array(*(F.struct(F.lit(k).alias("strategy"), F.abs(F.col(y) - c).alias("miss")) for k, c in strategies.items())))
+    found = shown.select(*order, told.alias("t")).groupBy(F.col("t.strategy").alias("strategy"))
+    late = F.col(order[-1]) > 9
+    return found.agg(F.count("*").alias("n"), F.avg("t.miss").alias("mae"), F.avg(F.when(~late, F.col("t.miss"))).alias("first_half"), F.avg(F.when(late, F.col("t.miss"))).alias("second_half"))
+
+
+def player_learning(graded: DataFrame, entity: Sequence[str], order: Sequence[str], y: str, p: str, form: tuple[str, str, str], k: float = 8.0, least: int = 3, turn: float = 0.35, follow: float = 0.45) -> DataFrame:
+    """Mean error of predictions as they are, and with what an entity's own past adds to them.
+
+    player_bias adds the mean error of its earlier rows times n / (n + k), from `least` rows on. role_change adds `follow` of
+    the difference of short and long form (form: columns of a short, middle and long mean) where it is more than `turn` of
+    the mean of middle and long. both adds both. oracle is the bound: each entity's bias over all rows, known beforehand.
+    """
     rows = graded.withColumn("__e", F.col(y) - F.col(p))
-    w, every = windows.past(entity, order, back), windows.past(entity, order)
-    n = F.count("__e").over(every)
-    shifted = rows.withColumn("__bias", F.coalesce(F.avg("__e").over(w), F.lit(0.0))).withColumn("__shrunk", F.coalesce(F.avg("__e").over(every) * n / (n + k), F.lit(0.0)))
-    miss = lambda c: F.avg(F.abs(F.col(y) - F.col(p) - c))
-    return shifted.agg(miss(F.lit(0.0)).alias("plain"), miss(F.col("__bias")).alias("bias"), miss(F.col("__shrunk")).alias("shrunk"))
-
-
-def error_anatomy(graded: DataFrame, flags: dict[str, Column], y: str, p: str) -> DataFrame:
-    """Per flag: rows, mean error, and what would be gained if flagged rows were as good as the others."""
+    past, own = windows.past(entity, order), Window.partitionBy(*entity)
+    short, middle, long = map(F.col, form)
+    n, all_n = F.count("__e").over(past), F.count("__e").over(own)
+    shift = F.when(n >= least, F.avg("__e").over(past) * n / (n + k)).otherwise(0.0)
+    usual = F.coalesce((middle + long) / 2, middle, long)
+    change = F.coalesce(short - long, F.lit(0.0))
+    turned = F.coalesce(F.abs(change) > turn * F.greatest(usual, F.lit(1.0)), F.lit(False))
+    rows = rows.select("*", shift.alias("__shift"), F.when(turned, follow * change).otherwise(0.0).alias("__role"), (F.avg("__e").over(own) * all_n / (all_n + k)).alias("__truth"))
+    miss = lambda c: F.avg(F.abs(F.col("__e") - c))
+    return rows.agg(
+        F.count("*").alias("n"), miss(F.lit(0.0)).alias("base"), miss(F.col("__shift")).alias("player_bias"), miss(F.col("__role")).alias("role_change"),
+        miss(F.col("__shift") + F.col("__role")).alias("both"), miss(F.col("__truth")).alias("oracle"),
+        F.count_if(F.col("__shift") != 0).alias("with_bias"), F.count_if(F.col("__role") != 0).alias("with_role_change"),
+    )
+
+
+def error_anatomy(graded: DataFrame, flags: Mapping[str, Column], y: str, p: str) -> DataFrame:
+    """Per flag, and for rows with any of them: rows, mean error, what would be gained if flagged rows were as good as the
+    others, and the share of all error that flagged rows hold."""
     rows = graded.withColumn("__e", F.abs(F.col(y) - F.col(p)))
-    tags = F.array(*(F.struct(F.lit(n).alias("flag"), F.coalesce(c, F.lit(False)).alias("on")) for n, c in flags.items()))
+    known = {name: F.coalesce(c, F.lit(False)) for name, c in flags.items()}
+    any_ = F.lit(False)
+    for c in known.values():
+        any_ = any_ | c
+    tags = F.array(*(F.struct(F.lit(n).alias("flag"), c.alias("on")) for n, c in [*known.items(), ("any", any_)]))
     long = rows.select("__e", F.explode(tags).alias("t")).select("__e", "t.flag", "t.on")
     on, off = F.avg(F.when(F.col("on"), F.col("__e"))), F.avg(F.when(~F.col("on"), F.col("__e")))
-    return long.groupBy("flag").agg(F.count_if("on").alias("n"), on.alias("mae"), (on - off).alias("excess"), ((on - off) * F.count_if("on") / F.count("*")).alias("prize"))
+    share = F.sum(F.when(F.col("on"), F.col("__e")).otherwise(0.0)) / F.sum("__e")
+    return long.groupBy("flag").agg(F.count_if("on").alias("n"), on.alias("mae"), (on - off).alias("excess"), ((on - off) * F.count_if("on") / F.count("*")).alias("prize"), share.alias("share"))
 
 
 def availability_study(df: DataFrame, y: str, p: str, category: str, least: int = 40) -> DataFrame:
@@ -131,10 +208,17 @@ def availability_study(df: DataFrame, y: str, p: str, category: str, least: int
 
 
 def auc(df: DataFrame, y: str, p: str) -> DataFrame:
-    """Area under the ROC curve by average ranks, counted per distinct score so that rows never meet in one task."""
+    """Area under the ROC curve by average ranks, counted per distinct score.
+
+    Scores are range-partitioned: a running sum within each part, plus what lower parts hold, which is a row a part.
+    """
     per = df.groupBy(p).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("below", below).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    spread = stored(per.repartitionByRange(p).withColumn("__part", F.spark_partition_id()), "scores")
+    held = spread.groupBy("__part").agg(F.sum("neg").alias("__neg"))
+    first = held.select("__part", F.coalesce(F.sum("__neg").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    inside = F.coalesce(F.sum("neg").over(Window.partitionBy("__part").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = spread.withColumn("below", inside).join(F.broadcast(first), "__part").withColumn("below", F.col("below") + F.col("__first"))
+    return placed.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def margin_by_cutoff(df: DataFrame, x: str, cuts: Sequence[float], y: str, model: str, base: str) -> DataFrame:
