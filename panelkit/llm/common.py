@@ -71,6 +71,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    give_back()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -139,6 +140,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 8 <
             at = last
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def settled(rows: Iterator[pa.RecordBatch], *caches) -> Iterator[pa.RecordBatch]:
     """`rows`; at the end of the partition the caches are emptied and memory goes back to the system, since a worker
     process outlives its task."""
@@ -147,8 +157,4 @@ def settled(rows: Iterator[pa.RecordBatch], *caches) -> Iterator[pa.RecordBatch]
     finally:
         for cache in caches:
             cache.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+        give_back()

@@ -1,9 +1,12 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmaps, then exact intersection of sorted arrays.
 
 Two sets with similarity t differ in few elements, at most k = (1-t)/(1+t) * (sizes). Sets lie in bands by size; for a
-band, hash space is cut into more ranges than k, so two linked sets have some range in which they hold the same
-elements. A signature is the hash of what a set holds in one range. Sets meet only if a signature agrees, which a
-shared passage alone does not bring about: the rest of the range would have to be equal too.
+band, hash space is cut into half as many ranges again as k. A signature is the hash of what a set holds in one range, so two linked sets
+differ in k signatures at most. If all signatures are put in one order, two linked sets have one in common among the first
+k + 1 of each: only these are sent. The order puts ranges with several elements first, since one element is easily shared
+by chance, then by how often a signature's cell of a counting sketch occurs, rare ones first, so a passage that many
+documents share does not bring them together while they have something rarer. The sketch is counted over all sets; it
+decides about work, never about links.
 
 Sets that meet, directly or through others, form a cluster. A cluster is ordered by size and cut into blocks of bounded
 weight; two blocks make a tile if their sizes allow a link. A first pass over tiles carries hashed bitmaps only: bit
@@ -14,6 +17,7 @@ sets are one class and need no comparison.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -28,8 +32,11 @@ from pyspark.sql.window import Window
 from .common import free_name, materialize, quoted, running, settled, slices, small_batches
 from .components import connected_components
 
-BAND = 0.6
+BAND = 0.75
 CACHED_WORDS = 200_000
+#: Cells of the sketch that counts signatures, a power of two, and the parts in which it is summed.
+SKETCH = 1 << 20
+SKETCH_PARTS = 64
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _S31, _S29 = np.uint64(31), np.uint64(29)
 
@@ -73,36 +80,52 @@ def _differ(high: int, percent: int) -> int:
     return (100 - percent) * 2 * high // (100 + percent)
 
 
-def band_start(band: int) -> int:
-    """Smallest size in a band; bands 0, 1, 2, ... cover all sizes from 1."""
-    return 1 if band <= 0 else max(band + 1, math.ceil(BAND**-band))
+def _starts() -> list[int]:
+    out = [1]
+    while out[-1] < 1 << 50:
+        out.append(max(out[-1] + 1, math.ceil(BAND ** -len(out))))
+    return out
+
+
+#: Smallest size in each band; bands 0, 1, 2, ... cover all sizes from 1.
+BAND_STARTS = _starts()
 
 
 def bands_of(size: int, percent: int) -> list[int]:
-    """The band of a set's own size, and the next one if a linked set can lie there."""
-    band = max(0, int(math.log(size) / -math.log(BAND)) - 1)
-    while band_start(band + 1) <= size:
-        band += 1
-    return [band] + [band + 1] * (size * 100 >= percent * band_start(band + 1))
+    """The band of a set's own size, and those after it in which a linked set can lie."""
+    out = [bisect.bisect_right(BAND_STARTS, size) - 1]
+    while size * 100 >= percent * BAND_STARTS[out[-1] + 1]:
+        out.append(out[-1] + 1)
+    return out
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Two linked sets share a signature at least. Ranges without elements count only for a set with many of them:
-    of p ranges, p - k agree, which is more than the e empty ones that either set is allowed to keep silent about."""
+def signatures(s: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """For each band of a set: its signatures, and how many of them it has to send, k + 1. If fewer ranges than that have
+    elements, signatures of ranges without any make up the number, in an order of their own, which is the same for all.
+    The two highest bits of a signature say whether its range has no element, one, or several."""
     out = []
     for band in bands_of(len(s), percent):
-        k = _differ(band_start(band + 1) - 1, percent)
-        silent = 0 if k == 0 else 2 + (k + 1) // 16
-        ranges = k + 1 + silent
+        keep = _differ(BAND_STARTS[band + 1] - 1, percent) + 1
+        ranges = keep + keep // 2 + 1
         where = ((s >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-        content = np.add.reduceat(_mix(s), first)
-        held = where[first]
-        if ranges - len(held) > silent:
-            empty = np.setdiff1d(np.arange(ranges, dtype=np.uint64), held)
-            held, content = np.r_[held, empty], np.r_[content, np.zeros(len(empty), np.uint64)]
-        out.append(_mix(content + _mix(held * _M1 + np.uint64(band + 1))))
-    return np.concatenate(out)
+        content, held = np.add.reduceat(_mix(s), first), where[first]
+        many = np.minimum(np.diff(np.r_[first, len(s)]), 2).astype(np.uint64)
+        found = (_mix(content + _mix(held * _M1 + np.uint64(band + 1))) >> np.uint64(2)) | (many << np.uint64(62))
+        if len(found) < keep:
+            empty = np.sort(_mix(_mix(np.setdiff1d(np.arange(ranges, dtype=np.uint64), held) * _M1 + np.uint64(band + 1))) >> np.uint64(2))
+            found = np.r_[found, empty[: keep - len(found)]]
+        out.append((found, keep))
+    return out
+
+
+def rarest(found: np.ndarray, keep: int, sketch: np.ndarray) -> np.ndarray:
+    """The first `keep` signatures in the order of (elements of the range: several, one, none; count of the sketch's cell;
+    signature)."""
+    if len(found) <= keep:
+        return found
+    order = np.lexsort((found, sketch[found & np.uint64(len(sketch) - 1)], np.uint64(3) - (found >> np.uint64(62))))
+    return found[order[:keep]]
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -165,23 +188,82 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set (a hash of the whole set; null without words), signatures (null where the task has sent them)."""
+    """doc_id, n_shingles, set (a hash of the whole set; null without words), signatures of all bands and bands (for each
+    how many signatures, and how many of them are to be sent); null where the task has sent them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part in slices(batches, 1, rows=1000):
-            sizes, names, found = [], [], []
+            sizes, names, found, bands = [], [], [], []
             for text in _texts(part.column(1)):
                 s = shingle_set(text, n)
                 key = set_key(s)
                 sizes.append(len(s))
                 names.append(key if len(s) else None)
-                found.append(signatures(s, percent).view(np.int64) if len(s) and key not in seen else None)
+                fresh = signatures(s, percent) if len(s) and key not in seen else None
+                found.append(np.concatenate([x for x, _ in fresh]).view(np.int64) if fresh else None)
+                bands.append([y for x, keep in fresh for y in (len(x), keep)] if fresh else None)
                 seen.add(key)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set", "signatures"])
+            arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set", "signatures", "bands"])
 
     kept = docs.select(quoted(id_col).cast("bigint").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(lambda batches: settled(rows(batches), _hashed), "doc_id bigint, n_shingles bigint, set bigint, signatures array<bigint>")
+    return kept.mapInArrow(lambda batches: settled(rows(batches), _hashed), "doc_id bigint, n_shingles bigint, set bigint, signatures array<bigint>, bands array<int>")
+
+
+def counting_sketch(first: DataFrame) -> np.ndarray:
+    """How often signatures fall in each of SKETCH cells, over all sets. Tasks count, cells are summed in Spark in parts, so
+    the driver gets SKETCH numbers whatever the input."""
+    part = SKETCH // SKETCH_PARTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            values = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            cells += np.bincount((values & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+        if cells.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([cells[k * part : (k + 1) * part].astype("<u4").tobytes() for k in range(SKETCH_PARTS)], pa.binary())], names=["k", "cells"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of k."""
+        now, total = None, np.zeros(part, np.int64)
+        for batch in batches:
+            for k, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k != now and now is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "cells"])
+                    total = np.zeros(part, np.int64)
+                now, total = k, total + np.frombuffer(cells, "<u4")
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "cells"])
+
+    counted = first.where("signatures is not null").select("signatures").mapInArrow(lambda b: settled(count(b)), "k int, cells binary")
+    summed = counted.repartition("k").sortWithinPartitions("k").mapInArrow(lambda b: settled(add(b)), "k int, cells binary")
+    out = np.zeros(SKETCH, np.int64)
+    for row in summed.collect():
+        out[row["k"] * part : (row["k"] + 1) * part] = np.frombuffer(row["cells"], np.int64)
+    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
+
+
+def sent_signatures(first: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """(set, signature): of each set and band, those that have to be sent."""
+    shared = first.sparkSession.sparkContext.broadcast(sketch)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                values, starts = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).offsets.to_numpy()
+                out = []
+                for k, bands in enumerate(batch.column(2).to_pylist()):
+                    low, kept = starts[k] - starts[0], []
+                    for size, keep in zip(bands[0::2], bands[1::2]):
+                        kept.append(rarest(values[low : low + size], keep, shared.value))
+                        low += size
+                    out.append(np.concatenate(kept).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["set", "signatures"])
+
+    given = first.where("signatures is not null").select("set", "signatures", "bands")
+    return given.mapInArrow(lambda b: settled(rows(b)), "set bigint, signatures array<bigint>").select("set", F.explode("signatures").alias("signature"))
 
 
 #: Bytes of sets or bitmaps that a task sends on at a time, at most (or one row's).
@@ -254,7 +336,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     first = materialize(shingled(docs, id_col, text_col, n, percent), "shingled")
     classes = materialize(first.where("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
     same = Window.partitionBy("signature")
-    sent = first.where("signatures is not null").select("set", F.explode("signatures").alias("signature"))
+    sent = sent_signatures(first, counting_sketch(first))
     meetings = sent.withColumn("low", F.min("set").over(same)).where("low < set").select(F.col("low").alias("a"), F.col("set").alias("b")).distinct()
     bounded = materialize(connected_components(meetings), "clusters")
     for exact in (False, True):

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, slices
+from .common import give_back, settled, slices
 from .labelled import crc_of, labelled_sample, with_score
 
 GRADES = 3
@@ -157,11 +157,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
     got = placed.mapInArrow(lambda batches: settled(rows_of(batches)), "feature array<int>, count array<int>, label int, place bigint").toPandas()
     order = np.lexsort((got["label"], got["feature"].map(len), got["place"]))  # the same model whatever order rows arrive in
     got = got.iloc[order].reset_index(drop=True)
-    row = np.repeat(np.arange(len(got)), got["feature"].map(len).to_numpy(np.int64))
-    feature, count = (np.concatenate([*got[c], np.zeros(0)]).astype(np.int64) for c in ("feature", "count"))
+    row = np.repeat(np.arange(len(got), dtype=np.int32), got["feature"].map(len).to_numpy(np.int64))
+    feature, count = (np.concatenate([np.zeros(0, np.int32), *got[c]]) for c in ("feature", "count"))
     value, is_toxic = np.log1p(count), got["label"].to_numpy() == 1
     grade = severity_grades(row, feature, value, is_toxic, np.arange(len(got)) % FOLDS, len(number))
     weight, theta = fit_cumulative_link(row, feature, value, grade, len(number))
+    del got, row, feature, count, value, grade
+    give_back()
     return Ordinal(number, weight, theta)
 
 

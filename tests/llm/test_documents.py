@@ -286,15 +286,25 @@ def test_ngram_join_odd_rows(odd, none):
 
 def test_signatures_are_shared_by_every_linked_pair():
     rng = np.random.default_rng(4)
-    for size in (1, 2, 5, 7, 12, 30, 77, 200, 900):
-        for _ in range(30):
-            a = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
-            k = ngram_join._differ(len(a), 80)
-            drop = int(rng.integers(0, k // 2 + 1))
-            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, k // 2 - drop if k // 2 > drop else 0, np.uint64)]))
-            both = len(np.intersect1d(a, b))
-            if 100 * both >= 80 * (len(a) + len(b) - both):
-                assert set(ngram_join.signatures(a, 80).tolist()) & set(ngram_join.signatures(b, 80).tolist())
+    for sketch in (np.zeros(64, np.uint32), rng.integers(0, 9, 64).astype(np.uint32)):
+        for size in (1, 2, 5, 7, 12, 30, 77, 200, 900):
+            for _ in range(30):
+                a = np.unique(rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2) + np.uint64(1))
+                k = ngram_join._differ(len(a), 80)
+                drop = int(rng.integers(0, k // 2 + 1))
+                b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, k // 2 - drop if k // 2 > drop else 0, np.uint64) * np.uint64(2)]))
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= 80 * (len(a) + len(b) - both):
+                    sent = [{x for found, keep in ngram_join.signatures(s, 80) for x in ngram_join.rarest(found, keep, sketch).tolist()} for s in (a, b)]
+                    assert sent[0] & sent[1]
+
+
+def test_counting_sketch(many):
+    first = ngram_join.shingled(many, "doc_id", "text", 4, 85).cache()
+    want = np.zeros(ngram_join.SKETCH, np.int64)
+    for r in first.where("signatures is not null").collect():
+        np.add.at(want, np.array(r["signatures"], np.int64).view(np.uint64) % ngram_join.SKETCH, 1)
+    assert (ngram_join.counting_sketch(first) == want).all() and want.sum() > 0
 
 
 def test_lm(odd, none, many):
