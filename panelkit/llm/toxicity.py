@@ -158,7 +158,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
     order = np.lexsort((got["label"], got["feature"].map(len), got["place"]))  # the same model whatever order rows arrive in
     got = got.iloc[order].reset_index(drop=True)
     row = np.repeat(np.arange(len(got), dtype=np.int32), got["feature"].map(len).to_numpy(np.int64))
-    feature, count = (np.concatenate([np.zeros(0, np.int32), *got[c]]) for c in ("feature", "count"))
+    feature, count = (np.concatenate([np.zeros(0), *got[c]]).astype(np.int32) for c in ("feature", "count"))
     value, is_toxic = np.log1p(count), got["label"].to_numpy() == 1
     grade = severity_grades(row, feature, value, is_toxic, np.arange(len(got)) % FOLDS, len(number))
     weight, theta = fit_cumulative_link(row, feature, value, grade, len(number))
