@@ -265,6 +265,49 @@ def form_versus_baseline(recent: str = "mean3", base: str = "mean10") -> Candida
     return Candidate("form_versus_baseline", "recent form against the long run", ("form_ratio",), lambda df: df.withColumn("form_ratio", F.when(F.col(base) > 0.5, F.col(recent) / F.col(base))))
 
 
+def evaluate(candidate: Candidate, champion: DataFrame, challenger: DataFrame, keys: Sequence[str], y: str, metric: str = "mae", by: Sequence[str] = ()) -> DataFrame:
+    """Ledger entries of a candidate: the replay without it (champion) against the replay with it (challenger), on the same
+    rows, then the promotion gate. One row, or one for each value of `by`: entry_id, candidate, metric, n, improvement, se,
+    z, coverage, promoted, reason. An empty pairing raises: nothing was compared."""
+    found = promote(paired_evidence(champion, challenger, keys, y, by=by))
+    if found.where("n > 0").isEmpty():
+        raise ValueError(f"{candidate.name}: champion and challenger share no rows")
+    entry = F.sha2(F.concat_ws("|", F.lit(candidate.name), F.lit(metric), *by), 256)
+    return found.select(entry.alias("entry_id"), F.lit(candidate.name).alias("candidate"), F.lit(metric).alias("metric"), *by, "n", "improvement", "se", "z", "coverage", "promoted", "reason")
+
+
+def failure_report(graded: DataFrame, y: str, bases: Sequence[str], recent: str, names: DataFrame | None = None, worst: int = 10, p: str = "points") -> DataFrame:
+    """Where the forecasts of the newest graded period failed, as one table by section.
+
+    "summary", "position" and "tier" (of recent form, null as 0): rows, error of the model and of the best baseline of that
+    period, and the margin. "worst": the rows with the largest errors, with their name, projection, outcome and error
+    (ties by entity). names: player_id, name. Nothing graded raises.
+    """
+    known = graded.where(F.col(y).isNotNull())
+    last = known.agg(F.max(F.struct("season", "week")).alias("x")).first()["x"]
+    if last is None:
+        raise ValueError("no graded rows to analyse")
+    rows = known.where((F.col("season") == last["season"]) & (F.col("week") == last["week"]))
+    means = rows.agg(*(F.avg(F.abs(F.col(y) - F.col(b))).alias(b) for b in bases)).first()
+    best = min(bases, key=lambda b: (float("inf") if means[b] is None else means[b], b))
+    rows = rows.withColumn("__tiered", F.coalesce(F.col(recent).cast("double"), F.lit(0.0)))
+    parts = {
+        "summary": aggs.error_by(rows, F.lit("ALL"), y, p, best, "label"),
+        "position": aggs.error_by(rows, "position", y, p, best, "label"),
+        "tier": aggs.error_by_tier(rows, "__tiered", y, p, best).withColumnRenamed("tier", "label"),
+    }
+    none = {"projected": "double", "actual": "double", "error": "double"}
+    tables = [df.select(F.lit(section).alias("section"), "label", "n", "model_mae", "baseline_mae", "margin", *(F.lit(None).cast(t).alias(c) for c, t in none.items())) for section, df in parts.items()]
+    top = windows.largest(rows.withColumn("__miss", F.abs(F.col(y) - F.col(p))), "__miss", worst, ["player_id"])
+    named = joins.enrich(top, names, "player_id", "name") if names is not None else top.withColumn("name", F.col("player_id").cast("string"))
+    empty = {"n": "bigint", "model_mae": "double", "baseline_mae": "double", "margin": "double"}
+    shown = named.select(F.lit("worst").alias("section"), F.col("name").alias("label"), *(F.lit(None).cast(t).alias(c) for c, t in empty.items()), F.col(p).cast("double").alias("projected"), F.col(y).cast("double").alias("actual"), (F.col(y) - F.col(p)).cast("double").alias("error"))
+    out = shown
+    for table in tables:
+        out = out.unionByName(table)
+    return out
+
+
 def next_to_predict(df: DataFrame, season: int, outcome: str) -> DataFrame:
     return df.where((F.col("season") == season) & F.col(outcome).isNull()).agg(F.min("week").alias("week"))
 

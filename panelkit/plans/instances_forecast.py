@@ -138,6 +138,41 @@ def e02_e04_candidate(spark, sf_dir):
     return leaky.leaks(rows, [*E, *G], "actual", hidden)
 
 
+@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, last AS (SELECT model.* FROM model SEMI JOIN (SELECT arg_max(season, season * 100 + week) AS season, arg_max(week, season * 100 + week) AS week FROM model) USING (season, week)),
+ pick AS (SELECT avg(abs(qty - base)) <= avg(abs(qty - ten)) AS first FROM last JOIN tens USING (player_id, season, week)),
+ e AS (SELECT l.*, c_name, abs(qty - p) AS m, abs(qty - if(first, base, ten)) AS b FROM last l JOIN tens USING (player_id, season, week) JOIN customer ON c_custkey = l.player_id, pick),
+ g AS (SELECT 'summary' AS section, 'ALL' AS label, m, b FROM e UNION ALL SELECT 'position', position, m, b FROM e
+  UNION ALL SELECT 'tier', CASE WHEN p <= 4 THEN '(-0.01, 4]' WHEN p <= 8 THEN '(4, 8]' WHEN p <= 13 THEN '(8, 13]' ELSE '(13, 100]' END, m, b FROM e WHERE p <= 100)
+ SELECT section, label, count(*) AS n, round(avg(m), 5) AS model_mae, round(avg(b), 5) AS baseline_mae, round(avg(b) - avg(m), 5) AS margin, NULL AS projected, NULL AS actual, NULL AS error FROM g GROUP BY section, label
+ UNION ALL SELECT 'worst', c_name, NULL, NULL, NULL, NULL, round(p, 5), qty, round(qty - p, 5) FROM (FROM e ORDER BY m DESC, player_id LIMIT 10)""".replace("model AS (SELECT *, m5", "tens AS (SELECT player_id, season, week, avg(qty) OVER (PARTITION BY player_id ORDER BY season, week ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS ten FROM panel),\n model AS (SELECT *, m5"))
+def m23_failure_report(spark, sf_dir):
+    """The newest month of the trailing means, against a long mean and one of ten rows."""
+    rows = windows.trailing(order_panel(spark, sf_dir), E, G, {"points": ("avg", "qty", 5), "base": ("avg", "qty", None), "ten": ("avg", "qty", 10)}).where("points is not null")
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("name"))
+    found = forecast.failure_report(rows, "qty", ["base", "ten"], "points", names)
+    return found.select("section", "label", "n", *(F.round(c, 5).alias(c) for c in ("model_mae", "baseline_mae", "margin", "projected", "actual", "error")))
+
+
+REPLAY_SQL = """lines AS (SELECT s.season, regr_slope(m.qty, m.p) AS p_slope, regr_intercept(m.qty, m.p) AS p_at, regr_slope(m.qty, m.base) AS b_slope, regr_intercept(m.qty, m.base) AS b_at,
+   regr_slope(m.qty, m.p) FILTER (m.p >= 30) AS n_slope, regr_intercept(m.qty, m.p) FILTER (m.p >= 30) AS n_at FROM (SELECT DISTINCT season FROM model) s JOIN model m ON m.season < s.season GROUP BY s.season)"""
+
+
+@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, {REPLAY_SQL}, e AS (SELECT position, abs(qty - p_at - p_slope * p) AS a, abs(qty - b_at - b_slope * base) AS b, qty BETWEEN b_at + b_slope * base - 60 AND b_at + b_slope * base + 60 AS inside FROM model JOIN lines USING (season)),
+ g AS (SELECT position, count(*) AS n, avg(a - b) AS improvement, stddev_samp(a - b) / sqrt(count(*)) AS se, avg(inside::INTEGER) AS coverage FROM e GROUP BY position)
+ SELECT sha256('long_mean|mae|' || position) AS entry_id, position, n, round(improvement, 5) AS improvement, round(se, 5) AS se, round(improvement / se, 3) AS z, round(coverage, 6) AS coverage,
+  CASE WHEN improvement > 0.05 THEN CASE WHEN coverage < 0.75 OR coverage > 0.85 THEN 'coverage out of bounds' WHEN abs(improvement / se) >= 2 THEN 'promoted' ELSE 'not significant' END ELSE 'improvement too small' END AS reason FROM g""")
+def m17_evaluate(spark, sf_dir):
+    """A line on the recent mean as champion, a line on the long mean, which the candidate adds, as challenger; both are
+    refitted before every season."""
+    rows = stored(model_rows(spark, sf_dir), "model-rows")
+    candidate = forecast.Candidate("long_mean", "the long run says more than the last five months", ("long_mean",), lambda df: df.withColumn("long_mean", F.col("base")))
+    built = candidate.apply(rows, [*E, *G])
+    champion = studies.line_replay(rows, "season", "p", "qty")
+    challenger = studies.line_replay(built, "season", "long_mean", "qty").withColumns({"low": F.col("points") - 60, "high": F.col("points") + 60})
+    found = forecast.evaluate(candidate, champion, challenger, [*E, *G], "qty", by=["position"])
+    return found.select("entry_id", "position", "n", *(F.round(c, 5).alias(c) for c in ("improvement", "se")), F.round("z", 3).alias("z"), F.round("coverage", 6).alias("coverage"), "reason")
+
+
 # ---- studies -----------------------------------------------------------------------------------------------------
 
 
@@ -286,3 +321,35 @@ def p10_newest_season(spark, sf_dir):
     p = order_panel(spark, sf_dir)
     top = p.agg(F.max("season")).first()[0]
     return shape.period_range(p, "season", top, top).groupBy("season", "week").agg(F.count("*").alias("n"))
+
+
+@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, {REPLAY_SQL}, e AS (SELECT abs(qty - base) AS b, unnest([{{'population': 'wide', 'm': abs(qty - p_at - p_slope * p)}}, {{'population': 'narrow', 'm': abs(qty - n_at - n_slope * p)}}], recursive := true) FROM model JOIN lines USING (season) WHERE p >= 30),
+ g AS (SELECT population, count(*) AS n, avg(m) AS mae, avg(b) - avg(m) AS margin FROM e GROUP BY population)
+ SELECT population, n, round(mae, 5) AS mae, round(margin, 5) AS margin, margin = (SELECT max(margin) FROM g) AS better FROM g""")
+def x19_wide_vs_narrow(spark, sf_dir):
+    rows = stored(model_rows(spark, sf_dir), "model-rows")
+    found = studies.wide_vs_narrow(rows, "season", "p", "qty", "base", F.col("p") >= 30)
+    return found.select("population", "n", *(F.round(c, 5).alias(c) for c in ("mae", "margin")), "better")
+
+
+@query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, c AS (SELECT p, greatest(lo - qty, qty - hi)::DOUBLE AS miss FROM model WHERE season < 1999),
+ every AS (SELECT 'everyone' AS population, list(miss ORDER BY miss) AS m FROM c UNION ALL SELECT 'eligible', list(miss ORDER BY miss) FROM c WHERE p >= 60),
+ "at" AS (SELECT population, m, (len(m) - 1) * least(0.999, 0.8 * (1 + 1 / len(m))) AS i FROM every), o AS (SELECT population, m[floor(i)::INT + 1] + (i - floor(i)) * (m[floor(i)::INT + 2] - m[floor(i)::INT + 1]) AS o FROM "at")
+ SELECT population, count(*) AS n, round(avg((qty BETWEEN lo - o AND hi + o)::INTEGER), 6) AS coverage, round(avg(hi - lo + 2 * o), 4) AS width FROM model, o WHERE season >= 1999 AND p >= 60 GROUP BY population""")
+def x20_calibration_population(spark, sf_dir):
+    rows = stored(model_rows(spark, sf_dir), "model-rows")
+    found = studies.calibration_population(rows, F.col("season") < 1999, "lo", "hi", "qty", F.col("p") >= 60, lambda cal: forecast.conformal_row(cal, "lo", "hi", "qty"))
+    return found.select("population", "n", F.round("coverage", 6).alias("coverage"), F.round("width", 4).alias("width"))
+
+
+@query(sql("panel", """, closed AS (SELECT year(o_orderdate)::INTEGER AS season, month(o_orderdate)::INTEGER AS week FROM orders GROUP BY 1, 2 HAVING max(year(o_orderdate)) < 2001),
+ kept AS (SELECT * FROM panel SEMI JOIN closed USING (season, week)),
+ made AS (SELECT team, season, week, avg(x) OVER (PARTITION BY team ORDER BY season, week ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS t FROM (SELECT team, season, week, sum(qty) AS x FROM kept GROUP BY team, season, week))
+ SELECT player_id, season, week, round(avg(qty) OVER w, 6) AS qty_mean5, round(avg(n_orders) OVER w, 6) AS n_orders_mean5, row_number() OVER (PARTITION BY player_id ORDER BY season, week) - 1 AS prior_games,
+  round(avg(qty) OVER (PARTITION BY player_id, season ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS qty_season, round(t, 5) AS team_qty_mean5
+ FROM kept JOIN made USING (team, season, week) WINDOW w AS (PARTITION BY player_id ORDER BY season, week ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""").replace("GROUP BY ALL)\n,", "GROUP BY ALL),"))
+def x21_study_panel(spark, sf_dir):
+    """Orders before 2001 count as final."""
+    o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week"), (F.year("o_orderdate") < 2001).alias("is_final"))
+    found = studies.study_panel(order_panel(spark, sf_dir), o, "player_id", "season", "week", "team", "qty", ["n_orders"])
+    return found.select(*E, *G, *(F.round(c, 6).alias(c) for c in ("qty_mean5", "n_orders_mean5")), "prior_games", F.round("qty_season", 6).alias("qty_season"), F.round("team_qty_mean5", 5).alias("team_qty_mean5"))

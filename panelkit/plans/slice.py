@@ -76,7 +76,7 @@ placed AS (SELECT season, week, position, unnest(qualified) AS player_id, genera
 earning AS (SELECT season, week, position, unnest(everyone) AS player_id, generate_subscripts(everyone, 1) AS fantasy_rank FROM best),
 placings AS (SELECT * FROM scores LEFT JOIN placed USING (season, week, position, player_id) JOIN earning USING (season, week, position, player_id)),
 opened AS (SELECT season, min(week) AS opening FROM panel GROUP BY season),
-settled AS (SELECT year(o_orderdate)::INTEGER AS season, month(o_orderdate)::INTEGER AS week, count(*) = count(*) FILTER (o_orderstatus = 'F') AS done FROM orders GROUP BY 1, 2),
+settled AS (SELECT year(o_orderdate)::INTEGER AS season, month(o_orderdate)::INTEGER AS week, count(*) = count(*) FILTER (o_orderdate < DATE '2001-01-01') AS done FROM orders GROUP BY 1, 2),
 ranks AS (SELECT now.*, was.rank AS prev_rank, was.rank - now.rank AS movement, now.rank IS NOT NULL AND was.rank IS NULL AND now.week > opening AS is_new,
   was.fantasy_rank AS prev_fantasy_rank, was.fantasy_rank - now.fantasy_rank AS fantasy_movement, was.fantasy_rank IS NULL AND now.week > opening AS fantasy_is_new, done IS TRUE AS week_complete
  FROM placings now JOIN opened ON opened.season = now.season LEFT JOIN settled ON settled.season = now.season AND settled.week = now.week
@@ -118,9 +118,9 @@ class Slice:
 
     @cached_property
     def settled(self) -> DataFrame:
-        """Whether each order of a month is final."""
+        """Whether each order of a month is final: those before 2001 are."""
         orders = self.spark.read.parquet(f"{self.sf_dir}/orders.parquet")
-        return orders.select(F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week"), (F.col("o_orderstatus") == "F").alias("is_final"))
+        return orders.select(F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week"), (F.year("o_orderdate") < 2001).alias("is_final"))
 
     @cached_property
     def cum(self) -> DataFrame:

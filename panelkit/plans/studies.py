@@ -232,3 +232,60 @@ def relative_to_own_average(df: DataFrame, entity: Sequence[str], group: str, x:
     """Mean over a group of each row's value less its entity's own mean."""
     own = windows.over_group(df, entity, "avg", x, "__own")
     return own.groupBy(group).agg(F.count("*").alias("n"), F.avg(F.col(x) - F.col("__own")).alias("relative")).where(F.col("n") >= least)
+
+
+def _lines(df: DataFrame, season: str, x: str, y: str, trained: Column | None, name: str) -> DataFrame:
+    """(season, <name>_slope, <name>_at): the line of y on x fitted on all earlier seasons. Sums per season, one row each,
+    are added up over seasons, so every season's refit costs one pass over the table in all."""
+    rows = df.where(trained) if trained is not None else df
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    per = rows.where(a.isNotNull() & b.isNotNull()).groupBy(season).agg(F.count("*").cast("double").alias("__n"), F.sum(a).alias("__x"), F.sum(b).alias("__y"), F.sum(a * a).alias("__xx"), F.sum(a * b).alias("__xy"))
+    every = df.select(season).distinct().join(per, season, "left").fillna(0.0)
+    before = Window.orderBy(season).rowsBetween(Window.unboundedPreceding, -1)
+    sums = every.select(season, *(F.sum(c).over(before).alias(c) for c in ("__n", "__x", "__y", "__xx", "__xy")))
+    slope = (F.col("__n") * F.col("__xy") - F.col("__x") * F.col("__y")) / F.nullif(F.col("__n") * F.col("__xx") - F.col("__x") * F.col("__x"), F.lit(0.0))
+    return sums.select(season, slope.alias(f"{name}_slope"), ((F.col("__y") - slope * F.col("__x")) / F.col("__n")).alias(f"{name}_at")).where(f"{name}_slope is not null")
+
+
+def line_replay(df: DataFrame, season: str, x: str, y: str, trained: Column | None = None, name: str = "points") -> DataFrame:
+    """`df` with the prediction of a line of y on x that is fitted on all earlier seasons (of the rows `trained` alone, if
+    given). Seasons without two different x before them are left out."""
+    lines = _lines(df, season, x, y, trained, "__line")
+    return df.join(F.broadcast(lines), season).withColumn(name, F.col("__line_at") + F.col("__line_slope") * F.col(x)).drop("__line_at", "__line_slope")
+
+
+def wide_vs_narrow(df: DataFrame, season: str, x: str, y: str, base: str, eligible: Column) -> DataFrame:
+    """The same model learned from everyone and from eligible rows alone, both graded on eligible rows: rows, error, margin
+    over the baseline, and which of the two is better by it."""
+    lines = _lines(df, season, x, y, None, "wide").join(_lines(df, season, x, y, eligible, "narrow"), season)
+    both = df.where(eligible & F.col(x).isNotNull() & F.col(base).isNotNull()).join(F.broadcast(lines), season)
+    told = F.explode(F.array(*(F.struct(F.lit(k).alias("population"), F.abs(F.col(y) - F.col(f"{k}_at") - F.col(f"{k}_slope") * F.col(x)).alias("miss")) for k in ("wide", "narrow"))))
+    found = both.select(told.alias("t"), F.abs(F.col(y) - F.col(base)).alias("b")).groupBy(F.col("t.population").alias("population"))
+    per = found.agg(F.count("*").alias("n"), F.avg("t.miss").alias("mae"), (F.avg("b") - F.avg("t.miss")).alias("margin"))
+    return per.withColumn("better", F.col("margin") == F.max("margin").over(Window.partitionBy()))
+
+
+def calibration_population(df: DataFrame, calibrates: Column, low: str, high: str, y: str, eligible: Column, offset) -> DataFrame:
+    """Ranges moved by an offset learned from everyone, and from eligible rows alone; both graded on eligible rows that do
+    not calibrate: rows, coverage and mean width. offset: a function of rows that gives one row with the column offset."""
+    shown, tables = df.where(~calibrates & eligible), []
+    for name, rows in (("everyone", df.where(calibrates)), ("eligible", df.where(calibrates & eligible))):
+        moved = shown.crossJoin(F.broadcast(offset(rows).select(F.col("offset").alias("__o"))))
+        lo, hi = F.col(low) - F.col("__o"), F.col(high) + F.col("__o")
+        tables.append(moved.agg(F.lit(name).alias("population"), F.count("*").alias("n"), aggs.rate((F.col(y) >= lo) & (F.col(y) <= hi)).alias("coverage"), F.avg(hi - lo).alias("width")))
+    return tables[0].unionByName(tables[1])
+
+
+def study_panel(fact: DataFrame, games: DataFrame, entity: str, season: str, week: str, team: str, points: str, usage: Sequence[str], final: str = "is_final", back: int = 5) -> DataFrame:
+    """What the studies share: rows of final periods, with the points and usage means of the `back` rows before, the season
+    mean so far, prior rows, and what the team's rows have made on average over `back` periods before.
+
+    games: season, week, and whether the period is final; rows of others go before any window looks at them.
+    """
+    done = games.groupBy(season, week).agg(F.bool_and(final).alias("__final")).where("__final").select(season, week)
+    rows = fact.join(F.broadcast(done), [season, week], "left_semi")
+    order = [season, week]
+    specs = {f"{c}_mean{back}": ("avg", c, back) for c in (points, *usage)} | {"prior_games": ("count", points, None)}
+    rows = windows.trailing(windows.trailing(rows, [entity], order, specs), [entity, season], [week], {f"{points}_season": ("avg", points, None)})
+    allowed = windows.trailing_of_agg(rows, [team], order, points, back, f"team_{points}_mean{back}")
+    return rows.join(allowed, [team, *order], "left")
