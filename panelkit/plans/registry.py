@@ -27,7 +27,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import instances_core, instances_forecast, instances_ranking  # noqa: F401
+    from . import instances_core, instances_forecast, instances_more, instances_ranking  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
