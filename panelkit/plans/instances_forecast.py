@@ -353,3 +353,12 @@ def x21_study_panel(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week"), (F.year("o_orderdate") < 2001).alias("is_final"))
     found = studies.study_panel(order_panel(spark, sf_dir), o, "player_id", "season", "week", "team", "qty", ["n_orders"])
     return found.select(*E, *G, *(F.round(c, 6).alias(c) for c in ("qty_mean5", "n_orders_mean5")), "prior_games", F.round("qty_season", 6).alias("qty_season"), F.round("team_qty_mean5", 5).alias("team_qty_mean5"))
+
+
+@query()
+def x09_ablation(spark, sf_dir):
+    """Groups of the feature store, learned up to 1998 and graded from 1999 on."""
+    rows = stored(features(spark, sf_dir).where("not is_upcoming"), "features")
+    groups = {"form": ["qty_mean3", "qty_mean5", "qty_mean10"], "spread": ["qty_sd8", "qty_season"], "volume": ["revenue_mean5", "n_orders_mean5", "prior_games"]}
+    found = forecast.ablation(rows.where("season < 1999"), rows.where("season >= 1999"), groups, "actual")
+    return found.withColumn("mae", F.round("mae", 4))

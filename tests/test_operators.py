@@ -1,5 +1,8 @@
 """Operators on hand-made frames."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +200,54 @@ def test_choose_alpha_is_the_best_on_held_rows(spark):
     train, held = ready.where("k < 150"), ready.where("k >= 150")
     error = lambda a: forecast.fit_ridge(train, "f", "y", a).transform(held).agg(F.avg((F.col("ridge") - F.col("y")) ** 2)).first()[0]
     assert forecast.choose_alpha(train, held, "f", "y", [0.1, 100.0, 1000.0]) == min([0.1, 100.0, 1000.0], key=error)
+
+
+def test_ablation_against_least_squares(spark):
+    """Almost no penalty: the errors are those of least squares on the same columns."""
+    rng = random.Random(5)
+    rows = [(rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(400)]
+    data = [(a, b, c, 3 * a - b + rng.gauss(0, 0.1)) for a, b, c in rows]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(data)], "a double, b double, c double, y double, k int")
+    train, test = df.where("k < 300"), df.where("k >= 300")
+    got = {(r["kind"], r["group"]): (r["features"], r["mae"]) for r in forecast.ablation(train, test, {"one": ["a"], "two": ["b"], "three": ["c"]}, "y", alpha=1e-6).collect()}
+
+    def mae(cols):
+        x = np.array([[1.0, *(r[c] for c in cols)] for r in data])
+        y = np.array([r[3] for r in data])
+        w = np.linalg.lstsq(x[:300], y[:300], rcond=None)[0]
+        return np.abs(x[300:] @ w - y[300:]).mean()
+
+    want = {("add", "one"): [0], ("add", "two"): [0, 1], ("add", "three"): [0, 1, 2], ("drop", "one"): [1, 2], ("drop", "two"): [0, 2], ("drop", "three"): [0, 1]}
+    assert set(got) == set(want)
+    assert all(got[k] == (len(cols), pytest.approx(mae(cols), rel=1e-3)) for k, cols in want.items())
+
+
+def test_failure_report_and_evaluation(spark):
+    rows = [(k, 2001, w, "P" if k % 2 else "Q", float(k % 7), 3.0, 2.0 + k % 3, 5.0) for k in range(40) for w in (1, 2)] + [(99, 2001, 3, "P", None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "player_id int, season int, week int, position string, y double, points double, a double, b double").withColumns({"low": F.col("points") - 2, "high": F.col("points") + 2})
+    got = forecast.failure_report(df, "y", ["a", "b"], "points", worst=3).collect()
+    week = [r for r in rows if r[2] == 2]
+    one = next(r for r in got if r["section"] == "summary")
+    assert (one["n"], one["model_mae"]) == (40, pytest.approx(sum(abs(r[4] - 3) for r in week) / 40)) and one["baseline_mae"] == pytest.approx(sum(abs(r[4] - r[6]) for r in week) / 40)
+    assert sum(r["n"] for r in got if r["section"] == "position") == sum(r["n"] for r in got if r["section"] == "tier") == 40
+    assert [(r["label"], r["error"]) for r in sorted((r for r in got if r["section"] == "worst"), key=lambda r: int(r["label"]))] == [("0", -3.0), ("6", 3.0), ("7", -3.0)]
+    with pytest.raises(ValueError):
+        forecast.failure_report(df.where("y is null"), "y", ["a"], "points")
+    c = forecast.Candidate("x", "h", ("z",), lambda d: d.withColumn("z", F.lit(1)))
+    keys = ["player_id", "season", "week"]
+    entry = forecast.evaluate(c, df.withColumn("points", F.col("b")), df, keys, "y").first()
+    assert entry["n"] == 80 and entry["candidate"] == "x" and entry["coverage"] == pytest.approx(sum(1 <= r[4] <= 5 for r in rows[:-1]) / 80)
+    with pytest.raises(ValueError):
+        forecast.evaluate(c, df.limit(0), df, keys, "y")
+
+
+def test_ewm_over_many_values_and_gaps(spark):
+    """More values than a block holds, with nulls between them, against the sum itself."""
+    rng = random.Random(2)
+    rows = [(e, k, None if rng.random() < 0.2 else rng.uniform(0, 9)) for e in (1, 2) for k in range(30 if e == 2 else 210)]
+    got = {(r["e"], r["k"]): r["m"] for r in windows.ewm(spark.createDataFrame(rows, "e int, k int, x double"), ["e"], ["k"], "x", 0.3, 2, "m", block=16).collect()}
+    for e, k, _ in rows:
+        before = [x for f, j, x in rows if f == e and j < k and x is not None]
+        weights = [0.7 ** (len(before) - 1 - i) for i in range(len(before))]
+        want = sum(w * x for w, x in zip(weights, before)) / sum(weights) if len(before) >= 2 else None
+        assert got[e, k] == (None if want is None else pytest.approx(want, rel=1e-9))
