@@ -521,3 +521,30 @@ def test_pipeline_stages(labelled, spark, tmp_path):
     assert set(kept[3]) <= set(kept[2]) and max(Counter(kept[3]).values()) <= 2
     assert set(kept[4]) == set(kept[3])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept[4])
+
+
+def test_pipeline_stages_on_odd_rows(labelled, odd, none, spark, tmp_path):
+    """Nulls, empty and very long texts, repeats, an empty table and columns with the names that stages use."""
+    import corpus_pipeline as pipeline
+
+    labelled[1].write.parquet(f"{tmp_path}/labels.parquet")
+    long = " ".join(RNG.choices(WORDS, k=400_000))  # about 2 MB
+    rows = [*odd_rows(), (20, long, "en", "a", 1)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for name in ("quality_score", "severity", "taken_id", "taken_times", "taken_pass", "gone", "score", "length", "part", "rank"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    run = lambda stage, df: stage(spark, df, str(tmp_path))
+    ids = lambda df: Counter(r["doc_id"] for r in df.collect())
+    for stage in (pipeline.keep_quality, pipeline.drop_toxic, pipeline.drop_near_duplicates, pipeline.mix_by_source):
+        out = run(stage, frame)
+        assert out.columns == frame.columns and set(ids(out)) <= set(ids(frame))
+        assert run(stage, none).columns == none.columns and run(stage, none).count() == 0
+    quality_model = quality.fit_quality(frame, labelled[1])
+    kept = {k for k, t in texts(frame) if quality_model.probability(quality.statistics_rows(pa.array([t])))[0] >= 0.5}
+    assert set(ids(run(pipeline.keep_quality, frame))) == kept
+    assert ids(run(pipeline.drop_near_duplicates, frame)) == Counter({1: 1, 2: 1, 3: 1, 6: 1, 7: 1, None: 1, 9: 1, 10: 1, 20: 1})
+    mixed = ids(run(pipeline.mix_by_source, frame))
+    assert not {1, 2, 7} & set(mixed) and all(n <= 2 * m for (k, n) in mixed.items() for m in [ids(frame)[k]])
+    packed_rows = run(pipeline.pack, frame).collect()
+    assert set(r["doc_id"] for r in packed_rows) == set(ids(frame)) and sum(r["start"] == 0 for r in packed_rows) == len(rows)
+    assert sum(r["length"] for r in packed_rows if r["doc_id"] == 20) > 400_000 and run(pipeline.pack, none).count() == 0
