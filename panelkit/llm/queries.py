@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embedding_dedup, lm, media, mixing, ngram_join, packing, quality, sharding, toxicity
+from . import chat, embedding_dedup, hard_negatives, lm, media, mixing, ngram_join, packing, private_spans, quality, repair, sharding, toxicity
 from .common import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_spans.private_spans(read(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(read(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_conversations(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing_sources": op2_mixing_sources,
@@ -68,6 +80,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_sharding": op9_sharding,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_private_spans": op11_private_spans,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": chat.PREFERENCE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat_formatting": chat.PREFERENCE_SQL,
+    "op12_hard_negatives": hard_negatives.MINED_SQL,
+    "op13_conversation_repair": repair.REPAIRED_SQL,
+}
