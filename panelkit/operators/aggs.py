@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import bin_right, col
+from . import order_stats
 from .windows import avg_rank
 
 
@@ -97,7 +98,10 @@ def quantile_exact(x: str | Column, q: float) -> Column:
 
 
 def medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.agg(*(F.percentile(c, 0.5).alias(c) for c in cols))
+    """One row: the median of each column over the whole table, null for a column without a value. Values are ordered over all
+    tasks; see `order_stats`."""
+    found = order_stats.quantiles(df, [], cols, [0.5])
+    return found.agg(*(F.max(F.when(F.col("column") == c, F.col("values")[0])).alias(c) for c in cols))
 
 
 def error_metrics(y: str, p: str, low: str, high: str, within: float = 5.0) -> dict[str, Column]:
@@ -130,7 +134,7 @@ def worst_share(df: DataFrame, x: str, percent: float, tie: str) -> DataFrame:
     many of those equal to it as are still due, so nothing is sorted into one task."""
     n = df.where(F.col(x).isNotNull()).count()
     k = max(1, int(n * percent / 100))
-    cut = df.agg(F.percentile(x, 1 - (k - 1) / max(1, n - 1) if n > 1 else 1.0).alias("__cut"))
+    cut = order_stats.quantiles(df, [], [x], [1 - (k - 1) / max(1, n - 1) if n > 1 else 1.0]).select(F.col("values")[0].alias("__cut"))
     joined = df.crossJoin(F.broadcast(cut))
     above = F.col(x) > F.col("__cut") + 1e-12
     due = F.lit(k) - F.count_if(above)

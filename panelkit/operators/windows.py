@@ -10,6 +10,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.scalar import col
 from ..sources.scratch import stored
+from . import order_stats
 
 
 def _order(order: Sequence[str | Column]) -> list[Column]:
@@ -62,16 +63,26 @@ def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], c: s
     return df.withColumn(name, F.count(c).over(so_far(keys, order)))
 
 
-def percentile_score(df: DataFrame, keys: Sequence[str], x: str, lower_is_better: Column, name: str = "percentile") -> DataFrame:
-    """percent_rank of the value, turned round where lower is better; 0.5 in a pool of one."""
+def percentile_score(df: DataFrame, keys: Sequence[str], x: str, lower_is_better: Column, name: str = "percentile", large: bool = False) -> DataFrame:
+    """percent_rank of the value, turned round where lower is better; 0.5 in a pool of one.
+
+    A window holds a group in one task. With `large`, groups of any size are ranked over all tasks; a null value has no rank
+    then."""
     signed = F.when(lower_is_better, -F.col(x)).otherwise(F.col(x))
+    if large:
+        at = order_stats.ranked(df, keys, signed, "__at")
+        alone = F.col("__at.pool") == 1
+        return at.withColumn(name, F.when(alone, 0.5).otherwise(F.col("__at.before") / F.nullif(F.col("__at.pool") - 1, F.lit(0)))).drop("__at")
     ranked = F.percent_rank().over(Window.partitionBy(*keys).orderBy(signed))
     alone = F.count("*").over(Window.partitionBy(*keys)) == 1
     return df.withColumn(name, F.when(alone, 0.5).otherwise(ranked))
 
 
-def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], only: str | None = None, name: str = "rank") -> DataFrame:
-    """1, 2, 3, ... without ties; with `only`, other rows have no rank."""
+def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], only: str | None = None, name: str = "rank", large: bool = False) -> DataFrame:
+    """1, 2, 3, ... without ties; with `only`, other rows have no rank. With `large`, a group is spread over all tasks."""
+    if large:
+        out = order_stats.numbered(df, [*keys, *([only] if only else [])], order, name)
+        return out.withColumn(name, F.when(F.col(only), F.col(name))) if only else out
     w = Window.partitionBy(*keys, *([only] if only else [])).orderBy(*order)
     n = F.row_number().over(w)
     return df.withColumn(name, F.when(F.col(only), n) if only else n)
@@ -102,8 +113,12 @@ def trailing_of_agg(df: DataFrame, keys: Sequence[str], order: Sequence[str], x:
     return summed.withColumn(name, F.avg("__x").over(past(keys, order, n))).drop("__x")
 
 
-def avg_rank(df: DataFrame, keys: Sequence[str], x: str, name: str) -> DataFrame:
-    """Ranks from 1, ties at their mean. Ties are counted in the order of the ranks, so one sort serves both."""
+def avg_rank(df: DataFrame, keys: Sequence[str], x: str, name: str, large: bool = False) -> DataFrame:
+    """Ranks from 1, ties at their mean. Ties are counted in the order of the ranks, so one sort serves both. With `large`, a
+    group is spread over all tasks, and a null has no rank."""
+    if large:
+        at = order_stats.ranked(df, keys, F.col(x), "__at")
+        return at.withColumn(name, F.col("__at.before") + (F.col("__at.alike") + 1) / 2).drop("__at")
     w = Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last())
     same = F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))
     return df.withColumn(name, F.rank().over(w) + (same - 1) / 2)

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalar import order_bounds
 from ..operators import aggs, joins, shape, windows
+from ..sources import sinks
 from ..sources.scratch import stored
 
 NOMINAL = 0.8
@@ -350,6 +351,36 @@ def lock_state(starts: DataFrame, now: Column, start: str = "first_start", open_
     return starts.withColumn("state", state)
 
 
+def lock_actions(states: DataFrame, locked: DataFrame) -> DataFrame:
+    """What may be done for each week of `lock_state`: keep (its forecast is locked, whatever the time), write (the window is
+    open), refuse (missed, or a start is unknown), preview (too early; shown, not locked)."""
+    told = states.join(locked.select("season", "week").distinct().withColumn("__locked", F.lit(True)), ["season", "week"], "left")
+    action = F.when(F.col("__locked"), "keep").when(F.col("state") == "lock", "write").when(F.col("state") == "wait", "preview").otherwise("refuse")
+    return told.withColumn("action", action).drop("__locked")
+
+
+class Refused(Exception):
+    """A forecast may not be locked now."""
+
+
+def lock_in_window(rows: DataFrame, starts: DataFrame, season: int, week: int, now: Column, path: str, cols: Sequence[str]) -> tuple[str, DataFrame]:
+    """The only way to a lock: asks `lock_state` before any write. Returns the action and the rows to publish.
+
+    What was locked in time is published as it was locked, also after the start. In the window the rows are locked. Before it
+    they are a preview. A week that is missed, or has a start that is not known, raises Refused and nothing is written.
+    """
+    spark, place = rows.sparkSession, f"{path}/season={season}/week={week}"
+    held = sinks.load_locked(spark, place)
+    if held is not None:
+        return "keep", held
+    state = lock_state(starts.where((F.col("season") == season) & (F.col("week") == week)), now).select("state").first()
+    if state is None or state["state"] in ("unknown", "missed"):
+        raise Refused(f"season {season}, week {week}: {state['state'] if state else 'unknown'}")
+    if state["state"] == "wait":
+        return "preview", rows.select(*cols)
+    return "write", sinks.lock_once(rows, place, cols)
+
+
 def grade(locked: DataFrame, facts: DataFrame, keys: Sequence[str], y: str, bases: Sequence[str] = ()) -> DataFrame:
     """Locked forecasts of each week against the rows that played: all weeks in one join."""
     rows = locked.join(facts.select(*keys, y, *bases), list(keys)).where(F.col(y).isNotNull())
@@ -363,7 +394,7 @@ def season_to_date(weeks: DataFrame) -> DataFrame:
     pooled = weeks.groupBy("season").agg(F.count("*").alias("weeks"), F.sum("n").alias("n_rows"), aggs.pooled("mae", "n").alias("mae"), aggs.pooled_rmse("rmse", "n").alias("rmse"), aggs.pooled("coverage", "n").alias("coverage"), *(aggs.pooled(b, "n").alias(b) for b in bases))
     best = F.least(*(F.col(b) for b in bases)) if len(bases) > 1 else F.col(bases[0])
     margin = best - F.col("mae")
-    verdict = F.when(F.col("weeks") < 4, "too early").when(margin < 0, "losing").when(margin < 0.15, "noise").otherwise("winning")
+    verdict = F.when(F.col("weeks") < 4, "too early").when(margin <= 0, "losing").when(margin < 0.15, "noise").otherwise("winning")
     ranges = F.when(F.col("coverage") < 0.78, "too narrow").when(F.col("coverage") > 0.82, "too wide").otherwise("honest")
     return pooled.withColumn("margin", margin).withColumn("verdict", verdict).withColumn("ranges", ranges)
 

@@ -161,7 +161,7 @@ def j14_j15_anti_semi(spark, sf_dir):
     return joins.semi(people, orders, ["c_custkey"]).withColumn("ordered", F.lit(True)).unionByName(joins.anti(people, orders, ["c_custkey"]).withColumn("ordered", F.lit(False)))
 
 
-@query(sql("metrics", "SELECT player_id, season, week, min_role, efficiency_share FROM metrics WHERE active"))
+@query(sql("metrics", "SELECT panel.player_id, panel.season, panel.week, min_role, efficiency_share FROM panel JOIN config ON config.position = panel.position"))
 def j16_j17_with_config(spark, sf_dir):
     p = joins.with_config(order_panel(spark, sf_dir), config(spark), "position")
     weighted = joins.with_config(p.withColumn("metric", F.lit("avg_order")), weights(spark), ["position", "metric"])

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import shape, windows
 from ..sources.scratch import stored
-from . import forecast, ranking, studies
+from . import forecast, ranking, replay, studies
 from .instances_core import MODEL_SQL, E, G, model_rows
 from .panel import order_panel, table
 from .registry import query
@@ -72,7 +72,7 @@ def m15_m16_promotion(spark, sf_dir):
 
 @query(sql("panel", "").rstrip() + f""",\n{MODEL_SQL}, g AS (SELECT season, week, count(*) AS n, avg(abs(qty - p)) AS mae, sqrt(avg((qty - p) * (qty - p))) AS rmse, avg(CAST(qty >= lo AND qty <= hi AS INTEGER)) AS coverage, avg(abs(qty - base)) AS b FROM model GROUP BY ALL),
  s AS (SELECT season, count(*) AS weeks, sum(n * mae) / sum(n) AS mae, sum(n * coverage) / sum(n) AS coverage, sum(n * b) / sum(n) AS b FROM g GROUP BY season)
- SELECT season, weeks, round(mae, 5) AS mae, round(b - mae, 5) AS margin, CASE WHEN weeks < 4 THEN 'too early' WHEN b - mae < 0 THEN 'losing' WHEN b - mae < 0.15 THEN 'noise' ELSE 'winning' END AS verdict, CASE WHEN coverage < 0.78 THEN 'too narrow' WHEN coverage > 0.82 THEN 'too wide' ELSE 'honest' END AS ranges FROM s""")
+ SELECT season, weeks, round(mae, 5) AS mae, round(b - mae, 5) AS margin, CASE WHEN weeks < 4 THEN 'too early' WHEN b - mae <= 0 THEN 'losing' WHEN b - mae < 0.15 THEN 'noise' ELSE 'winning' END AS verdict, CASE WHEN coverage < 0.78 THEN 'too narrow' WHEN coverage > 0.82 THEN 'too wide' ELSE 'honest' END AS ranges FROM s""")
 def m20_m22_grading(spark, sf_dir):
     rows = model_rows(spark, sf_dir)
     locked = rows.select(*E, *G, F.col("p").alias("points"), F.col("lo").alias("low"), F.col("hi").alias("high"))
@@ -96,10 +96,9 @@ def m28_ledger_summary(spark, sf_dir):
 
 @query()
 def m12_walk_forward(spark, sf_dir):
-    """All periods replayed with ridge, boosting and leaf-quantile ranges, each fitted on what is before it."""
+    """All periods replayed: ridge of every period, boosting and quantile ranges of every season, each fitted on what is before."""
     rows = features(spark, sf_dir).where("not is_upcoming")
-    rows = stored(rows, "features")
-    got = forecast.walk_forward(rows, None, SPEC)
+    got = replay.walk_forward(stored(rows, "features"), SPEC)
     return got.select(*E, *G, "actual", *(F.round(c, 4).alias(c) for c in ("points", "low", "high")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 KEYS = ["player_id", "season", "week"]
 
-PANEL_SQL = """panel AS (
+PANEL_SQL = """panel AS MATERIALIZED (
  SELECT o_custkey AS player_id, CAST(year(o_orderdate) AS INTEGER) AS season, CAST(month(o_orderdate) AS INTEGER) AS week,
   c_mktsegment AS position, n_name AS team, count(DISTINCT o_orderkey) AS n_orders,
   CAST(sum(CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT)) AS BIGINT) AS revenue,

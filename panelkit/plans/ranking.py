@@ -200,14 +200,10 @@ def stage_participation(raw: DataFrame, plays: DataFrame, game: str = "game_id")
     return joins.attach(listed.withColumnRenamed(game, "game_id"), marked, ["game_id", "play_id"])
 
 
-def stage_advstats(rush: DataFrame, rec: DataFrame, passing: DataFrame, regular: str = "REG") -> DataFrame:
-    """Three files in one row per player and week; the team comes from the first file, and from the others where it has no row."""
-    keys = ["season", "week", "pfr_player_id"]
-    parts = [shape.isin(df, "game_type", [regular]).drop("game_type") for df in (rush, rec, passing)]
-    teams = parts[0].select(*keys, "team")
-    for part in parts[1:]:
-        teams = joins.full_merge([teams, part.select(*keys, F.col("team").alias("__t"))], keys).withColumn("team", F.coalesce("team", "__t")).drop("__t")
-    return joins.full_merge([teams, *(p.drop("team") for p in parts)], keys)
+def stage_advstats(rush: DataFrame, rec: DataFrame, passing: DataFrame, regular: str = "REG", kind: str = "game_type", keys: Sequence[str] = ("season", "week", "pfr_player_id"), team: str = "team") -> DataFrame:
+    """Three files in one row per player and week; the team is the first file's alone, null where that has no row."""
+    parts = [shape.isin(df, kind, [regular]).drop(kind) for df in (rush, rec, passing)]
+    return joins.full_merge_first(parts, list(keys), [team])
 
 
 def stage_tracking(rec: DataFrame, rush: DataFrame, passing: DataFrame, regular: str = "REG") -> DataFrame:

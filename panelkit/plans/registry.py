@@ -26,8 +26,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def oracle_sql_of(name: str) -> str:
+    """The check SQL of a query that is registered already, for another form of it."""
+    return _SQL[name]
+
+
 def _load() -> None:
-    from . import instances_core, instances_forecast, instances_more, instances_ranking  # noqa: F401
+    from . import instances_core, instances_forecast, instances_more, instances_ranking, instances_stores  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -46,14 +46,14 @@ WEIGHTS_SQL = "weights AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{m}',
 SPINE_SQL = """calendar AS (SELECT season, list(DISTINCT week) AS weeks FROM panel GROUP BY season),
 spine AS (SELECT player_id, season, unnest(list_filter(weeks, lambda w: w >= since)) AS week
  FROM calendar JOIN (SELECT player_id, season, min(week) AS since FROM panel GROUP BY player_id, season) USING (season))"""
-CUM_SQL = """cum AS (
+CUM_SQL = """cum AS MATERIALIZED (
  SELECT here.player_id, here.season, here.week, arg_max(was.position, was.week) AS position, arg_max(was.team, was.week) AS team, count(*) AS games, max(was.week) = here.week AS active,
   """ + ", ".join(f"CAST(sum(was.{c}) AS BIGINT) AS cum_{c}" for c in STATS) + """
  FROM spine here JOIN panel was ON was.player_id = here.player_id AND was.season = here.season AND was.week <= here.week
  GROUP BY here.player_id, here.season, here.week)"""
 METRICS_SQL = """schedule AS (SELECT team, season, list(DISTINCT week) AS played FROM panel GROUP BY team, season),
 counted AS (SELECT cum.*, coalesce(len(list_filter(played, lambda w: w <= cum.week)), 0) AS team_games FROM cum LEFT JOIN schedule USING (team, season)),
-metrics AS (SELECT counted.*, efficiency_share, cum_n_orders >= min_role * (CASE WHEN team_games < 1 THEN 1 ELSE team_games END) AS is_qualified,
+metrics AS MATERIALIZED (SELECT counted.*, efficiency_share, cum_n_orders >= min_role * (CASE WHEN team_games < 1 THEN 1 ELSE team_games END) AS is_qualified,
   cum_revenue / nullif(cum_n_orders, 0) AS avg_order, cum_revenue::DOUBLE AS revenue_total,
   CASE WHEN cum_qty > 0 THEN cum_returned_qty / cum_qty END AS return_rate, cum_disc_amt / nullif(cum_revenue, 0) AS disc_rate
  FROM counted JOIN config ON config.position = counted.position)"""
@@ -63,7 +63,7 @@ valued AS (SELECT told.*, component, weight, lower_is_better, x * (CASE WHEN low
 tally AS (SELECT season, week, position, metric, good, count(*) AS alike FROM valued GROUP BY season, week, position, metric, good),
 beaten AS (SELECT *, sum(alike) OVER up - alike AS smaller, sum(alike) OVER pool AS pool FROM tally
  WINDOW up AS (PARTITION BY season, week, position, metric ORDER BY good), pool AS (PARTITION BY season, week, position, metric)),
-percentiles AS (SELECT v.player_id, v.season, v.week, v.position, v.metric, v.x AS metric_value, component, weight, lower_is_better, if(pool > 1, smaller / (pool - 1), 0.5) AS percentile
+percentiles AS MATERIALIZED (SELECT v.player_id, v.season, v.week, v.position, v.metric, v.x AS metric_value, component, weight, lower_is_better, if(pool > 1, smaller / (pool - 1), 0.5) AS percentile
  FROM valued v JOIN beaten b ON b.season = v.season AND b.week = v.week AND b.position = v.position AND b.metric = v.metric AND b.good = v.good)"""
 SCORES_SQL = """means AS (SELECT player_id, season, week, component, 100 * sum(weight * percentile) / nullif(sum(weight), 0) AS mean FROM percentiles GROUP BY player_id, season, week, component),
 sides AS (PIVOT means ON component IN ('efficiency', 'production') USING first(mean) AS mean GROUP BY player_id, season, week),

