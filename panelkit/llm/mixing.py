@@ -116,11 +116,12 @@ def mixed_documents(mix: Mix) -> DataFrame:
 def take_whole(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` once for each pass in which a slot takes words of them, columns as they were.
 
-    A document at the end of its source's share is taken whole, so a source can exceed its share by one document.
-    Rows that share an id are taken as often as each other.
+    A document at the end of its source's share is taken whole, so a source can exceed its share by one document a pass.
+    Every row is a document of its own, also where ids repeat or are null. Rows are told apart by their number in the order of
+    reading: `docs` has to be a table that is read, as every stage's is, so that it has the same numbers when it is read again.
     """
-    mix, at = mix_sources(docs, **options), options.get("id_col", "doc_id")
-    of, times, one = (free_name(docs, name) for name in ("taken_id", "taken_times", "taken_pass"))
-    passes = mix.segments.groupBy("doc_id", "pass").agg(F.min("slot").alias("slot")).groupBy(F.col("doc_id").alias(of)).agg(F.count("slot").cast("int").alias(times))
-    repeated = docs.join(passes, docs[at].eqNullSafe(F.col(of)))
+    mix = mix_sources(docs, **options)
+    of, times, one = (free_name(docs, name) for name in ("taken_row", "taken_times", "taken_pass"))
+    passes = mix.segments.groupBy("row").agg(F.count_distinct("pass").cast("int").alias(times)).withColumnRenamed("row", of)
+    repeated = docs.withColumn(of, F.monotonically_increasing_id()).join(passes, of)
     return repeated.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*map(quoted, docs.columns))

@@ -367,11 +367,20 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component, columns as they were.
+    """One row of `docs` for each component of linked texts, columns as they were: that with the smallest id, of such with one
+    id the first that is read; a row with a null id stays only where all are null.
 
-    Rows with a null id stay. Rows that share an id are one document: they stay or go together.
+    Every row is a document of its own, so rows that repeat in id and text leave one, and so do null ids. Rows are told apart by
+    their number in the order of reading: `docs` has to be a table that is read, as every stage's is, so that it has the same
+    numbers whenever it is read again. Null and empty texts link with nothing and stay.
     """
-    gone = jaccard_join(docs, n, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(free_name(docs, "gone"))).distinct()
-    gone = materialize(gone, "gone")
+    row, was = free_name(docs, "row_number"), free_name(docs, "was_id")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    found = jaccard_join(numbered, n, percent, row, text_col).where("n_shingles > 0")
+    named = materialize(found.join(numbered.select(F.col(row).alias("doc_id"), quoted(id_col).alias(was)), "doc_id"), "named")
+    order = F.struct(F.col(was).isNull(), F.col(was), F.col("doc_id"))
+    kept = named.groupBy("component_id").agg(F.min(order).alias("x"), F.count("*").alias("n")).where("n > 1")
+    kept = materialize(kept.select("component_id", F.col("x.doc_id").alias("kept")), "kept")
+    gone = materialize(named.join(kept, "component_id").where("doc_id <> kept").select(F.col("doc_id").alias(was)), "gone")
     few = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    return docs.join(few, docs[id_col] == gone[gone.columns[0]], "left_anti")
+    return numbered.join(few, numbered[row] == gone[was], "left_anti").drop(row)

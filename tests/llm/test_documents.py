@@ -548,3 +548,20 @@ def test_pipeline_stages_on_odd_rows(labelled, odd, none, spark, tmp_path):
     packed_rows = run(pipeline.pack, frame).collect()
     assert set(r["doc_id"] for r in packed_rows) == set(ids(frame)) and sum(r["start"] == 0 for r in packed_rows) == len(rows)
     assert sum(r["length"] for r in packed_rows if r["doc_id"] == 20) > 400_000 and run(pipeline.pack, none).count() == 0
+
+
+def test_rows_without_ids_are_rows_of_their_own(spark):
+    """Null and repeated ids: the mix keeps to its targets, and one row of each text is left."""
+    pick = random.Random(9)
+    rows = [(None if k % 2 else 5, " ".join(pick.choices(WORDS, k=40 + k % 30)), "en", "ab"[k % 3 == 0], 1) for k in range(400)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    mix = mixing.mix_sources(frame, block=16)
+    target = {r["source"]: r["target"] for r in mix.sources.collect()}
+    words = Counter()
+    for r in mixing.take_whole(frame, block=16).collect():
+        words[r["source"]] += len(r["text"].split())
+    assert all(abs(words[s] - target[s]) <= 4 * 16 + 2 * 70 for s in target)
+    text, other = (" ".join(pick.choices(WORDS, k=60)) for _ in range(2))
+    again = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in [(4, text), (1, text), (1, text), (None, text), (None, text), (None, other), (None, other), (7, None), (7, None), (8, "")]], SCHEMA)
+    kept = Counter((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(again).collect())
+    assert kept == Counter({(1, text): 1, (None, other): 1, (7, None): 2, (8, ""): 1})
