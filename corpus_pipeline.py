@@ -37,10 +37,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that five-word shingles link at 0.8 or more.
+    """One row of each group that five-word shingles link at 0.8 or more: that with the smallest id.
 
-    Null and empty texts link with nothing and stay, and so do rows with a null id. Rows that share an id stay or go
-    together. Further columns stay. An empty table gives no rows.
+    Null and empty texts link with nothing and stay. Of rows that repeat in id and text one stays, and of rows with a null id
+    that are linked with others none, or one where all ids are null. Further columns stay. An empty table gives no rows.
     """
     return ngram_join.one_of_each(docs, n=5, percent=80)
 
@@ -48,8 +48,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the schedule passes over them: not at all, once or twice.
 
-    A null source is a source. Null, empty and blank texts have no words to take and go. Rows that share an id are taken
-    as often as each other. Further columns stay. An empty table gives no rows.
+    A null source is a source. Null, empty and blank texts have no words to take and go. Rows that share an id, or have
+    none, are taken each on its own. Further columns stay. An empty table gives no rows.
     """
     return mixing.take_whole(docs)
 
