@@ -36,15 +36,52 @@ def test_landing_skips_rejects_and_records(spark, tmp_path):
     (tmp_path / "bad.parquet").write_bytes(b"no parquet at all")
     files = spark.createDataFrame([(n, f"{tmp_path}/{n}.parquet") for n in ("good", "empty", "bad")] + [("gone", None)], "file_id string, path string")
     none = spark.createDataFrame([], "file_id string, digest string")
-    manifest, state = landing.land(spark, files, none)
+    manifest, state = landing.land(files, none)
     assert {r["file_id"]: r["status"] for r in manifest.collect()} == {"good": "ingested", "empty": "failed", "bad": "failed", "gone": "not_available"}
     assert [r["file_id"] for r in state.collect()] == ["good"]
-    again, _ = landing.land(spark, files, state)
+    again, _ = landing.land(files, state)
     assert {r["status"]: r["n"] for r in landing.manifest_counts(again).collect()} == {"ingested": 0, "skipped_unchanged": 1, "not_available": 1, "failed": 2}
-    forced, _ = landing.land(spark, files, state, force=True)
+    forced, _ = landing.land(files, state, force=True)
     assert forced.where("file_id = 'good'").first()["status"] == "ingested"
 
 
+def test_landing_copies_a_folder_in_a_fixed_number_of_jobs(spark, tmp_path):
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for k in range(60):
+        pq.write_table(pa.table({"x": list(range(k % 7))}), tmp_path / f"f{k}.parquet")  # every seventh is empty
+    (tmp_path / "f60.parquet").write_bytes(b"PAR1 not really PAR1")
+    rows = [(f"f{k}", f"{tmp_path}/f{k}.parquet", "stats", k % 3 or None) for k in range(62)]  # f61 does not exist
+    files = spark.createDataFrame(rows, "file_id string, path string, dataset string, season int")
+    none, lake = spark.createDataFrame([], "file_id string, digest string"), f"{tmp_path}/lake"
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(some):
+        group = f"landing-{some.count()}"
+        spark.sparkContext.setJobGroup(group, group)
+        out = landing.land(some, none, lake=f"{lake}-{some.count()}", ingest_date="2024-05-01")
+        out[0].count()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out, len(tracker.getJobIdsForGroup(group))
+
+    (_, _), few = jobs(files.limit(3))
+    (manifest, state), many = jobs(files)
+    assert abs(many - few) <= 3
+    status = {r["file_id"]: r["status"] for r in manifest.collect()}
+    assert all(status[f"f{k}"] == ("failed" if k % 7 == 0 else "ingested") for k in range(60)) and status["f60"] == "failed" and status["f61"] == "not_available"
+    kept = {r["file_id"]: r["landed"] for r in manifest.where("status = 'ingested'").collect()}
+    assert kept["f1"].endswith("/stats/season=1/ingest_date=2024-05-01/f1.parquet") and kept["f3"].endswith("/stats/ingest_date=2024-05-01/f3.parquet")
+    assert all(pq.ParquetFile(p).metadata.num_rows == int(f[1:]) % 7 for f, p in kept.items())
+    left = [f for _, _, names in os.walk(f"{lake}-62") for f in names]
+    assert sorted(left) == sorted(os.path.basename(p) for p in kept.values())  # nothing half-way, no failed file
+    pq.write_table(pa.table({"x": [9, 9]}), tmp_path / "f1.parquet")
+    again, _ = landing.land(files, state, lake=f"{lake}-62", ingest_date="2024-05-02")
+    assert {r["status"]: r["n"] for r in landing.manifest_counts(again).collect()} == {"ingested": 1, "skipped_unchanged": 50, "not_available": 1, "failed": 10}
+
+
 def test_lock_is_written_once(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, x double")
     path = f"file://{tmp_path}/lock"
