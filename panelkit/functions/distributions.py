@@ -34,10 +34,10 @@ def _away(x: Column) -> Column:
     return F.when(F.abs(x) < TINY, TINY).otherwise(x)
 
 
-def _fraction(first: Column, step) -> Column:
+def _fraction(first: Column, step, before: float = 1.0) -> Column:
     """A continued fraction by Lentz' method: `first` is its first denominator, step(k, s) the terms (numerator, denominator)
-    of round k, one or several."""
-    start = F.struct(F.lit(1.0).alias("c"), (1 / _away(first)).alias("d"), (1 / _away(first)).alias("h"))
+    of round k, one or several. before: what the ratio of numerators is before the first round."""
+    start = F.struct(F.lit(before).alias("c"), (1 / _away(first)).alias("d"), (1 / _away(first)).alias("h"))
 
     def one(s: Column, k: Column) -> Column:
         c, d, h = s["c"], s["d"], s["h"]
@@ -81,7 +81,7 @@ def upper_gamma(a: Column | float, x: Column) -> Column:
     zero = F.struct((1 / a).alias("term"), (1 / a).alias("sum"))
     numbers = F.transform(F.sequence(F.lit(1), F.lit(TERMS)), lambda k: k.cast("double"))
     series = F.aggregate(numbers, zero, lambda s, k: F.struct((s["term"] * x / (a + k)).alias("term"), (s["sum"] + s["term"] * x / (a + k)).alias("sum")), lambda s: s["sum"])
-    tail = _fraction(x + 1 - a, lambda k: [(-k * (k - a), x + 2 * k + 1 - a)])
+    tail = _fraction(x + 1 - a, lambda k: [(-k * (k - a), x + 2 * k + 1 - a)], 1 / TINY)
     return F.when(x <= 0, 1.0).when(x < a + 1, 1 - front * series).when(x.isNotNull(), front * tail)
 
 
