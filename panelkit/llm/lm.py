@@ -7,8 +7,9 @@ probability is that of the class times that within the class, each normalised ov
 narrow matrix products. The model's vocabulary grows with the root of the training tokens.
 
 Training is by noise-contrastive estimation with sampled noise: classes from the law of their counts, words from that within
-the class. The driver starts on a bounded sample; then every task passes over its training documents, each of which gives
-every `stride`-th of its tokens, and what tasks have learned is averaged in Spark, each vector by how often it was seen.
+the class, drawn once a batch for all tokens of a class. The driver starts on a sample bounded in documents and bytes; then
+every task passes over all tokens of its training documents, and what tasks have learned is averaged in Spark, each vector by
+how often it was seen. Scores therefore move a little with how the table is split.
 
 A word outside of the model's vocabulary is predicted as <other> and then by its smoothed count among all such words.
 Only the commonest `head` words travel to the tasks; counts of rarer ones are joined by word.
@@ -20,6 +21,7 @@ import copy
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,9 @@ from .labelled import crc_of
 SMOOTH = 0.1
 CONTEXT = 4
 DIMENSIONS = 32
-#: Of a training document, every so-manyth token is a training example; the first one is chosen by the document's place.
-STRIDE = 8
-#: About how many training documents the driver starts from; twice as many at most.
+#: What the driver starts from: about so many training documents, twice as many at most, of so many bytes together at most.
 START_DOCUMENTS = 1500
+START_BYTES = 8 << 20
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -62,16 +63,23 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def head_counts(counts: DataFrame, most: int) -> DataFrame:
-    """The words of the highest eighths of a power of two in count that hold at most `most` words together."""
-    rung = F.floor(F.log2("n") * 8).cast("int")
-    sizes = sorted(((r["rung"], r["words"]) for r in counts.groupBy(rung.alias("rung")).agg(F.count("*").alias("words")).collect()), reverse=True)
-    least, held = 1 << 30, 0
-    for at, words in sizes:
-        held += words
-        if held > most:
+    """The first `most` words by count, those of one count by a hash. Eighths of a power of two in count, then counts, then
+    parts of the hash are taken whole while they fit; only the last part of the hash that does not fit is sorted."""
+    mixed, taken, rest, left = F.xxhash64("word"), [], counts, most
+    for key in (-F.floor(F.log2("n") * 8).cast("int"), -F.col("n"), F.shiftrightunsigned(mixed, 50)):
+        sizes = sorted((r["key"], r["words"]) for r in rest.groupBy(key.alias("key")).agg(F.count("*").alias("words")).collect())
+        for at, words in sizes:
+            if words > left:
+                taken.append(rest.where(key < at))
+                rest = rest.where(key == at)
+                break
+            left -= words
+        else:
+            taken.append(rest)
             break
-        least = at
-    return counts.where(rung >= least)
+    else:
+        taken.append(rest.orderBy(mixed, "word").limit(left))
+    return reduce(DataFrame.unionAll, taken)
 
 
 @dataclass
@@ -141,6 +149,9 @@ class LogBilinear:
         self.word_bias, self.klass_bias = np.log(self.word_law).astype(np.float32), np.log(self.class_law).astype(np.float32)
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
+        """Of many tokens, each context vector meets the matrices once."""
+        if len(before) > len(self.context):
+            return sum((self.context @ self.position[k])[before[:, k]] for k in range(CONTEXT))
         return sum(self.context[before[:, k]] @ self.position[k] for k in range(CONTEXT))
 
     def log10(self, before: np.ndarray, ids: np.ndarray, batch: int = 32_768) -> np.ndarray:
@@ -170,18 +181,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids and the sum of the rows of each."""
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
-    return ids[order][first], np.add.reduceat(rows[order], first, axis=0)
+def _runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of sorted ids and where each begins."""
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    return ids[first], first
+
+
+def _order(ids: np.ndarray, size: int) -> np.ndarray:
+    """A stable order; ids of two bytes are sorted by counting."""
+    return np.argsort(ids.astype(np.uint16) if size <= 1 << 16 else ids, kind="stable")
 
 
 class Trainer:
     """Noise-contrastive steps on a copy of a model. Each row of a parameter has a step size of its own, which shrinks with
     the squares of its gradients; `seen` counts how often a context's or outcome's vector has been in a batch."""
 
-    def __init__(self, model: LogBilinear, seed: int, rate: float = 0.15, batch: int = 4096, class_noise: int = 32, word_noise: int = 4):
+    def __init__(self, model: LogBilinear, seed: int, rate: float = 0.3, batch: int = 16_384, class_noise: int = 64, word_noise: int = 32):
         self.model, self.rng, self.rate, self.batch = copy.deepcopy(model), np.random.default_rng(seed), rate, batch
         self.class_noise, self.word_noise = class_noise, word_noise
         self.squares = {k: np.full(len(getattr(model, k)), 1.0, np.float32) for k in ("context", "word", "klass", "position", "word_bias", "klass_bias")}
@@ -189,56 +204,85 @@ class Trainer:
 
     def learn(self, before: np.ndarray, ids: np.ndarray) -> None:
         for at in range(0, len(ids), self.batch):
-            self._step(before[at : at + self.batch], ids[at : at + self.batch])
+            some = ids[at : at + self.batch]
+            order = _order(some, len(self.model.word))  # by word, so by class
+            self._step(before[at : at + self.batch][order], some[order])
 
     def _move(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
         """Upwards, since gradients are those of the likelihood."""
         flat = gradient.reshape(len(rows), -1)
-        self.squares[name][rows] += (flat**2).sum(1)
+        self.squares[name][rows] += np.einsum("ij,ij->i", flat, flat)
         by = self.rate / np.sqrt(self.squares[name][rows])
         getattr(self.model, name)[rows] += gradient * by.reshape(-1, *[1] * (gradient.ndim - 1))
         if name in self.seen:
             self.seen[name][rows] += 1
 
     def _step(self, before: np.ndarray, w: np.ndarray) -> None:
-        m, n = self.model, len(w)
-        x = m.context[before]
-        q = sum(x[:, k] @ m.position[k] for k in range(CONTEXT))
-
-        of, noise = w // m.width, self.rng.choice(len(m.klass), self.class_noise, p=m.class_law)
-        real = 1 - _sigmoid((q * m.klass[of]).sum(1) + m.klass_bias[of] - np.log(self.class_noise * m.class_law[of]))
-        false = -_sigmoid(q @ m.klass[noise].T + m.klass_bias[noise] - np.log(self.class_noise * m.class_law[noise]))
-        push = np.zeros((len(m.klass), n), np.float32)
-        push[of, np.arange(n)] = real
-        np.add.at(push, noise, false.T.astype(np.float32))
-        dq = push.T @ m.klass
-
-        low, high = m.upto[of * m.width], m.upto[np.minimum((of + 1) * m.width, len(m.word))]
-        drawn = np.searchsorted(m.upto, low[:, None] + self.rng.random((n, self.word_noise)) * (high - low)[:, None], "right") - 1
-        words = np.concatenate([w[:, None], drawn.clip(0, len(m.word) - 1)], 1)
-        y = m.word[words]
-        error = -_sigmoid(np.einsum("bd,bkd->bk", q, y) + m.word_bias[words] - np.log(self.word_noise * m.word_law[words])).astype(np.float32)
-        error[:, 0] += 1
-        dq += np.einsum("bk,bkd->bd", error, y)
-
-        for name, of_rows, rows in (("word", words, error[:, :, None] * q[:, None, :]), ("word_bias", words, error)):
-            self._move(name, *_summed(of_rows.ravel(), rows.reshape(words.size, *rows.shape[2:])))
-        self._move("klass", np.arange(len(m.klass)), push @ q)
-        self._move("klass_bias", np.arange(len(m.klass)), push.sum(1))
-        dx = np.stack([dq @ m.position[k].T for k in range(CONTEXT)], 1)
-        self._move("position", np.arange(CONTEXT), np.stack([x[:, k].T @ dq for k in range(CONTEXT)]))
-        self._move("context", *_summed(before.ravel(), dx.reshape(-1, dx.shape[2])))
-
-
-def _examples(vocabulary: Vocabulary, batch: pa.RecordBatch, column: int, first: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    doc, codes, words = words_of(batch.column(column))
-    of, before, ids = model_ids(vocabulary, batch.num_rows, doc, vocabulary.find(words)[codes])
-    at = np.arange(len(ids)) - np.searchsorted(of, of)  # place in its document
-    kept = (at + of + first) % stride == 0
-    return before[kept], ids[kept]
-
-
-def train_everywhere(texts: DataFrame, vocabulary: Vocabulary, start: LogBilinear, stride: int) -> LogBilinear:
+        m = self.model
+        q = m.predicted(before)
+        words, at_word = _runs(w)
+        classes, at_class = _runs(w // m.width)
+        in_word, in_class = np.diff(at_word, append=len(w)), np.diff(at_class, append=len(w))
+
+        noise, times = np.unique(self.rng.choice(len(m.klass), self.class_noise, p=m.class_law), return_counts=True)
+        chance = np.log(self.class_noise * m.class_law)
+        own = np.repeat(m.klass[classes], in_class, 0)
+        real = 1 - _sigmoid(np.einsum("ij,ij->i", q, own) + np.repeat((m.klass_bias - chance)[classes], in_class))
+        false = -_sigmoid(q @ m.klass[noise].T + (m.klass_bias - chance)[noise]) * times
+        real, false = real.astype(np.float32), false.astype(np.float32)
+        klass, klass_bias = np.zeros_like(m.klass), np.zeros_like(m.klass_bias)
+        klass[classes], klass_bias[classes] = np.add.reduceat(real[:, None] * q, at_class), np.add.reduceat(real, at_class)
+        klass[noise] += false.T @ q
+        klass_bias[noise] += false.sum(0)
+        dq = false @ m.klass[noise] + real[:, None] * own
+
+        low, high = m.upto[classes * m.width], m.upto[np.minimum((classes + 1) * m.width, len(m.word))]
+        drawn = np.searchsorted(m.upto, low[:, None] + self.rng.random((len(classes), self.word_noise)) * (high - low)[:, None], "right") - 1
+        drawn = drawn.clip(0, len(m.word) - 1)
+        chance = np.log(self.word_noise * m.word_law)
+        own = np.repeat(m.word[words], in_word, 0)
+        real = (1 - _sigmoid(np.einsum("ij,ij->i", q, own) + np.repeat((m.word_bias - chance[: len(m.word)])[words], in_word))).astype(np.float32)
+        others, off = m.word[drawn], (m.word_bias[drawn] - chance[drawn]).astype(np.float32)
+        spans = list(zip(at_class.tolist(), (at_class + in_class).tolist()))
+        false = np.empty((len(w), self.word_noise), np.float32)
+        for c, (a, b) in enumerate(spans):
+            np.matmul(q[a:b], others[c].T, out=false[a:b])
+            false[a:b] += off[c]
+        false = -_sigmoid(false)
+        pull, push = np.add.reduceat(real[:, None] * q, at_word), np.empty_like(others)
+        dq += real[:, None] * own
+        for c, (a, b) in enumerate(spans):
+            np.matmul(false[a:b].T, q[a:b], out=push[c])
+            dq[a:b] += false[a:b] @ others[c]
+        word, word_bias = np.zeros_like(m.word), np.zeros_like(m.word_bias)
+        word[words], word_bias[words] = pull, np.add.reduceat(real, at_word)
+        np.add.at(word, drawn.ravel(), push.reshape(-1, push.shape[2]))
+        np.add.at(word_bias, drawn.ravel(), np.add.reduceat(false, at_class).ravel())
+        touched = np.union1d(words, drawn)
+
+        context, position = np.zeros_like(m.context), np.empty_like(m.position)
+        for k in range(CONTEXT):  # dq summed over the tokens that have a context word at k
+            order = _order(before[:, k], len(m.context))
+            rows, first = _runs(before[order, k])
+            sums = np.add.reduceat(dq[order], first)
+            position[k] = m.context[rows].T @ sums
+            context[rows] += sums @ m.position[k].T
+        seen = np.unique(before)
+
+        self._move("klass", np.arange(len(m.klass)), klass)
+        self._move("klass_bias", np.arange(len(m.klass)), klass_bias)
+        self._move("word", touched, word[touched])
+        self._move("word_bias", touched, word_bias[touched])
+        self._move("position", np.arange(CONTEXT), position)
+        self._move("context", seen, context[seen])
+
+
+def _examples(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    doc, codes, words = words_of(texts)
+    return model_ids(vocabulary, len(texts), doc, vocabulary.find(words)[codes])[1:]
+
+
+def train_everywhere(texts: DataFrame, vocabulary: Vocabulary, start: LogBilinear) -> LogBilinear:
     """Each task learns from all its texts, beginning at `start`; the average of what tasks have, vector by vector."""
     shared = texts.sparkSession.sparkContext.broadcast((vocabulary, start))
     dimensions = start.context.shape[1]
@@ -248,12 +292,12 @@ def train_everywhere(texts: DataFrame, vocabulary: Vocabulary, start: LogBilinea
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, model = shared.value
-        trainer, tokens, first = Trainer(model, seed=TaskContext.get().partitionId()), 0, 0
+        trainer, tokens = Trainer(model, seed=TaskContext.get().partitionId()), 0
         for batch in slices(batches, 0, 4 << 20):
-            before, ids = _examples(vocabulary, batch, 0, first, stride)
+            before, ids = _examples(vocabulary, batch.column(0))
             order = trainer.rng.permutation(len(ids))
             trainer.learn(before[order], ids[order])
-            tokens, first = tokens + len(ids), first + batch.num_rows
+            tokens += len(ids)
         if not tokens:
             return
         m, none = trainer.model, lambda n: np.zeros(n, np.float32)
@@ -279,23 +323,39 @@ def train_everywhere(texts: DataFrame, vocabulary: Vocabulary, start: LogBilinea
     return model
 
 
-def fit(texts: DataFrame, vocabulary: Vocabulary, n: np.ndarray, stride: int = STRIDE, start_documents: int = START_DOCUMENTS, passes: int = 3) -> LogBilinear:
+def start_sample(texts: DataFrame, documents: float, start_documents: int, start_bytes: int) -> list[pa.RecordBatch]:
+    """About `start_documents` of so many documents, the first by a hash, that have `start_bytes` bytes together at most; of
+    documents longer than an eighth of that none. The driver sees hashes and lengths before texts. Documents of one hash
+    are taken together or not at all."""
+    mixed, size = F.xxhash64("doc_id", "text"), F.octet_length("text")
+    below = F.pmod(mixed, F.lit(1 << 32)) < F.lit(int(min(1.0, start_documents / max(1.0, documents)) * (1 << 32)))
+    short = texts.where(below & (size <= start_bytes // 8)).select(mixed.alias("mixed"), size.alias("size"), "text")
+    most = 2 * start_documents
+    held = short.select("mixed", "size").orderBy("mixed", "size").limit(most + 1).toPandas()
+    ends = held.groupby("mixed", sort=True)["size"].agg(["sum", "count"]).cumsum()
+    fit = ends[(ends["sum"] <= start_bytes) & (ends["count"] <= most)]
+    if not len(fit):
+        return []
+    some = short.where(F.col("mixed") <= int(fit.index[-1])).select("text").toArrow().sort_by("text")
+    return [b for b in some.to_batches() if b.num_rows]
+
+
+def fit(texts: DataFrame, vocabulary: Vocabulary, n: np.ndarray, start_documents: int = START_DOCUMENTS, start_bytes: int = START_BYTES, passes: int = 3) -> LogBilinear:
     """texts: doc_id, text. n: training count of each outcome, the last one that of ends, so of documents. The driver passes
-    a few times over the tokens of about `start_documents` documents, those whose hash lies below the share that gives so
-    many; then all documents are learned from where they are."""
+    a few times over the start sample; then all documents are learned from where they are."""
     model = LogBilinear(n)
-    below = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) < F.lit(int(min(1.0, start_documents / max(1.0, n[-1])) * (1 << 32)))
-    trainer, some = Trainer(model, seed=1), texts.where(below).limit(2 * start_documents).select("text")
-    held = [b for b in some.toArrow().sort_by("text").to_batches() if b.num_rows]
+    if not n[-1]:
+        return model
+    trainer, held = Trainer(model, seed=1, batch=2048), start_sample(texts, n[-1], start_documents, start_bytes)
     for _ in range(passes):
         for batch in slices(iter(held), 0):
-            before, ids = _examples(vocabulary, batch, 0, 0, 1)
+            before, ids = _examples(vocabulary, batch.column(0))
             order = trainer.rng.permutation(len(ids))
             trainer.learn(before[order], ids[order])
-    return train_everywhere(texts.select("text"), vocabulary, trainer.model, stride) if held else model
+    return train_everywhere(texts.select("text"), vocabulary, trainer.model)
 
 
-def lm_scores(docs: DataFrame, vocabulary_words: int | None = None, head_words: int = 200_000, stride: int = STRIDE) -> DataFrame:
+def lm_scores(docs: DataFrame, vocabulary_words: int | None = None, head_words: int = 200_000) -> DataFrame:
     """Scores of all documents by a model that learns from those not held out (crc32 of the id mod 10 is not 0).
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known, train_tokens, base_score and score (log10 of the
@@ -315,7 +375,7 @@ def lm_scores(docs: DataFrame, vocabulary_words: int | None = None, head_words:
     head = head_counts(counts, head_words).toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
     vocabulary = Vocabulary(head["word"].tolist(), head["n"].to_numpy(np.int64), min(vocabulary_words or max(1022, math.isqrt(train_tokens)), len(head)))
     in_model = int(vocabulary.counts[: vocabulary.size].sum())
-    model = fit(training, vocabulary, np.concatenate([vocabulary.counts[: vocabulary.size], [known["n"] - in_model, ends]]).astype(np.float64), stride)
+    model = fit(training, vocabulary, np.concatenate([vocabulary.counts[: vocabulary.size], [known["n"] - in_model, ends]]).astype(np.float64))
 
     below = np.log10(train_tokens + SMOOTH * (distinct + 1))
     others = np.log10((known["n"] - in_model) + SMOOTH * (known["words"] - vocabulary.size + 1))

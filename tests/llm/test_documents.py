@@ -307,6 +307,40 @@ def test_counting_sketch(many):
     assert (ngram_join.counting_sketch(first) == want).all() and want.sum() > 0
 
 
+@pytest.mark.parametrize("most", [1, 7, 40, 700, 2_500, 10_000])
+def test_lm_head_is_exact_and_full(spark, most):
+    """Also where the commonest count, or one count of thousands of words, has more words than the head may hold."""
+    n = {f"w{i}": 1 if i >= 400 else 5 if i >= 200 else 100 + i for i in range(3000)}
+    counts = spark.createDataFrame(list(n.items()), "word string, n long")
+    got = [r["word"] for r in lm.head_counts(counts, most).collect()]
+    assert len(got) == len(set(got)) == min(most, 3000)
+    assert sorted((n[w] for w in got), reverse=True) == sorted(n.values(), reverse=True)[:most]
+    assert set(got) == {r["word"] for r in lm.head_counts(counts.repartition(5), most).collect()}
+
+
+def test_lm_start_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "word " * (1 + i % 50)) for i in range(2000)] + [(9999, "x" * 100_000)], "doc_id long, text string")
+    sample = lambda *a: [t for b in lm.start_sample(docs, 2001, *a) for t in b.column(0).to_pylist()]
+    some = sample(500, 20_000)
+    assert 10_000 < sum(map(len, some)) <= 20_000 and max(map(len, some)) <= 2_500
+    assert len(sample(5000, 100 << 20)) == 2001
+    assert len(sample(100, 100 << 20)) <= 200
+    assert some == sample(500, 20_000)
+
+
+def test_lm_learns_beyond_the_base(spark):
+    """Held out, words that follow from the one before are far likelier than by their counts."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(1200):
+        w = [int(rng.integers(0, 60))]
+        while len(w) < 120:
+            w.append((w[-1] * 7 + 3 + int(rng.integers(0, 2))) % 60)
+        rows.append((i, " ".join(f"t{x}" for x in w)))
+    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
+    assert got[2] / got[0] > got[1] / got[0] + 0.5
+
+
 def test_lm(odd, none, many):
     got = {r["doc_id"]: r for r in lm.lm_scores(many, vocabulary_words=50, head_words=100).collect()}
     held = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in got}
