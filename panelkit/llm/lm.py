@@ -151,7 +151,7 @@ class LogBilinear:
     def predicted(self, before: np.ndarray) -> np.ndarray:
         """Of many tokens, each context vector meets the matrices once."""
         if len(before) > len(self.context):
-            return sum((self.context @ self.position[k])[before[:, k]] for k in range(CONTEXT))
+            return sum((self.context @ self.position[k]).take(before[:, k], 0) for k in range(CONTEXT))
         return sum(self.context[before[:, k]] @ self.position[k] for k in range(CONTEXT))
 
     def log10(self, before: np.ndarray, ids: np.ndarray, batch: int = 32_768) -> np.ndarray:
@@ -172,13 +172,19 @@ class LogBilinear:
 
 
 def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
+    """Rows are shifted by their greatest value only where some exponential would leave the range of a float."""
+    if logits.max() > 80 or logits.min() < -80:
+        logits -= logits.max(1, keepdims=True)
     picked = logits[np.arange(len(logits)), chosen].astype(np.float64)
-    return picked - np.log(np.exp(logits, out=logits).sum(1))
+    return picked - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place."""
+    np.negative(np.clip(x, -30, 30, out=x), out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,6 +193,14 @@ def _runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[first], first
 
 
+def _present(size: int, *ids: np.ndarray) -> np.ndarray:
+    """The distinct values, each below size, in order."""
+    found = np.zeros(size, bool)
+    for some in ids:
+        found[some] = True
+    return np.flatnonzero(found)
+
+
 def _order(ids: np.ndarray, size: int) -> np.ndarray:
     """A stable order; ids of two bytes are sorted by counting."""
     return np.argsort(ids.astype(np.uint16) if size <= 1 << 16 else ids, kind="stable")
@@ -223,51 +237,58 @@ class Trainer:
         words, at_word = _runs(w)
         classes, at_class = _runs(w // m.width)
         in_word, in_class = np.diff(at_word, append=len(w)), np.diff(at_class, append=len(w))
+        spans = list(zip(at_class.tolist(), (at_class + in_class).tolist()))
 
         noise, times = np.unique(self.rng.choice(len(m.klass), self.class_noise, p=m.class_law), return_counts=True)
-        chance = np.log(self.class_noise * m.class_law)
+        bias = m.klass_bias - np.log(self.class_noise * m.class_law).astype(np.float32)
         own = np.repeat(m.klass[classes], in_class, 0)
-        real = 1 - _sigmoid(np.einsum("ij,ij->i", q, own) + np.repeat((m.klass_bias - chance)[classes], in_class))
-        false = -_sigmoid(q @ m.klass[noise].T + (m.klass_bias - chance)[noise]) * times
-        real, false = real.astype(np.float32), false.astype(np.float32)
+        real = 1 - _sigmoid(np.einsum("ij,ij->i", q, own) + np.repeat(bias[classes], in_class))
+        false = _sigmoid(q @ m.klass[noise].T + bias[noise])
+        false *= -times.astype(np.float32)
         klass, klass_bias = np.zeros_like(m.klass), np.zeros_like(m.klass_bias)
-        klass[classes], klass_bias[classes] = np.add.reduceat(real[:, None] * q, at_class), np.add.reduceat(real, at_class)
+        dq = false @ m.klass[noise] + np.multiply(own, real[:, None], out=own)
+        pull = real[:, None] * q
+        for c, (a, b) in zip(classes.tolist(), spans):
+            klass[c] = pull[a:b].sum(0)
+        klass_bias[classes] = np.add.reduceat(real, at_class)
         klass[noise] += false.T @ q
         klass_bias[noise] += false.sum(0)
-        dq = false @ m.klass[noise] + real[:, None] * own
 
         low, high = m.upto[classes * m.width], m.upto[np.minimum((classes + 1) * m.width, len(m.word))]
         drawn = np.searchsorted(m.upto, low[:, None] + self.rng.random((len(classes), self.word_noise)) * (high - low)[:, None], "right") - 1
         drawn = drawn.clip(0, len(m.word) - 1)
-        chance = np.log(self.word_noise * m.word_law)
+        bias = m.word_bias - np.log(self.word_noise * m.word_law).astype(np.float32)
         own = np.repeat(m.word[words], in_word, 0)
-        real = (1 - _sigmoid(np.einsum("ij,ij->i", q, own) + np.repeat((m.word_bias - chance[: len(m.word)])[words], in_word))).astype(np.float32)
-        others, off = m.word[drawn], (m.word_bias[drawn] - chance[drawn]).astype(np.float32)
-        spans = list(zip(at_class.tolist(), (at_class + in_class).tolist()))
+        real = 1 - _sigmoid(np.einsum("ij,ij->i", q, own) + np.repeat(bias[words], in_word))
+        others, off = m.word[drawn], bias[drawn]
         false = np.empty((len(w), self.word_noise), np.float32)
         for c, (a, b) in enumerate(spans):
             np.matmul(q[a:b], others[c].T, out=false[a:b])
             false[a:b] += off[c]
-        false = -_sigmoid(false)
-        pull, push = np.add.reduceat(real[:, None] * q, at_word), np.empty_like(others)
-        dq += real[:, None] * own
+        np.negative(_sigmoid(false), out=false)
+        push, push_bias = np.empty_like(others), np.empty_like(off)
+        dq += np.multiply(own, real[:, None], out=own)
         for c, (a, b) in enumerate(spans):
             np.matmul(false[a:b].T, q[a:b], out=push[c])
+            false[a:b].sum(0, out=push_bias[c])
             dq[a:b] += false[a:b] @ others[c]
         word, word_bias = np.zeros_like(m.word), np.zeros_like(m.word_bias)
-        word[words], word_bias[words] = pull, np.add.reduceat(real, at_word)
-        np.add.at(word, drawn.ravel(), push.reshape(-1, push.shape[2]))
-        np.add.at(word_bias, drawn.ravel(), np.add.reduceat(false, at_class).ravel())
-        touched = np.union1d(words, drawn)
+        word[words] = np.add.reduceat(np.multiply(q, real[:, None], out=pull), at_word)
+        word_bias[words] = np.add.reduceat(real, at_word)
+        order = np.argsort(drawn, axis=None, kind="stable")
+        some, first = _runs(drawn.ravel()[order])
+        word[some] += np.add.reduceat(push.reshape(-1, push.shape[2])[order], first)
+        word_bias[some] += np.add.reduceat(push_bias.ravel()[order], first)
+        touched = _present(len(m.word), words, some)
 
         context, position = np.zeros_like(m.context), np.empty_like(m.position)
         for k in range(CONTEXT):  # dq summed over the tokens that have a context word at k
             order = _order(before[:, k], len(m.context))
             rows, first = _runs(before[order, k])
-            sums = np.add.reduceat(dq[order], first)
+            sums = np.add.reduceat(dq.take(order, 0), first)
             position[k] = m.context[rows].T @ sums
             context[rows] += sums @ m.position[k].T
-        seen = np.unique(before)
+        seen = _present(len(m.context), before)
 
         self._move("klass", np.arange(len(m.klass)), klass)
         self._move("klass_bias", np.arange(len(m.klass)), klass_bias)
