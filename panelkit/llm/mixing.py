@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,6 +21,16 @@ from .common import WORD, free_name, materialize, quoted, small_or_plain
 
 GOLDEN = 0.6180339887498949
 CELLS = 4096
+#: Consecutive Fibonacci numbers: their ratio is the golden ratio for as many slots as the greater one says.
+FIBONACCI = (498_454_011_879_264, 806_515_533_049_393)
+
+
+def golden_point(slot: Column) -> Column:
+    """frac((slot + 1) / golden ratio) of any slot below FIBONACCI[1], evenly fine everywhere: whole numbers are multiplied,
+    13 bits at a time, so that no product overflows; a double's digits would run out at 1e9 slots."""
+    step, modulus = FIBONACCI
+    parts = [F.shiftright(slot + 1, 13 * k).bitwiseAND(F.lit(0x1FFF)) * F.lit((step << 13 * k) % modulus) % F.lit(modulus) for k in range(4)]
+    return (parts[0] + parts[1] + parts[2] + parts[3]) % F.lit(modulus) / F.lit(float(modulus))
 
 
 @dataclass
@@ -57,7 +67,7 @@ def schedule(sources: DataFrame, block: int, slots: int) -> DataFrame:
     shares = sources.withColumn("high", F.sum("target").over(upto) / F.greatest(F.sum("target").over(Window.partitionBy()), F.lit(1e-300)))
     shares = shares.select("number", (F.coalesce(F.lag("high").over(Window.orderBy("number")), F.lit(0.0))).alias("low"), "high").where("low < high")
     spans = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.lit(CELLS - 1), F.floor(F.col("high") * CELLS)))))
-    points = sources.sparkSession.range(slots).withColumn("point", (F.col("id") + 1) * F.lit(GOLDEN) % 1.0)
+    points = sources.sparkSession.range(slots).withColumn("point", golden_point(F.col("id")))
     points = points.withColumn("cell", F.floor(F.col("point") * CELLS))
     hits = points.join(spans, "cell").where("low <= point and point < high").select("number", F.col("id").alias("slot"), F.floor(F.col("id") / 8192).alias("run"))
     prior = Window.partitionBy("number").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
