@@ -21,17 +21,21 @@ def crc_of(id_col: str | Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column | None = None, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, label): the `rows` labelled ids with the lowest hash among those allowed, labels 0 and 1 only.
+    """(doc_id, text, label): the first `rows` labelled rows of `docs` by a hash of their id, labels 0 and 1 only.
 
-    The sample is bounded by `rows`, so it is broadcast. An id labelled twice counts twice.
+    An id labelled twice counts twice, and so does each row of an id that repeats; of those that do not fit, the last in the
+    order of reading go. Which rows are meant is settled on ids and row numbers, before any text is looked at.
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
     if allowed is not None:
         known = known.where(allowed)
-    chosen = known.orderBy(F.xxhash64(id_col), id_col, label).limit(rows).select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    order = [F.xxhash64("doc_id"), "doc_id", "label"]
+    chosen = known.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).orderBy(*order).limit(rows)
+    row = F.monotonically_increasing_id().alias("row")
+    meant = docs.select(F.col(id_col).alias("doc_id"), row).join(F.broadcast(chosen), "doc_id").orderBy(*order, "row").limit(rows)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row)
+    return texts.join(F.broadcast(meant), ["doc_id", "row"]).select("doc_id", "text", "label")
 
 
 def with_score(docs: DataFrame, text_col: str, score_col: str, score: Callable[[pa.Array], np.ndarray]) -> DataFrame:

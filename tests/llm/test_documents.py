@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelkit.llm import lm, media, mixing, ngram_join, packing, quality, sharding, toxicity
+from panelkit.llm.labelled import labelled_sample
 from panelkit.llm.queries import WORD_BPE
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -222,6 +223,23 @@ def test_slots_are_golden_ratio_points(many):
     assert all(abs(seen[k] - n * targets[k] / total) <= 3 for k in targets)
 
 
+def test_golden_points_are_even_at_any_slot(spark):
+    step, modulus = mixing.FIBONACCI
+    for first in (0, 10**12, modulus - 10**5):
+        rows = spark.range(first, first + 50_000).select("id", mixing.golden_point(F.col("id")).alias("point")).collect()
+        assert all(r["point"] == (r["id"] + 1) * step % modulus / modulus for r in rows) and len({r["point"] for r in rows}) == 50_000
+        assert abs(sum(r["point"] < 1e-3 for r in rows) - 50) <= 3
+
+
+def test_labelled_rows_are_bounded_by_rows(spark):
+    docs = spark.range(500).select(F.when(F.col("id") < 400, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality")).distinct()
+    got = labelled_sample(docs, labels, "quality", rows=60).collect()
+    assert len(got) == 60 and len({r["text"] for r in got}) == 60
+    assert sorted(got) == sorted(labelled_sample(docs, labels, "quality", rows=60).collect())
+    assert labelled_sample(docs, labels, "quality", rows=1000).count() == 500
+
+
 def test_media(odd, none, spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "shard-000000-0000-999.tar").write_bytes(b"of an attempt that failed")
