@@ -45,13 +45,25 @@ def panel_fact(stats: DataFrame, games: DataFrame, ids: DataFrame, snaps: DataFr
     return joins.attach(fact, injuries, n.keys)
 
 
-def panel_advanced(fact: DataFrame, on_play: DataFrame, plays: DataFrame, n: Names = Names(), team_play: str = "posteam") -> DataFrame:
-    """Adds snap share (plays that the entity was on, of its team's distinct plays of the period) and dropback share."""
-    taken = on_play.join(plays.select("game_id", "play_id", n.season, n.week, F.col(team_play).alias(n.team), "dropback"), ["game_id", "play_id"])
-    own = taken.groupBy(*n.keys, n.team).agg(F.count_distinct("play_id").alias("plays_on"), aggs.rate("dropback").alias("dropback_rate"))
-    team = plays.groupBy(n.season, n.week, F.col(team_play).alias(n.team)).agg(F.count_distinct("play_id").alias("team_plays"), aggs.rate("dropback").alias("team_dropback_rate"))
-    shares = own.join(team, [n.season, n.week, n.team]).withColumn("snap_share", safe_ratio("plays_on", "team_plays"))
-    return fact.join(shares, [*n.keys, n.team], "left")
+def panel_advanced(fact: DataFrame, on_play: DataFrame, plays: DataFrame, n: Names = Names(), means: Sequence[str] = (), per_pass: Mapping[str, str] | None = None, style: Sequence[str] = (), more: Sequence[DataFrame] = ()) -> DataFrame:
+    """The panel with how its entities and teams were used.
+
+    on_play: a row an entity on a play (game_id, play_id, entity, team, dropback and the columns of `means`); plays: game_id,
+    play_id, season, week, team and the flags of `style`. Adds snaps, pass_snaps, snap_share (of the distinct plays of the
+    team), the means, what `per_pass` names (name: column) by pass snap, the team's rate of each flag, and the further frames
+    by entity and period. Ratios without a denominator are null.
+    """
+    team = [n.season, n.week, n.team]
+    placed = on_play.join(plays.select("game_id", "play_id", n.season, n.week), ["game_id", "play_id"])
+    own = placed.groupBy(*n.keys).agg(F.count("*").alias("snaps"), F.count_if("dropback").alias("pass_snaps"), *(F.avg(c).alias(f"avg_{c}") for c in means))
+    had = placed.groupBy(*team).agg(F.count_distinct("game_id", "play_id").alias("team_plays"))
+    out = joins.attach(joins.attach(fact, own, n.keys), had, team)
+    if style:
+        out = joins.attach(out, shape.require(plays, n.team).groupBy(*team).agg(*(aggs.rate(c).alias(f"{c}_rate") for c in style)), team)
+    for df in more:
+        out = joins.attach(out, df, n.keys)
+    ratios = {name: safe_ratio(c, "pass_snaps") for name, c in (per_pass or {}).items()}
+    return out.withColumns({"snap_share": safe_ratio("snaps", "team_plays")} | ratios).drop("team_plays")
 
 
 def fantasy_points(fact: DataFrame, kind: str, special: str, weights: Mapping[str, float], given: str, name: str = "points") -> DataFrame:

@@ -32,7 +32,7 @@ def oracle_sql_of(name: str) -> str:
 
 
 def _load() -> None:
-    from . import instances_core, instances_forecast, instances_more, instances_ranking, instances_stores  # noqa: F401
+    from . import instances_core, instances_forecast, instances_more, instances_ranking, instances_staging, instances_stores  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -21,7 +21,11 @@ def plain(value):
     return f"{float(value) + 0.0:.5f}"
 
 
-@pytest.mark.parametrize("name", QUICK)
+STAGING = ["r12_stage_games", "r13_stage_players", "r13_stage_stats", "r14_stage_rosters", "r14_stage_snaps", "r15_stage_participation", "r16_stage_advstats", "r17_stage_tracking", "r18_stage_charting", "r18_stage_plays", "r18_stage_injuries", "r02_panel_advanced", "p04_j08_j18_inner"]
+STORES = ["s04_read_seed", "s07_manifest_counts", "s09_materialize", "s14_publish_entity", "s16_methodology", "q16_gate"]
+
+
+@pytest.mark.parametrize("name", QUICK + STAGING + STORES)
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
     for table in ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
