@@ -41,20 +41,22 @@ START_DOCUMENTS = 1500
 START_BYTES = 8 << 20
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Words of each text with A-Z lower-cased: document of each word, code of each word, distinct words."""
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Words of each text with A-Z lower-cased: document of each word, words. They stay in Arrow: a Python string for each
+    distinct word of a batch, where rare words abound, takes longer than all else that is done to the text."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat = lists.flatten()
     doc = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    coded = flat.filter(pa.array(real)).dictionary_encode()
-    return doc[real], coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    real = pc.not_equal(flat, "")
+    if pc.all(real).as_py():  # also where there are none
+        return doc, flat
+    return doc[real.to_numpy(zero_copy_only=False)], flat.filter(real)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 0, 16 << 20, 5000):
-        _, codes, words = words_of(batch.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.bincount(codes, minlength=len(words)), pa.int64())], names=["word", "n"])
+        counted = pc.value_counts(words_of(batch.column(0))[1])
+        yield pa.RecordBatch.from_arrays(counted.flatten(), names=["word", "n"])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -91,16 +93,17 @@ class Vocabulary:
     size: int
 
     def __post_init__(self):
-        self.number = None
+        self.first = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"number": None}
+        return self.__dict__ | {"first": {}}
 
-    def find(self, words: list[str]) -> np.ndarray:
-        """Places in the head, or -1."""
-        if self.number is None:
-            self.number = dict(zip(self.words, range(len(self.words))))
-        return np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+    def find(self, words: pa.Array, most: int | None = None) -> np.ndarray:
+        """Places among the first `most` words of the head, or -1."""
+        most = len(self.words) if most is None else most
+        if most not in self.first:
+            self.first[most] = pa.array(self.words[:most], pa.string())
+        return pc.fill_null(pc.index_in(words, value_set=self.first[most]), -1).to_numpy()
 
     @property
     def other(self) -> int:
@@ -159,24 +162,36 @@ class LogBilinear:
         out = np.empty(len(ids))
         for at in range(0, len(ids), batch):
             q, w = self.predicted(before[at : at + batch]), ids[at : at + batch]
+            longest = math.sqrt(np.einsum("ij,ij->i", q, q).max())
+            order = _order(w, len(self.word))  # by word, so by class
+            q, w = q.take(order, 0), w[order]
             of = w // self.width
-            found = _log_softmax(q @ self.klass.T + self.klass_bias, of)
-            order = np.argsort(of, kind="stable")
-            cuts = np.searchsorted(of[order], np.arange(len(self.klass) + 1))
+            found = _log_softmax(q, self.klass, self.klass_bias, of, longest)
+            cuts = np.searchsorted(of, np.arange(len(self.klass) + 1))
             for c in np.flatnonzero(np.diff(cuts)).tolist():
-                rows, low = order[cuts[c] : cuts[c + 1]], c * self.width
+                own, low = slice(cuts[c], cuts[c + 1]), c * self.width
                 high = low + self.width
-                found[rows] += _log_softmax(q[rows] @ self.word[low:high].T + self.word_bias[low:high], w[rows] - low)
-            out[at : at + batch] = found
+                found[own] += _log_softmax(q[own], self.word[low:high], self.word_bias[low:high], w[own] - low, longest)
+            out[at + order] = found
         return out / np.log(10)
 
 
-def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Rows are shifted by their greatest value only where some exponential would leave the range of a float."""
-    if logits.max() > 80 or logits.min() < -80:
-        logits -= logits.max(1, keepdims=True)
-    picked = logits[np.arange(len(logits)), chosen].astype(np.float64)
-    return picked - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype))
+def _log_softmax(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, chosen: np.ndarray, longest: float, most: int = 1 << 17) -> np.ndarray:
+    """Log of the share of the chosen vector of each row of q, none of which is longer than `longest`; `most` logits at a time,
+    which a core's cache holds. Rows are shifted by their greatest value only where the lengths leave it open whether
+    some exponential would leave the range of a float."""
+    out, step = np.empty(len(q)), max(1, most // len(vectors))
+    wide = not longest * math.sqrt(np.einsum("ij,ij->i", vectors, vectors).max()) + np.abs(bias).max() < 80
+    ones, turned, room = np.ones(len(vectors), q.dtype), vectors.T, np.empty((min(step, len(q)), len(vectors)), q.dtype)
+    for at in range(0, len(q), step):
+        some = chosen[at : at + step]
+        logits = np.matmul(q[at : at + step], turned, out=room[: len(some)])
+        logits += bias
+        if wide:
+            logits -= logits.max(1, keepdims=True)
+        picked = logits[np.arange(len(some)), some].astype(np.float64)
+        out[at : at + step] = picked - np.log(np.exp(logits, out=logits) @ ones)
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -193,6 +208,12 @@ def _runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[first], first
 
 
+def _sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows. Two floats side by side add as a complex number does, in half as many steps."""
+    pairs = rows.dtype == np.float32 and rows.shape[1] % 2 == 0 and rows.flags.c_contiguous
+    return np.add.reduceat(rows.view(np.complex64), first).view(np.float32) if pairs else np.add.reduceat(rows, first)
+
+
 def _present(size: int, *ids: np.ndarray) -> np.ndarray:
     """The distinct values, each below size, in order."""
     found = np.zeros(size, bool)
@@ -273,11 +294,11 @@ class Trainer:
             false[a:b].sum(0, out=push_bias[c])
             dq[a:b] += false[a:b] @ others[c]
         word, word_bias = np.zeros_like(m.word), np.zeros_like(m.word_bias)
-        word[words] = np.add.reduceat(np.multiply(q, real[:, None], out=pull), at_word)
+        word[words] = _sums(np.multiply(q, real[:, None], out=pull), at_word)
         word_bias[words] = np.add.reduceat(real, at_word)
         order = np.argsort(drawn, axis=None, kind="stable")
         some, first = _runs(drawn.ravel()[order])
-        word[some] += np.add.reduceat(push.reshape(-1, push.shape[2])[order], first)
+        word[some] += _sums(push.reshape(-1, push.shape[2])[order], first)
         word_bias[some] += np.add.reduceat(push_bias.ravel()[order], first)
         touched = _present(len(m.word), words, some)
 
@@ -285,7 +306,7 @@ class Trainer:
         for k in range(CONTEXT):  # dq summed over the tokens that have a context word at k
             order = _order(before[:, k], len(m.context))
             rows, first = _runs(before[order, k])
-            sums = np.add.reduceat(dq.take(order, 0), first)
+            sums = _sums(dq.take(order, 0), first)
             position[k] = m.context[rows].T @ sums
             context[rows] += sums @ m.position[k].T
         seen = _present(len(m.context), before)
@@ -299,8 +320,8 @@ class Trainer:
 
 
 def _examples(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    doc, codes, words = words_of(texts)
-    return model_ids(vocabulary, len(texts), doc, vocabulary.find(words)[codes])[1:]
+    doc, words = words_of(texts)
+    return model_ids(vocabulary, len(texts), doc, vocabulary.find(words, vocabulary.size))[1:]
 
 
 def train_everywhere(texts: DataFrame, vocabulary: Vocabulary, start: LogBilinear) -> LogBilinear:
@@ -407,11 +428,10 @@ def lm_scores(docs: DataFrame, vocabulary_words: int | None = None, head_words:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, logs, log_bilinear = shared.value
-        for batch in slices(batches, 3, 4 << 20):
+        for batch in slices(batches, 3, 4 << 20, 20_000):
             n = batch.num_rows
-            doc, codes, words = words_of(batch.column(3))
-            found = vocabulary.find(words)
-            place = found[codes]
+            doc, words = words_of(batch.column(3))
+            place = vocabulary.find(words)
             of, before, ids = model_ids(vocabulary, n, doc, place)
             model = np.bincount(of, log_bilinear.log10(before, ids), n)
             common = place >= 0
@@ -419,9 +439,11 @@ def lm_scores(docs: DataFrame, vocabulary_words: int | None = None, head_words:
             base = np.bincount(doc[common], log - below, n) + end_log
             outside = place[common] >= vocabulary.size
             model += np.bincount(doc[common][outside], log[outside] - others, n)
-            key, times = np.unique(doc[~common] * max(1, len(words)) + codes[~common], return_counts=True)
-            cut = np.searchsorted(key, np.arange(n + 1) * max(1, len(words)))
-            rare = pa.array(words, pa.string()).take(pa.array(key % max(1, len(words))))
+            coded = words.filter(pa.array(~common)).dictionary_encode()
+            codes = max(1, len(coded.dictionary))
+            key, times = np.unique(doc[~common] * codes + coded.indices.to_numpy(), return_counts=True)
+            cut = np.searchsorted(key, np.arange(n + 1) * codes)
+            rare = coded.dictionary.take(pa.array(key % codes))
             size = np.bincount(doc, minlength=n)
             arrays = [*batch.columns[:3], pa.array(size + 1), pa.array(np.bincount(doc[common], minlength=n) + end_known), pa.array(base), pa.array(model)]
             arrays += [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), x) for x in (rare, pa.array(times, pa.int64()))]

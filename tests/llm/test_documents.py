@@ -4,6 +4,7 @@ columns whose names clash."""
 import hashlib
 import random
 import tarfile
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -422,6 +423,53 @@ def test_examples_are_tokens_with_those_before_them():
     assert before.tolist() == [[4, 4, 4, 4], [0, 4, 4, 4], [1, 0, 4, 4], [2, 1, 0, 4], [4, 4, 4, 4], [4, 4, 4, 4], [0, 4, 4, 4]]
 
 
+@pytest.mark.parametrize("text", ["", " a  B\t", "\n\v", "a\u00a0b \u00c4 \u00e4 A"])
+def test_words_stay_in_arrow(text):
+    """Rare words abound in a batch, so none of them becomes a Python string."""
+    given = pa.array([text, None, "x y", text], pa.string())
+    doc, found = lm.words_of(given)
+    assert isinstance(found, pa.Array)
+    want = [(i, w.decode()) for i, t in enumerate(given.to_pylist()) for w in (t or "").encode().lower().split()]
+    assert list(zip(doc.tolist(), found.to_pylist())) == want
+    vocabulary = lm.Vocabulary(["a", "x", "y"], np.array([9, 5, 3]), 2)
+    assert vocabulary.find(found).tolist() == [{"a": 0, "x": 1, "y": 2}.get(w, -1) for _, w in want]
+    assert vocabulary.find(found, 2).tolist() == [{"a": 0, "x": 1}.get(w, -1) for _, w in want]
+    batch = pa.RecordBatch.from_arrays([given], names=["text"])
+    assert dict(zip(*(c.to_pylist() for c in next(lm._word_counts(iter([batch]))).columns))) == Counter(w for _, w in want)
+
+
+def test_scoring_holds_few_logits_at_a_time():
+    """Those of 30,000 tokens against 400 classes would be 48 MB, which leave a core's cache again and again."""
+    rng = np.random.default_rng(5)
+    model = lm.LogBilinear(np.ones(160_000), dimensions=4)
+    before, ids = rng.integers(0, 160_000, (30_000, lm.CONTEXT)).astype(np.int32), rng.integers(0, 160_000, 30_000).astype(np.int32)
+    tracemalloc.start()
+    logs = model.log10(before, ids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.klass) > 390 and most < 16e6
+    assert logs == pytest.approx(np.full(len(ids), -np.log10(160_000)), abs=0.5)
+
+
+@pytest.mark.parametrize("size", [5, 23])
+def test_large_logits_are_shifted(size):
+    """Vectors so long that exponentials would leave the range of a float; the sum over outcomes stays one."""
+    model, rng = bilinear(size)
+    model.word *= 300
+    model.klass *= 300
+    before = np.repeat(rng.integers(0, size + 1, (1, lm.CONTEXT)), size, 0)
+    assert (10 ** model.log10(before, np.arange(size))).sum() == pytest.approx(1, abs=1e-5)
+
+
+@pytest.mark.parametrize("width", [3, 6])
+def test_sums_of_runs(width):
+    rows = np.random.default_rng(6).normal(size=(50, width)).astype(np.float32)
+    first = np.array([0, 1, 2, 30, 49])
+    want = [rows[a:b].sum(0) for a, b in zip(first, [*first[1:], 50])]
+    for some in (rows, np.asfortranarray(rows)):
+        assert lm._sums(some, first) == pytest.approx(np.array(want), abs=1e-5)
+
+
 def test_scores_are_sums_over_tokens(many, odd, monkeypatch):
     """All of score, by the model that was fitted, for one text after another."""
     fitted = []
