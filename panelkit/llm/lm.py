@@ -254,33 +254,40 @@ class Trainer:
 
     def _step(self, before: np.ndarray, w: np.ndarray) -> None:
         m = self.model
-        q = m.predicted(before)
+        sides, place, q = [], np.empty(len(m.context), np.int32), np.zeros((len(w), m.word.shape[1]), np.float32)
+        for k in range(CONTEXT):  # each word that the batch has at k meets the matrix once
+            order = _order(before[:, k], len(m.context))
+            here, first = _runs(before[order, k])
+            vectors = m.context.take(here, 0)
+            place[here] = np.arange(len(here))
+            q += (vectors @ m.position[k]).take(place.take(before[:, k]), 0)
+            sides.append((order, here, first, vectors))
+        of, ones = w // m.width, np.ones(len(w), np.float32)
         words, at_word = _runs(w)
-        classes, at_class = _runs(w // m.width)
-        in_word, in_class = np.diff(at_word, append=len(w)), np.diff(at_class, append=len(w))
+        classes, at_class = _runs(of)
+        in_class = np.diff(at_class, append=len(w))
         spans = list(zip(at_class.tolist(), (at_class + in_class).tolist()))
 
         noise, times = np.unique(self.rng.choice(len(m.klass), self.class_noise, p=m.class_law), return_counts=True)
         bias = m.klass_bias - np.log(self.class_noise * m.class_law).astype(np.float32)
-        own = np.repeat(m.klass[classes], in_class, 0)
-        real = 1 - _sigmoid(np.einsum("ij,ij->i", q, own) + np.repeat(bias[classes], in_class))
+        own = m.klass.take(of, 0)
+        real = 1 - _sigmoid(np.einsum("ij,ij->i", q, own) + bias[of])
         false = _sigmoid(q @ m.klass[noise].T + bias[noise])
         false *= -times.astype(np.float32)
         klass, klass_bias = np.zeros_like(m.klass), np.zeros_like(m.klass_bias)
         dq = false @ m.klass[noise] + np.multiply(own, real[:, None], out=own)
-        pull = real[:, None] * q
         for c, (a, b) in zip(classes.tolist(), spans):
-            klass[c] = pull[a:b].sum(0)
+            np.matmul(real[a:b], q[a:b], out=klass[c])
         klass_bias[classes] = np.add.reduceat(real, at_class)
         klass[noise] += false.T @ q
-        klass_bias[noise] += false.sum(0)
+        klass_bias[noise] += ones @ false
 
         low, high = m.upto[classes * m.width], m.upto[np.minimum((classes + 1) * m.width, len(m.word))]
         drawn = np.searchsorted(m.upto, low[:, None] + self.rng.random((len(classes), self.word_noise)) * (high - low)[:, None], "right") - 1
         drawn = drawn.clip(0, len(m.word) - 1)
         bias = m.word_bias - np.log(self.word_noise * m.word_law).astype(np.float32)
-        own = np.repeat(m.word[words], in_word, 0)
-        real = 1 - _sigmoid(np.einsum("ij,ij->i", q, own) + np.repeat(bias[words], in_word))
+        own = m.word.take(w, 0)
+        real = 1 - _sigmoid(np.einsum("ij,ij->i", q, own) + bias[w])
         others, off = m.word[drawn], bias[drawn]
         false = np.empty((len(w), self.word_noise), np.float32)
         for c, (a, b) in enumerate(spans):
@@ -291,10 +298,10 @@ class Trainer:
         dq += np.multiply(own, real[:, None], out=own)
         for c, (a, b) in enumerate(spans):
             np.matmul(false[a:b].T, q[a:b], out=push[c])
-            false[a:b].sum(0, out=push_bias[c])
+            np.matmul(ones[a:b], false[a:b], out=push_bias[c])
             dq[a:b] += false[a:b] @ others[c]
         word, word_bias = np.zeros_like(m.word), np.zeros_like(m.word_bias)
-        word[words] = _sums(np.multiply(q, real[:, None], out=pull), at_word)
+        word[words] = _sums(np.multiply(q, real[:, None], out=own), at_word)
         word_bias[words] = np.add.reduceat(real, at_word)
         order = np.argsort(drawn, axis=None, kind="stable")
         some, first = _runs(drawn.ravel()[order])
@@ -303,12 +310,10 @@ class Trainer:
         touched = _present(len(m.word), words, some)
 
         context, position = np.zeros_like(m.context), np.empty_like(m.position)
-        for k in range(CONTEXT):  # dq summed over the tokens that have a context word at k
-            order = _order(before[:, k], len(m.context))
-            rows, first = _runs(before[order, k])
+        for k, (order, here, first, vectors) in enumerate(sides):  # dq summed over the tokens that have a context word at k
             sums = _sums(dq.take(order, 0), first)
-            position[k] = m.context[rows].T @ sums
-            context[rows] += sums @ m.position[k].T
+            position[k] = vectors.T @ sums
+            context[here] += sums @ m.position[k].T
         seen = _present(len(m.context), before)
 
         self._move("klass", np.arange(len(m.klass)), klass)
