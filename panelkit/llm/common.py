@@ -118,13 +118,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 BATCH_BYTES = 8 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Bound what Spark hands to a Python worker at a time by bytes, since texts have any length. The session's own
     setting stays if it is smaller."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
-    if now > BATCH_BYTES or now <= 0:
-        spark.conf.set(name, f"{BATCH_BYTES}b")
+    if now > most or now <= 0:
+        spark.conf.set(name, f"{most}b")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 8 << 20, rows: int = 2000) -> Iterator[pa.RecordBatch]:

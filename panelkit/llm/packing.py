@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, settled, slices, small_batches
+from .common import give_back, materialize, settled, slices, small_batches
 
 #: Latin letters, then ASCII marks that are neither an apostrophe nor part of a special token. Both runs are
 #: separate pre-tokens for a tokenizer that splits letters from marks, so they can be looked up separately.
@@ -38,8 +38,10 @@ _BY_WORD = {
     "truncation": None,
     "padding": None,
 }
-_CACHED_WORDS = 300_000
-_CHUNK_WORDS = 300_000
+_CACHED_WORDS = 200_000
+_CHUNK_WORDS = 100_000
+#: Bytes of text that a task tokenises at a time, at most (or one row's); what they took goes back to the system before the next.
+_SLICE_BYTES = 4 << 20
 
 
 class CapacityTree:
@@ -205,18 +207,22 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, token
         held, seen = WordIds(tokenizer_path), TaskContext.get().partitionId() << 33
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
 
+        def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: list[tuple] = []
+            names = batch.column(0).to_pylist()
+            for k, ids in enumerate(token_rows(batch.column(1), held)):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for p, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    out.append((names[k], p, at, len(part), zlib.crc32(part), seen + k) + ((part.astype(np.int32),) if with_ids else ()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [batch.schema.field(0).type, *kinds])], names=heads)
+
         def found() -> Iterator[pa.RecordBatch]:
             nonlocal seen
-            for batch in slices(batches, 1, 16 << 20, 5000):
-                out: list[tuple] = []
-                names = batch.column(0).to_pylist()
-                for k, ids in enumerate(token_rows(batch.column(1), held)):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for p, at in enumerate(range(0, len(ids), capacity)):
-                        part = ids[at : at + capacity]
-                        out.append((names[k], p, at, len(part), zlib.crc32(part), seen + k) + ((part.astype(np.int32),) if with_ids else ()))
-                seen += len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [batch.schema.field(0).type, *kinds])], names=heads)
+            for batch in slices(batches, 1, _SLICE_BYTES, 5000):
+                yield cut(batch)
+                seen += batch.num_rows
+                give_back()
 
         yield from settled(found(), held)
 
@@ -255,7 +261,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     are interchangeable; which of them goes where depends on a hash. An empty table gives no rows. Other columns of `docs`
     are not looked at. Ranks are counted in parts of a length of about `rows_per_task` rows, so no length is one task.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, _SLICE_BYTES)
     pieces = materialize(cut_pieces(docs, id_col, text_col, capacity, tokenizer_path, end_id, with_ids), "pieces")
     lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity`
     plan = sorted(best_fit_decreasing(lengths, capacity))

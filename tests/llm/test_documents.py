@@ -665,3 +665,38 @@ def test_rows_without_ids_are_rows_of_their_own(spark):
     again = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in [(4, text), (1, text), (1, text), (None, text), (None, text), (None, other), (None, other), (7, None), (7, None), (8, "")]], SCHEMA)
     kept = Counter((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(again).collect())
     assert kept == Counter({(1, text): 1, (None, other): 1, (7, None): 2, (8, ""): 1})
+
+
+def test_packing_looks_at_a_bounded_slice_of_texts(monkeypatch):
+    """Tokenising 16 MB at a time took the pipeline's executor over its memory."""
+    seen, taken = [], packing.token_rows
+
+    def noted(texts, held):
+        seen.append((len(texts), sum(len(x.as_py() or "") for x in texts)))
+        return taken(texts, held)
+
+    class Kind:
+        def simpleString(self):
+            return "bigint"
+
+    class Docs:
+        """Keeps what a task is given to run."""
+
+        schema = {"doc_id": type("Field", (), {"dataType": Kind()})}
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, rows, schema):
+            return rows
+
+    monkeypatch.setattr(packing, "token_rows", noted)
+    monkeypatch.setattr(packing, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})())}))
+    monkeypatch.setattr(packing.F, "col", lambda name: type("Column", (), {"cast": lambda self, kind: self, "alias": lambda self, kind: self})())
+    texts = ["word " * 200_000] * 8 + [None, "", "x " * 3_000_000]  # 1 MB each; the last has 6 MB alone
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out = pa.Table.from_batches(list(packing.cut_pieces(Docs(), "doc_id", "text", 2048, WORD_BPE, 0, False)(iter([batch]))))
+    assert all(size <= 4 << 20 or rows == 1 for rows, size in seen)
+    lengths = out.group_by("doc_id").aggregate([("length", "sum")]).sort_by("doc_id")["length_sum"].to_pylist()
+    assert lengths[:8] == [lengths[0]] * 8 and lengths[0] >= 200_000 and lengths[8:10] == [1, 1]
+    assert out.group_by("doc_id").aggregate([("row", "min")]).sort_by("doc_id")["row_min"].to_pylist() == list(range(len(texts)))
