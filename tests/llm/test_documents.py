@@ -117,6 +117,44 @@ def test_packing_with_another_tokenizer_file(spark, tmp_path):
     assert {r["doc_id"]: r["ids"] for r in rows} == {k: tok.encode(t or "", add_special_tokens=False).ids + [0] for k, t in enumerate(texts)}
 
 
+def test_runs_of_letters_go_to_the_tokenizers_model_alone():
+    """With normalizer and pre-tokenizer, each rare word cost four times as much."""
+    held = packing.WordIds(WORD_BPE)
+    whole, given = held.tokenizer, []
+
+    class Noted:
+        model = whole.model
+
+        def encode(self, words, **how):
+            given.extend(words)
+            return whole.encode(words, **how)
+
+    held.tokenizer = Noted()
+    letters = [c for c in map(chr, range(0xC0, 0x100)) if c.isalpha()]
+    rng = random.Random(5)
+    rare = ["".join(rng.choices(letters + list("abcdefghijKLMNOP"), k=rng.randint(1, 9))) + rng.choice(["", ",", ".)", "!?", "'s", "-x", "\u0301"]) for _ in range(3000)]
+    texts = [" ".join(rare[k : k + 7]) for k in range(0, 3000, 7)] + ["", "  ", "\u00ff\u00df \u01c5 \u0130 \ufb01 \u00aa a\u00d7b", "\x1c a\x1fb\n"]
+    got = [ids.tolist() for ids in packing.token_rows(pa.array([*texts, None]), held)]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
+    assert given and not any(set(w.lower()) <= {*letters, *"abcdefghijklmnop"} for w in given)
+
+
+@pytest.mark.parametrize("added", ["hello", "hello!", "a b"])
+def test_packing_with_an_added_token_that_words_would_hide(tmp_path, added):
+    """Of letters, or across a cut: these are looked for before letters are lower-cased and words are split."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    shape = json.load(open(WORD_BPE, encoding="utf-8"))
+    shape["added_tokens"].append(shape["added_tokens"][-1] | {"id": 49408, "content": added})
+    path = f"{tmp_path}/added.json"
+    json.dump(shape, open(path, "w", encoding="utf-8"))
+    texts = ["Hello hello! xhello, HELLO!! a b", "oh hello!? a  b"]
+    tok = Tokenizer.from_file(path)
+    assert [ids.tolist() for ids in packing.token_rows(pa.array(texts), packing.WordIds(path))] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("top", [100, 60, 30])
 def test_best_fit_takes_the_tightest_sequence(top):
     rng = random.Random(top)
