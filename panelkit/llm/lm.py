@@ -36,6 +36,8 @@ from .labelled import crc_of
 SMOOTH = 0.1
 CONTEXT = 4
 DIMENSIONS = 32
+#: Rows of a training batch that are worked on at a time.
+ROWS = 1024
 #: What the driver starts from: about so many training documents, twice as many at most, of so many bytes together at most.
 START_DOCUMENTS = 1500
 START_BYTES = 8 << 20
@@ -159,34 +161,33 @@ class LogBilinear:
 
     def log10(self, before: np.ndarray, ids: np.ndarray, batch: int = 32_768) -> np.ndarray:
         """Normalised log10 P(id | tokens before), in batches of matrix products."""
-        out = np.empty(len(ids))
+        out, klass, word = np.empty(len(ids)), _beside(self.klass, self.klass_bias), _beside(self.word, self.word_bias)
         for at in range(0, len(ids), batch):
             q, w = self.predicted(before[at : at + batch]), ids[at : at + batch]
             longest = math.sqrt(np.einsum("ij,ij->i", q, q).max())
             order = _order(w, len(self.word))  # by word, so by class
-            q, w = q.take(order, 0), w[order]
+            q, w = _beside(q.take(order, 0), np.ones(len(w), q.dtype)), w[order]
             of = w // self.width
-            found = _log_softmax(q, self.klass, self.klass_bias, of, longest)
+            found = _log_softmax(q, klass, of, longest)
             cuts = np.searchsorted(of, np.arange(len(self.klass) + 1))
             for c in np.flatnonzero(np.diff(cuts)).tolist():
                 own, low = slice(cuts[c], cuts[c + 1]), c * self.width
                 high = low + self.width
-                found[own] += _log_softmax(q[own], self.word[low:high], self.word_bias[low:high], w[own] - low, longest)
+                found[own] += _log_softmax(q[own], word[low:high], w[own] - low, longest)
             out[at + order] = found
         return out / np.log(10)
 
 
-def _log_softmax(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, chosen: np.ndarray, longest: float, most: int = 1 << 17) -> np.ndarray:
-    """Log of the share of the chosen vector of each row of q, none of which is longer than `longest`; `most` logits at a time,
-    which a core's cache holds. Rows are shifted by their greatest value only where the lengths leave it open whether
-    some exponential would leave the range of a float."""
-    out, step = np.empty(len(q)), max(1, most // len(vectors))
-    wide = not longest * math.sqrt(np.einsum("ij,ij->i", vectors, vectors).max()) + np.abs(bias).max() < 80
+def _log_softmax(q: np.ndarray, vectors: np.ndarray, chosen: np.ndarray, longest: float, most: int = 1 << 16) -> np.ndarray:
+    """Log of the share of the chosen vector of each row of q, both with the bias in their last component; no row is longer than
+    `longest` without it. `most` logits at a time, which a core's cache holds. Rows are shifted by their greatest value only
+    where the lengths leave it open whether some exponential would leave the range of a float."""
+    out, step, bias, plain = np.empty(len(q)), max(1, most // len(vectors)), vectors[:, -1], vectors[:, :-1]
+    wide = not longest * math.sqrt(np.einsum("ij,ij->i", plain, plain).max()) + np.abs(bias).max() < 80
     ones, turned, room = np.ones(len(vectors), q.dtype), vectors.T, np.empty((min(step, len(q)), len(vectors)), q.dtype)
     for at in range(0, len(q), step):
         some = chosen[at : at + step]
         logits = np.matmul(q[at : at + step], turned, out=room[: len(some)])
-        logits += bias
         if wide:
             logits -= logits.max(1, keepdims=True)
         picked = logits[np.arange(len(some)), some].astype(np.float64)
@@ -194,12 +195,16 @@ def _log_softmax(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, chosen: n
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(np.clip(x, -30, 30, out=x), out=x)
+def _falling(x: np.ndarray, top=np.float32(1)) -> np.ndarray:
+    """top / (1 + exp(x)), in place; 0 where the exponential leaves the range."""
     np.exp(x, out=x)
     x += 1
-    return np.reciprocal(x, out=x)
+    return np.divide(top, x, out=x)
+
+
+def _beside(vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Each vector with its bias as one more component, so that the product with a vector that ends in 1 has the bias in it."""
+    return np.concatenate([vectors, bias[..., None]], -1)
 
 
 def _runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,10 +213,23 @@ def _runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[first], first
 
 
-def _sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of runs of rows. Two floats side by side add as a complex number does, in half as many steps."""
-    pairs = rows.dtype == np.float32 and rows.shape[1] % 2 == 0 and rows.flags.c_contiguous
-    return np.add.reduceat(rows.view(np.complex64), first).view(np.float32) if pairs else np.add.reduceat(rows, first)
+def _sums(rows: np.ndarray, first: np.ndarray, long: int = 16) -> np.ndarray:
+    """Sums of runs of rows. Long runs are matrix products; of the others, longest first, all second rows are added to the
+    first ones at once, then all third rows, and so on."""
+    size = np.diff(first, append=len(rows))
+    by = _order(len(rows) - size, len(rows) + 1)
+    start, size = first[by], size[by]
+    sums, ones = rows.take(start, 0), np.ones(size.max(initial=0), rows.dtype)
+    longer = np.searchsorted(-size, -np.arange(long))  # how many runs have more than 0, 1, ... rows
+    many = int(longer[-1])
+    for i, (a, n) in enumerate(zip(start[:many].tolist(), size[:many].tolist())):
+        np.matmul(ones[:n], rows[a : a + n], out=sums[i])
+    for k in range(1, long - 1):
+        if many < longer[k]:
+            sums[many : longer[k]] += rows.take(start[many : longer[k]] + k, 0)
+    out = np.empty_like(sums)
+    out[by] = sums
+    return out
 
 
 def _present(size: int, *ids: np.ndarray) -> np.ndarray:
@@ -241,7 +259,8 @@ class Trainer:
         for at in range(0, len(ids), self.batch):
             some = ids[at : at + self.batch]
             order = _order(some, len(self.model.word))  # by word, so by class
-            self._step(before[at : at + self.batch][order], some[order])
+            with np.errstate(over="ignore"):
+                self._step(before[at : at + self.batch].take(order, 0), some[order])
 
     def _move(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
         """Upwards, since gradients are those of the likelihood."""
@@ -262,52 +281,53 @@ class Trainer:
             place[here] = np.arange(len(here))
             q += (vectors @ m.position[k]).take(place.take(before[:, k]), 0)
             sides.append((order, here, first, vectors))
-        of, ones = w // m.width, np.ones(len(w), np.float32)
+        of, q1 = w // m.width, _beside(q, np.ones(len(w), np.float32))
         words, at_word = _runs(w)
         classes, at_class = _runs(of)
-        in_class = np.diff(at_class, append=len(w))
-        spans = list(zip(at_class.tolist(), (at_class + in_class).tolist()))
+        spans = list(zip(at_class.tolist(), [*at_class[1:].tolist(), len(w)]))
 
         noise, times = np.unique(self.rng.choice(len(m.klass), self.class_noise, p=m.class_law), return_counts=True)
         bias = m.klass_bias - np.log(self.class_noise * m.class_law).astype(np.float32)
-        own = m.klass.take(of, 0)
-        real = 1 - _sigmoid(np.einsum("ij,ij->i", q, own) + bias[of])
-        false = _sigmoid(q @ m.klass[noise].T + bias[noise])
-        false *= -times.astype(np.float32)
+        word_bias = m.word_bias - np.log(self.word_noise * m.word_law).astype(np.float32)
+        others, times = m.klass[noise], -times.astype(np.float32)
+        turned, push = -_beside(others, bias[noise]).T, np.zeros((len(noise), q1.shape[1]), np.float32)
+        real, real_word, dq, drawn_to = np.empty(len(w), np.float32), np.empty(len(w), np.float32), np.empty_like(q), np.empty_like(q)
+        for at in range(0, len(w), ROWS):  # so many rows stay in a core's cache
+            part = slice(at, at + ROWS)
+            false = _falling(q1[part] @ turned, times)
+            push += false.T @ q1[part]
+            np.matmul(false, others, out=dq[part])
+            for vectors, ids, biases, share in ((m.klass, of[part], bias, real[part]), (m.word, w[part], word_bias, real_word[part])):
+                own = vectors.take(ids, 0)
+                np.add(np.einsum("ij,ij->i", q[part], own), biases.take(ids), out=share)
+                dq[part] += np.multiply(own, _falling(share)[:, None], out=own)
+            np.multiply(q[part], real_word[part, None], out=drawn_to[part])
         klass, klass_bias = np.zeros_like(m.klass), np.zeros_like(m.klass_bias)
-        dq = false @ m.klass[noise] + np.multiply(own, real[:, None], out=own)
         for c, (a, b) in zip(classes.tolist(), spans):
             np.matmul(real[a:b], q[a:b], out=klass[c])
         klass_bias[classes] = np.add.reduceat(real, at_class)
-        klass[noise] += false.T @ q
-        klass_bias[noise] += ones @ false
+        klass[noise] += push[:, :-1]
+        klass_bias[noise] += push[:, -1]
 
         low, high = m.upto[classes * m.width], m.upto[np.minimum((classes + 1) * m.width, len(m.word))]
         drawn = np.searchsorted(m.upto, low[:, None] + self.rng.random((len(classes), self.word_noise)) * (high - low)[:, None], "right") - 1
-        drawn = drawn.clip(0, len(m.word) - 1)
-        bias = m.word_bias - np.log(self.word_noise * m.word_law).astype(np.float32)
-        own = m.word.take(w, 0)
-        real = 1 - _sigmoid(np.einsum("ij,ij->i", q, own) + bias[w])
-        others, off = m.word[drawn], bias[drawn]
-        false = np.empty((len(w), self.word_noise), np.float32)
-        for c, (a, b) in enumerate(spans):
-            np.matmul(q[a:b], others[c].T, out=false[a:b])
-            false[a:b] += off[c]
-        np.negative(_sigmoid(false), out=false)
-        push, push_bias = np.empty_like(others), np.empty_like(off)
-        dq += np.multiply(own, real[:, None], out=own)
-        for c, (a, b) in enumerate(spans):
-            np.matmul(false[a:b].T, q[a:b], out=push[c])
-            np.matmul(ones[a:b], false[a:b], out=push_bias[c])
-            dq[a:b] += false[a:b] @ others[c]
+        drawn, at_drawn = _runs(np.sort(drawn.clip(0, len(m.word) - 1), None))  # classes follow each other, so those of a class lie together
+        weights = -np.diff(at_drawn, append=len(classes) * self.word_noise).astype(np.float32)
+        cuts = np.searchsorted(at_drawn, np.arange(len(classes) + 1) * self.word_noise).tolist()
+        others = m.word[drawn]
+        turned, push = -_beside(others, word_bias[drawn]), np.zeros((len(drawn), q1.shape[1]), np.float32)
+        for low, high, (first, last) in zip(cuts, cuts[1:], spans):
+            for a in range(first, last, ROWS):
+                part = slice(a, min(a + ROWS, last))
+                false = _falling(q1[part] @ turned[low:high].T, weights[low:high])
+                push[low:high] += false.T @ q1[part]
+                dq[part] += false @ others[low:high]
         word, word_bias = np.zeros_like(m.word), np.zeros_like(m.word_bias)
-        word[words] = _sums(np.multiply(q, real[:, None], out=own), at_word)
-        word_bias[words] = np.add.reduceat(real, at_word)
-        order = np.argsort(drawn, axis=None, kind="stable")
-        some, first = _runs(drawn.ravel()[order])
-        word[some] += _sums(push.reshape(-1, push.shape[2])[order], first)
-        word_bias[some] += np.add.reduceat(push_bias.ravel()[order], first)
-        touched = _present(len(m.word), words, some)
+        word[words] = _sums(drawn_to, at_word)
+        word_bias[words] = np.add.reduceat(real_word, at_word)
+        word[drawn] += push[:, :-1]
+        word_bias[drawn] += push[:, -1]
+        touched = _present(len(m.word), words, drawn)
 
         context, position = np.zeros_like(m.context), np.empty_like(m.position)
         for k, (order, here, first, vectors) in enumerate(sides):  # dq summed over the tokens that have a context word at k
@@ -343,7 +363,7 @@ def train_everywhere(texts: DataFrame, vocabulary: Vocabulary, start: LogBilinea
         for batch in slices(batches, 0, 4 << 20):
             before, ids = _examples(vocabulary, batch.column(0))
             order = trainer.rng.permutation(len(ids))
-            trainer.learn(before[order], ids[order])
+            trainer.learn(before.take(order, 0), ids.take(order))
             tokens += len(ids)
         if not tokens:
             return
@@ -398,7 +418,7 @@ def fit(texts: DataFrame, vocabulary: Vocabulary, n: np.ndarray, start_documents
         for batch in slices(iter(held), 0):
             before, ids = _examples(vocabulary, batch.column(0))
             order = trainer.rng.permutation(len(ids))
-            trainer.learn(before[order], ids[order])
+            trainer.learn(before.take(order, 0), ids.take(order))
     return train_everywhere(texts.select("text"), vocabulary, trainer.model)
 
 
@@ -457,7 +477,7 @@ def lm_scores(docs: DataFrame, vocabulary_words: int | None = None, head_words:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held.alias("held_out"), text)
     first = materialize(rows.mapInArrow(lambda batches: settled(scored(batches)), f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, model double, rare array<string>, rare_n array<bigint>"), "scored")
     rare = first.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("times"))
-    matched = rare.join(counts, "word", "left")
+    matched = rare.join(counts.hint("shuffle_hash"), "word", "left")  # a word has one row in counts, so no key is large there; nothing is sorted
     log = F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)
     sums = matched.groupBy("row").agg(F.sum(F.col("times") * log).alias("log"), F.sum("times").alias("times"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("seen"))
     none = F.lit(0.0)

@@ -454,6 +454,45 @@ def test_noise_contrastive_training_learns_what_follows():
     assert 10 ** trainer.model.log10(with_3, np.array([5]))[0] > 0.8 > 0.2 > 10 ** trainer.model.log10(without, np.array([5]))[0]
 
 
+@pytest.mark.parametrize("rows", [4, 1024])
+def test_a_training_step_is_that_of_its_tokens_one_by_one(monkeypatch, rows):
+    """Also where a batch takes several parts; a word drawn several times for a class meets its tokens once."""
+    monkeypatch.setattr(lm, "ROWS", rows)
+    taken, falling = [], lm._falling
+    monkeypatch.setattr(lm, "_falling", lambda x, *top: taken.append(x.size) or falling(x, *top))
+    model, rng = bilinear(23)
+    ids = np.sort(rng.choice([0, 1, 2, 7, 11, 22, 22, 22], 60))
+    before = rng.integers(0, 24, (60, lm.CONTEXT)).astype(np.int32)
+    trainer = lm.Trainer(model, seed=5, class_noise=16, word_noise=12)
+    trainer._step(before, ids)
+
+    draw, classes = np.random.default_rng(5), np.unique(ids // model.width)
+    noise = draw.choice(len(model.klass), 16, p=model.class_law)
+    low, high = model.upto[classes * model.width], model.upto[np.minimum((classes + 1) * model.width, 23)]
+    words = np.searchsorted(model.upto, low[:, None] + draw.random((len(classes), 12)) * (high - low)[:, None], "right") - 1
+    names = ("context", "word", "klass", "position", "word_bias", "klass_bias")
+    g = {name: np.zeros(getattr(model, name).shape) for name in names}
+    for row, w in zip(before, ids):
+        q = sum(model.context[row[k]].astype(float) @ model.position[k] for k in range(lm.CONTEXT))
+        dq, c = np.zeros(6), w // model.width
+        for name, own, others, law in (("klass", c, noise, model.class_law), ("word", w, words[list(classes).index(c)], model.word_law)):
+            for i, real in [(own, 1), *((i, 0) for i in others)]:
+                vector, bias = getattr(model, name)[i], getattr(model, name + "_bias")[i]
+                by = real - 1 / (1 + np.exp(-(q @ vector + bias - np.log(len(others) * law[i]))))
+                g[name][i] += by * q
+                g[name + "_bias"][i] += by
+                dq += by * vector
+        for k in range(lm.CONTEXT):
+            g["context"][row[k]] += model.position[k].astype(float) @ dq
+            g["position"][k] += np.outer(model.context[row[k]], dq)
+    for name in names:
+        flat = g[name].reshape(len(g[name]), -1)
+        by = 0.3 / np.sqrt(1 + (flat**2).sum(1))
+        assert getattr(trainer.model, name) == pytest.approx(getattr(model, name) + (flat * by[:, None]).reshape(g[name].shape), abs=2e-5), name
+    distinct = [len(set(x)) for x in words]
+    assert sum(taken) == 60 * (len(set(noise)) + 2) + sum(n * (ids // model.width == c).sum() for n, c in zip(distinct, classes)) and min(distinct) < 12
+
+
 def test_examples_are_tokens_with_those_before_them():
     vocabulary = lm.Vocabulary(["a", "b", "c"], np.array([9, 5, 3]), 2)
     of, before, ids = lm.model_ids(vocabulary, 3, np.array([0, 0, 0, 2]), np.array([0, 1, 2, 0]))
