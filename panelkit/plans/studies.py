@@ -181,10 +181,11 @@ def player_learning(graded: DataFrame, entity: Sequence[str], order: Sequence[st
     turned = F.coalesce(F.abs(change) > turn * F.greatest(usual, F.lit(1.0)), F.lit(False))
     rows = rows.select("*", shift.alias("__shift"), F.when(turned, follow * change).otherwise(0.0).alias("__role"), (F.avg("__e").over(own) * all_n / (all_n + k)).alias("__truth"))
     miss = lambda c: F.avg(F.abs(F.col("__e") - c))
+    changed = lambda c: F.count_if(F.abs(F.col(c)) > 1e-9)  # noqa: E731 - errors that cancel out leave rounding noise
     return rows.agg(
         F.count("*").alias("n"), miss(F.lit(0.0)).alias("base"), miss(F.col("__shift")).alias("player_bias"), miss(F.col("__role")).alias("role_change"),
         miss(F.col("__shift") + F.col("__role")).alias("both"), miss(F.col("__truth")).alias("oracle"),
-        F.count_if(F.col("__shift") != 0).alias("with_bias"), F.count_if(F.col("__role") != 0).alias("with_role_change"),
+        changed("__shift").alias("with_bias"), changed("__role").alias("with_role_change"),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from panelkit.functions import distributions
 from panelkit.operators import aggs, order_stats, windows
 from panelkit.operators.checks import Check
-from panelkit.plans import boosting, forecast, registry, replay
+from panelkit.plans import boosting, forecast, registry, replay, studies
 from panelkit.sources import claims, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -291,3 +291,10 @@ def test_every_check_sql_binds():
             con.execute(f"EXPLAIN {sql}")
         except duckdb.Error as e:
             raise AssertionError(f"{name}: {e}") from e
+
+
+def test_errors_that_cancel_out_are_no_learned_bias(spark):
+    rows = [("a", w, y, 0.0, 1.0, 1.0) for w, y in enumerate((0.1, 0.2, -0.3, 1.0, 0.0))]  # 0.1 + 0.2 - 0.3 is not 0 in doubles
+    df = spark.createDataFrame(rows, "e string, w int, y double, p double, short double, long double")
+    got = studies.player_learning(df, ["e"], ["w"], "y", "p", ("short", "p", "long")).first()
+    assert (got["n"], got["with_bias"], got["with_role_change"]) == (5, 1, 0)
