@@ -1,4 +1,5 @@
-"""Joins of panels. Small lookups are left for Spark to broadcast by their size; no join lacks an equality."""
+"""Joins of panels. Small lookups are left for Spark to broadcast by their size, large sides say so (`large`); no join lacks an
+equality."""
 
 from __future__ import annotations
 
@@ -9,6 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def large(df: DataFrame) -> DataFrame:
+    """A side that grows with the data: joined by shuffle. Compressed files look smaller than their rows are in memory, so Spark
+    would broadcast millions of rows through the driver."""
+    return df.hint("merge")
+
+
 def std_code(df: DataFrame, c: str, map_df: DataFrame, raw: str = "raw", standard: str = "standard") -> DataFrame:
     """Replace a code by its standard one; codes that the map does not have stay."""
     lookup = map_df.select(F.col(raw).alias("__raw"), F.col(standard).alias("__std"))

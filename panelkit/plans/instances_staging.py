@@ -99,8 +99,9 @@ def listed_plays(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Lines as plays, those of one order and number as one: who is on them is a list of the order's customer, the supplier
     and the part; some have none."""
     last = [F.max(c).alias(c) for c in ("l_returnflag", "l_quantity", "l_linestatus", "l_suppkey", "l_partkey")]
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*last).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"), "l_orderkey")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*last).join(joins.large(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")), "l_orderkey")
     rows = dated(lines, "o_orderdate").select(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("play_id"), "season", "week", "l_returnflag", "l_quantity", "l_linestatus", "o_custkey", "l_suppkey", "l_partkey")
+    rows = stored(rows, "lines")  # both files are made from it
     listed = F.concat_ws(";", F.col("o_custkey"), F.col("l_suppkey"), F.lit(""), F.col("l_partkey"))
     raw = rows.select("game_id", "play_id", F.when(F.col("play_id") % 5 == 0, F.lit("")).when(F.col("play_id") % 7 != 0, listed).alias("offense_players"))
     plays = rows.select("game_id", "play_id", "season", "week", F.when(F.col("play_id") % 6 != 0, F.col("l_linestatus")).alias("team"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag") == "R").alias("dropback"), "l_quantity", (F.col("l_quantity") > 25).alias("motion"))
@@ -187,10 +188,9 @@ FROM fact f LEFT JOIN own o USING (player_id, season, week) LEFT JOIN t ON t.sea
 def r02_panel_advanced(spark, sf_dir):
     """Who was on which line, of all lines of the team; figures by line with a return; how the team plays."""
     raw, plays = listed_plays(spark, sf_dir)
-    plays = stored(plays, "plays")
     who = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("game_id"), F.col("o_custkey").cast("string").alias("player_id"))
-    fact = stored(plays.join(who, "game_id").groupBy(*E, *G, "team").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("targets")), "fact")
-    on_play = ranking.stage_participation(raw, plays).join(plays.select("game_id", "play_id", "team", "l_quantity"), ["game_id", "play_id"])
+    fact = stored(plays.join(joins.large(who), "game_id").groupBy(*E, *G, "team").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("targets")), "fact")
+    on_play = ranking.stage_participation(raw, plays, carry=[*G, "team", "l_quantity"])
     late = fact.where("week > 6").groupBy(*E, *G).agg(F.sum("targets").alias("more"))
     out = ranking.panel_advanced(fact, on_play, plays, means=["l_quantity"], per_pass={"target_per_pass_snap": "targets"}, style=["motion"], more=[late])
     return out.withColumns({c: F.round(c, 6) for c in ("avg_l_quantity", "snap_share", "target_per_pass_snap", "motion_rate")})

@@ -48,20 +48,22 @@ def panel_fact(stats: DataFrame, games: DataFrame, ids: DataFrame, snaps: DataFr
 def panel_advanced(fact: DataFrame, on_play: DataFrame, plays: DataFrame, n: Names = Names(), means: Sequence[str] = (), per_pass: Mapping[str, str] | None = None, style: Sequence[str] = (), more: Sequence[DataFrame] = ()) -> DataFrame:
     """The panel with how its entities and teams were used.
 
-    on_play: a row an entity on a play (game_id, play_id, entity, team, dropback and the columns of `means`); plays: game_id,
-    play_id, season, week, team and the flags of `style`. Adds snaps, pass_snaps, snap_share (of the distinct plays of the
+    on_play: a row an entity on a play (game_id, play_id, entity, team, dropback and the columns of `means`; season and week, if
+    they are known there); plays: game_id, play_id, season, week, team and the flags of `style`. Adds snaps, pass_snaps, snap_share (of the distinct plays of the
     team), the means, what `per_pass` names (name: column) by pass snap, the team's rate of each flag, and the further frames
     by entity and period. Ratios without a denominator are null.
     """
     team = [n.season, n.week, n.team]
-    placed = on_play.join(plays.select("game_id", "play_id", n.season, n.week), ["game_id", "play_id"])
+    told = {n.season, n.week} <= set(on_play.columns)
+    placed = on_play if told else on_play.join(joins.large(plays.select("game_id", "play_id", n.season, n.week)), ["game_id", "play_id"])
     own = placed.groupBy(*n.keys).agg(F.count("*").alias("snaps"), F.count_if("dropback").alias("pass_snaps"), *(F.avg(c).alias(f"avg_{c}") for c in means))
     had = placed.groupBy(*team).agg(F.count_distinct("game_id", "play_id").alias("team_plays"))
-    out = joins.attach(joins.attach(fact, own, n.keys), had, team)
+    out = fact
+    for df in (own, *more):  # all by the same keys, so the panel is dealt out once
+        out = joins.attach(out, joins.large(df), n.keys)
+    out = joins.attach(out, F.broadcast(had), team)  # a row a team and period
     if style:
-        out = joins.attach(out, shape.require(plays, n.team).groupBy(*team).agg(*(aggs.rate(c).alias(f"{c}_rate") for c in style)), team)
-    for df in more:
-        out = joins.attach(out, df, n.keys)
+        out = joins.attach(out, F.broadcast(shape.require(plays, n.team).groupBy(*team).agg(*(aggs.rate(c).alias(f"{c}_rate") for c in style))), team)
     ratios = {name: safe_ratio(c, "pass_snaps") for name, c in (per_pass or {}).items()}
     return out.withColumns({"snap_share": safe_ratio("snaps", "team_plays")} | ratios).drop("team_plays")
 
@@ -205,11 +207,12 @@ def stage_snaps(raw: DataFrame, codes: DataFrame) -> DataFrame:
     return df.select(F.col("pfr_player_id").alias("other_id"), "game_id", "season", "week", "team", F.col("offense_snaps").alias("snaps"), F.col("offense_pct").alias("snap_pct"))
 
 
-def stage_participation(raw: DataFrame, plays: DataFrame, game: str = "game_id") -> DataFrame:
-    """A row per play and listed player, with the play's dropback flag (null counts as no)."""
-    listed = explode_list(shape.non_blank(raw, "offense_players"), "offense_players", ";", "player_id")
-    marked = plays.select("game_id", "play_id", F.coalesce(F.col("dropback").cast("boolean"), F.lit(False)).alias("dropback"))
-    return joins.attach(listed.withColumnRenamed(game, "game_id"), marked, ["game_id", "play_id"])
+def stage_participation(raw: DataFrame, plays: DataFrame, game: str = "game_id", carry: Sequence[str] = ()) -> DataFrame:
+    """A row per play and listed player, with the play's dropback flag (null counts as no) and further columns of the play.
+    Plays meet their lists before these are taken apart."""
+    marked = plays.select("game_id", "play_id", F.coalesce(F.col("dropback").cast("boolean"), F.lit(False)).alias("dropback"), *carry)
+    listed = shape.non_blank(raw, "offense_players").withColumnRenamed(game, "game_id")
+    return explode_list(joins.attach(listed, joins.large(marked), ["game_id", "play_id"]), "offense_players", ";", "player_id")
 
 
 def stage_advstats(rush: DataFrame, rec: DataFrame, passing: DataFrame, regular: str = "REG", kind: str = "game_type", keys: Sequence[str] = ("season", "week", "pfr_player_id"), team: str = "team") -> DataFrame:

@@ -298,3 +298,9 @@ def test_errors_that_cancel_out_are_no_learned_bias(spark):
     df = spark.createDataFrame(rows, "e string, w int, y double, p double, short double, long double")
     got = studies.player_learning(df, ["e"], ["w"], "y", "p", ("short", "p", "long")).first()
     assert (got["n"], got["with_bias"], got["with_role_change"]) == (5, 1, 0)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_plays_and_players_are_not_broadcast_however_small_their_files(spark):
+    plan = registry.queries()["r02_panel_advanced"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 3 and plan.count("BroadcastExchange") == 2  # the teams' plays and style
