@@ -73,8 +73,9 @@ def percentile_score(df: DataFrame, keys: Sequence[str], x: str, lower_is_better
         at = order_stats.ranked(df, keys, signed, "__at")
         alone = F.col("__at.pool") == 1
         return at.withColumn(name, F.when(alone, 0.5).otherwise(F.col("__at.before") / F.nullif(F.col("__at.pool") - 1, F.lit(0)))).drop("__at")
-    ranked = F.percent_rank().over(Window.partitionBy(*keys).orderBy(signed))
-    alone = F.count("*").over(Window.partitionBy(*keys)) == 1
+    w = Window.partitionBy(*keys).orderBy(signed)
+    ranked = F.percent_rank().over(w)
+    alone = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) == 1  # in the same order: one sort
     return df.withColumn(name, F.when(alone, 0.5).otherwise(ranked))
 
 
@@ -186,9 +187,9 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, n
 
 def movers(df: DataFrame, group: Sequence[str], movement: str, rank: str, n: int = 5) -> DataFrame:
     """The n largest rises and the n largest falls of each group, ties by rank."""
-    up = top_k(df.where(F.col(movement) > 0), group, [F.col(movement).desc(), F.col(rank)], n).withColumn("kind", F.lit("riser"))
-    down = top_k(df.where(F.col(movement) < 0), group, [F.col(movement).asc(), F.col(rank)], n).withColumn("kind", F.lit("faller"))
-    return up.unionByName(down)
+    kind = F.when(F.col(movement) > 0, "riser").when(F.col(movement) < 0, "faller")
+    moved = df.withColumn("kind", kind).where("kind is not null")
+    return top_k(moved, [*group, "kind"], [F.abs(movement).desc(), F.col(rank)], n)
 
 
 def sort_rows(df: DataFrame, key: str, descending: bool, tie: str) -> DataFrame:

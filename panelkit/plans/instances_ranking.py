@@ -162,8 +162,9 @@ def _backtest_sql(select: str, groups: bool = True) -> str:
 
 
 def _pairs(s: Slice):
+    """Rows without a month after would find no outcome, so they do not go into the join."""
     outcomes = s.panel.select("player_id", "season", "week", F.col("revenue").cast("double").alias("next_points"), F.col("qty").cast("double").alias("next_qty"))
-    ranks = s.ranks.withColumn("season_points", F.col("cum_revenue").cast("double")).withColumn("per_game", F.col("cum_revenue") / F.nullif(F.col("games"), F.lit(0)))
+    ranks = s.ranks.where("ahead").withColumn("season_points", F.col("cum_revenue").cast("double")).withColumn("per_game", F.col("cum_revenue") / F.nullif(F.col("games"), F.lit(0)))
     return stored(backtest.forward_pairs(ranks, outcomes, ["efficiency_score", "production_score", *BASE], ["MACHINERY"], "next_qty"), "pairs")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import joins
+
 KEYS = ["player_id", "season", "week"]
 
 PANEL_SQL = """panel AS MATERIALIZED (
@@ -29,7 +31,8 @@ def cents(c) -> "F.Column":
 def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """player_id, season, week, position, team, n_orders, revenue, qty, disc_amt, returned_qty.
 
-    Lines are summed per order before they meet customers, so the large join carries five numbers an order.
+    Lines are summed per order before they meet customers, so the large join carries five numbers an order. Orders are dealt out
+    by customer once; months, customers and windows of a customer over the panel all go by that.
     """
     items = table(spark, sf_dir, "lineitem")
     per_order = items.groupBy("l_orderkey").agg(
@@ -40,7 +43,7 @@ def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("player_id"), F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week"))
     sums = [F.sum(c).alias(c) for c in ("revenue", "qty", "disc_amt", "returned_qty")]
-    facts = orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("player_id", "season", "week").agg(F.count("*").alias("n_orders"), *sums)
+    facts = orders.join(joins.large(per_order), F.col("o_orderkey") == F.col("l_orderkey")).drop("o_orderkey", "l_orderkey").repartition("player_id").groupBy("player_id", "season", "week").agg(F.count("*").alias("n_orders"), *sums)
     people = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     who = people.select(F.col("c_custkey").alias("player_id"), F.col("c_mktsegment").alias("position"), F.col("n_name").alias("team"))
-    return facts.join(who, "player_id").select("player_id", "season", "week", "position", "team", "n_orders", "revenue", "qty", "disc_amt", "returned_qty")
+    return facts.join(joins.large(who), "player_id").select("player_id", "season", "week", "position", "team", "n_orders", "revenue", "qty", "disc_amt", "returned_qty")

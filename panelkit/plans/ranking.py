@@ -72,62 +72,105 @@ def fantasy_points(fact: DataFrame, kind: str, special: str, weights: Mapping[st
     return fact.withColumn(name, score_points(kind, special, weights, given))
 
 
-def cumulative_panel(fact: DataFrame, cols: Sequence[str], n: Names = Names(), carry: Sequence[str] = ("position", "team"), weighted: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
-    """Dense panel with running totals cum_<col>, games so far and carried-forward labels. Periods without activity keep
-    the totals. `weighted` maps a name to (value, weight): cum_<name>_x and cum_<name>_w accumulate its weighted mean."""
+def cumulative_marks(fact: DataFrame, cols: Sequence[str], n: Names = Names(), carry: Sequence[str] = ("position", "team"), weighted: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
+    """`fact`, a row per entity and period, with running totals cum_<col>, games so far, carried-forward labels (`carry`, in
+    place), active, and __until: the entity's next period of the season, null for its last."""
     weighted = weighted or {}
     terms = {}
     for name, (x, w) in weighted.items():
         terms[f"{name}_x"], terms[f"{name}_w"] = aggs.accumulators(x, w)
-    dense = joins.spine(fact, n.entity, n.season, n.week)
-    rows = joins.densify(dense, fact.withColumns(terms) if terms else fact, n.keys)
+    rows = fact.withColumns(terms) if terms else fact
     w = windows.so_far([n.entity, n.season], [n.week])
-    totals = [F.sum(F.coalesce(F.col(c), F.lit(0))).over(w).alias(f"cum_{c}") for c in [*cols, *terms]]
-    labels = [F.last(c, ignorenulls=True).over(w).alias(c) for c in carry]
-    return rows.select(*n.keys, *labels, F.count(cols[0]).over(w).alias("games"), F.col(cols[0]).isNotNull().alias("active"), *totals)
+    totals = {f"cum_{c}": F.sum(F.coalesce(F.col(c), F.lit(0))).over(w) for c in [*cols, *terms]}
+    labels = {c: F.last(c, ignorenulls=True).over(w) for c in carry}
+    after = F.lead(n.week).over(Window.partitionBy(n.entity, n.season).orderBy(n.week))
+    kept = [c for c in fact.columns if c not in carry]
+    return rows.select(*kept, *(c.alias(k) for k, c in labels.items()), F.count(cols[0]).over(w).alias("games"), F.col(cols[0]).isNotNull().alias("active"), *(c.alias(k) for k, c in totals.items()), after.alias("__until"))
 
 
-def rank_metrics(cumulative: DataFrame, finished: DataFrame, config: DataFrame, metrics: Metrics, role: str, n: Names = Names()) -> DataFrame:
-    """Metrics and is_qualified: role volume of at least min_role for each game that the team has finished (one at
-    least). finished: one row per team, season and week played. config: group, min_role, ..."""
-    counted = joins.running_event_count(cumulative, finished, [n.team, n.season], n.week, "team_games")
-    known = joins.with_config(counted, config, n.group)
-    need = F.col("min_role") * F.greatest(F.col("team_games"), F.lit(1))
-    return known.withColumns(dict(metrics.expressions)).withColumn("is_qualified", F.coalesce(F.col(role) >= need, F.lit(False)))
+def spread_marks(marks: DataFrame, carry: Sequence[str] = ("position", "team"), n: Names = Names(), ahead: str | None = None) -> DataFrame:
+    """Dense panel: each row of `cumulative_marks` stands for its entity until the next one, so nothing is shuffled or joined but
+    the calendar, a row a season. ahead: name of a flag that says whether the entity has a row in the period after."""
+    calendar = marks.groupBy(n.season).agg(F.collect_set(n.week).alias("__weeks"))
+    stands = lambda w: (w >= F.col(n.week)) & (F.col("__until").isNull() | (w < F.col("__until")))
+    dense = marks.join(F.broadcast(calendar), n.season).withColumn("__week", F.explode(F.filter("__weeks", stands)))
+    totals = [c for c in marks.columns if c.startswith("cum_")]
+    flags = [F.coalesce(F.col("__until") == F.col("__week") + 1, F.lit(False)).alias(ahead)] if ahead else []
+    active = (F.col("active") & (F.col("__week") == F.col(n.week))).alias("active")
+    return dense.select(n.entity, n.season, F.col("__week").alias(n.week), *carry, "games", active, *totals, *flags)
 
 
-def rank_percentiles(metrics: DataFrame, weights: DataFrame, names: Sequence[str], n: Names = Names()) -> DataFrame:
-    """Long table of qualified rows: metric, metric_value, component, weight, percentile within period, group and metric.
-    weights: group, metric, component, weight, lower_is_better."""
-    qualified = metrics.where("is_qualified")
-    long = shape.to_long(qualified, [*n.keys, n.group], names)
-    weighted = joins.with_config(long, weights, [n.group, "metric"])
-    return windows.percentile_score(weighted, [n.season, n.week, n.group, "metric"], "metric_value", F.col("lower_is_better"))
+def cumulative_panel(fact: DataFrame, cols: Sequence[str], n: Names = Names(), carry: Sequence[str] = ("position", "team"), weighted: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Dense panel with running totals cum_<col>, games so far and carried-forward labels. Periods without activity keep
+    the totals. `weighted` maps a name to (value, weight): cum_<name>_x and cum_<name>_w accumulate its weighted mean."""
+    return spread_marks(cumulative_marks(fact, cols, n, carry, weighted), carry, n)
 
 
-def rank_scores(metrics: DataFrame, percentiles: DataFrame, config: DataFrame, n: Names = Names(), components: tuple[str, str] = ("efficiency", "production"), share: str = "efficiency_share") -> DataFrame:
-    """Component scores renormalised over the metrics that are there, blended by the group's share; if one is missing,
-    the other alone. Rounded to 6 digits, so ties are ties."""
-    scored = aggs.weighted_mean_by(percentiles, n.keys, "component", components, "weight", "percentile")
-    a, b = (F.col(f"{c}_score") for c in components)
-    rows = metrics.join(scored, n.keys, "left")
+def rank_metrics(cumulative: DataFrame, finished: DataFrame, config: DataFrame, metrics: Metrics, role: str, n: Names = Names()) -> DataFrame:
+    """Metrics and is_qualified: role volume of at least min_role for each game that the team has finished (one at
+    least). finished: one row per team, season and week played. config: group, min_role, ...
+
+    Rows are dealt out by their pool (season, period, group), before metrics are made: what ranks them all goes by that."""
+    played = finished.groupBy(n.team, n.season).agg(F.collect_list(n.week).alias("__played"))  # a row a team and season
+    counted = cumulative.join(F.broadcast(played), [n.team, n.season], "left")
+    counted = counted.withColumn("team_games", F.coalesce(F.size(F.filter("__played", lambda w: w <= F.col(n.week))), F.lit(0)).cast("bigint")).drop("__played")
+    known = joins.with_config(counted, F.broadcast(config), n.group)
+    need = F.col("min_role") * F.greatest(F.col("team_games"), F.lit(1))
+    told = known.withColumn("is_qualified", F.coalesce(F.col(role) >= need, F.lit(False))).repartition(n.season, n.week, n.group)
+    return told.withColumns(dict(metrics.expressions)).select(*(c for c in told.columns if c != "is_qualified"), *metrics.expressions, "is_qualified")
+
+
+def with_percentiles(metrics: DataFrame, weights: DataFrame, names: Sequence[str], n: Names = Names()) -> DataFrame:
+    """`metrics` with a struct __<metric> for each name: value, component, weight, lower_is_better and percentile within period
+    and group, of qualified rows; null where the metric is not known or has no weight. weights: group, metric, component,
+    weight, lower_is_better; a row a group and metric. One row stays one row, so its metrics share one shuffle."""
+    given = F.struct("component", F.col("weight").cast("double").alias("weight"), "lower_is_better")
+    told = weights.groupBy(n.group).agg(*(F.max(F.when(F.col("metric") == m, given)).alias(f"__{m}") for m in names))
+    rows = metrics.join(F.broadcast(told), n.group, "left")
+    for m in names:
+        x, w = F.col(m).cast("double"), F.col(f"__{m}")
+        known = F.coalesce(F.col("is_qualified") & x.isNotNull() & ~F.isnan(x) & w.isNotNull(), F.lit(False))
+        ranked = windows.percentile_score(rows.withColumn("__known", known), [n.season, n.week, n.group, "__known"], m, w["lower_is_better"], "__p")
+        rows = ranked.withColumn(f"__{m}", F.when(F.col("__known"), F.struct(x.alias("metric_value"), w["component"].alias("component"), w["weight"].alias("weight"), w["lower_is_better"].alias("lower_is_better"), F.col("__p").alias("percentile")))).drop("__known", "__p")
+    return rows
+
+
+def rank_percentiles(told: DataFrame, names: Sequence[str], n: Names = Names()) -> DataFrame:
+    """`with_percentiles` as a long table: metric, metric_value, component, weight, lower_is_better, percentile."""
+    each = F.explode(F.filter(F.array(*(F.when(F.col(f"__{m}").isNotNull(), F.struct(F.lit(m).alias("metric"), f"__{m}.*")) for m in names)), lambda x: x.isNotNull()))
+    return told.select(*n.keys, n.group, each.alias("__v")).select(*n.keys, n.group, "__v.*")
+
+
+def _weight(names: Sequence[str], component: str | Column) -> Column:
+    """The weight of a component's known metrics together."""
+    return sum((F.when(F.col(f"__{m}.component") == component, F.col(f"__{m}.weight")).otherwise(0.0) for m in names), F.lit(0.0))
+
+
+def rank_scores(told: DataFrame, config: DataFrame, names: Sequence[str], n: Names = Names(), components: tuple[str, str] = ("efficiency", "production"), share: str = "efficiency_share") -> DataFrame:
+    """Component scores of `with_percentiles`, renormalised over the metrics that are there, blended by the group's share; if one
+    is missing, the other alone. Rounded to 6 digits, so ties are ties."""
+    part = lambda m, v: F.when(F.col(f"__{m}.component") == v, F.col(f"__{m}.weight") * F.col(f"__{m}.percentile")).otherwise(0.0)
+    means = {f"{v}_score": 100.0 * sum((part(m, v) for m in names), F.lit(0.0)) / F.nullif(_weight(names, F.lit(v)), F.lit(0.0)) for v in components}
+    rows = told.withColumns(means).drop(*(f"__{m}" for m in names))
     if share not in rows.columns:
-        rows = rows.join(config.select(n.group, share), n.group)
+        rows = rows.join(F.broadcast(config.select(n.group, share)), n.group)
+    a, b = (F.col(f"{c}_score") for c in components)
     blend = F.col(share) * a + (1 - F.col(share)) * b
     return rows.withColumns({f"{c}_score": stable(f"{c}_score") for c in components} | {"composite_score": stable(F.coalesce(blend, a, b))})
 
 
-def rankings(scores: DataFrame, n: Names = Names(), points: str = "points", finished: DataFrame | None = None) -> DataFrame:
+def rankings(scores: DataFrame, n: Names = Names(), points: str = "points", finished: DataFrame | None = None, opening: DataFrame | None = None) -> DataFrame:
     """Two views of a period, each within season, period and group: rank, of qualified rows by composite, points, games, id;
     and fantasy_rank, of all rows by points, games, id. For either, the rank of exactly the period before in the same group
     (a change of group is no movement), the movement, and whether it is new, which nothing is in a season's first period.
     week_complete: every game of the period is final (`finished`: season, week, is_final); false where nothing is known.
+    opening: season and its first week, if known; else from the scores.
     """
     order = [F.col(points).desc_nulls_last(), F.col("games").desc(), F.col(n.entity)]
     pool = [n.season, n.week, n.group]
     ranked = windows.rank_rows(scores, pool, [F.col("composite_score").desc_nulls_last(), *order], "is_qualified")
     ranked = windows.rank_rows(ranked, pool, order, None, "fantasy_rank")
-    first = scores.groupBy(n.season).agg(F.min(n.week).alias("__first"))  # a row a season
+    first = (scores if opening is None else opening).groupBy(n.season).agg(F.min(n.week).alias("__first"))  # a row a season
     moved = joins.prev_period(ranked, [n.entity, n.season, n.group], n.week, ["rank", "fantasy_rank"]).join(F.broadcast(first), n.season)
     fresh = lambda now, was: F.col(now).isNotNull() & F.col(was).isNull() & (F.col(n.week) > F.col("__first"))
     out = moved.withColumns({
@@ -135,17 +178,26 @@ def rankings(scores: DataFrame, n: Names = Names(), points: str = "points", fini
         "fantasy_movement": F.col("prev_fantasy_rank") - F.col("fantasy_rank"), "fantasy_is_new": fresh("fantasy_rank", "prev_fantasy_rank"),
     }).drop("__first")
     if finished is not None:
-        out = out.join(aggs.all_true(finished, [n.season, n.week], "is_final", "week_complete"), [n.season, n.week], "left").withColumn("week_complete", F.coalesce("week_complete", F.lit(False)))
+        complete = aggs.all_true(finished, [n.season, n.week], "is_final", "week_complete")  # a row a period
+        out = out.join(F.broadcast(complete), [n.season, n.week], "left").withColumn("week_complete", F.coalesce("week_complete", F.lit(False)))
     return out
 
 
-def breakdown(percentiles: DataFrame, config: DataFrame, n: Names = Names(), share: str = "efficiency_share", efficiency: str = "efficiency") -> DataFrame:
-    """Points that each metric adds to the composite. A sole component has the full share. They add up to the score."""
-    total = F.sum("weight").over(Window.partitionBy(*n.keys, "component"))
-    kinds = F.size(F.collect_set("component").over(Window.partitionBy(*n.keys)))
-    part = F.when(F.col("kinds") == 1, 1.0).when(F.col("component") == efficiency, F.col(share)).otherwise(1 - F.col(share))
-    rows = percentiles.join(config.select(n.group, share), n.group).withColumn("kinds", kinds)
-    return rows.withColumn("contribution", 100 * F.col("percentile") * F.col("weight") / total * part).drop("kinds")
+def breakdown(told: DataFrame, config: DataFrame, names: Sequence[str], n: Names = Names(), share: str = "efficiency_share", efficiency: str = "efficiency") -> DataFrame:
+    """Points that each metric of `with_percentiles` adds to the composite, a row a metric. A sole component has the full share.
+    They add up to the score."""
+    rows = told if share in told.columns else told.join(F.broadcast(config.select(n.group, share)), n.group)
+    kinds = F.array_size(F.array_compact(F.array_distinct(F.array(*(F.col(f"__{m}.component") for m in names)))))
+    rows = rows.withColumn("__kinds", kinds)
+
+    def points(m: str) -> Column:
+        v = F.col(f"__{m}")
+        part = F.when(F.col("__kinds") == 1, 1.0).when(v["component"] == efficiency, F.col(share)).otherwise(1 - F.col(share))
+        value = 100 * v["percentile"] * v["weight"] / _weight(names, v["component"]) * part
+        return F.when(v.isNotNull(), F.struct(F.lit(m).alias("metric"), v["component"].alias("component"), v["weight"].alias("weight"), v["percentile"].alias("percentile"), value.alias("contribution")))
+
+    each = F.explode(F.filter(F.array(*map(points, names)), lambda x: x.isNotNull()))
+    return rows.select(*n.keys, n.group, each.alias("__v")).select(*n.keys, n.group, "__v.*")
 
 
 def player_dim(players: DataFrame, facts: DataFrame, n: Names = Names(), cols: Sequence[str] = ("name", "team", "position")) -> DataFrame:

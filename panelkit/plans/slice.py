@@ -108,9 +108,14 @@ class Slice:
         self.spark, self.sf_dir = spark, sf_dir
         self.config, self.weights = config(spark), weights(spark)
 
+    @cached_property
+    def marks(self) -> DataFrame:
+        """The panel with running totals, as all later stages read it."""
+        return stored(ranking.cumulative_marks(order_panel(self.spark, self.sf_dir), STATS), "marks")
+
     @cached_property
     def panel(self) -> DataFrame:
-        return stored(order_panel(self.spark, self.sf_dir), "panel")
+        return self.marks.select("player_id", "season", "week", "position", "team", *STATS)
 
     @cached_property
     def finished(self) -> DataFrame:
@@ -124,24 +129,29 @@ class Slice:
 
     @cached_property
     def cum(self) -> DataFrame:
-        return ranking.cumulative_panel(self.panel, STATS)
+        return ranking.spread_marks(self.marks)
 
     @cached_property
     def metrics(self) -> DataFrame:
-        return stored(ranking.rank_metrics(self.cum, self.finished, self.config, metrics(), "cum_n_orders"), "metrics")
+        """Also has `ahead`: whether the customer orders in the month after."""
+        return ranking.rank_metrics(ranking.spread_marks(self.marks, ahead="ahead"), self.finished, self.config, metrics(), "cum_n_orders")
+
+    @cached_property
+    def told(self) -> DataFrame:
+        return ranking.with_percentiles(self.metrics, self.weights, list(WEIGHTS))
 
     @cached_property
     def percentiles(self) -> DataFrame:
-        return ranking.rank_percentiles(self.metrics, self.weights, list(WEIGHTS))
+        return ranking.rank_percentiles(self.told, list(WEIGHTS))
 
     @cached_property
     def scores(self) -> DataFrame:
-        return ranking.rank_scores(self.metrics, self.percentiles, self.config)
+        return ranking.rank_scores(self.told, self.config, list(WEIGHTS))
 
     @cached_property
     def ranks(self) -> DataFrame:
-        return ranking.rankings(self.scores, points="cum_revenue", finished=self.settled)
+        return ranking.rankings(self.scores, points="cum_revenue", finished=self.settled, opening=self.panel)
 
     @cached_property
     def breakdown(self) -> DataFrame:
-        return ranking.breakdown(self.percentiles, self.config)
+        return ranking.breakdown(self.told, self.config, list(WEIGHTS))

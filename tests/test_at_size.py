@@ -1,6 +1,7 @@
 """Order statistics, tail probabilities, claims, boosting and replay against brute force."""
 
 import os
+import re
 import threading
 from dataclasses import replace as changed
 
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from panelkit.functions import distributions
 from panelkit.operators import aggs, order_stats, windows
 from panelkit.operators.checks import Check
-from panelkit.plans import boosting, forecast, registry, replay, studies
+from panelkit.plans import boosting, forecast, ranking, registry, replay, studies
+from panelkit.plans.slice import Slice
 from panelkit.sources import claims, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -304,3 +306,28 @@ def test_errors_that_cancel_out_are_no_learned_bias(spark):
 def test_plays_and_players_are_not_broadcast_however_small_their_files(spark):
     plan = registry.queries()["r02_panel_advanced"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") >= 3 and plan.count("BroadcastExchange") == 2  # the teams' plays and style
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_the_ranking_deals_out_its_rows_twice_and_joins_only_small_sides(spark):
+    plan = Slice(spark, SF).ranks._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan  # positions, teams and periods are broadcast
+    assert len(re.findall(r"Exchange hashpartitioning\(player_id", plan)) == 1 and len(re.findall(r"Exchange hashpartitioning\(season#\d+, week#\d+, position", plan)) == 1
+    assert plan.count(" Sort [season") == 6  # four metrics and two ranks, one sort each
+
+
+def test_movers_are_found_in_one_pass(spark):
+    rows = [(1, p, m, r) for p, (m, r) in enumerate([(3, 4), (3, 2), (1, 9), (0, 1), (-2, 7), (-5, 3), (-2, 5), (None, 6)])]
+    df = spark.createDataFrame(rows, "g int, p int, movement int, rank int")
+    out = windows.movers(df, ["g"], "movement", "rank", 2)
+    assert sorted((r["kind"], r["place"], r["p"]) for r in out.collect()) == [("faller", 1, 5), ("faller", 2, 6), ("riser", 1, 1), ("riser", 2, 0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_marks_stand_until_the_next_one(spark):
+    rows = [("a", 1, 2, "x", 5), ("a", 1, 4, "x", 1), ("b", 1, 1, "y", 2), ("b", 1, 2, "y", 3), ("b", 1, 3, "y", 4), ("b", 2, 7, "y", 9)]
+    fact = spark.createDataFrame(rows, "player_id string, season int, week int, team string, v int")
+    marks = ranking.cumulative_marks(fact, ["v"], carry=["team"])
+    got = sorted(tuple(r) for r in ranking.spread_marks(marks, ["team"], ahead="ahead").select("player_id", "season", "week", "games", "active", "cum_v", "ahead").collect())
+    want = [("a", 1, 2, 1, True, 5, False), ("a", 1, 3, 1, False, 5, True), ("a", 1, 4, 2, True, 6, False), ("b", 1, 1, 1, True, 2, True), ("b", 1, 2, 2, True, 5, True), ("b", 1, 3, 3, True, 9, False), ("b", 1, 4, 3, False, 9, False), ("b", 2, 7, 1, True, 9, False)]
+    assert got == want
