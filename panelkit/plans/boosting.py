@@ -1,18 +1,22 @@
 """Gradient boosting over binned columns: trees that grow at their best leaf, for squared error or for a quantile.
 
-Columns are cut once into at most 255 bins and held as one byte array a row. Growing a tree is a series of aggregates: one
+Columns are cut once into at most 255 bins and held as a small integer each. Growing a tree is a series of aggregates: one
 gives, for the newest leaves, the sums of gradients and rows in every bin of every column; splits are chosen from these sums,
 which have leaves x columns x bins numbers whatever the rows are. Of two new leaves only the smaller is counted, the other is
-the difference. Where rows stand is a column that an expression of the splits gives, so nothing is joined or collected.
+the difference. Tasks count their rows as Arrow batches; where rows stand, and what earlier trees say of them, follows from the
+trees alone, so nothing is joined or collected and rows are written once, not again for every few trees.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import stored
 
@@ -53,13 +57,8 @@ class Tree:
         return f"named_struct({', '.join(told)}, 'value', array({', '.join(f'{self.values.get(n, 0.0)!r}D' for n in nodes)}))"
 
 
-def constant(trees: Sequence[Tree]) -> str:
-    return f"array({', '.join(t.sql() for t in trees)})"
-
-
 def leaf_of(tree: str, depth: int) -> str:
-    """SQL over `__bins`: the number of the leaf in which a row ends. Trees are data, not code: plans stay small, and what is
-    compiled for one round serves the next."""
+    """SQL over `__bins`: the number of the leaf in which a row ends, for a tree as a constant."""
     return f"aggregate(sequence(1, {max(1, depth)}), 0, (n, k) -> IF({tree}.column[n] < 0, n, IF(__bins[{tree}.column[n]] <= {tree}.bin[n], {tree}.left[n], {tree}.right[n])))"
 
 
@@ -71,15 +70,9 @@ class Boosted:
     rate: float
     trees: list[Tree]
 
-    def binned(self, df: DataFrame) -> DataFrame:
-        return with_bins(df, self.features, self.cuts)
-
     def score(self, df: DataFrame, name: str) -> DataFrame:
         """`df` with the prediction."""
-        if not self.trees:
-            return df.withColumn(name, F.lit(self.base))
-        step = f"s + {self.rate!r}D * t.value[{leaf_of('t', max(t.depth() for t in self.trees))}]"
-        return self.binned(df).withColumn(name, F.expr(f"aggregate({constant(self.trees)}, {self.base!r}D, (s, t) -> {step})")).drop("__bins")
+        return score_many(df, {name: self})
 
     def as_rows(self) -> list[tuple]:
         """What `from_rows` reads: (tree, node, column, bin, left, right, value), plus a row with the base and the cuts."""
@@ -102,6 +95,30 @@ class Boosted:
         return Boosted(tuple(features), [list(r[7]) for r in heads], heads[0][6] if heads else 0.0, rate, trees)
 
 
+def score_many(df: DataFrame, models: Mapping[str, Boosted]) -> DataFrame:
+    """`df` with the predictions of several models on the same columns and cuts, in one pass."""
+    first = next(iter(models.values()))
+    if any((m.features, m.cuts) != (first.features, first.cuts) for m in models.values()):
+        raise ValueError("the models have different columns or cuts")
+    told, given = [(name, m.base, m.rate, m.trees) for name, m in models.items()], df.columns
+    width, schema = len(first.features), df.select(*given).schema
+    for name in models:
+        schema = schema.add(name, "double")
+
+    def scored(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _batches(parts):
+            bins, out = [table[f"__b{k}"].to_numpy() for k in range(width)], table.select(given)
+            for name, base, rate, trees in told:
+                p = np.full(table.num_rows, base)
+                for tree in trees:
+                    p = p + rate * _at(tree, bins, tree.values)
+                out = out.append_column(name, pa.array(p))
+            yield from out.combine_chunks().to_batches()
+
+    binned = with_bins(df, first.features, first.cuts)
+    return binned.select(*given, *(F.col("__bins")[k].cast("smallint").alias(f"__b{k}") for k in range(width))).mapInArrow(scored, schema)
+
+
 def cut_points(df: DataFrame, features: Sequence[str], bins: int) -> list[list[float]]:
     """Cuts of each column into bins of about as many rows, from a sketch of bounded size; fewer for a column with few values.
     Cuts only say where splits may be, so they need not be exact order statistics."""
@@ -136,36 +153,120 @@ def cuts_below(x: Column, at: Sequence[float]) -> Column:
 #: Nodes of one model have numbers below this; beyond it begin those of the next.
 SPAN = 1_000_000
 
-Cells = dict[tuple[int, int], tuple[float, int]]
+#: Sums of gradients and rows of one node, by column and bin.
+Cells = tuple[np.ndarray, np.ndarray]
 
 
-def _histograms(rows: DataFrame, nodes: Sequence[int]) -> dict[int, Cells]:
-    """{node: {(column, bin): (sum of gradients, rows)}}. The result has nodes x columns x bins entries at most."""
-    each = rows.where(F.col("__node").isin(list(nodes))).select("__node", "__g", F.posexplode("__bins").alias("column", "bin"))
-    cell = (F.col("__node") * 65_536 + F.col("column")) * 256 + F.col("bin")
-    out: dict[int, Cells] = {n: {} for n in nodes}
-    for r in each.select(cell.alias("cell"), "__g").groupBy("cell").agg(F.sum("__g").alias("g"), F.count("*").alias("n")).collect():
-        above, at = divmod(r["cell"], 256)
-        node, column = divmod(above, 65_536)
-        out[node][column, at] = (r["g"], r["n"])
+#: Tasks look at so many rows at a time.
+AT_ONCE = 65_536
+
+
+def _at(tree: Tree, bins: Sequence[np.ndarray], of: Mapping[int, float] | None = None, node: int = 0) -> np.ndarray | float:
+    """The number of the node in which each row ends, or what `of` has for it. bins: an array a column."""
+    if node not in tree.splits:
+        return np.int32(node) if of is None else np.float64(of.get(node, 0.0))
+    column, at, left, right = tree.splits[node]
+    return np.where(bins[column] <= at, _at(tree, bins, of, left), _at(tree, bins, of, right))
+
+
+def _batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += part.num_rows
+        if n >= AT_ONCE:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+@dataclass
+class Residuals:
+    """What is known of each model while it grows: the base, rate and level of its loss, its trees since predictions were last
+    written, and whether they ever were. A row has __y, __use<k> (a bit for each of 62 models: who learns from it), the columns
+    __b<k>, and __p, an array of predictions, if they were written."""
+
+    width: int
+    base: list[float]
+    rate: list[float]
+    level: list[float | None]
+    trees: list[list[Tree]]
+    written: bool = False
+
+    def bins(self, table: pa.Table) -> list[np.ndarray]:
+        return [table[f"__b{k}"].to_numpy() for k in range(self.width)]
+
+    def said(self, table: pa.Table, m: int, own: np.ndarray, bins: Sequence[np.ndarray]) -> np.ndarray:
+        """The prediction of model m for the rows `own`, whose bins these are."""
+        p = table["__p"].combine_chunks().values.to_numpy().reshape(-1, len(self.base))[own, m] if self.written else np.full(len(own), self.base[m])
+        for tree in self.trees[m]:
+            p = p + self.rate[m] * _at(tree, bins, tree.values)
+        return p
+
+    def each(self, table: pa.Table, models: Sequence[int]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+        """(model, bins, residuals) of the rows that each of these models learns from."""
+        every, y = self.bins(table), table["__y"].to_numpy()
+        for m in models:
+            own = np.flatnonzero((table[f"__use{m // 62}"].to_numpy() >> (m % 62)) & 1)
+            if len(own):
+                bins = [b[own] for b in every]
+                yield m, bins, y[own] - self.said(table, m, own, bins)
+
+    def pulls(self, table: pa.Table, models: Sequence[int]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+        """As `each`, with gradients."""
+        for m, bins, miss in self.each(table, models):
+            q = self.level[m]
+            yield m, bins, miss if q is None else np.where(miss > 0, q, q - 1)
+
+
+def _counting(pulls: Callable, ahead: Mapping[int, Tree], asked: Mapping[int, Sequence[int]], shape: tuple[int, int]) -> Callable:
+    """A task's sums of gradients and rows for each node that is asked for, by column and bin, in one row."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, nodes = {}, 0
+        for m, wanted in asked.items():
+            place[m], nodes = {n: nodes + k for k, n in enumerate(wanted)}, nodes + len(wanted)
+        g, rows = np.zeros((nodes, *shape)), np.zeros((nodes, *shape), np.int64)
+        for table in _batches(parts):
+            for m, bins, pull in pulls(table, list(asked)):
+                node = np.broadcast_to(_at(ahead[m], bins), len(pull))
+                for n, k in place[m].items():
+                    own = np.flatnonzero(node == n)
+                    told = pull[own]
+                    for c in range(shape[0]):
+                        b = bins[c][own]
+                        g[k, c] += np.bincount(b, told, shape[1])
+                        rows[k, c] += np.bincount(b, minlength=shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()]), pa.array([rows.tobytes()])], ["g", "n"])
+
+    return count
+
+
+def _histograms(rows: DataFrame, counting: Callable, asked: Mapping[int, Sequence[int]], shape: tuple[int, int]) -> dict[int, dict[int, Cells]]:
+    """{model: {node: cells}}. The driver adds up a row a task; tasks are as many as `fit_many` allows, whatever the rows are."""
+    every, g, n = [(m, node) for m, nodes in asked.items() for node in nodes], 0.0, 0
+    for r in rows.mapInArrow(counting, "g binary, n binary").collect():
+        g, n = g + np.frombuffer(r["g"]), n + np.frombuffer(r["n"], np.int64)
+    g, n = (np.broadcast_to(x, len(every) * shape[0] * shape[1]).reshape(-1, *shape) for x in (g, n))
+    out: dict[int, dict[int, Cells]] = {m: {} for m in asked}
+    for k, (m, node) in enumerate(every):
+        out[m][node] = (g[k], n[k])
     return out
 
 
-def best_split(held: Mapping[tuple[int, int], tuple[float, int]], width: int, least: int) -> tuple[float, int, int] | None:
+def best_split(held: Cells, least: int) -> tuple[float, int, int] | None:
     """(gain, column, bin) with the largest fall in squared error; the smaller column, then bin, on a tie."""
-    best = None
-    for column in range(width):
-        cells = sorted((b, *v) for (c, b), v in held.items() if c == column)
-        total, n = sum(x[1] for x in cells), sum(x[2] for x in cells)
-        g = k = 0
-        for b, part, rows in cells[:-1]:
-            g, k = g + part, k + rows
-            if k < least or n - k < least:
-                continue
-            gain = g * g / k + (total - g) ** 2 / (n - k) - total * total / n
-            if gain > 1e-12 and (best is None or gain > best[0] * (1 + 1e-12)):
-                best = (gain, column, b)
-    return best
+    g, k = (x.cumsum(1) for x in held)
+    total, n = g[:, -1:], k[:, -1:]
+    fits = (k >= least) & (n - k >= least)
+    gain = g * g / np.maximum(k, 1) + (total - g) ** 2 / np.maximum(n - k, 1) - total * total / np.maximum(n, 1)
+    gain = np.where(fits & (gain > 1e-12), gain, 0.0)
+    top = gain.max()
+    if top <= 0:
+        return None
+    column, at = divmod(int(np.argmax(gain.ravel() * (1 + 1e-12) >= top)), gain.shape[1])
+    return float(gain[column, at]), column, at
 
 
 class Growing:
@@ -173,8 +274,8 @@ class Growing:
     have counted next; children of all leaves that may still be split are asked for at once, so a tree takes about as many
     rounds of counting as it is deep. What is not taken in the end is forgotten: the tree is the one that single steps give."""
 
-    def __init__(self, growth: Growth, width: int):
-        self.growth, self.width, self.count = growth, width, 1
+    def __init__(self, growth: Growth):
+        self.growth, self.count = growth, 1
         self.tree, self.ahead, self.open = Tree(), Tree(), {0}
         self.held: dict[int, Cells] = {}
         self.choice: dict[int, tuple[float, int, int] | None] = {}
@@ -198,50 +299,58 @@ class Growing:
             _, column, at = self.choice[n]
             left, right, self.count = self.count, self.count + 1, self.count + 2
             self.ahead.splits[n] = (column, at, left, right)
-            low, every = (sum(v[1] for (c, b), v in self.held[n].items() if c == column and b <= upto) for upto in (at, 255))
+            rows = self.held[n][1][column]
+            low, every = rows[: at + 1].sum(), rows.sum()
             self.pairs.append((n, left, right) if 2 * low <= every else (n, right, left))
         return [small for _, small, _ in self.pairs]
 
     def counted(self, found: dict[int, Cells]) -> None:
         self.held |= found
         for n, small, large in self.pairs:
-            rest = {k: (v[0] - found[small].get(k, (0.0, 0))[0], v[1] - found[small].get(k, (0.0, 0))[1]) for k, v in self.held[n].items()}
-            self.held[large] = {k: v for k, v in rest.items() if v[1] > 0}
+            rest = self.held[n][1] - found[small][1]
+            self.held[large] = (np.where(rest > 0, self.held[n][0] - found[small][0], 0.0), rest)
         for n in [0] if not self.pairs else [x for p in self.pairs for x in p[1:]]:
-            self.choice[n] = best_split(self.held[n], self.width, self.growth.least)
+            self.choice[n] = best_split(self.held[n], self.growth.least)
 
     def ended(self) -> Tree:
         for n in self.open:
-            first = [v for (c, _), v in self.held[n].items() if c == 0]
-            self.tree.values[n] = sum(v[0] for v in first) / max(1, sum(v[1] for v in first))
+            g, rows = self.held[n]
+            self.tree.values[n] = float(g[0].sum()) / max(1, int(rows[0].sum()))
         return self.tree
 
 
-def _node(trees: Sequence[Tree]) -> str:
-    """SQL: the number of the node in which a row ends in the tree of its model `__m`."""
-    return f"__m * {SPAN}L + transform(array({constant(trees)}[__m]), t -> {leaf_of('t', max(t.depth() for t in trees))})[0]"
+def _grown(rows: DataFrame, pulls: Callable, shape: tuple[int, int], growths: Mapping[int, Growth]) -> dict[int, Tree]:
+    """A tree for each model, all in the same aggregates. pulls: (model, bins, gradients) of a batch, for some models; shape:
+    columns and bins."""
+    growing = {m: Growing(g) for m, g in growths.items()}
+    while asked := {m: w for m, g in growing.items() if (w := g.wanted())}:
+        found = _histograms(rows, _counting(pulls, {m: growing[m].ahead for m in asked}, asked, shape), asked, shape)
+        for m in asked:
+            growing[m].counted(found[m])
+    return {m: g.ended() for m, g in growing.items()}
 
 
 def grow(rows: DataFrame, width: int, growths: Mapping[int, Growth]) -> dict[int, Tree]:
     """A tree for each model, all in the same aggregates. rows: __m (the model), __bins, __g (the gradient)."""
-    growing = {m: Growing(g, width) for m, g in growths.items()}
-    while asked := {m: w for m, g in growing.items() if (w := g.wanted())}:
-        ahead = [growing[m].ahead if m in growing else Tree() for m in range(1 + max(growing))]
-        found = _histograms(rows.withColumn("__node", F.expr(_node(ahead))), [m * SPAN + n for m, w in asked.items() for n in w])
-        for m, w in asked.items():
-            growing[m].counted({n: found[m * SPAN + n] for n in w})
-    return {m: g.ended() for m, g in growing.items()}
 
+    def pulls(table: pa.Table, models: Sequence[int]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+        model, g = table["__m"].to_numpy(), table["__g"].to_numpy()
+        for m in models:
+            own = np.flatnonzero(model == m)
+            yield m, [table[f"__b{k}"].to_numpy()[own] for k in range(width)], g[own]
 
-def fit_many(df: DataFrame, features: Sequence[str], y: str, models: Sequence[tuple[Growth, Column]], keys: Sequence[str] = (), every: int = 5) -> list[Boosted]:
+    return _grown(rows.select("__m", "__g", *(F.col("__bins")[k].alias(f"__b{k}") for k in range(width))), pulls, (width, 256), growths)
+
+
+def fit_many(df: DataFrame, features: Sequence[str], y: str, models: Sequence[tuple[Growth, Column]], keys: Sequence[str] = (), every: int = 25) -> list[Boosted]:
     """Boosted trees of several models on one binned frame, a model for each (growth, rows that it learns from).
 
     Models grow in step: round after round, one aggregate counts for all of them, so ten models take about the jobs of one.
     They are for squared error or for the quantile of their growth, whose leaves are quantiles of residuals: a value of the
     leaf whose rank is off by a ten-thousandth of the leaf's rows at most, since a leaf may hold most of a table.
 
-    Each tree sees the rows whose hash of keys and round is below `share`. What earlier trees say is written every `every`
-    rounds, so plans stay short. Rows without an outcome are left out. Bins are cut by the rows that all models learn from, so
+    Each tree sees the rows whose hash of keys and round is below `share`. What earlier trees say is computed from them, and
+    written every `every` rounds only, so that many rounds do not walk all trees again. Rows without an outcome are left out. Bins are cut by the rows that all models learn from, so
     none sees what lies after its own rows in time; without such rows by all.
     """
     name = "boosted"
@@ -259,8 +368,12 @@ def fit_many(df: DataFrame, features: Sequence[str], y: str, models: Sequence[tu
     for m, (g, _) in enumerate(models):
         base = 0.0 if m not in bases else bases[m]["mean"] if g.quantile is None else bases[m][f"q{levels.index(g.quantile)}"]
         out.append(Boosted(tuple(features), cuts, float(base), g.rate, []))
+    width, binned = len(features), with_bins(known, features, cuts)
     by = [F.col(c) for c in keys] or [F.col("__bins"), F.col("__y")]
-    rows = stored(with_bins(known, features, cuts).select(*keys, "__y", "__bins", "__use", F.array(*(F.lit(b.base) for b in out)).alias("__p")), name)
+    bit = lambda k: F.aggregate("__use", F.lit(0).cast("bigint"), lambda s, m: s + F.when(m.between(62 * k, 62 * k + 61), F.pow(F.lit(2.0), m - 62 * k).cast("bigint")).otherwise(0))
+    told = [F.col("__bins")[k].cast("smallint").alias(f"__b{k}") for k in range(width)] + [bit(k).alias(f"__use{k}") for k in range((len(models) + 61) // 62)]
+    rows = stored(binned.select(*keys, *(["__bins"] if not keys else []), "__y", *told), name)
+    state = Residuals(width, [b.base for b in out], [b.rate for b in out], [g.quantile for g, _ in models], [[] for _ in models])
     going = {m: g for m, (g, _) in enumerate(models) if m in bases}
     for k in range(max(g.rounds for g, _ in models)):
         going = {m: g for m, g in going.items() if k < g.rounds}
@@ -270,31 +383,50 @@ def fit_many(df: DataFrame, features: Sequence[str], y: str, models: Sequence[tu
         seen = rows
         if some.share < 1:
             seen = rows.where(F.pmod(F.xxhash64(*by, F.lit(some.seed * 1_000_003 + k)), F.lit(1_000_000)) < int(some.share * 1_000_000))
-        seen = seen.select("__bins", "__y", "__p", F.explode("__use").alias("__m")).where(F.col("__m").isin(list(going)))
-        seen = seen.select("__bins", "__m", (F.col("__y") - F.element_at("__p", F.col("__m") + 1)).alias("__miss"))
-        levels_of = ", ".join("CAST(NULL AS DOUBLE)" if g.quantile is None else f"{g.quantile!r}D" for g, _ in models)
-        seen = seen.withColumn("__q", F.expr(f"array({levels_of})[__m]"))
-        pull = F.when(F.col("__q").isNull(), F.col("__miss")).when(F.col("__miss") > 0, F.col("__q")).otherwise(F.col("__q") - 1)
-        grown = grow(seen.withColumn("__g", pull), len(features), going)
+        seen = seen.drop(*keys, "__bins")
+        grown = _grown(seen.coalesce(max(48, cores)), state.pulls, (width, 1 + max(map(len, cuts), default=0)), going)
         going = {m: g for m, g in going.items() if grown[m].splits}
-        trees = [grown[m] if m in going else Tree() for m in range(len(models))]
-        tails = {m: g for m, g in going.items() if g.quantile is not None}
+        tails = {m: grown[m] for m, g in going.items() if g.quantile is not None}
         if tails:
-            left = seen.where(F.col("__m").isin(list(tails))).select(F.expr(_node(trees)).alias("__node"), "__miss")
-            at = [F.percentile_approx("__miss", q, QUANTILE_ACCURACY).alias(f"q{i}") for i, q in enumerate(levels)]
-            for r in left.groupBy("__node").agg(*at).collect():  # a row a leaf
-                m, n = divmod(r["__node"], SPAN)
-                trees[m].values[n] = r[f"q{levels.index(tails[m].quantile)}"]
+            at = [F.percentile_approx("miss", q, QUANTILE_ACCURACY).alias(f"q{i}") for i, q in enumerate(levels)]
+            for r in seen.mapInArrow(_leaves(state, tails), "node bigint, miss double").groupBy("node").agg(*at).collect():  # a row a leaf
+                m, n = divmod(r["node"], SPAN)
+                grown[m].values[n] = r[f"q{levels.index(going[m].quantile)}"]
         for m in going:
-            out[m].trees.append(trees[m])
-        rates = ", ".join(f"{b.rate!r}D" for b in out)
-        value = f"transform(array({constant(trees)}[m]), t -> t.value[{leaf_of('t', max(t.depth() for t in trees))}])[0]"
-        rows = rows.withColumn("__p", F.expr(f"transform(__p, (p, m) -> p + array({rates})[m] * {value})"))
+            out[m].trees.append(grown[m])
+            state.trees[m].append(grown[m])
         if (k + 1) % every == 0:
-            rows = stored(rows, name)
+            kept = [c for c in rows.columns if c != "__p"]
+            rows = stored(rows.mapInArrow(_written(state, kept), rows.select(*kept).schema.add("__p", T.ArrayType(T.DoubleType()))), name)
+            state.trees, state.written = [[] for _ in models], True
     return out
 
 
+def _leaves(state: Residuals, trees: Mapping[int, Tree]) -> Callable:
+    """Rows of (leaf, residual) of each of these models."""
+
+    def told(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _batches(parts):
+            for m, bins, miss in state.each(table, list(trees)):
+                node = np.broadcast_to(_at(trees[m], bins), len(miss)).astype(np.int64) + m * SPAN
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(miss)], ["node", "miss"])
+
+    return told
+
+
+def _written(state: Residuals, kept: Sequence[str]) -> Callable:
+    """Rows with __p: what all models say so far."""
+
+    def told(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _batches(parts):
+            bins, own = state.bins(table), np.arange(table.num_rows)
+            said = np.stack([state.said(table, m, own, bins) for m in range(len(state.base))], 1)
+            ends = pa.array(np.arange(table.num_rows + 1, dtype=np.int32) * len(state.base))
+            yield from table.select(kept).append_column("__p", pa.ListArray.from_arrays(ends, pa.array(said.ravel()))).combine_chunks().to_batches()
+
+    return told
+
+
 def fit_boosted(df: DataFrame, features: Sequence[str], y: str, growth: Growth, keys: Sequence[str] = ()) -> Boosted:
     """One model on all rows; see `fit_many`."""
     return fit_many(df, features, y, [(growth, F.lit(True))], keys)[0]

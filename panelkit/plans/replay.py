@@ -22,7 +22,7 @@ from ..operators import order_stats, shape, windows
 from ..sources import sinks
 from ..sources.scratch import stored
 from . import forecast
-from .boosting import Boosted, Growth, cuts_below, fit_many
+from .boosting import Boosted, Growth, cuts_below, fit_many, score_many
 from .forecast import ALPHAS, NOMINAL, Spec
 
 
@@ -187,7 +187,7 @@ class Trees:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """boost, low and high; low and high in order and not below 0."""
-        rows = self.high.score(self.low.score(self.boost.score(df, "boost"), "__low"), "__high")
+        rows = score_many(df, {"boost": self.boost, "__low": self.low, "__high": self.high})
         low, high = order_bounds(F.least("__low", "__high") - self.offset, F.greatest("__low", "__high") + self.offset)
         return rows.withColumn("low", low).withColumn("high", high).drop("__low", "__high")
 
